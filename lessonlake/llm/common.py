@@ -39,9 +39,52 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Removes what materialise() wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for f in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Hashes(dict):
+    """64-bit hashes of words, kept for the next time. ``list(map(hashes.__getitem__, words))`` is the fast use."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def mixed(h):
+    """A bijection of 64-bit words (a multiply-xorshift finaliser)."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key may be among keys, rows whose key isn't). keys: one column of longs.
+
+    A blocked Bloom filter spares the second part the shuffle of the join that must follow for the first. With too many keys for
+    a bounded filter, all rows are in the first part and the second is None. Rows without a key are in the second.
+    """
+    from lessonlake.llm.url_filter import bloom, may_hold
+
+    hashed = keys.select(F.xxhash64(F.col(keys.columns[0]).cast("long")).alias("h")).distinct()
+    words = bloom(hashed, hashed.count())
+    if words is None:
+        return rows, None
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def probe(h):
+        import pandas as pd
+
+        return pd.Series(may_hold(shared.value, h.to_numpy()))
+
+    may = probe(F.xxhash64(F.col(key).cast("long")))
+    return rows.where(may), rows.where(~may)
+
+
+def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    return split_by_keys(rows, key, keys)[0]
