@@ -183,33 +183,48 @@ def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     return fit_crf([(r.label, np.array(r.lines, np.int64).reshape(-1, len(EDGES))) for r in rows])
 
 
+def verdicts(texts: list[str | None], crf: dict | None, min_content_share: float) -> list[tuple]:
+    """The columns of RESULT after doc_id, for each text."""
+    out, lines = [], []
+    for text in texts:
+        text = text or ""
+        words = text.encode("utf-8", "replace").split()
+        rows, sizes, again = line_features(text)
+        n, rep = len(words), repeat_words(words)
+        failed = n < MIN_WORDS or 100 * rep > MAX_REPEAT_PERCENT * n
+        out.append(((n, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, "#*$%&|<>")), again, rep, failed), sizes))
+        lines += rows
+    emit = crf["w"][binned(np.array(lines, float).reshape(-1, len(EDGES)))].sum(1).tolist() if crf else []
+    at, done = 0, []
+    for row, sizes in out:
+        share = 1.0 if sizes else 0.0
+        if crf and sizes:
+            path = viterbi(emit[at : at + len(sizes)], crf["start"], crf["trans"])
+            share = sum(s for s, p in zip(sizes, path) if p) / sum(sizes)
+        at += len(sizes)
+        done.append((*row, not row[-1] and share >= min_content_share, share))
+    return done
+
+
 def quality_rules(documents: DataFrame, crf: dict | None, min_content_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """documents(doc_id, text) -> RESULT. One pass, no shuffle."""
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            lines: list[tuple] = []
-            for text in b.column("text").to_pylist():
-                text = text or ""
-                words = text.encode("utf-8", "replace").split()
-                rows, sizes, again = line_features(text)
-                n, rep = len(words), repeat_words(words)
-                failed = n < MIN_WORDS or 100 * rep > MAX_REPEAT_PERCENT * n
-                out.append([n, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, "#*$%&|<>")), again, rep, failed, sizes])
-                lines += rows
-            emit = crf["w"][binned(np.array(lines, float).reshape(-1, len(EDGES)))].sum(1).tolist() if crf else []
-            at, kept, share = 0, [], []
-            for row in out:
-                sizes = row.pop()
-                content = 1.0 if sizes else 0.0
-                if crf and sizes:
-                    path = viterbi(emit[at : at + len(sizes)], crf["start"], crf["trans"])
-                    content = sum(s for s, p in zip(sizes, path) if p) / sum(sizes)
-                at += len(sizes)
-                share.append(content)
-                kept.append(not row[5] and content >= min_content_share)
-            cols = [pa.array([r[i] for r in out], pa.bool_() if i == 5 else pa.int64()) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array(kept, pa.bool_()), pa.array(share, pa.float64())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
+            rows = verdicts(b.column("text").to_pylist(), crf, min_content_share)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, RESULT)
+
+
+def keep_documents(documents: DataFrame, crf: dict | None, min_content_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The documents, all columns, that the rules keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = verdicts(b.column(b.schema.get_field_index("text")).to_pylist(), crf, min_content_share)
+            yield b.filter(pa.array([r[6] for r in rows], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import bpe, decontaminate, html_extract, line_dedup, minhash, quality_gam, quality_rules, substring_dedup, url_filter
+from lessonlake.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality_gam, quality_rules, substring_dedup, url_filter
 from lessonlake.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
+#: In production a secret of the operator's owner.
+PII_KEY = "a fixed key for repeatable results"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -51,8 +54,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_bpe, op4_html_extract, op5_url_filter, op6_decontaminate, op7_quality_gam, op8_substring_dedup, op9_minhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_bpe, op4_html_extract, op5_url_filter, op6_decontaminate, op7_quality_gam, op8_substring_dedup, op9_minhash, op10_pii)}
 
 
 SQL: dict[str, str] = {}
