@@ -167,7 +167,8 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, spans_only:
             where, col = b.schema.get_field_index(AT), b.schema.get_field_index("text")
             keep, texts = [], []
             for text, at in zip(b.column(col).to_pylist(), b.column(where).to_pylist()):
-                hit = covered(n := len(normal_words(text)), at) if at else np.zeros(0, bool)
+                n = len(normal_words(text))
+                hit = covered(n, at) if at else np.zeros(0, bool)
                 keep.append(spans_only or not is_contaminated(int(hit.sum()), n))
                 if spans_only and hit.any():
                     out, last = [], 0
