@@ -7,7 +7,8 @@ signature is the least pi[(sigma + k) mod 2^20], so two permutations give all co
 
 Equal sets form a class, stood for by its smallest doc_id. In each bucket a class is first paired with its NEAREST earlier ones of
 fitting size; pairs are verified on the words of both texts, and verified links joined to components. Buckets that then still
-hold several components have all pairs across components verified. So no link between different components
+hold several components have all pairs across components verified, but for those that a 1024-bit parity map of the shingles
+rules out: the maps of two sets differ in no more bits than the sets differ in shingles. So no link between different components
 is lost, and a bucket of thousands of copies makes a number of pairs in proportion to its size.
 
 Defined results: null and empty texts, or ones without words, have 0 shingles and are linked with nothing; fewer words than a
@@ -18,6 +19,8 @@ Other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ BANDS, ROWS = 40, 6
 NEAREST = 2
 CHUNK_ROWS = 100_000
 SEED = 5
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+PARITY_BITS = 1024
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, parity array<long>"
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 
 
@@ -76,7 +80,7 @@ def document_sets(documents: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, lsh = Hashes(), Circulant()
         for b in batches:
-            n, s1, s2, bands = [], [], [], []
+            n, s1, s2, bands, parity = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 words = (text or "").encode("utf-8", "replace").lower().split()
                 x = shingle_hashes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), shingle)
@@ -84,9 +88,11 @@ def document_sets(documents: DataFrame, shingle: int) -> DataFrame:
                 s1.append(int(x.sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(mixed(x + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                 bands.append(lsh.keys(x) if len(x) else np.zeros(0, np.int64))
+                odd = np.bincount((x & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), keys], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), keys, pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "bands", "parity"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
@@ -171,7 +177,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """documents(doc_id, text) -> RESULT: a row for each row of documents."""
     sets = materialise(document_sets(documents, shingle))
     used = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = used.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands"), "doc_id").alias("c")).select("c.*")
+    classes = used.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "parity"), "doc_id").alias("c")).select("c.*")
     buckets = classes.select("doc_id", "n", F.explode("bands").alias("key"))
     found = materialise(bucket_pairs(buckets.repartition("key").sortWithinPartitions("key", "doc_id")))
     links = materialise(verified(documents, found.select("a", "b").distinct(), shingle))
@@ -180,13 +186,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
     if not wide.isEmpty():
         named = materialise(
             buckets.join(wide, "key").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+            .join(classes.select("doc_id", "parity"), "doc_id").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), "parity")
         )
         mixed_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         left = named.join(mixed_keys, "key", "left_semi")
-        right = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        right = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("parity").alias("pb"))
+        apart = reduce(add, [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY_BITS // 64)])
         across = (
-            left.join(right, "key").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb")))
+            left.join(right, "key").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb")) & (9 * apart <= F.col("n") + F.col("nb")))
             .select(F.col("doc_id").alias("a"), "b").distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
         )
         across = materialise(across)
