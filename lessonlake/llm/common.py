@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch. Texts can be long, so a batch is kept well below Spark's default of 10,000.
 BATCH_ROWS = 1000
+#: Keys that are broadcast themselves (8 bytes each); for more, a Bloom filter is.
+FEW_KEYS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,7 +73,11 @@ def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame
     from lessonlake.llm.url_filter import bloom, may_hold
 
     hashed = keys.select(F.xxhash64(F.col(keys.columns[0]).cast("long")).alias("h")).distinct()
-    words = bloom(hashed, hashed.count())
+    n = hashed.count()
+    if n <= FEW_KEYS:
+        few, h = F.broadcast(hashed.withColumnRenamed("h", "_h")), F.xxhash64(F.col(key).cast("long"))
+        return rows.join(few, h == F.col("_h"), "left_semi"), rows.join(few, h == F.col("_h"), "left_anti")
+    words = bloom(hashed, n)
     if words is None:
         return rows, None
     shared = rows.sparkSession.sparkContext.broadcast(words)

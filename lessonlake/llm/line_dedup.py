@@ -3,7 +3,7 @@
 A line's tokens are its distinct words, A-Z lower-cased. A line is removed if the input has an earlier one
 (smaller doc_id, or same document and smaller line number) with a Jaccard similarity of 0.8 or more.
 
-1. Token counts of all documents, summed in 2^19 hashed cells, give one total order by rarity.
+1. Token counts of all documents, summed in 2^18 hashed cells, give one total order by rarity.
 2. Lines of equal token sets form a class, whose first line stands for it; the others go at once.
 3. Similar sets share a token among their first n - ceil(0.8 n) + 1 by rarity. Lines meet there; length,
    position and a 64-bit parity map of the tokens rule out pairs, all without loss.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lessonlake.llm.common import Hashes, materialise, mixed, only_keys
 
-CELLS = 1 << 19
+CELLS = 1 << 18
 NEAREST = 4
 #: Lines that may meet in one group of a token; more are dealt to several groups.
 GROUP_ROWS = 20_000
@@ -46,10 +46,9 @@ def token_counts(documents: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = Hashes(), np.zeros(CELLS, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                words = (text or "").encode("utf-8", "replace").lower().split()
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                np.add.at(total, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
+            words = "\n".join(x or "" for x in b.column(0).to_pylist()).encode("utf-8", "replace").lower().split()
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         cells = np.flatnonzero(total)
         for i in range(0, len(cells), 50_000):
             part = cells[i : i + 50_000]
@@ -194,8 +193,8 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     counts = token_counts(documents)
     lines = materialise(line_sets(documents, counts))
     first = F.struct("doc_id", "line")
-    classes = lines.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "line", "n", "bits", "prefix"), first).alias("c")).select("c.*")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.count("*").alias("k")).where("k > 1").select("s1", "s2", "first")
+    classes = materialise(lines.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "line", "n", "bits", "prefix"), first).alias("c"), F.count("*").alias("k")).select("s1", "s2", "k", "c.*"))
+    firsts = classes.where("k > 1").select("s1", "s2", first.alias("first"))
     copies = lines.select("s1", "s2", "doc_id", "line").join(firsts, ["s1", "s2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
 
     hot = {int(c): -(-int(counts[c]) // GROUP_ROWS) for c in np.flatnonzero(counts > GROUP_ROWS)}
@@ -220,7 +219,8 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         probe = exploded(classes.join(open_, ["doc_id", "line"], "left_semi")).select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
         least = F.expr("(4 * (n + y_n) + 8) div 9")
-        rest = exploded(classes).join(probe, "token").where(
+        probe = materialise(probe)
+        rest = only_keys(exploded(classes), "token", probe.select("token")).join(probe, "token").where(
             (F.struct("doc_id", "line") < F.struct("y_doc", "y_line"))
             & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
             & (9 * F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) <= F.expr("n + y_n"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lessonlake.llm.common import ascii_lower
 
 BITS_PER_KEY = 16
-MAX_FILTER_BYTES = 64 << 20
+MAX_FILTER_BYTES = 16 << 20
 #: Odd multipliers below 2^31 that choose the bit in each word of a block.
 SALT = tuple((0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 31)) | 1 for i in range(8))
 
@@ -47,11 +47,10 @@ def bloom(rules: DataFrame, n_keys: int) -> np.ndarray | None:
     word = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned((h & 4294967295) * {s}L & 4294967295L, 27) as int))").alias("bit")) for i, s in enumerate(SALT)]))
     rows = (
         rules.select(F.expr(f"cast(shiftrightunsigned(h, 32) & {blocks - 1} as int)").alias("block"), "h").select("block", word.alias("x"))
-        .groupBy("block", "x.w").agg(F.bit_or("x.bit").alias("bits")).collect()
+        .groupBy("block", "x.w").agg(F.bit_or("x.bit").alias("bits")).toArrow()
     )
     out = np.zeros((blocks, 8), np.uint32)
-    for r in rows:
-        out[r.block, r.w] = r.bits
+    out[rows["block"].to_numpy(), rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
