@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.plans import activity_queries, ocr_queries, text_queries
+from lessonlake.plans import activity_queries, item_queries, ocr_queries, text_queries
 
-PARTS = (text_queries, ocr_queries, activity_queries)
+PARTS = (text_queries, ocr_queries, activity_queries, item_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
