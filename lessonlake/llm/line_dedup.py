@@ -202,8 +202,8 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     # at most one entry a GROUP_ROWS words, and no more than there are cells
     parts = documents.sparkSession.createDataFrame(list(hot.items()) or [(-1, 1)], "cell int, parts int")
 
-    def exploded(c: DataFrame) -> DataFrame:
-        return c.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    def exploded(c: DataFrame, *more: str) -> DataFrame:
+        return c.select("doc_id", "line", "n", "bits", *more, F.posexplode("prefix").alias("pos", "token"))
 
     records = (
         exploded(classes).withColumn("cell", cell.cast("int")).join(F.broadcast(parts), "cell", "left")
@@ -217,13 +217,15 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     near = materialise(verified(documents, found.where("y_doc <> x_doc OR y_line <> x_line").drop("more")))
     open_ = found.where("more").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(near, ["doc_id", "line"], "left_anti")
     if not open_.isEmpty():
-        probe = exploded(classes.join(open_, ["doc_id", "line"], "left_semi")).select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
+        probe = exploded(classes.join(open_, ["doc_id", "line"], "left_semi"), "prefix").select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "prefix")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
         least = F.expr("(4 * (n + y_n) + 8) div 9")
         probe = materialise(probe)
-        rest = only_keys(exploded(classes), "token", probe.select("token")).join(probe, "token").where(
+        # both prefixes are in the one order of tokens, so a pair meets once: at the first token that they share
+        first_shared = F.get(F.array_intersect("prefix", "y_prefix"), F.lit(0)) == F.col("token")
+        rest = only_keys(exploded(classes, "prefix"), "token", probe.select("token")).join(probe, "token").where(
             (F.struct("doc_id", "line") < F.struct("y_doc", "y_line"))
             & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
-            & (9 * F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) <= F.expr("n + y_n"))
+            & (9 * F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) <= F.expr("n + y_n")) & first_shared
         ).select("y_doc", "y_line", F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line")).distinct()
         near = near.union(verified(documents, rest))
     return copies.union(near).distinct()
