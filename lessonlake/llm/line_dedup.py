@@ -6,7 +6,7 @@ A line's tokens are its distinct words, A-Z lower-cased. A line is removed if th
 1. Token counts of all documents, summed in 2^18 hashed cells, give one total order by rarity.
 2. Lines of equal token sets form a class, whose first line stands for it; the others go at once.
 3. Similar sets share a token among their first n - ceil(0.8 n) + 1 by rarity. Lines meet there; length,
-   position and a 64-bit parity map of the tokens rule out pairs, all without loss.
+   position and a 128-bit parity map of the tokens rule out pairs, all without loss.
 4. A line needs just one earlier match, so at most NEAREST candidates of a line and token go on to
    verification on the words. Lines with more candidates and no match yet meet all their candidates in a
    second join; so nothing is capped, and a group of copies makes no quadratic number of pairs.
@@ -32,7 +32,7 @@ NEAREST = 4
 #: Lines that may meet in one group of a token; more are dealt to several groups.
 GROUP_ROWS = 20_000
 CHUNK_ROWS = 100_000
-LINES = "s1 long, s2 long, doc_id long, line int, n int, bits long, prefix array<long>"
+LINES = "s1 long, s2 long, doc_id long, line int, n int, bits long, bits2 long, prefix array<long>"
 RESULT = "doc_id long, n_lines long, n_removed long, removed array<int>"
 
 
@@ -89,26 +89,28 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             n = np.diff(np.append(start, len(h)))
             m = mixed(h)
             s1, s2 = np.add.reduceat(m, start), np.add.reduceat(mixed(m + np.uint64(1)), start)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (m >> np.uint64(58)), start)
+            bit, low = np.uint64(1) << ((m >> np.uint64(57)) & np.uint64(63)), m >> np.uint64(63) == 0
+            bits, bits2 = (np.bitwise_xor.reduceat(np.where(at, bit, np.uint64(0)), start) for at in (low, ~low))
             length = n - (4 * n + 4) // 5 + 1
             offsets = np.concatenate([[0], np.cumsum(length)])
             at = np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), prefix],
-                ["s1", "s2", "doc_id", "line", "n", "bits", "prefix"],
+                [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(bits2.view(np.int64)), prefix],
+                ["s1", "s2", "doc_id", "line", "n", "bits", "bits2", "prefix"],
             )
 
     return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, LINES)
 
 
 def near_candidates(records: DataFrame) -> DataFrame:
-    """records(key, n, pos, bits, doc_id, line, split), sorted within partitions by key and line -> pairs of a
+    """records(key, n, pos, bits, bits2, doc_id, line, split), sorted within partitions by key and line -> pairs of a
     line with at most NEAREST earlier ones of its key that pass the filters; more: there may be others."""
 
     def pairs(b: pa.RecordBatch, end: int) -> pa.RecordBatch:
         key, n, pos = (b.column(c).to_numpy()[:end].astype(np.int64) for c in ("key", "n", "pos"))
-        bits, split = b.column("bits").to_numpy()[:end].view(np.uint64), b.column("split").to_numpy(zero_copy_only=False)[:end]
+        bits, bits2 = (b.column(c).to_numpy()[:end].view(np.uint64) for c in ("bits", "bits2"))
+        split = b.column("split").to_numpy(zero_copy_only=False)[:end]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         rank = np.arange(end) - np.repeat(start, np.diff(np.append(start, end)))
         found = np.zeros(end, np.int64)
@@ -118,7 +120,10 @@ def near_candidates(records: DataFrame) -> DataFrame:
             nx, ny = n[x], n[active]
             least = (4 * (nx + ny) + 8) // 9
             ok = (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (np.minimum(nx - pos[x], ny - pos[active]) >= least)
-            ok &= 9 * np.bitwise_count(bits[x] ^ bits[active]).astype(np.int64) <= nx + ny
+            at = np.flatnonzero(ok)
+            i, j = x[at], active[at]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(bits2[i] ^ bits2[j])
+            ok[at] = 9 * apart <= nx[at] + ny[at]
             ys.append(active[ok])
             xs.append(x[ok])
             found[active[ok]] += 1
@@ -193,23 +198,25 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     counts = token_counts(documents)
     lines = materialise(line_sets(documents, counts))
     first = F.struct("doc_id", "line")
-    classes = materialise(lines.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "line", "n", "bits", "prefix"), first).alias("c"), F.count("*").alias("k")).select("s1", "s2", "k", "c.*"))
+    classes = materialise(lines.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "line", "n", "bits", "bits2", "prefix"), first).alias("c"), F.count("*").alias("k")).select("s1", "s2", "k", "c.*"))
     firsts = classes.where("k > 1").select("s1", "s2", first.alias("first"))
     copies = lines.select("s1", "s2", "doc_id", "line").join(firsts, ["s1", "s2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
 
-    hot = {int(c): -(-int(counts[c]) // GROUP_ROWS) for c in np.flatnonzero(counts > GROUP_ROWS)}
-    cell = F.col("token").bitwiseAND(F.lit(CELLS - 1))
-    # at most one entry a GROUP_ROWS words, and no more than there are cells
-    parts = documents.sparkSession.createDataFrame(list(hot.items()) or [(-1, 1)], "cell int, parts int")
+    cell = F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    # at most one row a GROUP_ROWS records, and no more than there are cells
+    parts = materialise(
+        classes.select(F.explode("prefix").alias("token")).groupBy(cell.alias("cell")).count().where(F.col("count") > GROUP_ROWS)
+        .select("cell", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts"))
+    )
 
     def exploded(c: DataFrame, *more: str) -> DataFrame:
-        return c.select("doc_id", "line", "n", "bits", *more, F.posexplode("prefix").alias("pos", "token"))
+        return c.select("doc_id", "line", "n", "bits", "bits2", *more, F.posexplode("prefix").alias("pos", "token"))
 
     records = (
-        exploded(classes).withColumn("cell", cell.cast("int")).join(F.broadcast(parts), "cell", "left")
+        exploded(classes).withColumn("cell", cell).join(F.broadcast(parts), "cell", "left")
         .select(
             F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")))).alias("key"),
-            "n", "pos", "bits", "doc_id", "line", F.col("parts").isNotNull().alias("split"),
+            "n", "pos", "bits", "bits2", "doc_id", "line", F.col("parts").isNotNull().alias("split"),
         )
     )
     dealt = records.repartition("key").sortWithinPartitions("key", "doc_id", "line")
@@ -217,7 +224,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     near = materialise(verified(documents, found.where("y_doc <> x_doc OR y_line <> x_line").drop("more")))
     open_ = found.where("more").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(near, ["doc_id", "line"], "left_anti")
     if not open_.isEmpty():
-        probe = exploded(classes.join(open_, ["doc_id", "line"], "left_semi"), "prefix").select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "prefix")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
+        probe = exploded(classes.join(open_, ["doc_id", "line"], "left_semi"), "prefix").select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "bits2", "prefix")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
         least = F.expr("(4 * (n + y_n) + 8) div 9")
         probe = materialise(probe)
         # both prefixes are in the one order of tokens, so a pair meets once: at the first token that they share
@@ -225,7 +232,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         rest = only_keys(exploded(classes, "prefix"), "token", probe.select("token")).join(probe, "token").where(
             (F.struct("doc_id", "line") < F.struct("y_doc", "y_line"))
             & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
-            & (9 * F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits"))) <= F.expr("n + y_n")) & first_shared
+            & (F.expr("9 * (bit_count(bits ^ y_bits) + bit_count(bits2 ^ y_bits2)) <= n + y_n")) & first_shared
         ).select("y_doc", "y_line", F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line")).distinct()
         near = near.union(verified(documents, rest))
     return copies.union(near).distinct()
