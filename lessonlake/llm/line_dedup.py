@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import Hashes, materialise, mixed, only_keys
+from lessonlake.llm.common import materialise, mixed, only_keys
 
 CELLS = 1 << 18
 NEAREST = 4
@@ -40,14 +41,18 @@ def tokens(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def token_counts(documents: DataFrame) -> np.ndarray:
     """How many words fall in each cell, over all documents. Fixed size, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = Hashes(), np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int64)
         for b in batches:
             words = "\n".join(x or "" for x in b.column(0).to_pylist()).encode("utf-8", "replace").lower().split()
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            h = word_hashes(words)
             total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         cells = np.flatnonzero(total)
         for i in range(0, len(cells), 50_000):
@@ -61,26 +66,32 @@ def token_counts(documents: DataFrame) -> np.ndarray:
 
 
 def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """LINES: for each line with a word, a hash of its set, its size, parity map and rarest tokens."""
-    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    """LINES: for each line with a word, a hash of its set, its size, parity map and rarest tokens.
+
+    A token is its word's hash with the cell replaced by the cell's rank in rarity, so its order is that of the join.
+    """
+    rank = np.empty(CELLS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    shared = documents.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Hashes(), shared.value
+        rank = shared.value
         for b in batches:
             words: list[bytes] = []
             sizes, docs, numbers = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for i, line in enumerate((text or "").split("\n")):
-                    if w := tokens(line):
+                for i, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
+                    if w := line.split():
                         words += w
                         sizes.append(len(w))
                         docs.append(doc)
                         numbers.append(i)
             if not words:
                 continue
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            h = word_hashes(words)
+            h = rank[(h & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(46) | h >> np.uint64(18)
             line = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((h, counts[(h & np.uint64(CELLS - 1)).astype(np.int64)], line))
+            order = np.lexsort((h, line))
             h, line = h[order], line[order]
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -111,22 +122,29 @@ def near_candidates(records: DataFrame) -> DataFrame:
         key, n, pos = (b.column(c).to_numpy()[:end].astype(np.int64) for c in ("key", "n", "pos"))
         bits, bits2 = (b.column(c).to_numpy()[:end].view(np.uint64) for c in ("bits", "bits2"))
         split = b.column("split").to_numpy(zero_copy_only=False)[:end]
+
+        def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (n5[i] >= n4[j]) & (n5[j] >= n4[i])
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return 9 * (np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(bits2[i] ^ bits2[j])) <= n[i] + n[j]
+
+        def placed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= (4 * (n[i] + n[j]) + 8) // 9
+
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         rank = np.arange(end) - np.repeat(start, np.diff(np.append(start, end)))
         found = np.zeros(end, np.int64)
         ys, xs, d, active = [], [], 1, np.flatnonzero(rank >= 1)
+        n4, n5 = 4 * n, 5 * n
         while len(active):
-            x = active - d
-            nx, ny = n[x], n[active]
-            least = (4 * (nx + ny) + 8) // 9
-            ok = (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (np.minimum(nx - pos[x], ny - pos[active]) >= least)
-            at = np.flatnonzero(ok)
-            i, j = x[at], active[at]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(bits2[i] ^ bits2[j])
-            ok[at] = 9 * apart <= nx[at] + ny[at]
-            ys.append(active[ok])
-            xs.append(x[ok])
-            found[active[ok]] += 1
+            i, j = active - d, active
+            for test in (fits, alike, placed):  # the cheapest first
+                ok = test(i, j)
+                i, j = i[ok], j[ok]
+            ys.append(j)
+            xs.append(i)
+            found[j] += 1
             d += 1
             active = active[(rank[active] >= d) & (found[active] < NEAREST)]
         y, x = np.concatenate(ys or [np.zeros(0, int)]), np.concatenate(xs or [np.zeros(0, int)])
@@ -234,7 +252,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
             & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
             & (F.expr("9 * (bit_count(bits ^ y_bits) + bit_count(bits2 ^ y_bits2)) <= n + y_n")) & first_shared
         ).select("y_doc", "y_line", F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line")).distinct()
-        near = near.union(verified(documents, rest))
+        near = near.union(verified(documents, materialise(rest)))
     return copies.union(near).distinct()
 
 
