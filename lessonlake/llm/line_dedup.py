@@ -4,7 +4,8 @@ A line's tokens are its distinct words, A-Z lower-cased. A line is removed if th
 (smaller doc_id, or same document and smaller line number) with a Jaccard similarity of 0.8 or more.
 
 1. Token counts of all documents, summed in 2^18 hashed cells, give one total order by rarity.
-2. Lines of equal token sets form a class, whose first line stands for it; the others go at once.
+2. Lines of equal token sets form a class, whose first line stands for it; the others go at once. Repeats within a text
+   are seen as it is read; only lines whose set other documents may have meet in a join.
 3. Similar sets share a token among their first n - ceil(0.8 n) + 1 by rarity. Lines meet there; length,
    position and a 128-bit parity map of the tokens rule out pairs, all without loss.
 4. A line needs just one earlier match, so at most NEAREST candidates of a line and token go on to
@@ -26,14 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import materialise, mixed, only_keys
+from lessonlake.llm.common import materialise, mixed, only_keys, split_by_keys
 
 CELLS = 1 << 18
 NEAREST = 4
 #: Lines that may meet in one group of a token; more are dealt to several groups.
 GROUP_ROWS = 20_000
 CHUNK_ROWS = 100_000
-LINES = "s1 long, s2 long, doc_id long, line int, n int, bits long, bits2 long, prefix array<long>"
+LINES = "s1 long, s2 long, doc_id long, line int, again boolean, n int, bits long, bits2 long, prefix array<long>"
 RESULT = "doc_id long, n_lines long, n_removed long, removed array<int>"
 
 
@@ -65,8 +66,17 @@ def token_counts(documents: DataFrame) -> np.ndarray:
     return out
 
 
+def line_order(line: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by line, then by token. One word of both sorts fastest; where its bits don't tell two tokens, both are sorted."""
+    width = np.uint64(max(1, int(line[-1]).bit_length()))
+    key = line.astype(np.uint64) << (np.uint64(64) - width) | h >> width
+    order = np.argsort(key)
+    key, x = key[order], h[order]
+    return np.lexsort((h, line)) if ((key[1:] == key[:-1]) & (x[1:] != x[:-1])).any() else order
+
+
 def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """LINES: for each line with a word, a hash of its set, its size, parity map and rarest tokens.
+    """LINES: for each line with a word, a hash of its set, whether its text has that set before, its size, parity map and rarest tokens.
 
     A token is its word's hash with the cell replaced by the cell's rank in rarity, so its order is that of the join.
     """
@@ -78,20 +88,21 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         rank = shared.value
         for b in batches:
             words: list[bytes] = []
-            sizes, docs, numbers = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            sizes, docs, numbers, rows = [], [], [], []
+            for row, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
                 for i, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
                     if w := line.split():
                         words += w
                         sizes.append(len(w))
                         docs.append(doc)
                         numbers.append(i)
+                        rows.append(row)
             if not words:
                 continue
             h = word_hashes(words)
             h = rank[(h & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(46) | h >> np.uint64(18)
             line = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((h, line))
+            order = line_order(line, h)
             h, line = h[order], line[order]
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -100,6 +111,9 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             n = np.diff(np.append(start, len(h)))
             m = mixed(h)
             s1, s2 = np.add.reduceat(m, start), np.add.reduceat(mixed(m + np.uint64(1)), start)
+            at, text = np.lexsort((s2, s1, rows)), np.array(rows)
+            again = np.zeros(len(at), bool)
+            again[at[1:]] = (s1[at[1:]] == s1[at[:-1]]) & (s2[at[1:]] == s2[at[:-1]]) & (text[at[1:]] == text[at[:-1]])
             bit, low = np.uint64(1) << ((m >> np.uint64(57)) & np.uint64(63)), m >> np.uint64(63) == 0
             bits, bits2 = (np.bitwise_xor.reduceat(np.where(at, bit, np.uint64(0)), start) for at in (low, ~low))
             length = n - (4 * n + 4) // 5 + 1
@@ -107,21 +121,22 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             at = np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(bits2.view(np.int64)), prefix],
-                ["s1", "s2", "doc_id", "line", "n", "bits", "bits2", "prefix"],
+                [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(again), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(bits2.view(np.int64)), prefix],
+                ["s1", "s2", "doc_id", "line", "again", "n", "bits", "bits2", "prefix"],
             )
 
     return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, LINES)
 
 
 def near_candidates(records: DataFrame) -> DataFrame:
-    """records(key, n, pos, bits, bits2, doc_id, line, split), sorted within partitions by key and line -> pairs of a
-    line with at most NEAREST earlier ones of its key that pass the filters; more: there may be others."""
+    """records(key, place, bits, bits2, doc_id, line), sorted within partitions by key and line -> pairs of a line with at
+    most NEAREST earlier ones of its key that pass the filters; more: there may be others. place: n, position and, in the
+    lowest bit, whether the token is dealt to several groups."""
 
     def pairs(b: pa.RecordBatch, end: int) -> pa.RecordBatch:
-        key, n, pos = (b.column(c).to_numpy()[:end].astype(np.int64) for c in ("key", "n", "pos"))
+        key, place = (b.column(c).to_numpy()[:end] for c in ("key", "place"))
+        n, pos, split = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
         bits, bits2 = (b.column(c).to_numpy()[:end].view(np.uint64) for c in ("bits", "bits2"))
-        split = b.column("split").to_numpy(zero_copy_only=False)[:end]
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return (n5[i] >= n4[j]) & (n5[j] >= n4[i])
@@ -215,10 +230,13 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> the (doc_id, line) of lines that repeat an earlier one, each once."""
     counts = token_counts(documents)
     lines = materialise(line_sets(documents, counts))
-    first = F.struct("doc_id", "line")
-    classes = materialise(lines.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "line", "n", "bits", "bits2", "prefix"), first).alias("c"), F.count("*").alias("k")).select("s1", "s2", "k", "c.*"))
-    firsts = classes.where("k > 1").select("s1", "s2", first.alias("first"))
-    copies = lines.select("s1", "s2", "doc_id", "line").join(firsts, ["s1", "s2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
+    apart = lines.where("NOT again").drop("again")
+    firsts = materialise(apart.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    may, rest = split_by_keys(apart, "s1", firsts.select("s1"))
+    named, fields = may.join(firsts, ["s1", "s2"], "left"), ("doc_id", "line", "n", "bits", "bits2", "prefix")
+    classes = named.where("first IS NULL OR doc_id = first").select(*fields)
+    classes = materialise(classes if rest is None else classes.union(rest.select(*fields)))
+    copies = lines.where("again").select("doc_id", "line").union(named.where("doc_id <> first").select("doc_id", "line"))
 
     cell = F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int")
     # at most one row a GROUP_ROWS records, and no more than there are cells
@@ -234,15 +252,17 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         exploded(classes).withColumn("cell", cell).join(F.broadcast(parts), "cell", "left")
         .select(
             F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")))).alias("key"),
-            "n", "pos", "bits", "bits2", "doc_id", "line", F.col("parts").isNotNull().alias("split"),
+            F.expr("shiftleft(CAST(n AS BIGINT), 32) + 2 * pos + CAST(parts IS NOT NULL AS INT)").alias("place"), "bits", "bits2", "doc_id", "line",
         )
     )
     dealt = records.repartition("key").sortWithinPartitions("key", "doc_id", "line")
     found = materialise(near_candidates(dealt).groupBy("y_doc", "y_line", "x_doc", "x_line").agg(F.max("more").alias("more")))
     near = materialise(verified(documents, found.where("y_doc <> x_doc OR y_line <> x_line").drop("more")))
-    open_ = found.where("more").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(near, ["doc_id", "line"], "left_anti")
+    open_ = materialise(found.where("more").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(near, ["doc_id", "line"], "left_anti"))
     if not open_.isEmpty():
-        probe = exploded(classes.join(open_, ["doc_id", "line"], "left_semi"), "prefix").select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "bits2", "prefix")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
+        at = F.xxhash64("doc_id", "line").alias("at")
+        asking = only_keys(classes.select("*", at), "at", open_.select(at)).join(open_, ["doc_id", "line"], "left_semi")
+        probe = exploded(asking, "prefix").select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "bits2", "prefix")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
         least = F.expr("(4 * (n + y_n) + 8) div 9")
         probe = materialise(probe)
         # both prefixes are in the one order of tokens, so a pair meets once: at the first token that they share
