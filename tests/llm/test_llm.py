@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,14 @@ def test_line_candidates_beyond_the_nearest(spark):
     assert {r.doc_id: r.removed for r in rows} == want
 
 
+def test_order_of_tokens_that_differ_in_low_bits_only():
+    line, h = np.repeat(np.arange(3), 4), np.array([9, 8, 1 << 63, 8, 3, 2, 1, 0, 5, 5, 4, 6], np.uint64)
+    for x in (h, h << np.uint64(40)):
+        order = line_dedup.line_order(line, x)
+        assert (line[order] == line).all() and (x[order] == x[np.lexsort((x, line))]).all()
+    assert line_dedup.line_order(np.zeros(1, int), h[:1]).tolist() == [0]
+
+
 def test_bpe_round_trip(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     t, own = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), bpe.WordBpe(bpe.load_vocabulary())
