@@ -44,6 +44,9 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{TITLE})\.? {NAME}(?: {NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every match of ANY holds one of these, which are found faster: the patterns without their look-arounds, or a part of each match.
+#: A secret's key word stands before the match.
+SIGN = r"[@\d]|(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:]|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20}|[a-f]{32}|[A-F]{32}|" + rf"(?:{TITLE})\.? \p{{Lu}}"
 #: Scripts: (first code point, letters) of ranges within which a letter moves (fixed values).
 RANGES = (
     (0x30, 10), (0x61, 26), (0x41, 26), (0xE0, 23), (0xC0, 23), (0xF8, 7), (0xD8, 7), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x3C3, 7),
@@ -222,7 +225,7 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
     """The documents, all columns, with replaced text, and the column n_entities (mentions replaced)."""
-    found = F.when(F.col("text").rlike(r"[@\d]|" + rf"(?:{TITLE})\.? \p{{Lu}}"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    found = F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     marked = documents.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     mentions = marked.select(F.explode("_found").alias("m")).groupBy("m").count().select("m")
     entities = mentions.select(F.explode(entities_of(F.col("m"))).alias("p")).select("p.kind", "p.canon").distinct()

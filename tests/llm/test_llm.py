@@ -153,6 +153,15 @@ def test_surrogates(spark):
     assert len(set(out)) == 300 and not set(out) & {r.text for r in many.collect()}
 
 
+def test_secrets_without_digits(spark):
+    """Each alone in its text, with no digit, @ or title beside it."""
+    secrets = ["correcthorse", "abcDEFgh", "AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqr" * 2, "sk-" + "abcdefghijklmnopqrstu", "abcdef" * 6, "ABCDEF" * 6]
+    said = [f"the password={secrets[0]} here", f"token: {secrets[1]}", *[f"use {s} now" for s in secrets[2:]]]
+    rows = pii.replace_pii(spark.createDataFrame([*enumerate(said), (99, "a plain text")], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.n_entities for r in rows] == [1] * 7 + [0] and rows[7].text == "a plain text"
+    assert not [s for s, r in zip(secrets, rows) if s in r.text]
+
+
 def test_odd_rows(spark):
     o, e = odd(spark), empty(spark)
     bench = spark.createDataFrame([("b", "a b c d e f g h i j k l m n"), ("n", None), ("z", "")], "item_id string, text string")
