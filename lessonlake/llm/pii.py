@@ -9,7 +9,9 @@ found by one pattern and replaced by keyed surrogates of the same type:
 * coreference: a surrogate depends on the key and the entity alone (emails without case, numbers without separators, names by
   part), so all mentions in all documents agree, and a mail domain or a surname stays shared by those who share it;
 * distinctness: the distinct entities of the whole table are checked. Where two get one surrogate, or one gets the
-  text of a real entity, all but the first in order are drawn again until none is left.
+  text of a real entity, all but the first in order are drawn again until none is left. From draw WIDER on the format widens, as a
+  table may hold more entities of a format than half of its texts: an address has octets of any length, any other surrogate but a
+  card's and a hex string's (over 10^12 forms) gets one more character a draw, and letters of other scripts become Latin ones.
 
 Defined results: a null text stays null with 0 entities; an empty text, or one without entities, is unchanged; repeated rows get
 equal results; an empty table gives an empty result. Other columns may have any name: all of them are kept by replace_pii().
@@ -24,6 +26,8 @@ from lessonlake.llm.common import materialise
 
 #: Exceptions that may be carried as a literal map; more go through a join.
 LITERAL_EXCEPTIONS = 500
+#: The draw from which a surrogate may be longer than its entity.
+WIDER = 8
 #: Titles by gender (fixed values).
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "Господин", "Κύριος", "Κύριε"),
@@ -81,14 +85,14 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def moved(c: Column, shift: Column) -> Column:
-    """A letter or digit moved within its script and case by a keyed shift; any other character stays."""
+def moved(c: Column, shift: Column, other: Column | None = None) -> Column:
+    """A letter or digit moved within its script and case by a keyed shift; for any other character, other or itself."""
     ranges = F.array(*[F.struct(F.lit(first).alias("first"), F.lit(n).alias("n")) for first, n in RANGES])
     code = F.ascii(c)
 
     def to(r: Column) -> Column:
         step = shift * F.when(r["n"] < 256, 1).otherwise(83)
-        return F.when(r.isNull(), c).otherwise(_char(r["first"] + F.pmod(code - r["first"] + step, r["n"])))
+        return F.when(r.isNull(), c if other is None else other).otherwise(_char(r["first"] + F.pmod(code - r["first"] + step, r["n"])))
 
     return _let(F.get(F.filter(ranges, lambda r: (code >= r["first"]) & (code < r["first"] + r["n"])), F.lit(0)), to)
 
@@ -113,16 +117,26 @@ def luhn(digits: Column) -> Column:
 
 
 def surrogate(key: str, entity: Column) -> Column:
-    """The replacement of entity, a struct (kind, canon, attempt): of the same length but for names and phone numbers' first digits."""
+    """The replacement of entity, a struct (kind, canon, attempt): of the same length but for given names and late draws."""
     return _let(entity, lambda e: _let(digest_of(key, e["kind"], e["canon"], e["attempt"]), lambda d: _surrogate(key, e["kind"], e["canon"], e["attempt"], d)))
 
 
 def _surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
+    def latin(i: Column) -> Column:
+        return _char(byte_at(d, i) % 26 + 0x61)
+
     def plain(text: Column, d: Column) -> Column:
-        return _let(text, lambda t: _each(t, lambda c, i: moved(c, byte_at(d, i))))
+        return _let(text, lambda t: _each(t, lambda c, i: moved(c, byte_at(d, i), F.when((attempt >= WIDER) & c.rlike(r"\p{L}"), latin(i)).otherwise(c))))
+
+    def tail(text: Column) -> Column:
+        """What a late draw adds to a surrogate: characters like the last of text."""
+        def add(j: Column) -> Column:
+            return _let(F.length(text) + j, lambda i: moved(F.right(text, F.lit(1)), byte_at(d, i), latin(i)))
+
+        return F.when(attempt < WIDER, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), attempt - (WIDER - 1)), add), ""))
 
     def octet(o: Column, i: Column) -> Column:
-        return _let(byte_at(d, i + 1) + byte_at(d, i + 21) * 256, lambda b: F.when(F.length(o) == 1, F.pmod(b, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(b, F.lit(90)) + 10).otherwise(F.pmod(b, F.lit(155)) + 100).cast("string"))
+        return _let(byte_at(d, i + 1) + byte_at(d, i + 21) * 256, lambda b: F.when(attempt >= WIDER, F.pmod(b, F.lit(255)) + 1).when(F.length(o) == 1, F.pmod(b, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(b, F.lit(90)) + 10).otherwise(F.pmod(b, F.lit(155)) + 100).cast("string"))
 
     def card() -> Column:
         body = F.concat(F.substring(canon, 1, 1), plain(F.substring(canon, F.lit(2), F.length(canon) - 2), d))
@@ -133,7 +147,7 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column
         return F.concat(_let(digest_of(key, F.lit("domain"), x, F.lit(0)), lambda m: plain(F.substring(x, F.lit(1), F.length(x) - F.length(top)), m)), top)
 
     def email() -> Column:
-        return _let(F.split(canon, "@"), lambda x: F.concat(plain(F.get(x, F.lit(0)), d), F.lit("@"), _let(F.get(x, F.lit(1)), domain)))
+        return _let(F.split(canon, "@"), lambda x: F.concat(plain(F.get(x, F.lit(0)), d), tail(F.get(x, F.lit(0))), F.lit("@"), _let(F.get(x, F.lit(1)), domain)))
 
     def given() -> Column:
         def built(script: str) -> Column:
@@ -144,12 +158,12 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column
             stem = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2) + attempt), lambda i: F.element_at(words, F.pmod(byte_at(d, i), F.lit(len(parts))) + 1)), "")
             return F.concat(stem, F.element_at(last, F.pmod(byte_at(d, F.lit(60)), F.lit(8)) + 1))
 
-        return F.when(canon.rlike(r"^\p{IsCyrillic}"), built("cyrillic")).when(canon.rlike(r"^\p{IsGreek}"), built("greek")).when(canon.rlike(r"^\p{IsLatin}"), built("latin")).otherwise(plain(canon, d))
+        return F.when(canon.rlike(r"^\p{IsCyrillic}"), built("cyrillic")).when(canon.rlike(r"^\p{IsGreek}"), built("greek")).when(canon.rlike(r"^\p{IsLatin}"), built("latin")).otherwise(F.concat(plain(canon, d), tail(canon)))
 
     hexed = _each(canon, lambda c, i: F.lower(F.conv(F.pmod(F.conv(c, 16, 10).cast("int") + byte_at(d, i), F.lit(16)).cast("string"), 10, 16)))
     # what stays of the others: a phone number's country, an IBAN's country, a key's prefix
     fixed = F.when(kind.isin("phone", "iban"), 2).when((kind == "secret") & canon.startswith("AKIA"), 4).otherwise(0)
-    other = _let(fixed, lambda n: F.concat(F.substring(canon, F.lit(1), n), plain(F.substring(canon, n + 1, F.length(canon)), d)))
+    other = _let(fixed, lambda n: F.concat(F.substring(canon, F.lit(1), n), plain(F.substring(canon, n + 1, F.length(canon)), d), tail(canon)))
     return (
         F.when(kind == "email", email()).when(kind == "ip", F.array_join(F.transform(F.split(canon, r"\."), octet), ".")).when(kind == "card", card())
         .when(kind == "hex", hexed).when(kind.startswith("given"), given()).otherwise(other)
@@ -175,7 +189,9 @@ def entities_of(mention: Column) -> Column:
 
 
 def written_like(mention: Column, new: Column) -> Column:
-    """new in the mention's format: its letters and digits fill the mention's places, in the mention's case."""
+    """new in the mention's format: its letters and digits fill the mention's places, in the mention's case; those of a late draw that are left follow.
+
+    An email of another length stays as drawn."""
 
     def filled(chars: Column) -> Column:
         def add(acc, c):
@@ -184,8 +200,9 @@ def written_like(mention: Column, new: Column) -> Column:
             put = F.when(~ok, c).when(c.rlike(r"\p{Lu}"), F.upper(x)).when(c.rlike(r"\p{Ll}"), F.lower(x)).otherwise(x)
             return F.struct((acc["n"] + F.when(ok, 1).otherwise(0)).alias("n"), F.concat(acc["out"], put).alias("out"))
 
-        same = F.length(F.regexp_replace(mention, r"[^\p{L}\p{Nd}]", "")) == F.length(chars)
-        return F.when(same, F.aggregate(F.split(mention, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), add)["out"]).otherwise(new)
+        longer = F.length(chars) - F.length(F.regexp_replace(mention, r"[^\p{L}\p{Nd}]", ""))
+        fill = F.aggregate(F.split(mention, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), add)["out"]
+        return F.when(longer == 0, fill).when((longer < 0) | mention.contains("@"), new).otherwise(F.concat(fill, F.right(chars, longer)))
 
     return _let(F.regexp_replace(new, r"[^\p{L}\p{Nd}]", ""), filled)
 
@@ -196,7 +213,7 @@ def replaced(key: str, mention: Column, attempts) -> Column:
     def joined(k: Column) -> Column:
         new = F.transform(parts_of(mention, k), lambda p: surrogate(key, F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), attempts(p["kind"], p["canon"]).alias("attempt"))))
         title = F.regexp_extract(mention, rf"^(?:{TITLE})\.? ", 0)
-        return _let(new, lambda n: F.when(k == "person", F.concat(title, F.array_join(F.transform(n, F.initcap), " "))).otherwise(_let(F.get(n, F.lit(0)), lambda x: written_like(mention, x))))
+        return _let(new, lambda n: F.when(k == "person", F.concat(title, F.array_join(F.transform(n, F.initcap), " "))).otherwise(_let(F.get(n, F.lit(0)), lambda x: F.when(k == "ip", x).otherwise(written_like(mention, x)))))
 
     return _let(kind_of(mention), joined)
 

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -162,6 +163,20 @@ def test_secrets_without_digits(spark):
     assert not [s for s, r in zip(secrets, rows) if s in r.text]
 
 
+def test_surrogates_where_a_format_is_used_up(spark):
+    """All quads of single digits, all two-letter surnames of one initial set, and secrets and names that no shift changes."""
+    quads = [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(10_000)]
+    names = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rest = ["Mr Աբ", "Mr Աբ Աբբ", "token=------", "token=-------", *[f"{c}@x.com" for c in "0123456789"]]
+    said = [*quads, *names, *rest]
+    rows = pii.replace_pii(spark.createDataFrame([*enumerate(said)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    out = [r.text for r in rows]
+    assert all(r.n_entities == 1 for r in rows) and len(set(out)) == len(said) and not set(out) & set(said)
+    assert all(re.fullmatch(pii.PATTERNS["ip"], x) for x in out[:10_000])
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+", x) for x in out[10_000:10_676])
+    assert not [x for x in out if "Աբ" in x] and all(x.startswith("token=---") for x in out[10_678:10_680])
+
+
 def test_odd_rows(spark):
     o, e = odd(spark), empty(spark)
     bench = spark.createDataFrame([("b", "a b c d e f g h i j k l m n"), ("n", None), ("z", "")], "item_id string, text string")
