@@ -9,7 +9,8 @@ same one form a super-k-mer. Equal windows have equal minimisers, so
 3. the firsts go back to all occurrences: a window that isn't its first start covers its words, which are removed.
 
 Documents of equal words are found first by a 128-bit hash; all but the smallest doc_id are copies from end to end.
-A bucket with more than BUCKET_STRINGS distinct strings is split: its strings are cut to single windows, dealt by the window.
+A bucket with more than BUCKET_STRINGS distinct strings is split: its strings are cut to single windows, whose first starts are
+aggregated before they travel and joined back.
 
 Defined results: null and empty texts have no words; texts of under 20 words keep all; rows with a null doc_id keep all;
 rows that share a doc_id are read as one document given twice; an empty table gives an empty result. Other columns may have any name.
@@ -175,7 +176,7 @@ def bucket_firsts(strings: DataFrame) -> DataFrame:
 
 
 def single_windows(strings: DataFrame) -> DataFrame:
-    """Each string cut to its windows, with the window's hash for a bucket."""
+    """Each string cut to its windows: w (the words), p1, p2, off, doc_id, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,12 +184,18 @@ def single_windows(strings: DataFrame) -> DataFrame:
             for p1, p2, doc, start, packed in zip(*(b.column(c).to_pylist() for c in ("p1", "p2", "doc_id", "start", "packed"))):
                 words = packed.split(b" ")
                 for i in range(len(words) - WINDOW + 1):
-                    w = b" ".join(words[i : i + WINDOW])
-                    out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), p1, p2, i, doc, start + i, w))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["mini", "p1", "p2", "off", "doc_id", "start", "packed"])
+                    out.append((b" ".join(words[i : i + WINDOW]), p1, p2, i, doc, start + i))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["w", "p1", "p2", "off", "doc_id", "start"])
 
-    return strings.mapInArrow(run, "mini long, p1 long, p2 long, off int, doc_id long, start int, packed binary")
+    return strings.mapInArrow(run, "w binary, p1 long, p2 long, off int, doc_id long, start int")
+
+
+def window_firsts(strings: DataFrame) -> DataFrame:
+    """What bucket_firsts gives, a row a window, for strings of any number that share a window: no task holds a window's rows."""
+    cut = single_windows(strings)
+    firsts = cut.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    return cut.select("w", "p1", "p2", "off").join(firsts, "w").select("p1", "p2", "off", F.array("first.doc_id").alias("docs"), F.array("first.start").alias("starts"))
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -211,10 +218,13 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     strings = materialise(moved.groupBy("mini", "p1", "p2", "packed").agg(F.min(first).alias("first")).select("mini", "p1", "p2", F.lit(0).alias("off"), "first.doc_id", "first.start", "packed"))
     wide = strings.groupBy("mini").count().where(F.col("count") > BUCKET_STRINGS).select("mini")
     wide = materialise(wide)
+    cut = None
     if not wide.isEmpty():
-        cut = single_windows(strings.join(wide, "mini", "left_semi"))
-        strings = strings.join(wide, "mini", "left_anti").unionByName(cut)
+        cut = window_firsts(strings.join(wide, "mini", "left_semi"))
+        strings = strings.join(wide, "mini", "left_anti")
     known = bucket_firsts(strings.repartition("mini").sortWithinPartitions("mini"))
+    if cut is not None:
+        known = known.unionByName(cut)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

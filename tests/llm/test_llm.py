@@ -91,6 +91,28 @@ def test_order_of_tokens_that_differ_in_low_bits_only():
     assert line_dedup.line_order(np.zeros(1, int), h[:1]).tolist() == [0]
 
 
+def test_wide_buckets_of_substrings(spark, monkeypatch):
+    """A passage in many documents with other neighbours: no bucket that a task holds is wider than the bound, and results stay."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_STRINGS", 5)
+    held, inner = [], substring_dedup.bucket_firsts
+    monkeypatch.setattr(substring_dedup, "bucket_firsts", lambda strings: held.append(strings.groupBy("mini").count().agg(F.max("count")).first()[0]) or inner(strings))
+    rng = random.Random(3)
+    other = lambda: [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 25))]
+    passage, small = [f"p{i}" for i in range(40)], [f"q{i}" for i in range(25)]
+    docs = [other() + (passage[k % 3 :] + passage[:30] if k % 4 == 0 else passage) + other() + (small if k < 3 else []) for k in range(40)]
+    seen, want = set(), {}
+    for d, words in enumerate(docs):
+        gone = set()
+        for i in range(len(words) - 19):
+            w = tuple(words[i : i + 20])
+            gone |= set(range(i, i + 20)) if w in seen else set()
+            seen.add(w)
+        want[d] = " ".join(x for i, x in enumerate(words) if i not in gone)
+    rows = substring_dedup.dedup_substrings(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == want
+    assert held and (held[0] or 0) <= 5
+
+
 def test_bpe_round_trip(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     t, own = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), bpe.WordBpe(bpe.load_vocabulary())
