@@ -38,7 +38,8 @@ CLOSES = {
 #: Words in a class, id or role that name furniture.
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|menus?|nav|navbar|navigation|newsletters?|notices?|pagers?|pagination|popups?|promos?|promotions?|related|remarks?|replies|respond|search|shar(?:e|ing)|sidebars?|social|sponsor(?:ed|s)?|subscribe|subscription|toolbars?|widgets?|masthead|complementary|contentinfo|modal|alert|legal)(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: An attribute's name and value. All attributes match, so that a name inside another's value isn't read as one.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<""", re.S)
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2

@@ -134,6 +134,15 @@ def test_extraction():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
 
 
+def test_attributes_are_read_by_name():
+    """What stands in another attribute's name or value neither hides an element nor makes it furniture."""
+    said = "A paragraph, with words, that stays where it is, and is long enough."
+    for a in ('style="overflow:hidden"', "title='hidden id=search'", "href=/hidden-x?id=search", 'data-id="comments"', 'data-role = "navigation"', "aria-hidden=false", 'href="?id=search"', "data-hidden", 'style="a" title="b hidden c"'):
+        assert html_extract.main_text(f"<article><p>{said}</p><div {a}><p>{said}</p></div></article>") == f"{said}\n{said}", a
+    for a in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "class=comments", "id = 'search'", 'style="x" role="navigation"', "data-x hidden", 'title="a"hidden'):
+        assert html_extract.main_text(f"<article><p>{said}</p><div {a}><p>{said}</p></div></article>") == said, a
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     words = url_filter.bloom(keys, 5000)
