@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 #: The word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch. Texts can be long, so a batch is kept well below Spark's default of 10,000.
-BATCH_ROWS = 1000
-#: Keys that are broadcast themselves (8 bytes each); for more, a Bloom filter is.
-FEW_KEYS = 200_000
+#: Bytes of one Arrow batch, beside Spark's limit of 10,000 rows. A longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
+#: Keys that are broadcast themselves; for more, a Bloom filter is.
+FEW_KEYS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A given table. Sets the session's batch size, which bounds what a task holds of any text column."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,9 +29,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that none of df's columns has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset, as in tests, a local one serves."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    """A new path below spark.checkpoint.dir. Only where that is unset and all tasks run on this machine, as in tests, a local one serves."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -41,6 +55,37 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables written on the way to a result. Each is deleted when it has been read for the last time, the rest at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[t for t, _ in self.written])
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes these tables, and lets the shuffle files of finished steps go, which Spark keeps until its driver collects garbage."""
+        jvm, left = self.spark._jvm, []
+        for t, path in self.written:
+            if any(t is x for x in tables):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            else:
+                left.append((t, path))
+        self.written = left
+        jvm.System.gc()
 
 
 class Hashes(dict):
@@ -65,7 +110,7 @@ def mixed(h):
 
 
 def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows whose key may be among keys, rows whose key isn't). keys: one column of longs.
+    """(rows whose key may be among keys, rows whose key isn't). keys: one column of longs. Few keys are broadcast, then a filter of bounded size.
 
     A blocked Bloom filter spares the second part the shuffle of the join that must follow for the first. With too many keys for
     a bounded filter, all rows are in the first part and the second is None. Rows without a key are in the second.

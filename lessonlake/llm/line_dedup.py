@@ -3,14 +3,18 @@
 A line's tokens are its distinct words, A-Z lower-cased. A line is removed if the input has an earlier one
 (smaller doc_id, or same document and smaller line number) with a Jaccard similarity of 0.8 or more.
 
-1. Token counts of all documents, summed in 2^18 hashed cells, give one total order by rarity.
+1. Token counts of all documents, summed in hashed cells (2^18, or as many as there are rows, up to 2^22), give one total
+   order by rarity.
 2. Lines of equal token sets form a class, whose first line stands for it; the others go at once. Repeats within a text
    are seen as it is read; only lines whose set other documents may have meet in a join.
-3. Similar sets share a token among their first n - ceil(0.8 n) + 1 by rarity. Lines meet there; length,
-   position and a 128-bit parity map of the tokens rule out pairs, all without loss.
-4. A line needs just one earlier match, so at most NEAREST candidates of a line and token go on to
-   verification on the words. Lines with more candidates and no match yet meet all their candidates in a
-   second join; so nothing is capped, and a group of copies makes no quadratic number of pairs.
+3. Similar sets share a token among their first n - ceil(0.8 n) + 1 by rarity, and two among one more. Lines meet at a
+   token; at one that more than GROUP_ROWS lines have there (a hot token), they meet at it and a second one. Length,
+   position and a 128-bit parity map of the tokens rule out pairs, all without loss. A pair of tokens that is hot again
+   (a form that many lines repeat) is dealt to several groups.
+4. A line needs just one earlier match, so at most NEAREST candidates of a line and group go on to verification on the
+   words. Lines with more candidates, or in a group that was dealt, and without a match yet meet all lines of their
+   tokens in a second join, where each goes to all parts of a dealt group; so nothing is capped, no task holds more than
+   GROUP_ROWS lines of a group, and a group of copies makes no quadratic number of pairs.
 
 Defined results: lines without words are kept and match nothing; null and empty texts have none; rows with
 a null doc_id are kept as they are; rows that share a doc_id are read as one document given twice, and
@@ -19,6 +23,7 @@ lose the same lines; an empty table gives an empty result. Other columns may hav
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import FEW_KEYS, Tables, fresh, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.url_filter import bloom, may_hold
 
-CELLS = 1 << 18
+#: Bits of the number of cells: at least, at most.
+CELL_BITS = (18, 22)
 NEAREST = 4
-#: Lines that may meet in one group of a token; more are dealt to several groups.
-GROUP_ROWS = 20_000
+#: Lines that may meet in one group.
+GROUP_ROWS = 10_000
 CHUNK_ROWS = 100_000
-LINES = "s1 long, s2 long, doc_id long, line int, again boolean, n int, bits long, bits2 long, prefix array<long>"
+LINES = "s1 long, s2 long, doc_id long, line int, again boolean, n int, bits long, bits2 long, cold int, prefix array<long>"
+CLASS = ("doc_id", "line", "n", "bits", "bits2", "cold", "prefix")
 RESULT = "doc_id long, n_lines long, n_removed long, removed array<int>"
+#: Tokens of n that a similar set must share one of, in order of rarity.
+PREFIX = "CAST(n - (4 * n + 4) div 5 + 1 AS INT)"
 
 
 def tokens(line: str) -> list[bytes]:
@@ -47,20 +57,22 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def token_counts(documents: DataFrame) -> np.ndarray:
-    """How many words fall in each cell, over all documents. Fixed size, whatever the input."""
+    """How many words fall in each cell, over all documents. At most 2^22 cells, whatever the input."""
+    low, high = CELL_BITS
+    cells = 1 << min(high, max(low, documents.count().bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(cells, np.int64)
         for b in batches:
-            words = "\n".join(x or "" for x in b.column(0).to_pylist()).encode("utf-8", "replace").lower().split()
-            h = word_hashes(words)
-            total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        cells = np.flatnonzero(total)
-        for i in range(0, len(cells), 50_000):
-            part = cells[i : i + 50_000]
+            words = Counter("\n".join(x or "" for x in b.column(0).to_pylist()).encode("utf-8", "replace").lower().split())
+            h = word_hashes(list(words))
+            total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), np.fromiter(words.values(), np.int64, len(words)), cells).astype(np.int64)
+        found = np.flatnonzero(total)
+        for i in range(0, len(found), 50_000):
+            part = found[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], ["cell", "n"])
 
-    out = np.zeros(CELLS, np.int64)
+    out = np.zeros(cells, np.int64)
     found = documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -78,10 +90,13 @@ def line_order(line: np.ndarray, h: np.ndarray) -> np.ndarray:
 def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     """LINES: for each line with a word, a hash of its set, whether its text has that set before, its size, parity map and rarest tokens.
 
-    A token is its word's hash with the cell replaced by the cell's rank in rarity, so its order is that of the join.
+    A token is its word's hash with the cell replaced by the cell's rank in rarity, so its order is that of the join. The first
+    cold ones of prefix are in no more than GROUP_ROWS lines; where others follow, prefix has one token more, if the line has it.
     """
-    rank = np.empty(CELLS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    width = len(counts).bit_length() - 1
+    rank = np.empty(len(counts), np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    hot_from = np.uint64(int((counts <= GROUP_ROWS).sum()))
     shared = documents.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +115,7 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             if not words:
                 continue
             h = word_hashes(words)
-            h = rank[(h & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(46) | h >> np.uint64(18)
+            h = rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - width) | h >> np.uint64(width)
             line = np.repeat(np.arange(len(sizes)), sizes)
             order = line_order(line, h)
             h, line = h[order], line[order]
@@ -117,12 +132,15 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             bit, low = np.uint64(1) << ((m >> np.uint64(57)) & np.uint64(63)), m >> np.uint64(63) == 0
             bits, bits2 = (np.bitwise_xor.reduceat(np.where(at, bit, np.uint64(0)), start) for at in (low, ~low))
             length = n - (4 * n + 4) // 5 + 1
+            hot = h >> np.uint64(64 - width) >= hot_from  # the tail of each line
+            cold = np.minimum(length, n - np.add.reduceat(hot, start, dtype=np.int64))
+            length = np.minimum(n, length + (cold < length))
             offsets = np.concatenate([[0], np.cumsum(length)])
             at = np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(again), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(bits2.view(np.int64)), prefix],
-                ["s1", "s2", "doc_id", "line", "again", "n", "bits", "bits2", "prefix"],
+                [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(again), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(bits2.view(np.int64)), pa.array(cold, pa.int32()), prefix],
+                ["s1", "s2", "doc_id", "line", "again", "n", "bits", "bits2", "cold", "prefix"],
             )
 
     return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, LINES)
@@ -131,7 +149,7 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
 def near_candidates(records: DataFrame) -> DataFrame:
     """records(key, place, bits, bits2, doc_id, line), sorted within partitions by key and line -> pairs of a line with at
     most NEAREST earlier ones of its key that pass the filters; more: there may be others. place: n, position and, in the
-    lowest bit, whether the token is dealt to several groups."""
+    lowest bit, whether the key is one part of a group."""
 
     def pairs(b: pa.RecordBatch, end: int) -> pa.RecordBatch:
         key, place = (b.column(c).to_numpy()[:end] for c in ("key", "place"))
@@ -163,7 +181,7 @@ def near_candidates(records: DataFrame) -> DataFrame:
             d += 1
             active = active[(rank[active] >= d) & (found[active] < NEAREST)]
         y, x = np.concatenate(ys or [np.zeros(0, int)]), np.concatenate(xs or [np.zeros(0, int)])
-        alone = np.flatnonzero(split & (found == 0))  # matches may be in another group of the same token
+        alone = np.flatnonzero(split & (found == 0))  # matches may be in another part of the group
         y, x = np.concatenate([y, alone]), np.concatenate([x, alone])
         more = (found[y] >= NEAREST) & (rank[y] > 1) | split[y]
         doc, line = b.column("doc_id").to_numpy(), b.column("line").to_numpy()
@@ -194,21 +212,41 @@ def near_candidates(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "y_doc long, y_line int, x_doc long, x_line int, more boolean")
 
 
+def line_keys(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+
+
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(y_doc, y_line, x_doc, x_line) -> the distinct (doc_id, line) of y with a similarity of 0.8 or more to its x."""
-    wanted = (
-        pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).union(pairs.select("x_doc", "x_line"))
-        .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # a document's lines at most
-    )
-    docs = only_keys(documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), "doc_id", wanted.select("doc_id"))
+    """pairs(y_doc, y_line, x_doc, x_line), a written table -> the distinct (doc_id, line) of y with a similarity of 0.8 or more to its x.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only lines that a Bloom filter of the pairs' lines holds leave their text; where that would be too large, all lines do.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(d, i, parts[i]) for d, text, lines in zip(*(c.to_pylist() for c in b.columns)) for parts in [(text or "").split("\n")] for i in lines if i < len(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "line", "text"])
+            h = [line_keys(b.column(d).to_numpy(), b.column(i).to_numpy()) for d, i in ((0, 1), (2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
 
-    lines = docs.join(wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(cut, "doc_id long, line int, text string")
-    lines = lines.groupBy("doc_id", "line").agg(F.min("text").alias("text"))
+    words = bloom(pairs.select("y_doc", "y_line", "x_doc", "x_line").mapInArrow(hashed, "h long"), 2 * pairs.count())
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for b in batches:
+            texts, docs = [x or "" for x in b.column("text").to_pylist()], b.column("doc_id").to_numpy()
+            n = np.array([x.count("\n") + 1 for x in texts], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(may_hold(words, line_keys(docs[row], line).view(np.int64))) if words is not None else np.arange(len(row))
+            row, line, out, last, parts = row[hit], line[hit], [], -1, []
+            for r, i in zip(row.tolist(), line.tolist()):
+                if r != last:
+                    last, parts = r, texts[r].split("\n")
+                out.append(parts[i])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[row]), pa.array(line, pa.int32()), pa.array(out, pa.string())], ["doc_id", "line", "text"])
+
+    lines = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(cut, "doc_id long, line int, text string")
+    lines = lines.groupBy("doc_id", "line").agg(F.min("text").alias("text"))  # of documents given twice
 
     def side(name: str) -> DataFrame:
         return lines.select(F.col("doc_id").alias(f"{name}_doc"), F.col("line").alias(f"{name}_line"), F.col("text").alias(f"{name}_text"))
@@ -226,54 +264,81 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"), "x_text", "y_text").mapInArrow(compare, "doc_id long, line int").distinct()
 
 
-def repeated_lines(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> the (doc_id, line) of lines that repeat an earlier one, each once."""
-    counts = token_counts(documents)
-    lines = materialise(line_sets(documents, counts))
-    apart = lines.where("NOT again").drop("again")
-    firsts = materialise(apart.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    may, rest = split_by_keys(apart, "s1", firsts.select("s1"))
-    named, fields = may.join(firsts, ["s1", "s2"], "left"), ("doc_id", "line", "n", "bits", "bits2", "prefix")
-    classes = named.where("first IS NULL OR doc_id = first").select(*fields)
-    classes = materialise(classes if rest is None else classes.union(rest.select(*fields)))
-    copies = lines.where("again").select("doc_id", "line").union(named.where("doc_id <> first").select("doc_id", "line"))
-
-    cell = F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    # at most one row a GROUP_ROWS records, and no more than there are cells
-    parts = materialise(
-        classes.select(F.explode("prefix").alias("token")).groupBy(cell.alias("cell")).count().where(F.col("count") > GROUP_ROWS)
-        .select("cell", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts"))
-    )
+class Groups:
+    """Where lines meet: at a token, at two where that is hot, in one of the parts where these are hot again."""
+
+    def __init__(self, classes: DataFrame, tables: Tables):
+        hot = classes.where(f"cold < {PREFIX}").select(F.explode(F.expr(f"slice(prefix, cold + 1, {PREFIX} - cold)")).alias("token"))
+        self.hot = tables.write(hot.groupBy("token").count().where(F.col("count") > GROUP_ROWS).select("token"))
+        self.n_hot, self.n_parts = self.hot.count(), 0
+        if self.n_hot:
+            self.parts = tables.write(self._pairs(classes).groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts")))
+            self.n_parts = self.parts.count()
+
+    @staticmethod
+    def _small(table: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(table) if n <= FEW_KEYS else table
+
+    def _pairs(self, lines: DataFrame) -> DataFrame:
+        """The rows of lines at hot tokens, one for each later token of their prefix, with the key of both."""
+        at = lines.where(f"cold < {PREFIX}").select("*", F.explode(F.expr(f"sequence(cold, {PREFIX} - 1)")).alias("pos")).withColumn("token", F.get("prefix", F.col("pos")))
+        at = at.join(self._small(self.hot, self.n_hot), "token", "left_semi")
+        return at.select("*", F.explode(F.expr("slice(prefix, pos + 2, size(prefix))")).alias("second")).select(*lines.columns, "pos", F.xxhash64("token", "second").alias("key"))
+
+    def records(self, lines: DataFrame, everywhere: bool = False) -> DataFrame:
+        """lines, with a row a key: key, pos, split. A line is in one part of a split group, or in all of them."""
+        single = lines.select("*", F.posexplode(F.expr(f"slice(prefix, 1, {PREFIX})")).alias("pos", "token"))
+        if not self.n_hot:
+            return single.withColumnRenamed("token", "key").withColumn("split", F.lit(False))
+        # a row that can't be at a hot token has no part in the join
+        maybe = single.where("pos >= cold").join(self._small(self.hot, self.n_hot), "token", "left_anti")
+        out = single.where("pos < cold").unionByName(maybe).select(*lines.columns, "pos", F.col("token").alias("key"))
+        pairs = self._pairs(lines)
+        if not self.n_parts:
+            return out.unionByName(pairs).withColumn("split", F.lit(False))
+        pairs = pairs.join(self._small(self.parts, self.n_parts), "key", "left")
+        part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if everywhere else F.pmod(F.xxhash64("doc_id", "line"), F.col("parts"))
+        dealt = pairs.where("parts IS NOT NULL").select(*lines.columns, "pos", "key", part.alias("part")).select(*lines.columns, "pos", F.xxhash64("key", F.col("part").cast("long")).alias("key"), F.lit(True).alias("split"))
+        return out.unionByName(pairs.where("parts IS NULL").drop("parts")).withColumn("split", F.lit(False)).unionByName(dealt)
 
-    def exploded(c: DataFrame, *more: str) -> DataFrame:
-        return c.select("doc_id", "line", "n", "bits", "bits2", *more, F.posexplode("prefix").alias("pos", "token"))
 
-    records = (
-        exploded(classes).withColumn("cell", cell).join(F.broadcast(parts), "cell", "left")
-        .select(
-            F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")))).alias("key"),
-            F.expr("shiftleft(CAST(n AS BIGINT), 32) + 2 * pos + CAST(parts IS NOT NULL AS INT)").alias("place"), "bits", "bits2", "doc_id", "line",
-        )
-    )
-    dealt = records.repartition("key").sortWithinPartitions("key", "doc_id", "line")
-    found = materialise(near_candidates(dealt).groupBy("y_doc", "y_line", "x_doc", "x_line").agg(F.max("more").alias("more")))
-    near = materialise(verified(documents, found.where("y_doc <> x_doc OR y_line <> x_line").drop("more")))
-    open_ = materialise(found.where("more").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(near, ["doc_id", "line"], "left_anti"))
-    if not open_.isEmpty():
-        at = F.xxhash64("doc_id", "line").alias("at")
-        asking = only_keys(classes.select("*", at), "at", open_.select(at)).join(open_, ["doc_id", "line"], "left_semi")
-        probe = exploded(asking, "prefix").select("token", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "bits2", "prefix")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line"))
-        least = F.expr("(4 * (n + y_n) + 8) div 9")
-        probe = materialise(probe)
-        # both prefixes are in the one order of tokens, so a pair meets once: at the first token that they share
-        first_shared = F.get(F.array_intersect("prefix", "y_prefix"), F.lit(0)) == F.col("token")
-        rest = only_keys(exploded(classes, "prefix"), "token", probe.select("token")).join(probe, "token").where(
-            (F.struct("doc_id", "line") < F.struct("y_doc", "y_line"))
-            & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
-            & (F.expr("9 * (bit_count(bits ^ y_bits) + bit_count(bits2 ^ y_bits2)) <= n + y_n")) & first_shared
-        ).select("y_doc", "y_line", F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line")).distinct()
-        near = near.union(verified(documents, materialise(rest)))
-    return copies.union(near).distinct()
+def repeated_lines(documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text) -> the (doc_id, line) of lines that repeat an earlier one, each once; a written table."""
+    with Tables(documents.sparkSession) as tables:
+        write, drop = tables.write, tables.drop
+        lines = write(line_sets(documents, token_counts(documents)))
+        apart = lines.where("NOT again").drop("again")
+        firsts = write(apart.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
+        may, rest = split_by_keys(apart, "s1", firsts.select("s1"))
+        named = may.join(firsts, ["s1", "s2"], "left")
+        classes = named.where("first IS NULL OR doc_id = first").select(*CLASS)
+        classes = write(classes if rest is None else classes.union(rest.select(*CLASS)))
+        copies = write(lines.where("again").select("doc_id", "line").union(named.where("doc_id <> first").select("doc_id", "line")))
+        drop(lines, firsts)
+
+        groups = Groups(classes, tables)
+        place = F.expr("shiftleft(CAST(n AS BIGINT), 32) + 2 * pos + CAST(split AS INT)").alias("place")
+        dealt = groups.records(classes).select("key", place, "bits", "bits2", "doc_id", "line").repartition("key").sortWithinPartitions("key", "doc_id", "line")
+        found = write(near_candidates(dealt).groupBy("y_doc", "y_line", "x_doc", "x_line").agg(F.max("more").alias("more")))
+        drop()
+        met = write(found.where("y_doc <> x_doc OR y_line <> x_line").drop("more"))
+        near = write(verified(documents, met))
+        drop(met)
+        open_ = write(found.where("more").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(near, ["doc_id", "line"], "left_anti"))
+        drop(found)
+        if not open_.isEmpty():
+            at = F.xxhash64("doc_id", "line").alias("at")
+            asking = only_keys(classes.select("*", at), "at", open_.select(at)).join(open_, ["doc_id", "line"], "left_semi").select(*CLASS)
+            ask = groups.records(asking, everywhere=True)
+            ask = write(ask.select("key", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "bits2")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")))
+            least = F.expr("(4 * (n + y_n) + 8) div 9")
+            rest = only_keys(groups.records(classes).select("key", "n", "pos", "bits", "bits2", "doc_id", "line"), "key", ask.select("key")).join(ask, "key").where(
+                (F.struct("doc_id", "line") < F.struct("y_doc", "y_line"))
+                & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
+                & F.expr("9 * (bit_count(bits ^ y_bits) + bit_count(bits2 ^ y_bits2)) <= n + y_n")
+            ).select("y_doc", "y_line", F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line")).distinct()
+            near = near.union(verified(documents, write(rest)))
+        return materialise(copies.union(near).distinct())
 
 
 def dedup_report(documents: DataFrame) -> DataFrame:
@@ -288,12 +353,13 @@ def dedup_report(documents: DataFrame) -> DataFrame:
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents, all columns, without repeated lines. A document that loses its last line with a word goes."""
-    gone = materialise(repeated_lines(documents).groupBy("doc_id").agg(F.collect_list("line").alias("_removed")).withColumnRenamed("doc_id", "_doc"))
-    key = F.col("doc_id").cast("long")
+    doc, removed = fresh(documents, "doc"), fresh(documents, "removed")
+    gone = repeated_lines(documents).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line").alias(removed))
+    names = documents.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, lost = b.schema.get_field_index("text"), b.column("_removed").to_pylist()
+            at, lost = names.index("text"), b.column(b.num_columns - 1).to_pylist()
             texts, keep = [], []
             for text, lines in zip(b.column(at).to_pylist(), lost):
                 if lines:
@@ -301,9 +367,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
                 texts.append(text)
                 keep.append(not lines or bool(tokens(text)))
-            cols = b.columns
+            cols = b.columns[:-1]
             cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    joined = documents.join(gone, key == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(cut, joined.schema).select(*documents.columns)
+    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
+    return joined.mapInArrow(cut, documents.schema)

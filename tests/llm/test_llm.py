@@ -72,6 +72,26 @@ def test_lines_against_brute_force(spark):
     assert {r.doc_id: r.removed for r in rows} == want and any(want.values())
 
 
+@pytest.mark.parametrize("limits", [(3, 18), (1, 4)])
+def test_lines_at_hot_tokens(spark, monkeypatch, limits):
+    """Every token, pair of tokens and cell over its bound: nothing is lost."""
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", limits[0])
+    monkeypatch.setattr(line_dedup, "CELL_BITS", (limits[1], limits[1]))
+    rng = random.Random(7)
+    form = [f"f{i}" for i in range(18)]
+    docs = texts(5, 80) + [" ".join(rng.sample(form, len(form)) + [f"g{rng.randrange(6)}" for _ in range(rng.randrange(5))]) for _ in range(60)] + ["a", "b a", "a b c d", "a b c d e", "a b c d e f"] * 2
+    seen, want = [], {}
+    for i, t in enumerate(docs):
+        want[i] = []
+        for j, line in enumerate(t.split("\n")):
+            s = set(line.split())
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want[i].append(j)
+            seen.append(s)
+    rows = line_dedup.dedup_report(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in rows} == want and any(want.values())
+
+
 def test_line_candidates_beyond_the_nearest(spark):
     """A line whose nearest candidates all fail must still meet the rest."""
     base = [f"t{i}" for i in range(20)]
