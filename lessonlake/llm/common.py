@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 #: The word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch, beside Spark's limit of 10,000 rows. A longer text is a batch of its own.
@@ -109,6 +115,101 @@ def mixed(h):
     return h ^ (h >> np.uint64(31))
 
 
+def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, a long -> batches of about so many rows that hold whole groups of it.
+
+    A group of more than twice as many rows comes in pieces, each with the last two rows of the piece before it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t.to_batches(max_chunksize=max(1, t.num_rows))[0]
+
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # where the last group begins in this batch
+        goes_on = not cut and bool(held) and held[-1].column(0)[-1].as_py() == key[-1]
+        if n + cut >= rows and not goes_on and n + cut:
+            held.append(b.slice(0, cut))
+            yield joined()
+            held, n, b = [], 0, b.slice(cut)
+        held.append(b)
+        n += b.num_rows
+        if n >= 2 * rows and held[0].column(0)[0].as_py() == key[-1]:
+            whole = joined()
+            yield whole
+            held, n = [whole.slice(whole.num_rows - 2)], 2
+    if held:
+        yield joined()
+
+
+class WordHashes:
+    """64-bit hashes of all words of a byte string, by array operations: the sum of a random number a byte times a power of an
+    odd number, which is taken from running sums, and then mixed. fold: A-Z count as a-z.
+
+    The byte END, which no UTF-8 text has, ends a text. Long strings are taken in pieces, so memory is bounded but for one word.
+    """
+
+    END = b"\xff"
+    PIECE = 1 << 21
+
+    def __init__(self, fold: bool):
+        import numpy as np
+
+        self.value = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64)
+        if fold:
+            self.value[65:91] = self.value[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32, 255]] = True
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        import numpy as np
+
+        def powers(k: int) -> np.ndarray:
+            factors = np.full(n, k, np.uint64)
+            factors[0] = 1
+            return np.multiply.accumulate(factors)
+
+        base = 0x9E3779B97F4A7C15
+        self.power, self.inverse = powers(base), powers(pow(base, -1, 1 << 64))
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place of the first byte) of each word."""
+        import numpy as np
+
+        b = np.frombuffer(data, np.uint8)
+        out, at = [], 0
+        while at < len(b):
+            end = at + self.PIECE
+            while end < len(b) and not self.space[b[end]]:
+                rest = np.flatnonzero(self.space[b[end : end + self.PIECE]])
+                end += int(rest[0]) if len(rest) else self.PIECE
+            out.append(self._piece(b[at:end], at))
+            at = end
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return tuple(map(np.concatenate, zip(*out)))
+
+    def _piece(self, b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        import numpy as np
+
+        if len(b) >= len(self.power):
+            self._powers(2 * len(b))
+        edge = np.diff(self.space[b].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+        start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.value[b] * self.power[: len(b)], out=total[1:])
+        return mixed((total[end] - total[start]) * self.inverse[start]), start + at
+
+
 def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(rows whose key may be among keys, rows whose key isn't). keys: one column of longs. Few keys are broadcast, then a filter of bounded size.
 

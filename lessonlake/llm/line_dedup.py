@@ -23,16 +23,14 @@ lose the same lines; an empty table gives an empty result. Other columns may hav
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import FEW_KEYS, Tables, fresh, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import FEW_KEYS, Tables, WordHashes, fresh, groups, materialise, mixed, only_keys, split_by_keys
 from lessonlake.llm.url_filter import bloom, may_hold
 
 #: Bits of the number of cells: at least, at most.
@@ -52,8 +50,9 @@ def tokens(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def joined_texts(column: pa.Array) -> bytes:
+    """The texts as bytes, each with the end mark behind it."""
+    return WordHashes.END.join([x or b"" for x in column.cast(pa.binary()).to_pylist()]) + WordHashes.END
 
 
 def token_counts(documents: DataFrame) -> np.ndarray:
@@ -62,11 +61,10 @@ def token_counts(documents: DataFrame) -> np.ndarray:
     cells = 1 << min(high, max(low, documents.count().bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, hashes = np.zeros(cells, np.int64), WordHashes(fold=True)
         for b in batches:
-            words = Counter("\n".join(x or "" for x in b.column(0).to_pylist()).encode("utf-8", "replace").lower().split())
-            h = word_hashes(list(words))
-            total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), np.fromiter(words.values(), np.int64, len(words)), cells).astype(np.int64)
+            h, _ = hashes(joined_texts(b.column(0)))
+            total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         found = np.flatnonzero(total)
         for i in range(0, len(found), 50_000):
             part = found[i : i + 50_000]
@@ -100,21 +98,23 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
+        rank, hashes = shared.value, WordHashes(fold=True)
         for b in batches:
-            words: list[bytes] = []
-            sizes, docs, numbers, rows = [], [], [], []
-            for row, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
-                for i, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
-                    if w := line.split():
-                        words += w
-                        sizes.append(len(w))
-                        docs.append(doc)
-                        numbers.append(i)
-                        rows.append(row)
-            if not words:
+            data = joined_texts(b.column("text"))
+            h, place = hashes(data)
+            if not len(h):
                 continue
-            h = word_hashes(words)
+            # the words' lines, counted over the batch, then only those with a word
+            buffer = np.frombuffer(data, np.uint8)
+            texts = np.flatnonzero(buffer == 255)
+            breaks = np.flatnonzero((buffer == 10) | (buffer == 255))
+            line = np.searchsorted(breaks, place)
+            new = np.flatnonzero(np.diff(line, prepend=-1))
+            rows = np.searchsorted(texts, place[new])
+            before = np.concatenate([[0], np.searchsorted(breaks, texts)[:-1] + 1])  # lines of the texts before
+            numbers = line[new] - before[rows]
+            docs = b.column("doc_id").to_numpy()[rows]
+            sizes = np.diff(np.append(new, len(h)))
             h = rank[(h & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - width) | h >> np.uint64(width)
             line = np.repeat(np.arange(len(sizes)), sizes)
             order = line_order(line, h)
@@ -126,7 +126,7 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             n = np.diff(np.append(start, len(h)))
             m = mixed(h)
             s1, s2 = np.add.reduceat(m, start), np.add.reduceat(mixed(m + np.uint64(1)), start)
-            at, text = np.lexsort((s2, s1, rows)), np.array(rows)
+            at, text = np.lexsort((s2, s1, rows)), rows
             again = np.zeros(len(at), bool)
             again[at[1:]] = (s1[at[1:]] == s1[at[:-1]]) & (s2[at[1:]] == s2[at[:-1]]) & (text[at[1:]] == text[at[:-1]])
             bit, low = np.uint64(1) << ((m >> np.uint64(57)) & np.uint64(63)), m >> np.uint64(63) == 0
@@ -151,10 +151,11 @@ def near_candidates(records: DataFrame) -> DataFrame:
     most NEAREST earlier ones of its key that pass the filters; more: there may be others. place: n, position and, in the
     lowest bit, whether the key is one part of a group."""
 
-    def pairs(b: pa.RecordBatch, end: int) -> pa.RecordBatch:
-        key, place = (b.column(c).to_numpy()[:end] for c in ("key", "place"))
+    def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
+        key, place = (b.column(c).to_numpy() for c in ("key", "place"))
+        end = len(key)
         n, pos, split = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
-        bits, bits2 = (b.column(c).to_numpy()[:end].view(np.uint64) for c in ("bits", "bits2"))
+        bits, bits2 = (b.column(c).to_numpy().view(np.uint64) for c in ("bits", "bits2"))
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return (n5[i] >= n4[j]) & (n5[j] >= n4[i])
@@ -188,26 +189,7 @@ def near_candidates(records: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(line[y]), pa.array(doc[x]), pa.array(line[x]), pa.array(more)], ["y_doc", "y_line", "x_doc", "x_line", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def joined() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            return t.to_batches(max_chunksize=max(1, t.num_rows))[0]
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if sum(x.num_rows for x in held) >= CHUNK_ROWS:
-                b = joined()
-                key = b.column("key").to_numpy()
-                end = int(np.searchsorted(key, key[-1]))
-                held[:] = [b.slice(end)]
-                if end:
-                    yield pairs(b, end)
-        if held:
-            b = joined()
-            yield pairs(b, b.num_rows)
+        return map(pairs, groups(batches, CHUNK_ROWS))
 
     return records.mapInArrow(run, "y_doc long, y_line int, x_doc long, x_line int, more boolean")
 
@@ -316,9 +298,9 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         copies = write(lines.where("again").select("doc_id", "line").union(named.where("doc_id <> first").select("doc_id", "line")))
         drop(lines, firsts)
 
-        groups = Groups(classes, tables)
+        meeting = Groups(classes, tables)
         place = F.expr("shiftleft(CAST(n AS BIGINT), 32) + 2 * pos + CAST(split AS INT)").alias("place")
-        dealt = groups.records(classes).select("key", place, "bits", "bits2", "doc_id", "line").repartition("key").sortWithinPartitions("key", "doc_id", "line")
+        dealt = meeting.records(classes).select("key", place, "bits", "bits2", "doc_id", "line").repartition("key").sortWithinPartitions("key", "doc_id", "line")
         found = write(near_candidates(dealt).groupBy("y_doc", "y_line", "x_doc", "x_line").agg(F.max("more").alias("more")))
         drop()
         met = write(found.where("y_doc <> x_doc OR y_line <> x_line").drop("more"))
@@ -329,10 +311,10 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         if not open_.isEmpty():
             at = F.xxhash64("doc_id", "line").alias("at")
             asking = only_keys(classes.select("*", at), "at", open_.select(at)).join(open_, ["doc_id", "line"], "left_semi").select(*CLASS)
-            ask = groups.records(asking, everywhere=True)
+            ask = meeting.records(asking, everywhere=True)
             ask = write(ask.select("key", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "bits", "bits2")], F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")))
             least = F.expr("(4 * (n + y_n) + 8) div 9")
-            rest = only_keys(groups.records(classes).select("key", "n", "pos", "bits", "bits2", "doc_id", "line"), "key", ask.select("key")).join(ask, "key").where(
+            rest = only_keys(meeting.records(classes).select("key", "n", "pos", "bits", "bits2", "doc_id", "line"), "key", ask.select("key")).join(ask, "key").where(
                 (F.struct("doc_id", "line") < F.struct("y_doc", "y_line"))
                 & (5 * F.least("n", "y_n") >= 4 * F.greatest("n", "y_n")) & (F.least(F.expr("n - pos"), F.expr("y_n - y_pos")) >= least)
                 & F.expr("9 * (bit_count(bits ^ y_bits) + bit_count(bits2 ^ y_bits2)) <= n + y_n")
