@@ -6,7 +6,7 @@ signature is the least pi[(sigma + k) mod 2^20], so two permutations give all co
 40 bands of 6 coordinates are candidates' keys: a pair at 0.8 is missed with a chance of 5e-6, a better one with less.
 
 Equal sets form a class, stood for by its smallest doc_id. In each bucket a class is first paired with its NEAREST earlier ones of
-fitting size; pairs are verified on the words of both texts, and verified links joined to components. Buckets that then still
+fitting size (at most LOOK_BACK rows before it); pairs are verified on the words of both texts, and verified links joined to components. Buckets that then still
 hold several components have all pairs across components verified, but for those that a 1024-bit parity map of the shingles
 rules out: the maps of two sets differ in no more bits than the sets differ in shingles. So no link between different components
 is lost, and a bucket of thousands of copies makes a number of pairs in proportion to its size.
@@ -24,16 +24,20 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import Hashes, materialise, mixed, only_keys
+from lessonlake.llm.common import FEW_KEYS, Hashes, Tables, fresh, groups, materialise, mixed, only_keys
 from lessonlake.llm.components import components
 
 PLACES = 1 << 20
 BANDS, ROWS = 40, 6
 NEAREST = 2
+#: How far back the nearest are looked for.
+LOOK_BACK = 256
 CHUNK_ROWS = 100_000
+#: Rows of a bucket and size class that one task joins with the others.
+PART_ROWS = 2000
 SEED = 5
 PARITY_BITS = 1024
 SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, parity array<long>"
@@ -101,13 +105,14 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     """rows(key, n, doc_id), sorted within partitions by key and doc_id -> (a, b, key, more): each row with at most NEAREST
     earlier ones of its key whose sizes allow a similarity of 0.8; more: the bucket has pairs that aren't among these."""
 
-    def pairs(b: pa.RecordBatch, end: int) -> pa.RecordBatch:
-        key, n, doc = (b.column(c).to_numpy()[:end] for c in ("key", "n", "doc_id"))
+    def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
+        key, n, doc = (b.column(c).to_numpy() for c in ("key", "n", "doc_id"))
+        end = len(key)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         rank = np.arange(end) - np.repeat(start, np.diff(np.append(start, end)))
         found = np.zeros(end, np.int64)
         ys, xs, d, active = [np.zeros(0, int)], [np.zeros(0, int)], 1, np.flatnonzero(rank >= 1)
-        while len(active):
+        while len(active) and d <= LOOK_BACK:
             x = active - d
             ok = 5 * np.minimum(n[x], n[active]) >= 4 * np.maximum(n[x], n[active])
             ys.append(active[ok])
@@ -115,39 +120,44 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
             found[active[ok]] += 1
             d += 1
             active = active[(rank[active] >= d) & (found[active] < NEAREST)]
-        y, x = np.concatenate(ys), np.concatenate(xs)
-        return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[y]), pa.array(key[y]), pa.array(rank[y] > NEAREST)], ["a", "b", "key", "more"])
+        # a row alone says that its bucket has more
+        y, x = np.concatenate([*ys, active]), np.concatenate([*xs, active])
+        return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[y]), pa.array(key[y]), pa.array((rank[y] > NEAREST) | (x == y))], ["a", "b", "key", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        return map(pairs, groups(batches, CHUNK_ROWS))
 
-        def joined() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            return t.to_batches(max_chunksize=max(1, t.num_rows))[0]
+    return rows.select("key", "n", "doc_id").mapInArrow(run, "a long, b long, key long, more boolean")
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if sum(x.num_rows for x in held) >= CHUNK_ROWS:
-                b = joined()
-                key = b.column("key").to_numpy()
-                end = int(np.searchsorted(key, key[-1]))
-                held[:] = [b.slice(end)]
-                if end:
-                    yield pairs(b, end)
-        if held:
-            b = joined()
-            yield pairs(b, b.num_rows)
-
-    return rows.mapInArrow(run, "a long, b long, key long, more boolean")
-
-
-def verified(documents: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+
+def across(named: DataFrame, tables: Tables) -> DataFrame:
+    """named(key, doc_id, n, root, parity): rows of buckets -> the pairs (a, b) of a bucket in different components that sizes and
+    parity maps allow.
+
+    A row meets those of its own and the two neighbouring size classes (powers of 1.25). Where more than PART_ROWS rows are in a class,
+    one side is dealt to parts and the other goes to each of them.
+    """
+    size_class = F.floor(F.log(F.lit(1.25), F.col("n"))).cast("int")
+    left = named.withColumn("c", size_class)
+    wide = tables.write(left.groupBy("key", "c").count().where(F.col("count") > PART_ROWS).select("key", "c", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts")))
+    small = wide.count() <= FEW_KEYS
+
+    def in_parts(rows: DataFrame, part: Column) -> DataFrame:
+        return rows.join(F.broadcast(wide) if small else wide, ["key", "c"], "left").withColumn("part", part).drop("parts")
+
+    a = in_parts(left, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"))
+    b = named.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("parity").alias("pb"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.log(F.lit(1.25), F.col("n"))).cast("int") + d)).alias("c"))
+    b = in_parts(b, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    apart = reduce(add, [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY_BITS // 64)])
+    fit = (F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb")) & (9 * apart <= F.col("n") + F.col("nb"))
+    return a.join(b, ["key", "c", "part"]).where(fit).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def verified(documents: DataFrame, pairs: DataFrame, shingle: int, tables: Tables) -> DataFrame:
     """The pairs (a, b) whose texts have 100 * intersection >= 80 * union, on the shingles' words."""
     wanted = pairs.select(F.col("a").alias("_doc")).union(pairs.select("b")).distinct()
     docs = only_keys(documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), "doc_id", wanted)
-    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("_doc")).groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = tables.write(docs.join(wanted, F.col("doc_id") == F.col("_doc")).groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def grams(text: str) -> set:
         words = text.encode("utf-8", "replace").lower().split()
@@ -175,43 +185,42 @@ def verified(documents: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """documents(doc_id, text) -> RESULT: a row for each row of documents."""
-    sets = materialise(document_sets(documents, shingle))
-    used = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = used.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "parity"), "doc_id").alias("c")).select("c.*")
-    buckets = classes.select("doc_id", "n", F.explode("bands").alias("key"))
-    found = materialise(bucket_pairs(buckets.repartition("key").sortWithinPartitions("key", "doc_id")))
-    links = materialise(verified(documents, found.select("a", "b").distinct(), shingle))
-    roots = components(links)
-    wide = found.where("more").select("key").distinct()
-    if not wide.isEmpty():
-        named = materialise(
-            buckets.join(wide, "key").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .join(classes.select("doc_id", "parity"), "doc_id").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), "parity")
+    with Tables(documents.sparkSession) as tables:
+        write, drop = tables.write, tables.drop
+        sets = write(document_sets(documents, shingle))
+        used = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = used.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "parity"), "doc_id").alias("c")).select("c.*")
+        buckets = classes.select("doc_id", "n", F.explode("bands").alias("key"))
+        found = write(bucket_pairs(buckets.repartition("key").sortWithinPartitions("key", "doc_id")))
+        met = write(found.where("a <> b").select("a", "b").distinct())
+        links = write(verified(documents, met, shingle, tables))
+        roots = components(links)
+        wide = write(found.where("more").select("key").distinct())
+        drop(found)
+        if not wide.isEmpty():
+            named = write(
+                only_keys(buckets, "key", wide).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                .join(classes.select("doc_id", "parity"), "doc_id").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), "parity")
+            )
+            several = write(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
+            more = write(across(only_keys(named, "key", several), tables).join(met, ["a", "b"], "left_anti"))
+            drop(named)
+            if not more.isEmpty():
+                roots = components(links.union(verified(documents, more, shingle, tables)))
+        members = used.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+        named = (
+            used.select("doc_id", "s1", "s2").distinct().join(members, ["s1", "s2"])
+            .join(roots.withColumnRenamed("node", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("component_id"))
         )
-        mixed_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        left = named.join(mixed_keys, "key", "left_semi")
-        right = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("parity").alias("pb"))
-        apart = reduce(add, [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY_BITS // 64)])
-        across = (
-            left.join(right, "key").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb")) & (9 * apart <= F.col("n") + F.col("nb")))
-            .select(F.col("doc_id").alias("a"), "b").distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        return materialise(
+            sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            .select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
         )
-        across = materialise(across)
-        if not across.isEmpty():
-            roots = components(links.union(verified(documents, across, shingle)))
-    members = used.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
-    named = (
-        used.select("doc_id", "s1", "s2").distinct().join(members, ["s1", "s2"])
-        .join(roots.withColumnRenamed("node", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("component_id"))
-    )
-    return (
-        sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    )
 
 
 def dedup_documents(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, all columns, of which one stays for each group of near copies: the one of smallest doc_id."""
-    gone = materialise(near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(documents, "gone")
+    lost = near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(lost, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
