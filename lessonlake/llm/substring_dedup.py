@@ -9,8 +9,8 @@ same one form a super-k-mer. Equal windows have equal minimisers, so
 3. the firsts go back to all occurrences: a window that isn't its first start covers its words, which are removed.
 
 Documents of equal words are found first by a 128-bit hash; all but the smallest doc_id are copies from end to end.
-A bucket with more than BUCKET_STRINGS distinct strings is split: its strings are cut to single windows, whose first starts are
-aggregated before they travel and joined back.
+A super-k-mer of more than RUN windows is cut between two of them. A bucket with more than BUCKET_WINDOWS windows in its distinct
+strings is split: its strings are cut to single windows, whose first starts are aggregated before they travel and joined back.
 
 Defined results: null and empty texts have no words; texts of under 20 words keep all; rows with a null doc_id keep all;
 rows that share a doc_id are read as one document given twice; an empty table gives an empty result. Other columns may have any name.
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import Hashes, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import Hashes, Tables, materialise, mixed, only_keys, split_by_keys
 
 WINDOW = 20
 GRAM = 5
-BUCKET_STRINGS = 20_000
+RUN = 1024
+BUCKET_WINDOWS = 20_000
 SKETCH = "doc_id long, t1 long, t2 long, n_words long, minis array<long>, twice array<boolean>"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -64,6 +65,8 @@ def super_kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = g[place]
     new = np.concatenate([[True], value[1:] != value[:-1]])
     start = np.flatnonzero(new)
+    pieces = -(-np.diff(np.append(start, n)) // RUN)
+    start = np.repeat(start, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     moved = np.concatenate([[False], place[1:] != place[:-1]]) & ~new
     return value[start], start, np.logical_or.reduceat(moved, start)
 
@@ -92,12 +95,12 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def travelling(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen(doc_id, ks) -> the packed strings of these super-k-mers: mini, p1, p2 (a hash of the string), doc_id, start, packed."""
+    """chosen(doc_id, ks) -> the packed strings of these super-k-mers: mini, p1, p2 (a hash of the string), doc_id, start, n (windows), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            mini, p, docs, starts, packed = [], [], [], [], []
+            mini, p, docs, starts, sizes, packed = [], [], [], [], [], []
             for doc, text, ks in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
                 low, at, _ = super_kmers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
@@ -111,15 +114,16 @@ def travelling(documents: DataFrame, chosen: DataFrame) -> DataFrame:
                     p.append(hashlib.blake2b(s, digest_size=16).digest())
                     docs.append(doc)
                     starts.append(at[k])
+                    sizes.append(ends[k] - at[k])
                     packed.append(s)
             pair = np.frombuffer(b"".join(p), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mini, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(packed, pa.binary())],
-                ["mini", "p1", "p2", "doc_id", "start", "packed"],
+                [pa.array(mini, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
+                ["mini", "p1", "p2", "doc_id", "start", "n", "packed"],
             )
 
     docs = only_keys(documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), "doc_id", chosen.select("doc_id"))
-    return docs.join(chosen, "doc_id").select("doc_id", "text", "ks").mapInArrow(run, "mini long, p1 long, p2 long, doc_id long, start int, packed binary")
+    return docs.join(chosen, "doc_id").select("doc_id", "text", "ks").mapInArrow(run, "mini long, p1 long, p2 long, doc_id long, start int, n int, packed binary")
 
 
 def bucket_firsts(strings: DataFrame) -> DataFrame:
@@ -178,15 +182,20 @@ def bucket_firsts(strings: DataFrame) -> DataFrame:
 def single_windows(strings: DataFrame) -> DataFrame:
     """Each string cut to its windows: w (the words), p1, p2, off, doc_id, start."""
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["w", "p1", "p2", "off", "doc_id", "start"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for b in batches:
-            out = []
             for p1, p2, doc, start, packed in zip(*(b.column(c).to_pylist() for c in ("p1", "p2", "doc_id", "start", "packed"))):
                 words = packed.split(b" ")
-                for i in range(len(words) - WINDOW + 1):
-                    out.append((b" ".join(words[i : i + WINDOW]), p1, p2, i, doc, start + i))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["w", "p1", "p2", "off", "doc_id", "start"])
+                out += [(b" ".join(words[i : i + WINDOW]), p1, p2, i, doc, start + i) for i in range(len(words) - WINDOW + 1)]
+                if len(out) >= 5000:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
 
     return strings.mapInArrow(run, "w binary, p1 long, p2 long, off int, doc_id long, start int")
 
@@ -201,31 +210,6 @@ def window_firsts(strings: DataFrame) -> DataFrame:
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, spans): for each document that loses words, their [first, end) ranges, which
     may overlap; a whole copy has the one range [0, -1)."""
-    sketch = materialise(sketches(documents))
-    texts = sketch.where(f"n_words >= {WINDOW}")
-    firsts = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
-    copies = texts.select("doc_id", "t1", "t2").join(firsts, ["t1", "t2"]).where("doc_id <> first").select("doc_id").distinct()
-    copies = materialise(copies)
-    own = (
-        texts.select("doc_id", F.arrays_zip("minis", "twice").alias("x")).join(copies, "doc_id", "left_anti")
-        .select("doc_id", F.posexplode("x").alias("k", "x")).select("doc_id", "k", F.col("x.minis").alias("mini"), F.col("x.twice").alias("twice"))
-    )
-    again = own.groupBy("mini").agg((F.count("*") + F.count_if("twice")).alias("n")).where("n > 1").select("mini")
-    again = materialise(again)
-    chosen = only_keys(own, "mini", again).join(again, "mini").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    moved = materialise(travelling(documents, chosen))
-    first = F.struct("doc_id", "start")
-    strings = materialise(moved.groupBy("mini", "p1", "p2", "packed").agg(F.min(first).alias("first")).select("mini", "p1", "p2", F.lit(0).alias("off"), "first.doc_id", "first.start", "packed"))
-    wide = strings.groupBy("mini").count().where(F.col("count") > BUCKET_STRINGS).select("mini")
-    wide = materialise(wide)
-    cut = None
-    if not wide.isEmpty():
-        cut = window_firsts(strings.join(wide, "mini", "left_semi"))
-        strings = strings.join(wide, "mini", "left_anti")
-    known = bucket_firsts(strings.repartition("mini").sortWithinPartitions("mini"))
-    if cut is not None:
-        known = known.unionByName(cut)
-
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -242,9 +226,29 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
                     out.append((doc, begin, start + off + len(docs) - 1 + WINDOW))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "a", "b"])
 
-    spans = moved.select("p1", "p2", "doc_id", "start").join(known, ["p1", "p2"]).select("doc_id", "start", "off", "docs", "starts").mapInArrow(ranges, "doc_id long, a int, b int")
-    whole = copies.select("doc_id", F.lit(0).alias("a"), F.lit(-1).alias("b"))
-    return materialise(spans.union(whole).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    with Tables(documents.sparkSession) as tables:
+        write, drop = tables.write, tables.drop
+        sketch = write(sketches(documents))
+        texts = sketch.where(f"n_words >= {WINDOW}")
+        firsts = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+        copies = write(texts.select("doc_id", "t1", "t2").join(firsts, ["t1", "t2"]).where("doc_id <> first").select("doc_id").distinct())
+        own = (
+            texts.select("doc_id", F.arrays_zip("minis", "twice").alias("x")).join(copies, "doc_id", "left_anti")
+            .select("doc_id", F.posexplode("x").alias("k", "x")).select("doc_id", "k", F.col("x.minis").alias("mini"), F.col("x.twice").alias("twice"))
+        )
+        again = write(own.groupBy("mini").agg((F.count("*") + F.count_if("twice")).alias("n")).where("n > 1").select("mini"))
+        chosen = only_keys(own, "mini", again).join(again, "mini").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+        moved = write(travelling(documents, chosen))
+        drop(sketch, again)
+        first = F.struct("doc_id", "start")
+        strings = write(moved.groupBy("mini", "p1", "p2", "n", "packed").agg(F.min(first).alias("first")).select("mini", "p1", "p2", "n", F.lit(0).alias("off"), "first.doc_id", "first.start", "packed"))
+        wide = write(strings.groupBy("mini").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_WINDOWS).select("mini"))
+        known = bucket_firsts(strings.join(wide, "mini", "left_anti").repartition("mini").sortWithinPartitions("mini"))
+        if not wide.isEmpty():
+            known = known.unionByName(window_firsts(strings.join(wide, "mini", "left_semi")))
+        spans = moved.select("p1", "p2", "doc_id", "start").join(known, ["p1", "p2"]).select("doc_id", "start", "off", "docs", "starts").mapInArrow(ranges, "doc_id long, a int, b int")
+        whole = copies.select("doc_id", F.lit(0).alias("a"), F.lit(-1).alias("b"))
+        return materialise(spans.union(whole).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
 def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
