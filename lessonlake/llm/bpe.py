@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,56 +30,62 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merges until no pair has a rank. Leaf i holds the rank of the pair that starts at symbol i."""
-    n = len(symbols)
+def merge_word(ids: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
+    """Merges until no pair has a rank. pairs: the rank of a pair a * 2^20 + b; made: what the merge of each rank gives.
+
+    Leaf i of the tree is the rank of the pair that starts at symbol i, with i in its low bits, so the root is the leftmost
+    pair of lowest rank.
+    """
+    n = len(ids)
     if n < 2:
-        return symbols
-    none = len(ranks) + 1
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
+        return ids
+    get, shift = pairs.get, max(20, n.bit_length())
+    none = (len(made) + 1) << shift
+    size = 1 << (n - 2).bit_length()
     tree = [none] * (2 * size)
-    get = ranks.get
-    for i in range(n - 1):
-        tree[size + i] = get((symbols[i], symbols[i + 1]), none)
+    a = ids[0]
+    for i in range(1, n):
+        b = ids[i]
+        if (rank := get(a << 20 | b)) is not None:
+            tree[size + i - 1] = rank << shift | i - 1
+        a = b
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
+        tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
-    def put(i: int, rank: int) -> None:
+    def put(i: int, value: int) -> None:
         i += size
-        tree[i] = rank
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a <= b else b
+        tree[i] = value
+        while i > 1:
+            other = tree[i ^ 1]
+            low = value if value < other else other
+            i >>= 1
             if tree[i] == low:
                 break
-            tree[i] = low
-            i >>= 1
+            tree[i] = value = low
 
     while (best := tree[1]) != none:
-        i = 1
-        while i < size:
-            i *= 2
-            if tree[i] != best:
-                i += 1
-        i -= size
+        i = best & (1 << shift) - 1
         j = after[i]
-        symbols[i] += symbols[j]
+        a = ids[i] = made[best >> shift]
         k = after[i] = after[j]
-        if j < n - 1 or k < n:
-            put(j, none)
         if k < n:
             before[k] = i
-            put(i, get((symbols[i], symbols[k]), none))
+            if tree[size + j] != none:
+                put(j, none)
+            rank = get(a << 20 | ids[k])
         else:
-            put(i, none)
+            rank = None
+        put(i, none if rank is None else rank << shift | i)
         if (h := before[i]) >= 0:
-            put(h, get((symbols[h], symbols[i]), none))
+            rank = get(ids[h] << 20 | a)
+            value = none if rank is None else rank << shift | h
+            if tree[size + h] != value:
+                put(h, value)
     out, i = [], 0
     while i < n:
-        out.append(symbols[i])
+        out.append(ids[i])
         i = after[i]
     return out
 
@@ -92,59 +99,58 @@ class WordBpe:
         spec = json.loads(vocabulary)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
+        if max(self.vocab.values()) >= 1 << 20:
+            raise ValueError("a vocabulary of 2^20 tokens or more")
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        self.pairs = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split).findall
-        self.chars = byte_chars()
-        self.cache: dict[str, tuple[int, str, str]] = {}
-
-    def tokens(self, word: str) -> list[str]:
+        chars = byte_chars()
+        self.inner = [self.vocab.get(c) for c in chars]
+        self.end = [self.vocab.get(c + self.suffix) for c in chars]
+        self.names: list[str | None] = [None] * (1 + max(*self.vocab.values(), *self.added.values(), 0))
+        for s, i in (self.vocab | self.added).items():
+            self.names[i] = s
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    def encoded(self, word: str) -> tuple[int, ...]:
         """The tokens of one pre-token. A symbol outside the vocabulary is dropped, as there is no unknown token."""
-        symbols = [self.chars[b] for b in word.encode("utf-8", "replace")]
-        symbols[-1] += self.suffix
-        symbols = [s for s in symbols if s in self.vocab]
-        return merge_word(symbols, self.ranks)
-
-    def encoded(self, word: str) -> tuple[int, str, str]:
         found = self.cache.get(word)
         if found is None:
-            t = self.tokens(word)
-            found = (len(t), " ".join(str(self.vocab[x]) for x in t), " ".join(t))
+            b = word.encode("utf-8", "replace")
+            ids = [self.inner[x] for x in b[:-1]]
+            ids.append(self.end[b[-1]])
+            found = tuple(merge_word([i for i in ids if i is not None], self.pairs, self.made))
             if len(word) <= CACHE_CHARS:
                 if len(self.cache) >= CACHE_WORDS:
                     self.cache.clear()
                 self.cache[word] = found
         return found
 
-    def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of tokens, their ids, their strings) of each pre-token and each added token."""
+    def encode(self, text: str) -> list[int]:
         import unicodedata
 
-        out: list[tuple[int, str, str]] = []
-        at = 0
-        for m in [*(self.special.finditer(text) if self.special and "<|" in text else ()), None]:
+        out: list[int] = []
+        at, get, encoded = 0, self.cache.get, self.encoded
+        for m in [*(self.special.finditer(text) if any(t in text for t in self.added) else ()), None]:
             part = text[at : m.start() if m else len(text)]
             if part:
                 # lower-casing is per code point: no final sigma
                 part = unicodedata.normalize("NFC", part)
                 part = part.lower() if "Σ" not in part else "".join(map(str.lower, part))
-                get, encoded = self.cache.get, self.encoded
-                out += [get(w) or encoded(w) for w in self.find(part)]
+                out += chain.from_iterable([get(w) or encoded(w) for w in self.find(part)])
             if m:
-                out.append((1, str(self.added[m[0]]), m[0]))
+                out.append(self.added[m[0]])
                 at = m.end()
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
-
-
-def decode(ids: list[int], names: dict[int, str]) -> str:
-    """Without a decoder in the file, tokens are joined by one space; unknown ids are left out."""
-    return " ".join(names[i] for i in ids if i in names)
+    def decode(self, ids: list[int]) -> str:
+        """Without a decoder in the file, tokens are joined by one space; unknown ids are left out."""
+        return " ".join([x for i in ids if 0 <= i < len(self.names) and (x := self.names[i]) is not None])
 
 
 def bpe_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -153,15 +159,14 @@ def bpe_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(shared.value)
-        sha = hashlib.sha256
+        sha, written = hashlib.sha256, list(map(str, range(len(bpe.names))))
         for b in batches:
             n, ids, texts = [], [], []
             for text in b.column("text").to_pylist():
-                p = [x for x in bpe.pieces(text or "") if x[0]]
-                n.append(sum(x[0] for x in p))
-                ids.append(sha(" ".join([x[1] for x in p]).encode()).hexdigest())
-                # the decoder joins the tokens' strings, which the cache holds ready for each word
-                texts.append(sha(" ".join([x[2] for x in p]).encode()).hexdigest())
+                x = bpe.encode(text or "")
+                n.append(len(x))
+                ids.append(sha(" ".join([written[i] for i in x]).encode()).hexdigest())
+                texts.append(sha(bpe.decode(x).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
