@@ -4,29 +4,35 @@ Windows of 13 benchmark words (an item of fewer words is one window of that leng
 document's windows are looked up, every hit is verified on the words themselves, and the words inside hit
 windows are marked. Documents or just the marked spans can be removed.
 
-The set is broadcast in blocks of at most BLOCK_BYTES of benchmark text, one pass over the documents each;
-blocks are cut by a hash of item_id, so any benchmark size works. A single item larger than a block
-forms its own block.
+The set is broadcast once, while the benchmark's texts take at most BLOCK_BYTES; each Python worker builds it once. Beyond
+that, windows meet by hash: documents give those that a bounded Bloom filter of the benchmark's may hold, with their words, to a
+join that is exact. Both ways give the same rows.
 
 Defined results: null or empty texts have no words and are never contaminated; an item without words has no
 window; repeated items count once in n_items; repeated documents are scanned one by one; an empty
-benchmark contaminates nothing. Only doc_id and text (item_id and text) are read.
+benchmark contaminates nothing. Only doc_id and text (item_id and text) are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from lessonlake.llm.common import fresh, materialise, mixed
+from lessonlake.llm.url_filter import bloom, may_hold
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-#: Names of the columns that scan() adds.
-AT, ITEMS = "_contamination_at", "_contamination_items"
+#: The set that this process has built last, by name and window.
+_built: dict[tuple, NgramSet] = {}
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Bytes of words: digits, letters and everything beyond ASCII. A-Z become a-z, all others a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -86,42 +92,92 @@ class NgramSet:
         return at, items
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The items as (id, text), a block of bounded size at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
-        yield [tuple(r) for r in part.sort("item", "text").collect()]
+def ngram_set(name: str, texts: list[tuple[str, str]], window: int) -> NgramSet:
+    """The set of these texts, which their name stands for."""
+    if (name, window) not in _built:
+        _built.clear()
+        _built[name, window] = NgramSet(texts, window)
+    return _built[name, window]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """documents with the columns AT array<long> (start * 64 + length), ITEMS array<string>. All columns stay.
+    """documents with two more columns at their end, of names that they have not: the hits array<long> (start * 64 + length) and their items array<string>.
 
-    Windows are of less than 64 words. One pass over the documents a block of the benchmark; no shuffle.
+    Windows are of less than 64 words.
     """
     if not 0 < window < 64:
         raise ValueError("window must be 1 to 63 words")
-    out = documents.withColumns({AT: F.array().cast("array<long>"), ITEMS: F.array().cast("array<string>")})
-    for items in benchmark_blocks(benchmark, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            grams = NgramSet(shared.value, window)
-            for b in batches:
-                where, who = b.schema.get_field_index(AT), b.schema.get_field_index(ITEMS)
-                at, ids = [], []
-                for text, old, known in zip(b.column("text").to_pylist(), b.column(where).to_pylist(), b.column(who).to_pylist()):
-                    spans, found = grams.hits(normal_words(text))
-                    at.append(sorted({*old, *(i * 64 + n for i, n in spans)}))
-                    ids.append(sorted({*known, *found}))
-                cols = b.columns
-                cols[where], cols[who] = pa.array(at, b.schema.field(where).type), pa.array(ids, b.schema.field(who).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    items = _items(benchmark)
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] > block_bytes:
+        return _joined_hits(documents, items, window)
+    shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in items.sort("item", "text").collect()]))
+    at, who = fresh(documents, "hits"), fresh(documents, "hit_items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = ngram_set(*shared.value, window)
+        for b in batches:
+            found = [grams.hits(normal_words(text)) for text in b.column(b.schema.names.index("text")).to_pylist()]
+            spans = pa.array([sorted(i * 64 + n for i, n in x[0]) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, spans, pa.array([sorted(x[1]) for x in found], pa.list_(pa.string()))], [*b.schema.names, at, who])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(at, ArrayType(LongType())), StructField(who, ArrayType(StringType()))]))
+
+
+def _window_hashes(words: list[bytes], n: int, mix: np.ndarray) -> np.ndarray:
+    """Of each run of n words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = h[: len(h) - n + 1] * mix[0]
+    for i in range(1, n):
+        out += h[i : len(h) - n + 1 + i] * mix[i]
+    return mixed(out)
+
+
+def _joined_hits(documents: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """scan() for a benchmark of any size. Equal texts have equal hits, so a text is known by its SHA-256."""
+    mix = np.random.default_rng(13).integers(0, 1 << 63, window, dtype=np.uint64) | np.uint64(1)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for item, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = normal_words(text)
+                if words:
+                    n = min(window, len(words))
+                    out += [(h, n, b" ".join(words[i : i + n]), item) for i, h in enumerate(_window_hashes(words, n, mix).view(np.int64).tolist())]
+            yield _batch(out, ("h", "n", "w", "item"), (pa.int64(), pa.int32(), pa.binary(), pa.string()))
+
+    wanted = materialise(items.mapInArrow(windows, "h long, n int, w binary, item string").distinct())
+    sizes = [r.n for r in wanted.select("n").distinct().collect()]  # at most window numbers
+    bits = bloom(wanted.select("h").distinct(), wanted.count())
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = normal_words(text)
+                for n in sizes:
+                    if len(words) >= n:
+                        h = _window_hashes(words, n, mix).view(np.int64)
+                        maybe = np.arange(len(h)) if shared.value is None else np.flatnonzero(may_hold(shared.value, h))
+                        out += [(key, h[i], n, i, b" ".join(words[i : i + n])) for i in maybe.tolist()]
+            yield _batch(out, ("key", "h", "n", "at", "w"), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
+
+    at, who, key = fresh(documents, "hits"), fresh(documents, "hit_items"), fresh(documents, "text_key")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = documents.select(sha.alias("key"), "text").mapInArrow(probe, "key string, h long, n int, at int, w binary")
+    hits = found.join(wanted, ["h", "n", "w"]).groupBy("key").agg(F.sort_array(F.collect_set(F.expr("CAST(at AS BIGINT) * 64 + n"))).alias(at), F.sort_array(F.collect_set("item")).alias(who))
+    hits = materialise(hits.withColumnRenamed("key", key))
+    none = {at: F.coalesce(at, F.array().cast("array<long>")), who: F.coalesce(who, F.array().cast("array<string>"))}
+    return documents.join(hits, sha == F.col(key), "left").drop(key).withColumns(none).select(*documents.columns, at, who)
+
+
+def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def covered(n_words: int, hit_at: list[int]) -> np.ndarray:
@@ -142,7 +198,7 @@ def decontaminate_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, at, items in zip(b.column("text").to_pylist(), b.column(AT).to_pylist(), b.column(ITEMS).to_pylist()):
+            for text, at, items in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 n = len(normal_words(text))
                 hit = int(covered(n, at).sum()) if at else 0
                 out.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), is_contaminated(hit, n)))
@@ -162,11 +218,13 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, spans_only:
 
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
+    names = documents.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            where, col = b.schema.get_field_index(AT), b.schema.get_field_index("text")
+            col = names.index("text")
             keep, texts = [], []
-            for text, at in zip(b.column(col).to_pylist(), b.column(where).to_pylist()):
+            for text, at in zip(b.column(col).to_pylist(), b.column(len(names)).to_pylist()):
                 n = len(normal_words(text))
                 hit = covered(n, at) if at else np.zeros(0, bool)
                 keep.append(spans_only or not is_contaminated(int(hit.sum()), n))
@@ -179,9 +237,8 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, spans_only:
                         last = spots[end - 1][1]
                     text = "".join([*out, text[last:]])
                 texts.append(text)
-            cols = b.columns
+            cols = b.columns[: len(names)]
             cols[col] = pa.array(texts, b.schema.field(col).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    found = scan(documents, benchmark)
-    return found.mapInArrow(run, found.schema).select(*documents.columns)
+    return scan(documents, benchmark).mapInArrow(run, documents.schema)
