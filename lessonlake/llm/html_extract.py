@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph passes points for its length and commas to its ancestors, less with each level; a
-container's points are discounted by its link density. The best container and those of its siblings that
-score well are kept, without the parts that are furniture by element or by class (menus, adverts,
-comments, forms, ...). Its blocks are joined by a line feed.
+container's points are discounted by its link density. If the best container stands in an article (an article or main
+element, else an element named so by its class), all of that is kept but for siblings that are mostly links; else the best
+container, the headings before it and those of its siblings that score well. Parts that are furniture by element or by
+class (menus, adverts, comments, forms, ...) go. The blocks are joined by a line feed.
 
 Defined results: null or empty html, or a page without article text, gives the empty string; unclosed
 elements end with their parent or at the next block; a comment, script or tag that never ends hides the
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 RESULT = "page_id long, url string, text string, n_chars long"
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option".split())
-DROPPED = frozenset("head nav footer aside form button menu dialog object canvas audio video label fieldset".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+CHOICES = frozenset("select datalist optgroup option".split())
+DROPPED = frozenset("head nav footer aside form button menu dialog object canvas audio video fieldset".split()) | RAW | CHOICES
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article blockquote body center details div figure header main section table tbody td tr html".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div".split())
@@ -33,11 +35,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
 }
 #: Words in a class, id or role that name furniture.
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footers?|menus?|nav|navbar|navigation|newsletters?|notices?|pagers?|pagination|popups?|promos?|promotions?|related|remarks?|replies|respond|search|shar(?:e|ing)|sidebars?|social|sponsor(?:ed|s)?|subscribe|subscription|toolbars?|widgets?|masthead|complementary|contentinfo|modal|alert|legal)(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
+NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story)(?:$|[\s_-])", re.I)
 #: An attribute's name and value. All attributes match, so that a name inside another's value isn't read as one.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<""", re.S)
@@ -46,13 +49,14 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "commas", "linked", "score", "dropped", "bonus")
+    __slots__ = ("name", "parent", "parts", "chars", "commas", "linked", "score", "dropped", "bonus", "article")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool, bonus: float):
         self.name, self.parent, self.dropped, self.bonus = name, parent, dropped, bonus
         self.parts: list = []
         self.chars = self.commas = self.linked = 0
         self.score = 0.0
+        self.article = name in ("article", "main")
 
 
 def parse(html: str) -> Node:
@@ -98,6 +102,9 @@ def parse(html: str) -> Node:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
                 at = html.find(">", end.start()) + 1 or size if end else size
             continue
+        if name in BLOCKS:  # no block stands in a list of choices, so one that was never closed ends here
+            while node.name in CHOICES:
+                node = node.parent
         if name in BLOCKS or name in CLOSES:
             ends, stop = CLOSES.get(name, ({"p"} | (HEADINGS if name in HEADINGS else set()), BLOCKS - {"p"} - HEADINGS))
             if name in BLOCKS and name not in CLOSES:
@@ -111,6 +118,7 @@ def parse(html: str) -> Node:
                 while node is not last.parent:
                     links -= node.name == "a"
                     node = node.parent
+        named = False
         dropped, bonus = node.dropped or name in DROPPED or (name == "header" and node.name in ("html", "body")), 0.0
         if attrs and ("=" in attrs or "hidden" in attrs) and not dropped:
             for a in ATTRIBUTE.finditer(attrs):
@@ -122,9 +130,11 @@ def parse(html: str) -> Node:
                         dropped = True
                     elif ARTICLE.search(value):
                         bonus = 25.0
+                        named = named or bool(NAMED_ARTICLE.search(value))
         if name in ("article", "main"):
             bonus = 25.0
         child = Node(name, node, dropped, bonus)
+        child.article = child.article or named
         node.parts.append(child)
         if name in VOID or attrs.endswith("/"):
             continue
@@ -173,6 +183,16 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def article_of(best: Node) -> Node | None:
+    """The nearest article or main element around best, or itself; else the outermost element named so that holds at most as much text again."""
+    around, node = [], best
+    while node is not None:
+        around.append(node)
+        node = node.parent
+    named = [n for n in around if n.article and n.chars <= 2 * best.chars]
+    return next((n for n in around if n.name in ("article", "main")), named[-1] if named else None)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -206,7 +226,15 @@ def main_text(html: str | None) -> str:
         if best is None or n.score > best.score:
             best = n
     if best is None:
-        top = nodes[:1]
+        return "\n".join(blocks(nodes[:1]))
+    if (whole := article_of(best)) is not None:
+        inner = best
+        while inner is not whole:
+            for x in inner.parent.parts:
+                if isinstance(x, Node) and x is not inner and x.name in BLOCKS and x.name not in HEADINGS and 2 * x.linked > x.chars:
+                    x.dropped = True
+            inner = inner.parent
+        top = [whole]
     elif best.parent is None:
         top = [best]
     else:
@@ -216,7 +244,8 @@ def main_text(html: str | None) -> str:
                 continue
             density = x.linked / max(x.chars, 1)
             prose = x.name == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars <= 80 and not x.linked and "." in "".join(blocks([x])))
-            if x is best or x.score >= bar or prose:
+            heading = x.name in HEADINGS and best not in top and density < 0.5
+            if x is best or x.score >= bar or prose or heading:
                 top.append(x)
     return "\n".join(blocks(top))
 
