@@ -2,7 +2,12 @@
 
 Viterbi decoding marks every line as content or boilerplate; the share of words in content lines
 decides retention. The CRF is trained here by maximum likelihood on a bounded sample of labelled
-documents (SAMPLE_DOCS, each with at most SAMPLE_LINES lines), every line taking its document's label.
+documents (SAMPLE_DOCS) and of runs of RUN_LINES consecutive lines from anywhere in them (SAMPLE_RUNS).
+
+Labels are of documents, but lines of both kinds stand in one document, so the lines' labels are found in steps:
+emission weights alone are fitted with every line taking its document's label; each line is labelled by them; a document
+labelled good keeps content for more than half of its words and one labelled bad boilerplate, else its lines stay as they
+were; then the chain is fitted on these mixed paths, the lines are decoded with it, and it is fitted once more.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows are judged
 one by one; an empty table gives an empty result; without labelled rows of both kinds nothing but the
@@ -19,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 2000
-SAMPLE_LINES = 64
+RUN_LINES = 256
+SAMPLE_RUNS = 4000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -118,69 +124,115 @@ def viterbi(emit: list[float], start: float, trans: list[list[float]]) -> list[i
     return path[::-1]
 
 
-def fit_crf(docs: list[tuple[int, np.ndarray]], steps: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> dict | None:
-    """Weights by gradient ascent on the conditional likelihood. docs: label and binned lines of each document."""
-    docs = [(y, x) for y, x in docs if len(x)]
-    if len({y for y, _ in docs}) < 2:
-        return None
-    n, longest, width = len(docs), max(len(x) for _, x in docs), len(EDGES)
-    feats = np.zeros((n, longest, width), np.int64)
-    mask = np.zeros((n, longest), bool)
-    for i, (_, x) in enumerate(docs):
-        feats[i, : len(x)], mask[i, : len(x)] = x, True
-    y = np.array([d[0] for d in docs])
-    # both kinds weigh the same, as labels are mostly of one kind
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / n
-    w, start, trans = np.zeros(width * BINS), 0.0, np.zeros((2, 2))
+class Lattice:
+    """Sequences of binned lines, laid out by step: all first lines, then all second ones, ..., longer sequences first."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        self.order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        sizes = np.array([len(sequences[i]) for i in self.order])
+        self.width = [int((sizes > t).sum()) for t in range(sizes[0])]
+        self.begin = np.concatenate([[0], np.cumsum(self.width)])
+        self.sequence = np.concatenate([np.arange(k) for k in self.width])
+        step = np.repeat(np.arange(len(self.width)), self.width)
+        self.feats = np.concatenate([sequences[i] for i in self.order])[np.concatenate([[0], np.cumsum(sizes)[:-1]])[self.sequence] + step]
+        self.last = self.begin[sizes - 1] + np.arange(len(sizes))
+        self.next = np.arange(self.width[0], len(step))  # lines that have one before them
+        self.before = self.begin[step[self.next] - 1] + self.sequence[self.next]
+
+    def marginals(self, e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the emission scores of content: its probability in each line, and the joint ones of neighbours."""
+        at, k = self.begin, self.width
+        e = np.stack([np.zeros_like(e), e], 1)
+        fwd, bwd = e.copy(), np.zeros_like(e)
+        for t in range(1, len(k)):
+            p = fwd[at[t - 1] : at[t - 1] + k[t]]
+            fwd[at[t] : at[t + 1]] += np.logaddexp(p[:, :1] + trans[0], p[:, 1:] + trans[1])
+        for t in range(len(k) - 1, 0, -1):
+            n = bwd[at[t] : at[t + 1]] + e[at[t] : at[t + 1]]
+            bwd[at[t - 1] : at[t - 1] + k[t]] = np.logaddexp(trans[:, 0] + n[:, :1], trans[:, 1] + n[:, 1:])
+        z = np.logaddexp(fwd[self.last, 0], fwd[self.last, 1])[self.sequence]
+        joint = fwd[self.before][:, :, None] + trans + (e + bwd)[self.next][:, None, :] - z[self.next][:, None, None]
+        return np.exp(fwd[:, 1] + bwd[:, 1] - z), np.exp(np.minimum(joint, 0.0))
+
+
+def fit_chain(lattice: Lattice, y: np.ndarray, weight: np.ndarray, chained: bool, steps: int = 120, rate: float = 1.0, ridge: float = 1e-3) -> dict:
+    """Weights by gradient ascent on the conditional likelihood of the labels y; without the chain, of each line for itself."""
+    size = len(EDGES) * BINS
+    w, start, trans = np.zeros(size), 0.0, np.zeros((2, 2))
     gold = np.zeros((2, 2))
-    pairs = mask.sum(1) - 1
-    for label in (0, 1):
-        gold[label, label] = (weight * pairs)[y == label].sum()
-    moment = [np.zeros_like(w), 0.0, np.zeros((2, 2))]
+    np.add.at(gold, (y[lattice.before], y[lattice.next]), weight[lattice.next])
+    moment = [np.zeros(size), 0.0, np.zeros((2, 2))]
+    first = lattice.width[0]
     for _ in range(steps):
-        e = np.zeros((n, longest, 2))
-        e[..., 1] = w[feats].sum(-1)
-        e[:, 0, 1] += start
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            fwd[:, t] = np.where(mask[:, t, None], np.logaddexp(fwd[:, t - 1, 0, None] + trans[0], fwd[:, t - 1, 1, None] + trans[1]) + e[:, t], fwd[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = bwd[:, t + 1] + e[:, t + 1]
-            step = np.logaddexp(trans[:, 0] + nxt[:, 0, None], trans[:, 1] + nxt[:, 1, None])
-            bwd[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        p1 = np.exp(fwd[..., 1] + bwd[..., 1] - z[:, None]) * mask
-        diff = ((y[:, None] - p1) * mask) * weight[:, None]
-        gw = np.bincount(feats.ravel(), np.repeat(diff.ravel(), width), width * BINS) - ridge * w
-        gt = gold - ridge * trans
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = fwd[:, :-1, a] + trans[a, b] + e[:, 1:, b] + bwd[:, 1:, b] - z[:, None]
-                gt[a, b] -= (np.exp(np.minimum(joint, 0.0)) * mask[:, 1:] * weight[:, None]).sum()
-        for k, g in enumerate((gw, diff[:, 0].sum(), gt)):
+        e = w[lattice.feats].sum(1)
+        if chained:
+            e[:first] += start
+            p, joint = lattice.marginals(e, trans)
+            gt = gold - (joint * weight[lattice.next][:, None, None]).sum(0) - ridge * trans
+        else:
+            p, gt = 1 / (1 + np.exp(-np.clip(e, -30, 30))), np.zeros((2, 2))
+        diff = (y - p) * weight
+        gw = np.bincount(lattice.feats.ravel(), np.repeat(diff, lattice.feats.shape[1]), size) - ridge * w
+        for k, g in enumerate((gw, diff[:first].sum() if chained else 0.0, gt)):
             moment[k] = 0.9 * moment[k] + g
         w, start, trans = w + rate * moment[0], start + rate * moment[1], trans + rate * moment[2]
     return {"w": w, "start": float(start), "trans": trans.tolist()}
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
-    """Fits the CRF on the sample_docs labelled documents of least hash; only their line features reach the driver."""
+def fit_crf(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> dict | None:
+    """docs: label, binned lines and their word counts of each sequence."""
+    docs = [d for d in docs if len(d[1])]
+    if len({d[0] for d in docs}) < 2:
+        return None
+    lattice = Lattice([x for _, x, _ in docs])
+    label = np.array([docs[i][0] for i in lattice.order])
+    rank = np.argsort(lattice.sequence, kind="stable")  # from one sequence after the other to steps
+    words = np.empty(len(rank))
+    words[rank] = np.concatenate([docs[i][2] for i in lattice.order])
+    given = label[lattice.sequence]
+    # both kinds of documents weigh the same, as labels are mostly of one kind
+    of_kind = np.bincount(given, minlength=2)
+    weight = (0.5 / of_kind)[given]
+
+    def mixed(path: np.ndarray) -> np.ndarray:
+        """The path where more than half of the words of a sequence have its label, else the label."""
+        agree = np.bincount(lattice.sequence, words * (path == given)) > 0.5 * np.bincount(lattice.sequence, words)
+        return np.where(agree[lattice.sequence], path, given)
+
+    crf = fit_chain(lattice, given, weight, chained=False)
+    y = mixed((crf["w"][lattice.feats].sum(1) > 0).astype(int))
+    crf = fit_chain(lattice, y, weight, chained=True)
+    emit, path = crf["w"][lattice.feats].sum(1), np.empty(len(rank), int)
+    path[rank] = [s for i in np.split(emit[rank], np.cumsum([len(docs[i][1]) for i in lattice.order])[:-1]) for s in viterbi(i.tolist(), crf["start"], crf["trans"])]
+    return fit_chain(lattice, mixed(path), weight, chained=True)
+
+
+def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> dict | None:
+    """Fits the CRF on the sample_docs labelled documents of least hash, and of their runs of lines on the sample_runs of least
+    hash; only the bins of their lines (a number a line) reach the driver."""
     picked = (
         labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     )
     texts = documents.select("doc_id", "text").where("text IS NOT NULL")
+    place = BINS ** np.arange(len(EDGES))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [line_features(t)[0][:SAMPLE_LINES] for t in b.column("text").to_pylist()]
-            found = [binned(np.array(x, float)).ravel().tolist() if x else [] for x in lines]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(found, pa.list_(pa.int64()))], ["label", "lines"])
+            out = []
+            for doc, label, text in zip(*(c.to_pylist() for c in b.columns)):
+                rows, sizes, _ = line_features(text)
+                code = ((binned(np.array(rows, float)) % BINS) * place).sum(1).tolist() if rows else []
+                out += [(doc, i, label, code[i : i + RUN_LINES], sizes[i : i + RUN_LINES]) for i in range(0, len(code), RUN_LINES)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "at", "label", "lines", "words"])
 
-    rows = texts.join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(features, "label int, lines array<long>").collect()
-    rows.sort(key=lambda r: (r.label, r.lines))  # the fit doesn't depend on the order in which tasks end
-    return fit_crf([(r.label, np.array(r.lines, np.int64).reshape(-1, len(EDGES))) for r in rows])
+    runs = (
+        texts.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(features, "doc_id long, at int, label int, lines array<int>, words array<int>")
+        .orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "lines").limit(sample_runs).collect()
+    )
+    offset = np.arange(len(EDGES)) * BINS
+    return fit_crf([(r.label, np.array(r.lines, np.int64)[:, None] // place % BINS + offset, np.array(r.words)) for r in runs])
 
 
 def verdicts(texts: list[str | None], crf: dict | None, min_content_share: float) -> list[tuple]:

@@ -113,9 +113,10 @@ def test_order_of_tokens_that_differ_in_low_bits_only():
 
 def test_wide_buckets_of_substrings(spark, monkeypatch):
     """A passage in many documents with other neighbours: no bucket that a task holds is wider than the bound, and results stay."""
-    monkeypatch.setattr(substring_dedup, "BUCKET_STRINGS", 5)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 60)
+    monkeypatch.setattr(substring_dedup, "RUN", 16)
     held, inner = [], substring_dedup.bucket_firsts
-    monkeypatch.setattr(substring_dedup, "bucket_firsts", lambda strings: held.append(strings.groupBy("mini").count().agg(F.max("count")).first()[0]) or inner(strings))
+    monkeypatch.setattr(substring_dedup, "bucket_firsts", lambda strings: held.append(strings.groupBy("mini").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]) or inner(strings))
     rng = random.Random(3)
     other = lambda: [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 25))]
     passage, small = [f"p{i}" for i in range(40)], [f"q{i}" for i in range(25)]
@@ -130,19 +131,46 @@ def test_wide_buckets_of_substrings(spark, monkeypatch):
         want[d] = " ".join(x for i, x in enumerate(words) if i not in gone)
     rows = substring_dedup.dedup_substrings(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in rows} == want
-    assert held and (held[0] or 0) <= 5
+    assert held and (held[0] or 0) <= 60
+
+
+def test_benchmark_windows_by_broadcast_and_by_join(spark):
+    rng = random.Random(2)
+    words = lambda n: [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)]
+    items = [words(n) for n in (0, 1, 5, 13, 20, 40)]
+    docs = [words(n) for n in (0, 3, 30)] + [words(7) + x + words(5) for x in items] + [items[5][10:30] + words(300)]
+    benchmark = spark.createDataFrame([(f"i{i}", " ".join(x).upper()) for i, x in enumerate(items)] + [("i9", None), (None, "ax")], "item_id string, text string")
+    table = spark.createDataFrame([(d, " ".join(x), 1, "x") for d, x in enumerate(docs)] * 2, "doc_id long, text string, hits int, text_key string")
+    want = []
+    for d, x in enumerate(docs):
+        hit, who = set(), set()
+        for i, y in enumerate(items):
+            n = min(13, len(y))
+            for a in range(len(y) - n + 1):
+                for at in range(len(x) - n + 1) if n else ():
+                    if x[at : at + n] == y[a : a + n]:
+                        hit |= set(range(at, at + n))
+                        who.add(f"i{i}")
+        want += [(d, len(x), len(hit), sorted(who), bool(hit) and 20 * len(hit) >= len(x))] * 2
+    for bound in (decontaminate.BLOCK_BYTES, 10):
+        found = decontaminate.scan(table, benchmark, block_bytes=bound)
+        assert found.columns[:4] == table.columns
+        got = sorted((r.doc_id, len(docs[r.doc_id]), int(decontaminate.covered(len(docs[r.doc_id]), r[4]).sum()), r[5]) for r in found.collect())
+        assert got == [w[:4] for w in want]
+    rows = decontaminate.decontaminate_report(table, benchmark).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows] == [(*w[:3], len(w[3]), w[4]) for w in want]
 
 
 def test_bpe_round_trip(spark):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     t, own = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), bpe.WordBpe(bpe.load_vocabulary())
-    names = {i: s for s, i in {**own.vocab, **own.added}.items()}
     rng = random.Random(1)
     cases = ["", "a" * 3000, "It's <|endoftext|> ok", "ΣΑΣ İß", *["".join(rng.choice("abcΣİé́st 0١<|>\n 😀ßẞK'") for _ in range(40)) for _ in range(200)]]
     for x in cases:
         ids = t.encode(x, add_special_tokens=False).ids
         assert own.encode(x) == ids
-        assert bpe.decode(ids, names) == t.decode(ids, skip_special_tokens=False)
+        assert own.decode(ids) == t.decode(ids, skip_special_tokens=False)
+    assert own.decode([-1, 10**9]) == ""
     row = bpe.bpe_digests(spark.createDataFrame([(1, "the end")], "doc_id long, text string"), bpe.load_vocabulary()).first()
     assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, t.encode("the end", add_special_tokens=False).ids)).encode()).hexdigest()
 
@@ -163,6 +191,41 @@ def test_attributes_are_read_by_name():
         assert html_extract.main_text(f"<article><p>{said}</p><div {a}><p>{said}</p></div></article>") == said, a
 
 
+def test_optional_ends_labels_and_what_stands_above(spark):
+    said = "A paragraph, with words, that stays where it is, and is long enough."
+    for list_ in ("<datalist><option value=a>one<option value=b>two</datalist>", "<select><option>one<option>two</select>", "<datalist><option value=a>one<option>two", "<select><optgroup label=x><option>one"):
+        assert html_extract.main_text(f"<body>{list_}<article><p>{said}</p></article></body>") == said, list_
+    assert html_extract.main_text(f"<article><p>The <label>word</label> stays. {said}</p></article>") == f"The word stays. {said}"
+    body = f"<div class=entry-content><p>{said}</p><p>{said}</p></div>"
+    for wrap in ("<article>%s</article>", "<main>%s</main>", "<div class=post>%s</div>"):
+        page = wrap % f"<h1>T</h1><div>Lead in short.</div>{body}<ul><li><a href=x>other</a><li><a href=y>pages</a></ul><pre>x = 1</pre>"
+        assert html_extract.main_text(f"<body><div>Site</div>{page}<div>end</div>") == f"T\nLead in short.\n{said}\n{said}\nx = 1", wrap
+    assert html_extract.main_text(f"<body><h1>T</h1><div id=content><p>{said}</p></div><p>&copy; me</p>") == f"T\n{said}"
+
+
+def test_extraction_of_built_pages(spark):
+    """Pages built of known blocks among furniture give these blocks again, and nothing else."""
+    rng, rows, want = random.Random(4), [], {}
+    prose = lambda n: " ".join(rng.choice(["lorem", "ipsum,", "dolor", "&amp;", "sit"]) for _ in range(n)) + "."
+    furniture = ["<nav><a href=x>Menu</a></nav>", "<div class='ad banner'>Buy, this, now, please, do, it, today.</div>", "<aside><p>Other, things, to, read.</p></aside>", "<form><label>Name</label><input></form>", "<script>if (a < b) c('</p>')</script>", "<!-- <p>no</p> -->", "<div id=comments><p>Well, said, all of it, I say.</p></div>", "<div role=navigation>Up</div>", "<style>p{}</style>"]
+    for page in range(200):
+        inner, text = [f"<h1>Title {page}</h1>"], [f"Title {page}"]
+        for _ in range(rng.randrange(1, 9)):
+            body = prose(rng.randrange(3, 60))
+            kind = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "pre", "open"])
+            cut = body.replace(" ", rng.choice([" ", "\n ", "  "]))
+            inner.append({"li": f"<ul><li>{cut}</ul>", "open": f"<p><b>{cut}</b>"}.get(kind, f"<{kind}>{cut}</{kind}>"))
+            text.append(body.replace("&amp;", "&"))
+            if rng.random() < 0.4:
+                inner.append(rng.choice(furniture))
+        around = [rng.choice(furniture) for _ in range(4)]
+        rows.append((page, "u", f"<!DOCTYPE html><html><head><title>no</title></head><body>{''.join(around[:2])}<article>{''.join(inner)}</article>{''.join(around[2:])}<footer>foot</footer></body></html>"))
+        want[page] = "\n".join(text)
+    got = html_extract.extract(spark.createDataFrame(rows + [(900, None, None), (901, "u", ""), (900, None, None)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want | {900: "", 901: ""} and all(r.n_chars == len(r.text) for r in got) and len(got) == 203
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     words = url_filter.bloom(keys, 5000)
