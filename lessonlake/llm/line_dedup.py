@@ -35,6 +35,8 @@ from lessonlake.llm.url_filter import bloom, may_hold
 
 #: Bits of the number of cells: at least, at most.
 CELL_BITS = (18, 22)
+#: Cells whose counts travel together.
+CELL_BLOCK = 4096
 NEAREST = 4
 #: Lines that may meet in one group.
 GROUP_ROWS = 10_000
@@ -59,21 +61,29 @@ def token_counts(documents: DataFrame) -> np.ndarray:
     """How many words fall in each cell, over all documents. At most 2^22 cells, whatever the input."""
     low, high = CELL_BITS
     cells = 1 << min(high, max(low, documents.count().bit_length()))
+    size = min(cells, CELL_BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(cells, np.int64), WordHashes(fold=True)
         for b in batches:
             h, _ = hashes(joined_texts(b.column(0)))
             total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 50_000):
-            part = found[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], ["cell", "n"])
+        if total.any():
+            blocks = total.reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "counts"])
 
-    out = np.zeros(cells, np.int64)
-    found = documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # a task has its share of the blocks
+        for b in parts:
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    out = np.zeros((cells // size, size), np.int64)
+    found = documents.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    for r in found.collect():
+        out[r.block] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
 
 
 def line_order(line: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -147,15 +157,16 @@ def line_sets(documents: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def near_candidates(records: DataFrame) -> DataFrame:
-    """records(key, place, bits, bits2, doc_id, line), sorted within partitions by key and line -> pairs of a line with at
+    """records(key, place, bits, bits2, doc_id, line), sorted within partitions by key -> pairs of a line with at
     most NEAREST earlier ones of its key that pass the filters; more: there may be others. place: n, position and, in the
     lowest bit, whether the key is one part of a group."""
 
     def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
-        key, place = (b.column(c).to_numpy() for c in ("key", "place"))
+        order = np.lexsort([b.column(c).to_numpy() for c in ("line", "doc_id", "key")])
+        key, place, bits, bits2, doc, line = (b.column(c).to_numpy()[order] for c in ("key", "place", "bits", "bits2", "doc_id", "line"))
         end = len(key)
         n, pos, split = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
-        bits, bits2 = (b.column(c).to_numpy().view(np.uint64) for c in ("bits", "bits2"))
+        bits, bits2 = bits.view(np.uint64), bits2.view(np.uint64)
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return (n5[i] >= n4[j]) & (n5[j] >= n4[i])
@@ -185,7 +196,6 @@ def near_candidates(records: DataFrame) -> DataFrame:
         alone = np.flatnonzero(split & (found == 0))  # matches may be in another part of the group
         y, x = np.concatenate([y, alone]), np.concatenate([x, alone])
         more = (found[y] >= NEAREST) & (rank[y] > 1) | split[y]
-        doc, line = b.column("doc_id").to_numpy(), b.column("line").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(line[y]), pa.array(doc[x]), pa.array(line[x]), pa.array(more)], ["y_doc", "y_line", "x_doc", "x_line", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +310,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 
         meeting = Groups(classes, tables)
         place = F.expr("shiftleft(CAST(n AS BIGINT), 32) + 2 * pos + CAST(split AS INT)").alias("place")
-        dealt = meeting.records(classes).select("key", place, "bits", "bits2", "doc_id", "line").repartition("key").sortWithinPartitions("key", "doc_id", "line")
+        dealt = meeting.records(classes).select("key", place, "bits", "bits2", "doc_id", "line").repartition("key").sortWithinPartitions("key")  # one long: a radix sort
         found = write(near_candidates(dealt).groupBy("y_doc", "y_line", "x_doc", "x_line").agg(F.max("more").alias("more")))
         drop()
         met = write(found.where("y_doc <> x_doc OR y_line <> x_line").drop("more"))
