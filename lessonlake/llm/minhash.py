@@ -18,6 +18,7 @@ Other columns may have any name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -137,7 +138,7 @@ def across(named: DataFrame, tables: Tables) -> DataFrame:
     A row meets those of its own and the two neighbouring size classes (powers of 1.25). Where more than PART_ROWS rows are in a class,
     one side is dealt to parts and the other goes to each of them.
     """
-    size_class = F.floor(F.log(F.lit(1.25), F.col("n"))).cast("int")
+    size_class = F.floor(F.log("n") / math.log(1.25)).cast("int")
     left = named.withColumn("c", size_class)
     wide = tables.write(left.groupBy("key", "c").count().where(F.col("count") > PART_ROWS).select("key", "c", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts")))
     small = wide.count() <= FEW_KEYS
@@ -146,7 +147,7 @@ def across(named: DataFrame, tables: Tables) -> DataFrame:
         return rows.join(F.broadcast(wide) if small else wide, ["key", "c"], "left").withColumn("part", part).drop("parts")
 
     a = in_parts(left, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"))
-    b = named.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("parity").alias("pb"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.log(F.lit(1.25), F.col("n"))).cast("int") + d)).alias("c"))
+    b = named.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("parity").alias("pb"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: size_class + d)).alias("c"))
     b = in_parts(b, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
     apart = reduce(add, [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY_BITS // 64)])
     fit = (F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & (5 * F.least("n", "nb") >= 4 * F.greatest("n", "nb")) & (9 * apart <= F.col("n") + F.col("nb"))

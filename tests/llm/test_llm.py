@@ -111,6 +111,32 @@ def test_order_of_tokens_that_differ_in_low_bits_only():
     assert line_dedup.line_order(np.zeros(1, int), h[:1]).tolist() == [0]
 
 
+@pytest.mark.parametrize("part_rows, chunk_rows", [(3, 4), (2000, 100_000)])
+def test_copies_beyond_the_nearest(spark, monkeypatch, part_rows, chunk_rows):
+    """Many texts near one original, most of them under 0.8 like each other, of several lengths: each link is found, by brute force."""
+    for name, value in (("PART_ROWS", part_rows), ("CHUNK_ROWS", chunk_rows), ("LOOK_BACK", 3)):
+        monkeypatch.setattr(minhash, name, value)
+    rng, docs = random.Random(9), []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            docs.append(words + [f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 12))])
+    sets = [set(zip(x, x[1:])) for x in docs]
+    root = list(range(len(docs)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    rows = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), 2).collect()
+    want = {i: find(i) for i in range(len(docs))}
+    assert {r.doc_id: r.component_id for r in rows} == want and 3 < len(set(want.values())) < len(docs)
+
+
 def test_wide_buckets_of_substrings(spark, monkeypatch):
     """A passage in many documents with other neighbours: no bucket that a task holds is wider than the bound, and results stay."""
     monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 60)
