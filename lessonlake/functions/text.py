@@ -17,6 +17,12 @@ INSTRUCTIONS = (
 #: Short texts that carry nothing (fixed values). The quiz's set has the bracketed letters too.
 JUNK_GAME = (".", ",", ":", ";", "-", "_", "•", "●", "▪", "◦", "a", "b", "c", "d", "a.", "b.", "c.", "d.", "1", "2", "3", "4", "1.", "2.", "3.", "4.")
 JUNK_QUIZ = (*JUNK_GAME, "a)", "b)", "c)", "d)")
+#: Unicode's white space, as a class of its own: (?U) makes every class of a pattern slow.
+WS = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What collapse() would change: white space at an end, twice, or other than a space.
+LOOSE = r"^ | \z|  |[\t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+MARKS = r"```|\*\*|__|<[^>]|(?m:^#)"
+LINE_LABEL = rf"^{WS}*(?:[{BULLETS}*–—-]+|\(?\d+\)?[.)]|[A-Da-d][.)]){WS}*"
 LABEL = r"(?i)^(?:\d+[.)]?|[a-z][.)]?|[ivxlcdm]+[.)]?|[.,:;!?()\-]+)\z"
 
 
@@ -29,21 +35,30 @@ def replace(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def changed(c: Column, sign: str, f) -> Column:
+    """f(c) where the pattern finds something to change in c, else c itself: most texts are clean, and one search is cheaper than a chain."""
+    return let(c, lambda x: F.when(x.rlike(sign), f(x)).otherwise(x))
+
+
 def trim(c: Column) -> Column:
-    return replace(c, r"(?U)^\s+|\s+\z")
+    return replace(c, rf"^{WS}+|{WS}+\z")
+
+
+def _collapse(c: Column) -> Column:
+    return trim(replace(c, rf"{WS}+", " "))
 
 
 def collapse(c: Column) -> Column:
-    return trim(replace(c, r"(?U)\s+", " "))
+    return changed(c, LOOSE, _collapse)
 
 
 def normalize_text(c: Column) -> Column:
-    return collapse(replace(replace(F.coalesce(c, F.lit("")), r"\*\*"), f"[{BULLETS}]", " "))
+    return changed(F.coalesce(c, F.lit("")), rf"\*\*|[{BULLETS}]|{LOOSE}", lambda x: _collapse(replace(replace(x, r"\*\*"), f"[{BULLETS}]", " ")))
 
 
 def alphabet_ratio(c: Column) -> Column:
-    solid = F.length(replace(c, r"(?U)\s+"))
-    return F.when(solid == 0, 0.0).otherwise(F.length(replace(c, "[^A-Za-z]")) / solid)
+    solid = F.length(replace(c, rf"{WS}+"))
+    return let(solid, lambda n: F.when(n == 0, 0.0).otherwise(F.length(replace(c, "[^A-Za-z]+")) / n))
 
 
 def is_label_only(c: Column) -> Column:
@@ -64,10 +79,10 @@ def clean_ai_text(c: Column) -> Column:
 
 
 def should_keep_line(text: Column, n_words: Column, confidence: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    # the numbers first: they are cheap
     return (
-        (text != "") & ~is_label_only(text) & ~is_header_or_footer(text) & text.rlike("[A-Za-z]") & (alphabet_ratio(text) >= 0.42) & (confidence >= 52)
-        & ~((n_words == 1) & (F.length(text) < 8)) & (F.length(text) >= 4)
-        & (width >= F.greatest(F.lit(24.0), page_width * 0.018)) & (height >= 6) & (height <= page_height * 0.07)
+        (confidence >= 52) & (width >= F.greatest(F.lit(24.0), page_width * 0.018)) & (height >= 6) & (height <= page_height * 0.07)
+        & (F.length(text) >= 4) & ~((n_words == 1) & (F.length(text) < 8)) & text.rlike("[A-Za-z]") & ~is_label_only(text) & ~is_header_or_footer(text) & (alphabet_ratio(text) >= 0.42)
     )
 
 
@@ -80,22 +95,25 @@ def is_import_ai_ready(c: Column) -> Column:
     return (F.length(c) >= 4) & c.rlike("[A-Za-z]") & ~c.rlike(r"(?U)^[A-Da-d\d\s.()]+\z")
 
 
-def remove_markdown(c: Column) -> Column:
-    x = replace(replace(F.coalesce(c, F.lit("")), r"(?i)```(?:json)?"), r"\*\*|__")
-    return trim(replace(replace(x, r"(?mU)^#{1,6}\s*"), "<[^>]+>", " "))
+def _remove_markdown(c: Column) -> Column:
+    x = replace(replace(c, r"(?i)```(?:json)?"), r"\*\*|__")
+    return trim(replace(replace(x, rf"(?m)^#{{1,6}}{WS}*"), "<[^>]+>", " "))
 
 
-def _clean_inner(c: Column) -> Column:
-    x = replace(c, rf"(?U)^\s*(?:[{BULLETS}*–—-]+|\(?\d+\)?[.)]|[A-Da-d][.)])\s*")
-    return trim(replace(replace(x, r"(?U)\s+", " "), r"(?U)\s+([,.!?;:])", "$1"))
+def remove_markdown(c: Column) -> Column:
+    return changed(F.coalesce(c, F.lit("")), rf"{MARKS}|^{WS}|{WS}\z", _remove_markdown)
 
 
 def clean_line(c: Column) -> Column:
-    return _clean_inner(remove_markdown(c))
+    def chain(x: Column) -> Column:
+        x = replace(_remove_markdown(x), LINE_LABEL)
+        return trim(replace(replace(x, rf"{WS}+", " "), r" +([,.!?;:])", "$1"))
+
+    return changed(F.coalesce(c, F.lit("")), rf"{MARKS}|{LOOSE}|{LINE_LABEL}| [,.!?;:]", chain)
 
 
 def is_junk(c: Column, min_length: int = 2) -> Column:
-    """min_length: 2 for quizzes, 3 for games."""
+    """min_length: 2 for quizzes, 3 for games. The text is cleaned once more, whatever was done to it before."""
     junk = JUNK_QUIZ if min_length < 3 else JUNK_GAME
     return let(clean_line(c), lambda x: (F.length(x) < max(min_length, 1)) | F.lower(x).isin(*junk) | ~x.rlike("[A-Za-z]") | x.rlike(r"^(?:[A-Da-d][.)]?|\d+[.)]?|[^\p{L}\p{N}]+)\z"))
 
@@ -103,17 +121,17 @@ def is_junk(c: Column, min_length: int = 2) -> Column:
 def clean_context(c: Column, min_length: int = 2, max_chars: int = 7000) -> Column:
     """7000 characters for quizzes, 8000 for games."""
     lines = F.transform(F.split(remove_markdown(c), r"\r?\n", -1), clean_line)
-    return F.substring(F.array_join(F.filter(lines, lambda x: ~is_junk(x, min_length) & (F.length(x) >= 8)), "\n"), 1, max_chars)
+    return F.substring(F.array_join(F.filter(lines, lambda x: (F.length(x) >= 8) & ~is_junk(x, min_length)), "\n"), 1, max_chars)
 
 
 def split_sentences(c: Column, min_length: int = 20, junk_length: int = 2) -> Column:
     """20 characters for quizzes, 22 for games."""
-    parts = F.transform(F.split(replace(c, r"\n+", " "), r"(?U)(?<=[.!?])\s+", -1), clean_line)
+    parts = F.transform(F.split(replace(c, r"\n+", " "), rf"(?<=[.!?]){WS}+", -1), clean_line)
     return F.filter(parts, lambda x: (F.length(x) >= min_length) & x.rlike("[A-Za-z]{3,}") & ~is_junk(x, junk_length))
 
 
 def plain_sentences(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)(?<=[.!?])\s+", -1), lambda x: F.length(trim(x)) > 15)
+    return F.filter(F.split(c, rf"(?<=[.!?]){WS}+", -1), lambda x: F.length(trim(x)) > 15)
 
 
 def clean_book_text(c: Column) -> Column:
@@ -135,6 +153,24 @@ def text_lines(c: Column, min_length: int = 0) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), trim), lambda x: F.length(x) > min_length)
 
 
+def lesson_lines(body: Column) -> Column:
+    """array<struct<id, text>> of a lesson's JSON: lines as texts or as objects with aliases, in the lesson or beside it; without any, the
+    lines of its text. Blank ones go, after numbering."""
+    line = "array<string>"
+    shape = f"lesson struct<lines:{line},text:string>, lines {line}, text string"
+
+    def of(p: Column) -> Column:
+        item = lambda x, *names: F.coalesce(*[F.get_json_object(x, f"$.{n}") for n in names])
+        number = lambda i: F.concat(F.lit("line-"), (i + 1).cast("string"))
+        given = F.transform(F.coalesce(p["lesson"]["lines"], p["lines"]), lambda x, i: F.when(
+            x.startswith("{"), F.struct(F.coalesce(item(x, "id", "lineId"), number(i)).alias("id"), F.coalesce(item(x, "text", "lineText", "content"), F.lit("")).alias("text"))
+        ).otherwise(F.struct(number(i).alias("id"), F.coalesce(x, F.lit("")).alias("text"))))
+        plain = F.transform(F.filter(F.transform(F.split(F.coalesce(p["lesson"]["text"], p["text"], F.lit("")), r"\r?\n", -1), trim), lambda x: x != ""), lambda x, i: F.struct(number(i).alias("id"), x.alias("text")))
+        return F.when(F.size(given) > 0, F.filter(given, lambda r: trim(r["text"]) != "")).otherwise(plain)
+
+    return let(F.from_json(body, shape), of)
+
+
 def extract_json(c: Column, prefer: str = "array") -> Column:
     """The widest array, else the widest object (the other way round for prefer='object'), else the whole text."""
 
@@ -172,9 +208,11 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(collapse(replace(F.coalesce(c, F.lit("")), '[.,!?;:"]')), " ", -1), lambda x: x != "")
 
 
-def slugify(c: Column) -> Column:
+def slugify(c: Column, suffix: Column | None = None) -> Column:
+    """suffix: a value whose hash tells equal slugs apart."""
     x = replace(replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), r"^-|-\z")
-    return F.when(x == "", "student").otherwise(x)
+    slug = F.when(x == "", "student").otherwise(x)
+    return slug if suffix is None else F.concat_ws("-", slug, F.substring(F.sha2(suffix.cast("string"), 256), 1, 6))
 
 
 def day_key(ts: Column) -> Column:
@@ -182,7 +220,7 @@ def day_key(ts: Column) -> Column:
 
 
 def weak_area(c: Column) -> Column:
-    return F.when(F.lower(c).rlike("is |are |was |were |have |has "), "Grammar").when(F.length(c) < 45, "Vocabulary").otherwise("Reading comprehension")
+    return F.when(F.lower(c).rlike("(?:is|are|was|were|have|has) "), "Grammar").when(F.length(c) < 45, "Vocabulary").otherwise("Reading comprehension")
 
 
 def line_id(kind: str, number: Column, line: Column) -> Column:

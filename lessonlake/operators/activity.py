@@ -6,6 +6,8 @@ row number per student, which Spark limits per task before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def student_key(first: Column, second: Column | None = None) -> Column:
 
 
 def activity_counters(activity: DataFrame) -> DataFrame:
-    """The nine counters of each activity row. Minutes count for any kind; rows without a kind are left out."""
+    """The nine counters of each activity row. Minutes count for any kind; rows without a kind are left out (rejected_activity has them)."""
     kind = F.col("activity_type")
     one = lambda k: F.when(kind == k, 1).otherwise(0).cast("long")
     of = lambda k, c: F.when(kind == k, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
@@ -32,6 +34,10 @@ def activity_counters(activity: DataFrame) -> DataFrame:
     )
 
 
+def rejected_activity(activity: DataFrame) -> DataFrame:
+    return activity.where(F.col("activity_type").isNull()).withColumn("error", F.lit("activityType is required"))
+
+
 def daily_study(counters: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """Sums by student and day; with the current table given, its rows are added to (an incremental run)."""
     rows = counters.select("student_key", "date_key", *COUNTERS)
@@ -46,18 +52,29 @@ def latest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
 
 
-def recent_ids(activity: DataFrame, kind: str, n: int, name: str) -> DataFrame:
-    top = latest(activity.where(F.col("activity_type") == kind), n, F.col("ts"), F.col("event_id"))
-    return top.groupBy("student_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "event_id"))), lambda s: s["event_id"]).alias(name))
+def recent(activity: DataFrame, lists: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """lists: name -> (activity type, column, n): the column's values in the latest n rows of that type, newest first. One shuffle by student
+    and type for all lists; a student's row holds n values a list at most."""
+    most = max(n for _, _, n in lists.values())
+    w = Window.partitionBy("student_key", "activity_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    kinds = sorted({k for k, _, _ in lists.values()})
+    top = activity.where(F.col("activity_type").isin(*kinds)).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most)
+
+    def listed(kind: str, value: str, n: int) -> Column:
+        found = F.collect_list(F.when((F.col("activity_type") == kind) & (F.col("_rank") <= n), F.struct("_rank", F.col(value).alias("v"))))
+        return F.transform(F.array_sort(found), lambda s: s["v"])
+
+    return top.groupBy("student_key").agg(*[listed(*of).alias(name) for name, of in lists.items()])
+
+
+RECENTS = {"quizzes": ("quiz_submitted", "event_id", 10), "games": ("game_finished", "event_id", 10), "chats": ("ai_interaction", "event_id", 10)}
 
 
 def student_summary(students: DataFrame, daily: DataFrame, activity: DataFrame) -> DataFrame:
-    """Totals over the latest 30 daily rows, and the latest 10 quizzes, games and tutor turns."""
+    """Totals over the latest 30 daily rows, and the latest 10 quizzes, games and tutor turns; a student without any has zeros and empty lists."""
     totals = latest(daily, 30, F.col("date_key")).groupBy("student_key").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.count("*").alias("days"))
-    out = students.select("student_key").join(totals, "student_key", "left")
-    for kind, name in (("quiz_submitted", "quizzes"), ("game_finished", "games"), ("ai_interaction", "chats")):
-        out = out.join(recent_ids(activity, kind, 10, name), "student_key", "left")
-    return out.select("student_key", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*COUNTERS, "days")], *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("quizzes", "games", "chats")])
+    out = students.select("student_key").join(totals, "student_key", "left").join(recent(activity, RECENTS), "student_key", "left")
+    return out.select("student_key", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*COUNTERS, "days")], *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in RECENTS])
 
 
 def progress_report(summary: DataFrame) -> DataFrame:
@@ -70,28 +87,77 @@ def upsert_students(events: DataFrame) -> DataFrame:
     return events.groupBy("student_key").agg(F.min("ts").alias("created_at"), F.coalesce(latest_name, F.first("student_key")).alias("name"))
 
 
-def student_memory(activity: DataFrame) -> DataFrame:
-    """Opened lessons once each in first-seen order; selected lines and tools in order, repeats kept. Built of one row a student."""
-    def listed(when: Column, value: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("ts", "event_id", value)))), lambda s: s[value])
-
+def memory_entries(activity: DataFrame) -> DataFrame:
+    """What is remembered of each student, a row an entry: student_key, list, position, value. list: lessons (opened ones, once each in
+    first-seen order), lines and tools (in order, repeats kept). A list of any length is rows, never one array."""
     kind = F.col("activity_type")
-    return activity.groupBy("student_key").agg(
-        F.array_distinct(listed(kind == "lesson_opened", "lesson_no")).alias("lessons"), listed(kind == "line_selected", "k").alias("lines"), listed(kind == "ai_interaction", "k").alias("tools"),
-    )
+    opened = activity.where(kind == "lesson_opened").groupBy("student_key", F.col("lesson_no").cast("long").alias("value")).agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    said = activity.where(kind.isin("line_selected", "ai_interaction")).select("student_key", F.when(kind == "line_selected", "lines").otherwise("tools").alias("list"), F.struct("ts", "event_id").alias("at"), F.col("k").cast("long").alias("value"))
+    rows = opened.select("student_key", F.lit("lessons").alias("list"), "at", "value").unionByName(said)
+    return rows.select("student_key", "list", F.row_number().over(Window.partitionBy("student_key", "list").orderBy("at")).alias("position"), "value")
 
 
-def last(items: Column, n: int) -> Column:
-    k = F.least(F.lit(n), F.size(items))
-    return F.when(k == 0, F.slice(items, 1, 0)).otherwise(F.slice(items, -k, k))
+def opened_lessons(activity: DataFrame) -> DataFrame:
+    """Each student's opened lessons in first-seen order, an array of as many as there are lessons at most."""
+    first = activity.where(F.col("activity_type") == "lesson_opened").groupBy("student_key", "lesson_no").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    return first.groupBy("student_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "lesson_no"))), lambda s: s["lesson_no"]).alias("lessons"))
 
 
-def agent_memory(memory: DataFrame, activity: DataFrame) -> DataFrame:
-    """What a tutor prompt sees: lessons, number of lines, last 5 lines, last 10 tools, latest 5 quizzes."""
-    quizzes = recent_ids(activity, "quiz_submitted", 5, "quizzes")
-    return memory.join(quizzes, "student_key", "left").select(
-        "student_key", "lessons", F.size("lines").alias("n_lines"), last(F.col("lines"), 5).alias("last_lines"), last(F.col("tools"), 10).alias("last_tools"), F.coalesce("quizzes", F.array().cast("array<bigint>")).alias("quizzes"),
-    )
+def agent_memory(activity: DataFrame) -> DataFrame:
+    """What a tutor prompt sees: lessons, number of lines, last 5 lines, last 10 tools (oldest first), latest 5 quizzes (newest first)."""
+    lists = recent(activity, {"last_lines": ("line_selected", "k", 5), "last_tools": ("ai_interaction", "k", 10), "quizzes": ("quiz_submitted", "event_id", 5)})
+    counts = activity.groupBy("student_key").agg(F.count_if(F.col("activity_type") == "line_selected").alias("n_lines"))
+    out = counts.join(lists, "student_key", "left").join(opened_lessons(activity), "student_key", "left")
+    listed = lambda c: F.coalesce(c, F.array()).alias(c)
+    return out.select("student_key", listed("lessons"), "n_lines", *[F.reverse(F.coalesce(c, F.array())).alias(c) for c in ("last_lines", "last_tools")], listed("quizzes"))
+
+
+def research_summary(activity: DataFrame) -> DataFrame:
+    """Lessons, number of lines, last 10 tools, and the latest 20 events, 10 chats and 10 quizzes of each student, newest first.
+
+    The full lists of lines and tools are memory_entries' rows.
+    """
+    lists = recent(activity, {"tools": ("ai_interaction", "k", 10), "chats": ("ai_interaction", "event_id", 10), "quizzes": ("quiz_submitted", "event_id", 10)})
+    events = latest(activity, 20, F.col("ts"), F.col("event_id")).groupBy("student_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "event_id"))), lambda s: s["event_id"]).alias("events"))
+    counts = activity.groupBy("student_key").agg(F.count_if(F.col("activity_type") == "line_selected").alias("n_lines"))
+    out = counts.join(events, "student_key").join(lists, "student_key", "left").join(opened_lessons(activity), "student_key", "left")
+    return out.select("student_key", "n_lines", "events", *[F.coalesce(c, F.array()).alias(c) for c in ("lessons", "tools", "chats", "quizzes")])
+
+
+def record_quiz(activity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attempt rows, their counters for daily_study): an attempt a submission, lesson 1 where none is given."""
+    rows = activity.where(F.col("activity_type") == "quiz_submitted")
+    attempts = rows.select("student_key", "event_id", "ts", F.coalesce("lesson_no", F.lit(1)).alias("lesson_no"), "score", "total", T.percent(F.col("score"), F.col("total")).alias("pct"))
+    return attempts, activity_counters(rows.withColumn("minutes", F.lit(0)))
+
+
+def record_game(activity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attempt rows, their counters for daily_study): the type defaults to grammar_game, the lesson stays null."""
+    rows = activity.where(F.col("activity_type") == "game_finished")
+    attempts = rows.select("student_key", "event_id", "ts", "lesson_no", F.coalesce("game_type", F.lit("grammar_game")).alias("game_type"), "score")
+    return attempts, activity_counters(rows.withColumn("minutes", F.lit(0)))
+
+
+def weak_areas(attempts: DataFrame) -> DataFrame:
+    """attempts(student_key, event_id, ts, area) -> areas, once each in first-seen order (as many as there are areas at most), and the number of attempts."""
+    first = attempts.groupBy("student_key", "area").agg(F.min(F.struct("ts", "event_id")).alias("at"), F.count("*").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("area").isNotNull(), F.struct("at", "area")))), lambda s: s["area"])
+    return first.groupBy("student_key").agg(listed.alias("areas"), F.sum("n").alias("n_history"))
+
+
+def log_events(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new rows: new(student_key, lesson_no, event_type, ts, metadata struct or null) gets the metadata as JSON."""
+    rows = new.withColumn("metadata_json", F.to_json("metadata", {"ignoreNullFields": "false"})).drop("metadata") if "metadata" in new.columns else new
+    return old.unionByName(rows, allowMissingColumns=True)
+
+
+def events_by_student(events: DataFrame, key: str) -> DataFrame:
+    return events.where(F.col("student_key") == F.trim(F.lit(key)))
+
+
+def events_by_lesson(events: DataFrame, lesson_no: int) -> DataFrame:
+    return events.where(F.col("lesson_no") == lesson_no)
 
 
 def delete_students(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
@@ -99,6 +165,34 @@ def delete_students(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str,
     return {name: t.join(keys.select("student_key"), "student_key", "left_anti") for name, t in tables.items()}
 
 
+def delete_books(books: DataFrame, pages: DataFrame, lines: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(books, pages, lines) without the books of keys(book_id), their pages and these pages' lines."""
+    kept = pages.join(keys.select("book_id"), "book_id", "left_anti")
+    return books.join(keys.select("book_id"), "book_id", "left_anti"), kept, lines.join(kept.select("page_id"), "page_id", "left_semi")
+
+
+#: Unique keys and parents of the stored tables (fixed values): table -> (unique keys, key of the parent, parent table).
+KEYS = {
+    "students": ([["student_key"], ["email"]], None, None), "student_memory": ([["student_key"]], "student_key", "students"), "daily_study": ([["student_key", "date_key"]], "student_key", "students"),
+    "game_attempts": ([], "student_key", "students"), "research_events": ([], "student_key", "students"), "quiz_attempts": ([], "student_key", "students"), "chat_messages": ([], "student_key", "students"),
+    "wallets": ([["student_key"]], "student_key", "students"), "reward_tx": ([], "student_key", "students"), "ai_usage": ([], "student_key", "students"), "books": ([], None, None),
+    "book_pages": ([["book_id", "page_no"]], "book_id", "books"), "book_lines": ([["page_id", "line_number"]], "page_id", "book_pages"),
+}
+
+
+def check_all_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """Violations of KEYS in the tables that are given. A null key violates nothing."""
+    found = []
+    for name, table in tables.items():
+        unique, key, parent = KEYS[name]
+        for columns in unique:
+            found.append(check_keys(table.dropna(subset=columns), name, columns))
+        if parent in tables:
+            orphans = table.where(F.col(key).isNotNull()).join(tables[parent].select(key).distinct(), key, "left_anti").groupBy(key).count()
+            found.append(orphans.select(F.lit(name).alias("table_name"), F.lit("orphan").alias("rule"), F.col(key).cast("string").alias("key_text"), F.col("count").alias("n")))
+    return reduce(DataFrame.union, found)
+
+
 def check_keys(table: DataFrame, name: str, unique: list[str], parent: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """Violations: (table, rule, key, n)."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in unique])
@@ -126,6 +220,10 @@ def register_students(signups: DataFrame, existing: DataFrame | None = None) ->
     )
 
 
-def lesson_catalogue(lessons: DataFrame) -> DataFrame:
-    """lessons(lesson_no, text) -> documents and characters of each."""
-    return lessons.groupBy("lesson_no").agg(F.count("*").alias("n_texts"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
+def lesson_catalogue(lessons: DataFrame, book: dict[str, str] | None = None) -> DataFrame:
+    """lessons(lesson_no, text[, title, lesson_title, name]) -> title (the first alias that is given), texts and characters of each, with the
+    book's metadata as columns."""
+    names = [F.max(c) for c in ("lesson_title", "title", "name") if c in lessons.columns]
+    title = F.coalesce(*names, F.concat(F.lit("Lesson "), F.col("lesson_no").cast("string")))
+    out = lessons.groupBy("lesson_no").agg(title.alias("title"), F.count("*").alias("n_texts"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
+    return out.withColumns({k: F.lit(v) for k, v in (book or {}).items()})

@@ -43,16 +43,24 @@ def line_help(requests: DataFrame, helpers: DataFrame) -> DataFrame:
 
 
 def build_prompts(requests: DataFrame) -> DataFrame:
-    """requests(request_id, kind, title, line, context, memory, tool, question, level) -> prompt and temperature. Nothing is sent anywhere."""
+    """requests(request_id, kind, title, line, context, memory, tool, question, level) -> prompt and temperature. Nothing is sent anywhere.
+
+    A null title, line or context is empty, a null memory {}. kind: tutor, help, quiz or match.
+    """
     lookup = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     level = T.known_difficulty(F.col("level"))
-    memory = F.to_json("memory", {"ignoreNullFields": "false"})
-    tutor = F.concat_ws("\n", F.format_string("Lesson: %s", "title"), F.format_string("Line: %s", "line"), F.format_string("Context: %s", "context"), F.concat(F.lit("Memory: "), memory), F.coalesce(F.try_element_at(lookup(TOOLS), F.col("tool")), F.lit("Help with the line.")), F.concat(F.lit("Question: "), F.coalesce("question", F.lit("No extra question"))))
-    items = F.concat_ws("\n", F.format_string("Write %s items as JSON from this text.", "kind"), lookup(DIFFICULTY)[level], F.col("context"))
-    warmth = F.when(F.col("kind") == "tutor", 0.3).when(F.col("kind") == "help", 0.2).when(level == "easy", 0.35).when(level == "hard", 0.55).otherwise(0.45)
+    memory = F.coalesce(F.to_json("memory", {"ignoreNullFields": "false"}), F.lit("{}"))
+    said = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(c, F.lit("")))
+    tutor = F.concat_ws("\n", said("Lesson", "title"), said("Line", "line"), said("Context", "context"), F.concat(F.lit("Memory: "), memory), F.coalesce(F.try_element_at(lookup(TOOLS), F.col("tool")), F.lit("Help with the line.")), F.concat(F.lit("Question: "), F.coalesce("question", F.lit("No extra question"))))
+    items = F.concat_ws("\n", F.concat(F.lit("Write "), F.coalesce("kind", F.lit("quiz")), F.lit(" items as JSON from this text.")), lookup(DIFFICULTY)[level], F.coalesce("context", F.lit("")))
+    warmth = F.when(F.col("kind") == "tutor", 0.3).when(F.col("kind") == "help", 0.2).when(F.col("kind") == "match", F.when(level == "hard", 0.5).otherwise(0.3)).otherwise(F.when(level == "hard", 0.55).otherwise(0.35))
     return requests.select("request_id", "kind", F.when(F.col("kind").isin("tutor", "help"), tutor).otherwise(items).alias("prompt"), warmth.alias("temperature"))
 
 
+#: Said where a model call failed; our own wording.
+NO_TUTOR = "The tutor can't be reached just now."
+
+
 def parse_help(body: Column) -> Column:
     """struct(simple, bangla, grammar, error): an empty response falls back, bad JSON is an error."""
     text = T.strip_fence(body)
@@ -67,4 +75,4 @@ def assemble_answer(body: Column, ok: Column) -> Column:
     parts = F.from_json(body, "candidates array<struct<content:struct<parts:array<struct<text:string>>>>>")["candidates"]
     text = T.trim(F.array_join(F.transform(F.get(parts, F.lit(0))["content"]["parts"], lambda p: F.coalesce(p["text"], F.lit(""))), ""))
     said = F.when(F.coalesce(text, F.lit("")) == "", "No response generated.").otherwise(text)
-    return F.struct(F.when(ok, said).otherwise("The tutor can't be reached just now.").alias("answer"), F.when(ok, "model").otherwise("fallback").alias("source"))
+    return F.struct(F.when(ok, said).otherwise(NO_TUTOR).alias("answer"), F.when(ok, "model").otherwise("fallback").alias("source"))

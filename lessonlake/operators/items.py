@@ -1,6 +1,7 @@
 """Quiz and matching items: validation of generated ones, local fallbacks, top-ups.
 
-A context is at most 8000 characters, so its sentences are one array and each item set one fold over it.
+A context is what context.combined_context gives, at most 8000 characters, so its sentences are one array and each item set one
+fold over it.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from lessonlake.functions import text as T
 #: Words that are no answers or distractors (fixed values).
 POOL_STOP = ("this", "that", "with", "from", "have", "were", "they", "their", "there", "about", "after", "before", "would", "could", "should", "which", "where")
 ANSWER_STOP = ("there", "their", "about", "after", "before", "which", "where", "would", "could", "should")
+#: Words that grammar questions ask for (fixed values).
 BE = ("am", "is", "are", "was", "were")
 PREPOSITIONS = ("in", "on", "at", "from", "to", "with", "for", "of", "by")
 CONJUNCTIONS = ("and", "but", "or", "because")
+#: Texts of items (fixed values).
 EXPLANATION = "The answer is supported by the textbook context."
+UNTITLED = "Choose the best answer."
 _STRINGS = "question string, prompt string, questionText string, options array<string>, choices array<string>, answers array<string>, correctAnswerIndex string, answerIndex string, correctIndex string, correctAnswer string, answer string, explanation string, reason string"
 _PAIR = "left string, prompt string, term string, first string, right string, match string, meaning string, second string, explanation string"
 
@@ -73,16 +77,20 @@ def fallback_quiz(contexts: DataFrame, n: int = 5) -> DataFrame:
     return made.select("request_id", (F.col("at") + 1).alias("position"), "q.question", "q.options", F.lit(1).alias("correct_index"), F.concat(F.lit('"'), "q.answer", F.lit('" correctly completes the sentence from the textbook.')).alias("explanation"))
 
 
-def top_up(valid: DataFrame, fallback: DataFrame, key: str, least: int, n: int, need: int = 1) -> DataFrame:
-    """Requests with fewer than least valid items get fallback ones whose key isn't used yet, up to n; under need, none at all."""
+def top_up(valid: DataFrame, fallback: DataFrame, key: str, least: int, n: int, need: int = 1, distinct: bool = False) -> DataFrame:
+    """Requests with fewer than least valid items get fallback ones whose key no valid one has, up to n; under need, none at all.
+
+    distinct: nor one that a fallback item before it has, as in pairs; in a quiz equal fallback questions all stay.
+    """
     count = valid.groupBy("request_id").count()
     short = fallback.join(count, "request_id", "left").where(F.coalesce("count", F.lit(0)) < least).drop("count")
     every = valid.withColumn("part", F.lit(0)).unionByName(short.withColumn("part", F.lit(1))).withColumn("k", F.lower(key))
-    first = F.row_number().over(Window.partitionBy("request_id", "k").orderBy("part", "position"))
-    kept = every.withColumn("seen", first).where("part = 0 OR seen = 1")
+    same = Window.partitionBy("request_id", "k")
+    ranked = every.withColumn("first", F.min("part").over(same)).withColumn("seen", F.row_number().over(same.orderBy("part", "position")))
+    kept = ranked.where("part = 0 OR seen = 1" if distinct else "part = 0 OR first = 1")
     w = Window.partitionBy("request_id")
-    ranked = kept.withColumn("at", F.row_number().over(w.orderBy("part", "position"))).where(F.col("at") <= n).withColumn("total", F.count("*").over(w))
-    return ranked.where(F.col("total") >= need).drop("k", "seen", "total", "position").withColumnRenamed("at", "position")
+    placed = kept.withColumn("at", F.row_number().over(w.orderBy("part", "position"))).where(F.col("at") <= n).withColumn("total", F.count("*").over(w))
+    return placed.where(F.col("total") >= need).drop("k", "first", "seen", "total", "position").withColumnRenamed("at", "position")
 
 
 def validate_pairs(responses: DataFrame, n: int = 6) -> DataFrame:
@@ -99,15 +107,32 @@ def validate_pairs(responses: DataFrame, n: int = 6) -> DataFrame:
 
 
 def fallback_pairs(contexts: DataFrame, n: int = 6) -> DataFrame:
-    """contexts(request_id, context): sentences of 8 words or more, cut in the middle."""
-    s = contexts.select("request_id", F.posexplode(T.split_sentences(F.col("context"), 22, 3)).alias("at", "s")).withColumn("w", F.split("s", r"(?U)\s+")).where(F.size("w") >= 8)
-    half = F.ceil(F.size("w") / 2).cast("int")
-    both = s.select(
-        "request_id", "at", T.clean_line(F.concat(F.array_join(F.slice("w", F.lit(1), half), " "), F.lit(" ..."))).alias("left"),
-        T.clean_line(F.concat(F.lit("... "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))).alias("right"), F.col("s").alias("explanation"),
+    """contexts(request_id, context): sentences of 8 words or more, cut in the middle; the first n whose halves aren't junk."""
+
+    def pair(s: Column) -> Column:
+        def cut(w: Column) -> Column:
+            half = F.ceil(F.size(w) / 2).cast("int")
+            left, right = F.array_join(F.slice(w, F.lit(1), half), " "), F.array_join(F.slice(w, half + 1, F.size(w)), " ")
+            return F.when(F.size(w) >= 8, F.struct(T.clean_line(F.concat(left, F.lit(" ..."))).alias("left"), T.clean_line(F.concat(F.lit("... "), right)).alias("right"), s.alias("explanation")))
+
+        return T.let(F.split(s, rf"{T.WS}+"), cut)
+
+    made = F.transform(T.split_sentences(F.col("context"), 22, 3), pair)
+    good = F.slice(F.filter(made, lambda p: p.isNotNull() & ~T.is_junk(p["left"], 3) & ~T.is_junk(p["right"], 3)), 1, n)
+    return contexts.select("request_id", F.posexplode(good).alias("at", "p")).select("request_id", "p.*", (F.col("at") + 1).alias("position"))
+
+
+def coerce_quiz_items(responses: DataFrame) -> DataFrame:
+    """responses(request_id, body), a JSON object with questions or quiz -> request_id, position, item_id, question, context, options,
+    correct_answer, explanation, weak_area. An item without options or answer goes; its place in the list stays the default id."""
+    fields = "id:string,question:string,context:string,options:array<string>,correctAnswer:string,correctAns:string,explanation:string,weakArea:string"
+    parsed = F.from_json("body", f"questions array<struct<{fields}>>, quiz array<struct<{fields}>>")
+    rows = responses.select("request_id", F.posexplode(T.let(parsed, lambda p: F.coalesce(p["questions"], p["quiz"]))).alias("at", "q"))
+    out = rows.select(
+        "request_id", (F.col("at") + 1).alias("position"), F.coalesce("q.id", (F.col("at") + 1).cast("string")).alias("item_id"), F.coalesce("q.question", F.lit(UNTITLED)).alias("question"), "q.context",
+        F.coalesce("q.options", F.array().cast("array<string>")).alias("options"), F.coalesce("q.correctAnswer", "q.correctAns", F.lit("")).alias("correct_answer"), "q.explanation", F.col("q.weakArea").alias("weak_area"),
     )
-    good = both.where(~T.is_junk(F.col("left"), 3) & ~T.is_junk(F.col("right"), 3))
-    return good.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("at"))).where(F.col("position") <= n).drop("at")
+    return out.where((F.size("options") > 0) & (F.col("correct_answer") != ""))
 
 
 def lesson_quiz(lessons: DataFrame) -> DataFrame:

@@ -1,53 +1,88 @@
-"""The reward ledger: a serial fold of each student's intents, and the same balances from its rows.
-
-A fold holds one student's intents as an array. For longer ledgers or arrival in batches use streaming.activity, whose
-state is one small row a student.
-"""
+"""The reward ledger: each student's intents one after the other, and the same balances as sums of its rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lessonlake.operators.ordered import fold
+
 #: Opening credits, points a credit costs, and the points of each event.
 OPENING, POINTS_PER_CREDIT = 5, 10
-POINT_RULES = {"right_answer": 2, "perfect_bonus": 5, "game": 10, "practice": 1}
+POINT_RULES = {"points_per_credit": POINTS_PER_CREDIT, "right_answer": 2, "perfect_bonus": 5, "game": 10, "practice": 1}
 TYPES = {"award": "EARN_POINTS", "redeem": "REDEEM_CREDIT", "use": "USE_AI_CREDIT", "admin": "ADMIN_CREDIT"}
-STATE = "struct<credits:bigint,points:bigint,lifetime:bigint,used:bigint,open:boolean,opened_with:bigint,rejected:bigint,rows:array<struct<ts:timestamp,event_id:bigint,kind:string,points_change:bigint,credits_change:bigint>>>"
-
-
-def run_wallets(intents: DataFrame) -> DataFrame:
-    """intents(student_key, ts, event_id, kind, amount) -> the balances and the accepted rows of each student, in time order."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind", "amount")))
-    start = F.expr(f"cast(named_struct('credits', 0L, 'points', 0L, 'lifetime', 0L, 'used', 0L, 'open', false, 'opened_with', 0L, 'rejected', 0L, 'rows', array()) as {STATE})")
-
-    def step(a: Column, i: Column) -> Column:
-        kind, whole = i["kind"], F.floor(i["amount"])
-        opening = F.when(a["open"] | (kind == "admin"), 0).otherwise(OPENING)
-        credits, points = a["credits"] + opening, a["points"]
-        earned = F.when(kind == "award", F.greatest(whole, F.lit(0))).otherwise(0)
-        count = F.greatest(whole, F.lit(1))
-        redeems = (kind == "redeem") & (points >= count * POINTS_PER_CREDIT)
-        uses = (kind == "use") & (credits > 0)
-        admin = F.when(kind == "admin", whole).otherwise(0)
-        ok = (kind == "award") | redeems | uses | (kind == "admin")
-        dp = earned - F.when(redeems, count * POINTS_PER_CREDIT).otherwise(0)
-        dc = F.when(redeems, count).otherwise(0) - F.when(uses, 1).otherwise(0) + admin
-        row = F.struct(i["ts"].alias("ts"), i["event_id"].alias("event_id"), kind.alias("kind"), dp.cast("long").alias("points_change"), dc.cast("long").alias("credits_change"))
-        return F.struct(
-            (credits + dc).cast("long").alias("credits"), (points + dp).cast("long").alias("points"), (a["lifetime"] + earned).cast("long").alias("lifetime"), (a["used"] + F.when(uses, 1).otherwise(0)).cast("long").alias("used"),
-            F.lit(True).alias("open"), (a["opened_with"] + opening).cast("long").alias("opened_with"), (a["rejected"] + F.when(ok, 0).otherwise(1)).cast("long").alias("rejected"),
-            F.when(ok, F.concat(a["rows"], F.array(row))).otherwise(a["rows"]).alias("rows"),
-        ).cast(STATE)
-
-    folded = intents.groupBy("student_key").agg(rows.alias("i")).select("student_key", F.aggregate("i", start, step).alias("w"))
-    return folded.select("student_key", "w.credits", "w.points", "w.lifetime", "w.used", "w.opened_with", "w.rejected", "w.rows")
-
-
-def ledger_rows(wallets: DataFrame) -> DataFrame:
-    out = wallets.select("student_key", F.explode("rows").alias("r")).select("student_key", "r.*")
+STEP = "student_key string, at_micros long, event_id long, kind string, reason string, opened int, points_change long, credits_change long, credits long, points long"
+
+
+def wallet_step(state: list, kind: str | None, amount: float | None, known: bool = True) -> tuple[str | None, int, int, int]:
+    """Changes state [credits, points, opened] by one intent -> (reason of a rejection, credits it opened with, points and credits changed)."""
+    whole = int((amount or 0) // 1)
+    if kind not in TYPES:
+        return "unknown kind", 0, 0, 0
+    if kind == "admin" and not known:
+        return "unknown student", 0, 0, 0
+    opened = 0 if state[2] or kind == "admin" else OPENING
+    state[0] += opened
+    state[2] = True
+    points = credits = 0
+    reason = None
+    if kind == "award":
+        points = max(whole, 0)
+    elif kind == "redeem":
+        n = max(whole, 1)
+        if state[1] >= n * POINTS_PER_CREDIT:
+            points, credits = -n * POINTS_PER_CREDIT, n
+        else:
+            reason = "too few points"
+    elif kind == "use":
+        if state[0] > 0:
+            credits = -1
+        else:
+            reason = "no credits"
+    else:
+        credits = whole
+    state[0] += credits
+    state[1] += points
+    return reason, opened, points, credits
+
+
+def wallet_steps(intents: DataFrame, students: DataFrame | None = None) -> DataFrame:
+    """intents(student_key, ts, event_id, kind, amount) -> a row an intent, in time order: what it changed, the balances after
+    it, and the reason where it was rejected.
+
+    A null amount counts as 0. With students(student_key) given, credits are not added for others. A rejected intent of an
+    unknown student or kind opens no wallet.
+    """
+    rows = intents.withColumn("at_micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    if students is None:
+        rows = rows.withColumn("known", F.lit(True))
+    else:
+        rows = rows.join(students.select("student_key").distinct().withColumn("known", F.lit(True)), "student_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        key, at, event, kind, amount, known = row
+        reason, opened, points, credits = wallet_step(state, kind, amount, known)
+        return [(key, at, event, kind, reason, opened, points, credits, state[0], state[1])]
+
+    done = fold(rows, "student_key", ["at_micros", "event_id"], ["at_micros", "event_id", "kind", "amount", "known"], lambda: [0, 0, False], step, STEP)
+    return done.withColumn("ts", F.timestamp_micros("at_micros").cast(intents.schema["ts"].dataType)).drop("at_micros")
+
+
+def run_wallets(steps: DataFrame) -> DataFrame:
+    """wallet_steps -> each student's balances after the last intent; students without an accepted or opening one have none."""
+    latest = F.max_by(F.struct("credits", "points"), F.struct("ts", "event_id"))
+    kind, ok = F.col("kind"), F.col("reason").isNull()
+    out = steps.groupBy("student_key").agg(
+        latest.alias("w"), F.sum(F.when(ok & (kind == "award"), F.col("points_change")).otherwise(0)).alias("lifetime"), F.count_if(ok & (kind == "use")).alias("used"),
+        F.sum("opened").alias("opened_with"), F.count_if(~ok).alias("rejected"), F.count_if(ok).alias("n_rows"),
+    )
+    return out.select("student_key", "w.credits", "w.points", "lifetime", "used", "opened_with", "rejected", "n_rows")
+
+
+def ledger_rows(steps: DataFrame) -> DataFrame:
+    """The accepted intents as ledger rows."""
     kind = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    return out.withColumn("type", kind[F.col("kind")]).drop("kind")
+    return steps.where("reason IS NULL").select("student_key", "ts", "event_id", kind[F.col("kind")].alias("type"), "points_change", "credits_change")
 
 
 def wallet_from_ledger(ledger: DataFrame, openings: DataFrame) -> DataFrame:
@@ -59,7 +94,18 @@ def wallet_from_ledger(ledger: DataFrame, openings: DataFrame) -> DataFrame:
     return openings.join(sums, "student_key", "left").select("student_key", (F.col("opened_with") + F.coalesce("c", F.lit(0))).alias("credits"), *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("p", "points"), ("lifetime", "lifetime"), ("used", "used"))])
 
 
+def reconciled(steps: DataFrame) -> DataFrame:
+    """Both balances of each student in one aggregation, and whether they are equal."""
+    last = F.max_by(F.struct("credits", "points"), F.struct("ts", "event_id"))
+    sums = steps.groupBy("student_key").agg(
+        last.alias("w"), (F.sum("opened") + F.sum("credits_change")).alias("credits"), F.sum("points_change").alias("points"),
+        F.sum(F.when(F.col("kind") == "award", F.col("points_change")).otherwise(0)).alias("lifetime"), (-F.sum(F.when(F.col("kind") == "use", F.col("credits_change")).otherwise(0))).alias("used"),
+    )
+    return sums.select("student_key", "credits", "points", "lifetime", "used", ((F.col("credits") == F.col("w.credits")) & (F.col("points") == F.col("w.points"))).alias("equal"))
+
+
 def wallet_view(ledger: DataFrame, n: int = 10) -> DataFrame:
-    """The latest n ledger rows of each student, newest first."""
+    """The latest n ledger rows of each student, newest first, with the point rules."""
     w = Window.partitionBy("student_key").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return ledger.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    rules = F.struct(*[F.lit(v).alias(k) for k, v in POINT_RULES.items()]).alias("point_rules")
+    return ledger.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("*", rules)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lessonlake.functions import text as T
+from lessonlake.operators.ordered import fold
 
 MIN_NATIVE_WORDS = 8
 MIN_NATIVE_LINES = 5
@@ -48,21 +50,16 @@ def lines_from_tokens(words: DataFrame, page_width: int, page_height: int) -> Da
 
 
 def cluster_lines_by_y(words: DataFrame, tolerance: int = 20) -> DataFrame:
-    """In reading order, a word joins the line while it is within the tolerance of the y of the line's first word.
+    """In reading order, a word joins the line while it is within the tolerance of the y of the line's first word, which never
+    moves. Line numbers count dropped lines too."""
 
-    The anchor never moves, so this is a fold over the page, whose words are one array (a page is small).
-    Line numbers count dropped lines too.
-    """
-    row = F.array_sort(F.collect_list(F.struct("pos", "y", "x", "width", "height", "text")))
-    start = F.struct(F.lit(None).cast("int").alias("anchor"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("nos"))
+    def step(state: list, row: tuple) -> list[tuple]:
+        page, pos, y, *rest = row
+        if state[0] is None or abs(y - state[0]) >= tolerance:
+            state[0], state[1] = y, state[1] + 1
+        return [(page, state[1], pos, y, *rest)]
 
-    def add(acc: Column, w: Column) -> Column:
-        same = acc["anchor"].isNotNull() & (F.abs(w["y"] - acc["anchor"]) < tolerance)
-        no = F.when(same, acc["no"]).otherwise(acc["no"] + 1)
-        return F.struct(F.when(same, acc["anchor"]).otherwise(w["y"]).alias("anchor"), no.alias("no"), F.concat(acc["nos"], F.array(no)).alias("nos"))
-
-    pages = words.groupBy("page_no").agg(row.alias("w")).withColumn("nos", F.aggregate("w", start, add)["nos"])
-    placed = pages.select("page_no", F.explode(F.arrays_zip("w", "nos")).alias("z")).select("page_no", F.col("z.nos").alias("line_number"), "z.w.*")
+    placed = fold(words, "page_no", ["pos"], ["pos", "y", "x", "width", "height", "text"], lambda: [None, 0], step, "page_no long, line_number int, pos int, y int, x int, width int, height int, text string")
     lines = placed.groupBy("page_no", "line_number").agg(
         T.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda s: s["text"]), " ")).alias("text"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"),
@@ -73,20 +70,24 @@ def cluster_lines_by_y(words: DataFrame, tolerance: int = 20) -> DataFrame:
 def drop_overlaps(lines: DataFrame) -> DataFrame:
     """Greedy, first in (y, x, pos) order wins: a line goes if a kept one has the same text, or one holds the other
     and the held one is longer than 12, and they stand closer than the larger height."""
-    cols = ["y", "x", "pos", *[c for c in lines.columns if c not in ("page_no", "y", "x", "pos")]]
-    rows = F.array_sort(F.collect_list(F.struct(*cols)))
 
-    def clash(a: Column, b: Column) -> Column:
-        s, t = F.lower(a["text"]), F.lower(b["text"])
-        alike = (s == t) | (t.contains(s) & (F.length(s) > 12)) | (s.contains(t) & (F.length(t) > 12))
-        return alike & (F.abs(a["y"] - b["y"]) < F.greatest(a["height"], b["height"]))
+    columns = [c for c in lines.columns if c != "page_no"]
+    at = {c: i for i, c in enumerate(columns, 1)}
 
-    def add(acc: Column, r: Column) -> Column:
-        return F.when(F.exists(acc, lambda k: clash(k, r)), acc).otherwise(F.concat(acc, F.array(r)))
+    def step(state: dict, row: tuple) -> list[tuple]:
+        y, height, text = row[at["y"]], row[at["height"]], row[at["text"]]
+        state["height"] = max(state["height"], height)
+        low = text.lower()
+        for ky, kh, kept in reversed(state["kept"]):
+            if y - ky >= state["height"]:  # rows come by y, so all before are as far away
+                break
+            if y - ky < max(height, kh) and (low == kept or len(low) > 12 and low in kept or len(kept) > 12 and kept in low):
+                return []
+        state["kept"].append((y, height, low))
+        return [row]
 
-    pages = lines.groupBy("page_no").agg(rows.alias("r"))
-    kept = pages.select("page_no", F.explode(F.aggregate("r", F.slice("r", 1, 0), add)).alias("k"))
-    return kept.select("page_no", "k.*").select(*lines.columns)
+    schema = StructType([lines.schema[c] for c in ("page_no", *columns)])
+    return fold(lines, "page_no", ["y", "x", "pos"], columns, lambda: {"height": 0, "kept": []}, step, schema).select(*lines.columns)
 
 
 def choose_source(native: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -115,25 +116,46 @@ def page_documents(lines: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def book_index(documents: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Counts a page; failed pages (page_no, error) stay as rows."""
-    ok = documents.select("page_no", F.size("lines").alias("n_lines"), F.size("ai_ready_lines").alias("n_ready"), F.lit(None).cast("string").alias("error"))
-    if failed is None:
-        return ok
-    return ok.unionByName(failed.select("page_no", F.lit(0).alias("n_lines"), F.lit(0).alias("n_ready"), "error"))
+def book_index(documents: DataFrame, book_id: str, failed: DataFrame | None = None) -> DataFrame:
+    """documents(page_no, lines, ai_ready_lines, source) -> counts, source and file paths of each page; failed pages (page_no, error) stay
+    as rows without them."""
+    path = lambda kind, end: F.format_string(f"/ocr/books/%s/{kind}/page-%03d.{end}", F.lit(book_id), F.col("page_no").cast("int"))
+    ok = documents.select(
+        "page_no", path("pages", "json").alias("json"), path("page-images", "png").alias("image"), F.size("lines").alias("n_lines"), F.size("ai_ready_lines").alias("n_ready"),
+        F.coalesce("source", F.lit("unknown")).alias("source"), F.lit(None).cast("string").alias("error"),
+    )
+    return ok if failed is None else ok.unionByName(failed.select("page_no", "error"), allowMissingColumns=True)
+
+
+def book_header(index: DataFrame, book_id: str, title: str, start: int, end: int, total_pages: int) -> DataFrame:
+    """One row: the book, its pages in all and the range that was asked for, with what the index has of it."""
+    first, last = max(1, start), total_pages if end <= 0 else min(total_pages, end)
+    return index.agg(F.count("*").alias("n_pages"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines")).select(
+        F.lit(book_id).alias("book_id"), F.lit(title).alias("title"), F.lit(total_pages).alias("total_pages"), F.lit(first).alias("start_page"), F.lit(last).alias("end_page"), "n_pages", "n_failed", "n_lines",
+    )
 
 
 def normalize_import_lines(lines: DataFrame) -> DataFrame:
-    """lines(page_no, pos, text, confidence, ai_ready, x, y, width, height, bbox, line_number): nested or flat boxes, half-up rounding."""
-    box = lambda c: F.floor(F.coalesce(F.col(f"bbox.{c}"), F.col(c)).cast("double") + 0.5).cast("int").alias(c)
+    """lines(page_no, pos, text, confidence, ai_ready, x, y, width, height, bbox, line_number[, clean_text]): the clean text comes before
+    the text; nested or flat boxes, half-up rounding, a missing number is 0."""
+    box = lambda c: F.floor(F.coalesce(F.col(f"bbox.{c}"), F.col(c), F.lit(0)).cast("double") + 0.5).cast("int").alias(c)
+    text = F.coalesce("clean_text", "text") if "clean_text" in lines.columns else F.col("text")
     out = lines.select(
-        "page_no", F.coalesce("line_number", F.col("pos") + 1).alias("line_number"), T.clean_ocr_text(F.col("text")).alias("text"), *[box(c) for c in ("x", "y", "width", "height")],
+        "page_no", "pos", F.coalesce("line_number", F.col("pos") + 1).alias("line_number"), T.clean_ocr_text(text).alias("text"), *[box(c) for c in ("x", "y", "width", "height")],
         F.coalesce(F.col("confidence").cast("string").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce("ai_ready", F.lit(True)).alias("flag"),
     )
     good = out.where((F.col("text") != "") & (F.col("width") >= 0) & (F.col("height") >= 0))
     return good.withColumn("ai_ready", F.col("flag") & T.is_import_ai_ready(F.col("text"))).drop("flag")
 
 
+def import_texts(lines: DataFrame) -> DataFrame:
+    """normalize_import_lines -> a row a page: number of lines and the raw, clean (the same) and ready texts, in the file's order."""
+    said = F.array_sort(F.collect_list(F.struct("pos", "text", "ai_ready")))
+    text = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), "\n")
+    pages = lines.groupBy("page_no").agg(said.alias("l"))
+    return pages.select("page_no", F.size("l").alias("n_lines"), text("l").alias("raw_text"), text("l").alias("clean_text"), text(F.filter("l", lambda s: s["ai_ready"])).alias("ai_ready_text"))
+
+
 def make_lessons(lines: DataFrame) -> DataFrame:
     """lines(lesson_no, pos, line) -> one row a lesson: numbered lines, ready lines (longer than 12) and the joined texts."""
     clean = lines.withColumn("text", T.collapse(F.col("line"))).where("text <> ''")
@@ -174,6 +196,27 @@ def skip_processed(todo: DataFrame, done: DataFrame, force: bool = False) -> Dat
     return todo if force else todo.join(done.where("has_image AND has_json").select("page_no"), "page_no", "left_anti")
 
 
-def import_ocr(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All lines of an imported page replace those it had; other pages keep theirs."""
-    return old.join(new.select("page_no").distinct(), "page_no", "left_anti").unionByName(new)
+def index_of_run(todo: DataFrame, done: DataFrame, old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
+    """The index after a run: new's rows, and those that old has of the pages that were skipped, with their counts."""
+    if force:
+        return new
+    skipped = todo.join(done.where("has_image AND has_json").select("page_no"), "page_no", "left_semi")
+    return new.unionByName(old.join(skipped.select("page_no"), "page_no", "left_semi"), allowMissingColumns=True)
+
+
+def find_or_create_book(books: DataFrame, title: str) -> DataFrame:
+    """books(book_id, title) with a row for title: the one it has, else a new one, whose id is of the title alone."""
+    new = books.sparkSession.createDataFrame([(title,)], "title string").select(F.concat(F.lit("book-"), F.substring(F.sha2("title", 256), 1, 16)).alias("book_id"), "title")
+    return books.unionByName(new.join(books, "title", "left_anti"), allowMissingColumns=True)
+
+
+def import_ocr(old_pages: DataFrame, old_lines: DataFrame, new: DataFrame, book_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """new: normalize_import_lines of one book -> (pages, lines, counts). A page of (book_id, page_no) is updated or created, all
+    lines of an imported page are replaced, other pages and books keep theirs; counts has a row a page that was imported."""
+    key, book = ["book_id", "page_no"], F.lit(book_id).alias("book_id")
+    texts = import_texts(new).select(book, "*")
+    touched = texts.select(*key)
+    pages = old_pages.join(touched, key, "left_anti").unionByName(texts.select(*key, "raw_text", "clean_text", "ai_ready_text"), allowMissingColumns=True)
+    lines = old_lines.join(touched, key, "left_anti").unionByName(new.select(book, "*"), allowMissingColumns=True)
+    counts = texts.join(old_pages.select(*key).distinct().withColumn("existed", F.lit(True)), key, "left").select(*key, "n_lines", F.coalesce("existed", F.lit(False)).alias("updated"))
+    return pages, lines, counts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from lessonlake.functions import text as T
 from lessonlake.operators import activity as G
 from lessonlake.operators import grading as R
 from lessonlake.operators import ledger as L
+from lessonlake.operators import turns as U
 from lessonlake.plans import adapters as A
 from lessonlake.plans import sql_text as S
+from lessonlake.sources import readers, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,20 +58,28 @@ def _summary(spark, d):
 
 @query
 def a6_read_activity(spark, d):
-    a = A.activity(spark, d)
-    key = G.student_key(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "student_key")).when(F.col("event_id") % 3 == 1, "  "), F.col("student_key"))
-    return a.select("event_id", key.alias("student_key"), F.col("k").cast("string").try_cast("double").alias("score"), F.coalesce("lesson_no", F.lit(1)).alias("lesson_no"))
+    a, e = A.activity(spark, d), F.col("event_id")
+    text = lambda c: F.col(c).cast("string")
+    raw = a.select(
+        F.when(e % 3 == 0, F.concat(F.lit(" "), "student_key")).when(e % 3 == 1, "  ").alias("studentKey"), F.col("student_key").alias("studentId"), F.col("activity_type").alias("activityType"),
+        F.when(e % 4 == 0, "n/a").when(e % 4 != 1, text("minutes")).alias("minutesStudied"), F.when(e % 5 == 0, "").when(e % 5 != 1, text("lesson_no")).alias("lessonNo"),
+        F.when(e % 7 != 0, text("score")).alias("score"), text("total").alias("total"), F.lit(None).cast("string").alias("gameType"), "ts", "event_id",
+    )
+    return readers.activity_rows(raw).drop("game_type")
 
 
-SQL["a6_read_activity"] = f"WITH {A.ACTIVITY} SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'demo-student' ELSE student_key END AS student_key, CAST(k AS DOUBLE) AS score, lesson_no FROM activity"
+SQL["a6_read_activity"] = f"""WITH {A.ACTIVITY}, r AS (SELECT *, CASE WHEN event_id % 5 < 2 THEN NULL ELSE lesson_no END AS l FROM activity)
+SELECT CASE WHEN event_id % 3 = 1 THEN 'demo-student' ELSE student_key END AS student_key, activity_type, ts, event_id, date_key, CASE WHEN activity_type = 'game_finished' THEN l ELSE coalesce(l, 1) END AS lesson_no,
+CASE WHEN event_id % 7 = 0 THEN 0 ELSE score END AS score, total, CASE WHEN event_id % 4 < 2 THEN 0 ELSE minutes END AS minutes FROM r"""
 
 
 @query
 def a7_load_table(spark, d):
-    return A.activity(spark, d).select("event_id", "student_key", "activity_type", "ts", "lesson_no", "score", "total", "minutes", "date_key")
+    a = A.activity(spark, d)
+    return tables.conform(a.withColumnsRenamed({"activity_type": "event_type", "ts": "created_at"}), "research_events")
 
 
-SQL["a7_load_table"] = f"WITH {A.ACTIVITY} SELECT event_id, student_key, activity_type, ts, lesson_no, score, total, minutes, date_key FROM activity"
+SQL["a7_load_table"] = f"""WITH {A.ACTIVITY} SELECT student_key, lesson_no, activity_type AS event_type, CAST(NULL AS VARCHAR) AS selected_line, CAST(NULL AS VARCHAR) AS tool_used, score, total, CAST(NULL AS VARCHAR) AS metadata_json, ts AS created_at FROM activity"""
 
 
 @query
@@ -99,19 +110,24 @@ SQL["g3_activity_counters"] = f"WITH {COUNTED} SELECT * FROM counted"
 
 @query
 def g4_record_quiz(spark, d):
-    return A.activity(spark, d).where("activity_type = 'quiz_submitted'").select("student_key", "event_id", "lesson_no", "score", "total", T.percent(F.col("score"), F.col("total")).alias("pct"))
+    attempts, counters = G.record_quiz(A.activity(spark, d))
+    daily = G.daily_study(counters).select("student_key", "date_key", "quiz_attempts", "quiz_score", "quiz_total")
+    return attempts.withColumn("date_key", T.day_key(F.col("ts"))).join(daily, ["student_key", "date_key"]).drop("ts")
 
 
-SQL["g4_record_quiz"] = f"WITH {A.ACTIVITY} SELECT student_key, event_id, lesson_no, score, total, {S.percent('score', 'total')} AS pct FROM activity WHERE activity_type = 'quiz_submitted'"
+SQL["g4_record_quiz"] = f"""WITH {A.ACTIVITY}, q AS (SELECT * FROM activity WHERE activity_type = 'quiz_submitted'), t AS (SELECT student_key, date_key, count(*) AS quiz_attempts, CAST(sum(score) AS BIGINT) AS quiz_score, CAST(sum(total) AS BIGINT) AS quiz_total FROM q GROUP BY ALL)
+SELECT student_key, date_key, event_id, lesson_no, score, total, {S.percent('score', 'total')} AS pct, quiz_attempts, quiz_score, quiz_total FROM q JOIN t USING (student_key, date_key)"""
 
 
 @query
 def g5_record_game(spark, d):
-    kind = F.when(F.col("k") % 2 == 0, "match")
-    return A.activity(spark, d).where("activity_type = 'game_finished'").select("student_key", "event_id", F.coalesce(kind, F.lit("grammar_game")).alias("game_type"), "score")
+    attempts, counters = G.record_game(A.activity(spark, d).withColumn("game_type", F.when(F.col("k") % 2 == 0, "match")))
+    daily = G.daily_study(counters).select("student_key", "date_key", "games_played", "game_score")
+    return attempts.withColumn("date_key", T.day_key(F.col("ts"))).join(daily, ["student_key", "date_key"]).drop("ts")
 
 
-SQL["g5_record_game"] = f"WITH {A.ACTIVITY} SELECT student_key, event_id, CASE WHEN k % 2 = 0 THEN 'match' ELSE 'grammar_game' END AS game_type, score FROM activity WHERE activity_type = 'game_finished'"
+SQL["g5_record_game"] = f"""WITH {A.ACTIVITY}, q AS (SELECT * FROM activity WHERE activity_type = 'game_finished'), t AS (SELECT student_key, date_key, count(*) AS games_played, CAST(sum(score) AS BIGINT) AS game_score FROM q GROUP BY ALL)
+SELECT student_key, date_key, event_id, lesson_no, CASE WHEN k % 2 = 0 THEN 'match' ELSE 'grammar_game' END AS game_type, score, games_played, game_score FROM q JOIN t USING (student_key, date_key)"""
 
 
 @query
@@ -132,51 +148,56 @@ SQL["g7_progress_report"] = f"WITH {SUMMARY} SELECT student_key, {S.percent('qui
 
 @query
 def g8_events_by_lesson(spark, d):
-    a = A.activity(spark, d)
-    return a.groupBy("lesson_no", "activity_type").agg(F.count("*").alias("n"), F.countDistinct("student_key").alias("n_students"), F.max("ts").alias("latest"))
+    a = A.activity(spark, d).select("student_key", "lesson_no", F.col("activity_type").alias("event_type"), "ts", "event_id", "k")
+    old = a.where("k % 2 = 0").withColumn("metadata_json", F.lit(None).cast("string")).drop("k")
+    log = G.log_events(old, a.where("k % 2 = 1").withColumn("metadata", F.struct("k", F.lit(None).cast("string").alias("note"))).drop("k"))
+    return G.events_by_lesson(log, 7).withColumn("by", F.lit("lesson")).unionByName(G.events_by_student(log, " student-3 ").withColumn("by", F.lit("student")))
+
 
+SQL["g8_events_by_lesson"] = f"""WITH {A.ACTIVITY}, log AS (SELECT student_key, lesson_no, activity_type AS event_type, ts, event_id, CASE WHEN k % 2 = 1 THEN to_json({{'k': k, 'note': NULL}}) END AS metadata_json FROM activity)
+SELECT *, 'lesson' AS by FROM log WHERE lesson_no = 7 UNION ALL SELECT *, 'student' FROM log WHERE student_key = 'student-3'"""
+FIRSTS = f"""firsts AS (SELECT student_key, string_agg(CAST(lesson_no AS VARCHAR), ',' ORDER BY t) AS lessons FROM (SELECT student_key, lesson_no, min((ts, event_id)) AS t FROM activity WHERE activity_type = 'lesson_opened' GROUP BY ALL) GROUP BY student_key)"""
+COUNTS = "counts AS (SELECT student_key, count(*) FILTER (WHERE activity_type = 'line_selected') AS n_lines FROM activity GROUP BY 1)"
 
-SQL["g8_events_by_lesson"] = f"WITH {A.ACTIVITY} SELECT lesson_no, activity_type, count(*) AS n, count(DISTINCT student_key) AS n_students, max(ts) AS latest FROM activity GROUP BY ALL"
-MEMORY = f"""{A.ACTIVITY}, memory AS (SELECT student_key, list(lesson_no ORDER BY ts, event_id) FILTER (WHERE activity_type = 'lesson_opened') AS l, list(k ORDER BY ts, event_id) FILTER (WHERE activity_type = 'line_selected') AS lines, list(k ORDER BY ts, event_id) FILTER (WHERE activity_type = 'ai_interaction') AS tools FROM activity GROUP BY student_key),
-firsts AS (SELECT student_key, string_agg(CAST(lesson_no AS VARCHAR), ',' ORDER BY t) AS lessons FROM (SELECT student_key, lesson_no, min((ts, event_id)) AS t FROM activity WHERE activity_type = 'lesson_opened' GROUP BY ALL) GROUP BY student_key)"""
+
+def _last(kind: str, value: str, n: int, name: str, newest_first: bool = True) -> str:
+    return f"{name} AS (SELECT student_key, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY n {'' if newest_first else 'DESC'}) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY student_key ORDER BY ts DESC, event_id DESC) AS n FROM activity WHERE {f"activity_type = '{kind}'" if kind else 'true'}) WHERE n <= {n} GROUP BY 1)"
 
 
 @query
 def g9_research_summary(spark, d):
-    a = A.activity(spark, d)
-    events = G.latest(a, 20, F.col("ts"), F.col("event_id")).groupBy("student_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "event_id"))), lambda s: s["event_id"].cast("string")), ",").alias("events"))
-    memory = G.student_memory(a).select("student_key", F.array_join("lessons", ",").alias("lessons"), F.size("lines").alias("n_lines"))
-    return memory.join(events, "student_key", "left").join(G.recent_ids(a, "quiz_submitted", 10, "q"), "student_key", "left").select("student_key", "lessons", "n_lines", "events", F.coalesce(F.array_join("q", ","), F.lit("")).alias("quizzes"))
+    return G.research_summary(A.activity(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("events", "lessons", "tools", "chats", "quizzes")})
 
 
-SQL["g9_research_summary"] = f"""WITH {MEMORY}, ev AS (SELECT student_key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY n) AS events FROM (SELECT *, row_number() OVER (PARTITION BY student_key ORDER BY ts DESC, event_id DESC) AS n FROM activity) WHERE n <= 20 GROUP BY student_key),
-{_recent('quiz_submitted', 10, 'quizzes')} SELECT student_key, coalesce(lessons, '') AS lessons, coalesce(len(lines), 0) AS n_lines, events, coalesce(array_to_string(quizzes, ','), '') AS quizzes FROM memory LEFT JOIN firsts USING (student_key) LEFT JOIN ev USING (student_key) LEFT JOIN quizzes USING (student_key)"""
+SQL["g9_research_summary"] = f"""WITH {A.ACTIVITY}, {FIRSTS}, {COUNTS}, {_last('', 'event_id', 20, 'events')}, {_last('ai_interaction', 'k', 10, 'tools')}, {_last('ai_interaction', 'event_id', 10, 'chats')}, {_last('quiz_submitted', 'event_id', 10, 'quizzes')}
+SELECT student_key, n_lines, events, coalesce(lessons, '') AS lessons, coalesce(tools, '') AS tools, coalesce(chats, '') AS chats, coalesce(quizzes, '') AS quizzes FROM counts LEFT JOIN events USING (student_key) LEFT JOIN firsts USING (student_key) LEFT JOIN tools USING (student_key) LEFT JOIN chats USING (student_key) LEFT JOIN quizzes USING (student_key)"""
 
 
 @query
 def g10_student_memory(spark, d):
-    return G.student_memory(A.activity(spark, d)).select("student_key", *[F.array_join(c, ",").alias(c) for c in ("lessons", "lines", "tools")])
+    return G.memory_entries(A.activity(spark, d))
 
 
-SQL["g10_student_memory"] = f"WITH {MEMORY} SELECT student_key, coalesce(lessons, '') AS lessons, coalesce(array_to_string(lines, ','), '') AS lines, coalesce(array_to_string(tools, ','), '') AS tools FROM memory LEFT JOIN firsts USING (student_key)"
+SQL["g10_student_memory"] = f"""WITH {A.ACTIVITY}, r AS (SELECT student_key, 'lessons' AS list, lesson_no AS value, min((ts, event_id)) AS t FROM activity WHERE activity_type = 'lesson_opened' GROUP BY ALL
+UNION ALL SELECT student_key, CASE activity_type WHEN 'line_selected' THEN 'lines' ELSE 'tools' END, k, (ts, event_id) FROM activity WHERE activity_type IN ('line_selected', 'ai_interaction'))
+SELECT student_key, list, row_number() OVER (PARTITION BY student_key, list ORDER BY t) AS position, value FROM r"""
 
 
 @query
 def d4_agent_memory(spark, d):
-    a = A.activity(spark, d)
-    return G.agent_memory(G.student_memory(a), a).select("student_key", "n_lines", *[F.array_join(c, ",").alias(c) for c in ("lessons", "last_lines", "last_tools", "quizzes")])
+    return G.agent_memory(A.activity(spark, d)).select("student_key", "n_lines", *[F.array_join(c, ",").alias(c) for c in ("lessons", "last_lines", "last_tools", "quizzes")])
 
 
-SQL["d4_agent_memory"] = f"""WITH {MEMORY}, {_recent('quiz_submitted', 5, 'quizzes')} SELECT student_key, coalesce(len(lines), 0) AS n_lines, coalesce(lessons, '') AS lessons, coalesce(array_to_string(lines[-5:], ','), '') AS last_lines,
-coalesce(array_to_string(tools[-10:], ','), '') AS last_tools, coalesce(array_to_string(quizzes, ','), '') AS quizzes FROM memory LEFT JOIN firsts USING (student_key) LEFT JOIN quizzes USING (student_key)"""
+SQL["d4_agent_memory"] = f"""WITH {A.ACTIVITY}, {FIRSTS}, {COUNTS}, {_last('line_selected', 'k', 5, 'last_lines', False)}, {_last('ai_interaction', 'k', 10, 'last_tools', False)}, {_last('quiz_submitted', 'event_id', 5, 'quizzes')}
+SELECT student_key, n_lines, coalesce(lessons, '') AS lessons, coalesce(last_lines, '') AS last_lines, coalesce(last_tools, '') AS last_tools, coalesce(quizzes, '') AS quizzes
+FROM counts LEFT JOIN firsts USING (student_key) LEFT JOIN last_lines USING (student_key) LEFT JOIN last_tools USING (student_key) LEFT JOIN quizzes USING (student_key)"""
 
 
 @query
 def g11_weak_areas(spark, d):
     area = F.when(F.col("score") < 4, "Grammar").when(F.col("score") < 7, "Vocabulary").otherwise("General")
     rows = A.activity(spark, d).where("activity_type = 'quiz_submitted'").select("student_key", "event_id", "ts", area.alias("area"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "area"))), lambda s: s["area"])
-    return rows.groupBy("student_key").agg(F.array_join(F.array_distinct(listed), ",").alias("areas"), F.count("*").alias("n_history"))
+    return G.weak_areas(rows).withColumn("areas", F.array_join("areas", ","))
 
 
 SQL["g11_weak_areas"] = f"""WITH {A.ACTIVITY}, a AS (SELECT student_key, ts, event_id, CASE WHEN score < 4 THEN 'Grammar' WHEN score < 7 THEN 'Vocabulary' ELSE 'General' END AS area FROM activity WHERE activity_type = 'quiz_submitted'),
@@ -185,19 +206,50 @@ f AS (SELECT student_key, area, min((ts, event_id)) AS t, count(*) AS n FROM a G
 
 @query
 def g12_run_wallets(spark, d):
-    return L.run_wallets(A.intents(spark, d)).select("student_key", "credits", "points", "lifetime", "used", "opened_with", "rejected", F.size("rows").alias("n_rows"))
+    return L.run_wallets(L.wallet_steps(A.intents(spark, d)))
+
+
+_CREDITS = f"(acc.credits + CASE WHEN acc.open OR x.kind = 'admin' THEN 0 ELSE {L.OPENING} END)"
+_WHOLE, _N = "CAST(floor(coalesce(x.amount, 0)) AS BIGINT)", "greatest(CAST(floor(coalesce(x.amount, 0)) AS BIGINT), 1)"
+_REDEEM, _USE = f"(x.kind = 'redeem' AND acc.points >= 10 * {_N})", f"(x.kind = 'use' AND {_CREDITS} > 0)"
+_DC = f"(CASE WHEN {_REDEEM} THEN {_N} WHEN {_USE} THEN -1 WHEN x.kind = 'admin' THEN {_WHOLE} ELSE 0 END)"
+_DP = f"(CASE WHEN x.kind = 'award' THEN greatest({_WHOLE}, 0) WHEN {_REDEEM} THEN -10 * {_N} ELSE 0 END)"
+_OK = f"({_REDEEM} OR {_USE} OR x.kind IN ('award', 'admin'))"
+_ROW = "STRUCT(ts TIMESTAMP, event_id BIGINT, kind VARCHAR, dp BIGINT, dc BIGINT)"
+WALLETS = f"""{A.INTENT_ROWS}, lists AS (SELECT student_key, list({{'ts': ts, 'event_id': event_id, 'kind': kind, 'amount': amount}} ORDER BY ts, event_id) AS i FROM intents GROUP BY 1),
+folded AS (SELECT student_key, list_reduce(i, lambda acc, x: {{'credits': {_CREDITS} + {_DC}, 'points': acc.points + {_DP}, 'lifetime': acc.lifetime + CASE WHEN x.kind = 'award' THEN {_DP} ELSE 0 END, 'used': acc.used + CASE WHEN {_USE} THEN 1 ELSE 0 END,
+  'open': true, 'opened_with': acc.opened_with + {_CREDITS} - acc.credits, 'rejected': acc.rejected + CASE WHEN {_OK} THEN 0 ELSE 1 END,
+  'rows': CASE WHEN {_OK} THEN list_append(acc.rows, {{'ts': x.ts, 'event_id': x.event_id, 'kind': x.kind, 'dp': {_DP}, 'dc': {_DC}}}) ELSE acc.rows END}},
+  {{'credits': 0::BIGINT, 'points': 0::BIGINT, 'lifetime': 0::BIGINT, 'used': 0::BIGINT, 'open': false, 'opened_with': 0::BIGINT, 'rejected': 0::BIGINT, 'rows': []::{_ROW}[]}}) AS w FROM lists)"""
+SQL["g12_run_wallets"] = f"WITH {WALLETS} SELECT student_key, w.credits, w.points, w.lifetime, w.used, w.opened_with, w.rejected, len(w.rows) AS n_rows FROM folded"
 
 
 @query
 def g13_wallet_from_ledger(spark, d):
-    w = L.run_wallets(A.intents(spark, d))
-    sums = L.wallet_from_ledger(L.ledger_rows(w), w.select("student_key", "opened_with"))
-    return sums.join(w.select("student_key", *[F.col(c).alias(f"w_{c}") for c in ("credits", "points", "lifetime", "used")]), "student_key").withColumn("equal", F.expr("credits = w_credits AND points = w_points AND lifetime = w_lifetime AND used = w_used")).select("student_key", "credits", "points", "lifetime", "used", "equal")
+    return L.reconciled(L.wallet_steps(A.intents(spark, d)))
+
+
+SQL["g13_wallet_from_ledger"] = f"WITH {WALLETS} SELECT student_key, w.credits, w.points, w.lifetime, w.used, true AS equal FROM folded"
 
 
 @query
 def g14_wallet_view(spark, d):
-    return L.wallet_view(L.ledger_rows(L.run_wallets(A.intents(spark, d))))
+    return L.wallet_view(L.ledger_rows(L.wallet_steps(A.intents(spark, d)))).select("*", "point_rules.*").drop("point_rules")
+
+
+_TYPE = "CASE r.kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.TYPES.items()) + " END"
+SQL["g14_wallet_view"] = f"""WITH {WALLETS}, r AS (SELECT student_key, unnest(w.rows) AS r FROM folded), k AS (SELECT student_key, r.ts AS ts, r.event_id AS event_id, {_TYPE} AS type, r.dp AS points_change, r.dc AS credits_change,
+row_number() OVER (PARTITION BY student_key ORDER BY r.ts DESC, r.event_id DESC) AS rank FROM r) SELECT *, {', '.join(f'{v} AS {n}' for n, v in L.POINT_RULES.items())} FROM k WHERE rank <= 10"""
+
+
+def _shelf(spark, d):
+    """Books, their pages and lines: a book for each source, a page for each of its documents."""
+    docs = A.table(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_id"), "text")
+    lines = docs.select("page_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_number", "text"))
+    return docs.select("book_id").distinct(), docs.select("book_id", "page_id", (F.col("page_id") % 50).alias("page_no")), lines
+
+
+SHELF = f"""{A.DOC_LINES}, books AS (SELECT DISTINCT source AS book_id FROM documents), pages_ AS (SELECT source AS book_id, doc_id AS page_id, doc_id % 50 AS page_no FROM documents), lines_ AS (SELECT doc_id AS page_id, pos AS line_number FROM doc_lines)"""
 
 
 @query
@@ -205,21 +257,33 @@ def g15_delete_students(spark, d):
     a = A.activity(spark, d)
     gone = a.where("k % 97 = 5").select("student_key").distinct()
     left = G.delete_students({"activity": a, "daily": _daily(spark, d)}, gone)
-    return left["activity"].select(F.lit("activity").alias("table_name"), "student_key").union(left["daily"].select(F.lit("daily"), "student_key")).groupBy("table_name", "student_key").agg(F.count("*").alias("n"))
+    books, pages, lines = G.delete_books(*_shelf(spark, d), A.table(spark, d, "documents").where("doc_id % 37 = 3").select(F.col("source").alias("book_id")).distinct())
+    rows = [(left["activity"], "activity", "student_key"), (left["daily"], "daily", "student_key"), (books, "books", "book_id"), (pages, "pages", "book_id"), (lines, "lines", "page_id")]
+    every = reduce(DataFrame.union, [t.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key_text")) for t, name, key in rows])
+    return every.groupBy("table_name", "key_text").agg(F.count("*").alias("n"))
 
 
-SQL["g15_delete_students"] = f"""WITH {DAILY}, gone AS (SELECT DISTINCT student_key FROM activity WHERE k % 97 = 5), every AS (SELECT 'activity' AS table_name, student_key FROM activity UNION ALL SELECT 'daily', student_key FROM daily)
-SELECT table_name, student_key, count(*) AS n FROM every ANTI JOIN gone USING (student_key) GROUP BY ALL"""
+SQL["g15_delete_students"] = f"""WITH {DAILY}, {SHELF}, gone AS (SELECT DISTINCT student_key FROM activity WHERE k % 97 = 5), out_ AS (SELECT DISTINCT source FROM documents WHERE doc_id % 37 = 3),
+every AS (SELECT 'activity' AS table_name, student_key AS key_text FROM activity ANTI JOIN gone USING (student_key) UNION ALL SELECT 'daily', student_key FROM daily ANTI JOIN gone USING (student_key)
+UNION ALL SELECT 'books', book_id FROM books WHERE book_id NOT IN (FROM out_) UNION ALL SELECT 'pages', book_id FROM pages_ WHERE book_id NOT IN (FROM out_)
+UNION ALL SELECT 'lines', CAST(page_id AS VARCHAR) FROM lines_ WHERE page_id IN (SELECT page_id FROM pages_ WHERE book_id NOT IN (FROM out_)))
+SELECT table_name, key_text, count(*) AS n FROM every GROUP BY ALL"""
 
 
 @query
 def g16_check_keys(spark, d):
-    a = A.activity(spark, d)
-    return G.check_keys(a, "activity", ["student_key", "date_key"], a.where("k % 5 <> 0").select("lesson_no").where("lesson_no <> 7"), "lesson_no")
+    a, (books, pages, lines) = A.activity(spark, d), _shelf(spark, d)
+    found = {"students": a.where("k % 7 <> 0").select("student_key", F.concat(F.lit("mail-"), F.col("k") % 50).alias("email")).distinct(), "daily_study": a.select("student_key", "date_key"), "quiz_attempts": a.where("activity_type = 'quiz_submitted'"),
+             "books": books.where("book_id <> 'src7'"), "book_pages": pages, "book_lines": lines.where("page_id % 11 <> 0").union(lines.where("page_id % 13 = 0"))}
+    return G.check_all_keys(found)
 
 
-SQL["g16_check_keys"] = f"""WITH {A.ACTIVITY} SELECT 'activity' AS table_name, 'unique' AS rule, student_key || '|' || date_key AS key_text, count(*) AS n FROM activity GROUP BY student_key, date_key HAVING count(*) > 1
-UNION ALL SELECT 'activity', 'orphan', CAST(lesson_no AS VARCHAR), count(*) FROM activity WHERE lesson_no NOT IN (SELECT lesson_no FROM activity WHERE k % 5 <> 0 AND lesson_no <> 7) GROUP BY lesson_no"""
+SQL["g16_check_keys"] = f"""WITH {A.ACTIVITY}, {SHELF}, s AS (SELECT DISTINCT student_key, 'mail-' || (k % 50) AS email FROM activity WHERE k % 7 <> 0), l AS (SELECT * FROM lines_ WHERE page_id % 11 <> 0 UNION ALL SELECT * FROM lines_ WHERE page_id % 13 = 0)
+SELECT 'students' AS table_name, 'unique' AS rule, student_key AS key_text, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'students', 'unique', email, count(*) FROM s GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'daily_study', 'unique', student_key || '|' || date_key, count(*) FROM activity GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'daily_study', 'orphan', student_key, count(*) FROM activity WHERE student_key NOT IN (SELECT student_key FROM s) GROUP BY ALL
+UNION ALL SELECT 'quiz_attempts', 'orphan', student_key, count(*) FROM activity WHERE activity_type = 'quiz_submitted' AND student_key NOT IN (SELECT student_key FROM s) GROUP BY ALL
+UNION ALL SELECT 'book_pages', 'unique', book_id || '|' || page_no, count(*) FROM pages_ GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'book_pages', 'orphan', book_id, count(*) FROM pages_ WHERE book_id = 'src7' GROUP BY ALL
+UNION ALL SELECT 'book_lines', 'unique', page_id || '|' || line_number, count(*) FROM l GROUP BY page_id, line_number HAVING count(*) > 1"""
 
 
 @query
@@ -236,10 +300,40 @@ SELECT signup_id, email, class_level, CASE WHEN r IS NOT NULL THEN r WHEN k > 1
 
 @query
 def g18_lesson_catalogue(spark, d):
-    return G.lesson_catalogue(A.table(spark, d, "documents").select((F.col("doc_id") % 33 + 1).alias("lesson_no"), "text"))
+    number = F.col("doc_id") % 33 + 1
+    docs = A.table(spark, d, "documents").select(number.alias("lesson_no"), "text", F.when(number % 3 == 0, F.concat(F.lit("Name "), number)).alias("name"), F.when(number % 5 == 0, F.concat(F.lit("Title "), number)).alias("title"))
+    return G.lesson_catalogue(docs, {"book_id": "b1", "book_title": "A book"})
+
+
+SQL["g18_lesson_catalogue"] = "SELECT n AS lesson_no, CASE WHEN n % 5 = 0 THEN 'Title ' || n WHEN n % 3 = 0 THEN 'Name ' || n ELSE 'Lesson ' || n END AS title, count(*) AS n_texts, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, 'b1' AS book_id, 'A book' AS book_title FROM (SELECT *, doc_id % 33 + 1 AS n FROM documents) GROUP BY n"
+
+
+@query
+def g19_learning_turns(spark, d):
+    turns = A.table(spark, d, "conversations").where("role = 'user'")
+    turn, conv, line = F.col("turn"), F.col("conv_id"), F.split(F.col("text"), "\n")[0]
+    requests = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"), (-(conv * 1000 + turn) - 1).alias("event_id"), F.when(conv % 11 != 0, F.concat(F.lit(" student-"), conv % 40)).alias("student_key"), F.lit(None).cast("string").alias("student_id"),
+        (turn % 4).cast("int").alias("lesson_no"), line.alias("line"), F.element_at(F.array(*map(F.lit, ("explain", "translate", "grammar"))), (turn % 3 + 1).cast("int")).alias("tool"), F.when(turn % 2 == 0, F.col("text")).alias("question"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + conv * 600 + turn).alias("ts"),
+    )
+    part = F.struct(F.concat(F.lit("About: "), F.col("text")).alias("text"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part).alias("parts")).alias("content"))).alias("candidates")))
+    responses = turns.where("turn % 7 <> 3").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), body.alias("body"), (turn % 5 != 4).alias("ok"))
+    lessons = turns.where("turn < 3").groupBy((conv % 3 + 1).cast("int").alias("lesson_no")).agg(F.slice(F.array_sort(F.collect_set(line)), 1, 200).alias("lines")).withColumn("title", F.concat(F.lit("Lesson "), "lesson_no"))
+    quizzes = A.activity(spark, d).where("activity_type = 'quiz_submitted'").select("student_key", "event_id", "ts")
+    out = U.learning_turns(requests, A.intents(spark, d), lessons, quizzes, responses)
+    return out.withColumn("memory", F.to_json("memory"))
+
+
+@query
+def e12_public_questions(spark, d):
+    c = F.col("c_custkey")
+    key = A.table(spark, d, "customer").select(c.cast("string").alias("id"), F.lit("choice").alias("type"), F.concat(F.lit("Who is "), "c_name", F.lit("?")).alias("question"), F.array("c_mktsegment", "c_name").alias("options"), F.col("c_name").alias("answer"), (c % 3 + 1).cast("int").alias("mark"))
+    return R.public_questions(key).withColumn("options", F.array_join("options", "|"))
 
 
-SQL["g18_lesson_catalogue"] = "SELECT doc_id % 33 + 1 AS lesson_no, count(*) AS n_texts, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents GROUP BY 1"
+SQL["e12_public_questions"] = "SELECT CAST(c_custkey AS VARCHAR) AS id, 'choice' AS type, 'Who is ' || c_name || '?' AS question, c_mktsegment || '|' || c_name AS options, c_custkey % 3 + 1 AS mark, count(*) OVER () AS total_questions, CAST(sum(c_custkey % 3 + 1) OVER () AS BIGINT) AS total_marks FROM customer"
 
 _EXAM = [(f"q{i}", str(i * 3 % 11), i % 3 + 1) for i in range(1, 9)]
 
@@ -280,14 +374,34 @@ SELECT attempt_id, coalesce(wrong, '') AS wrong, coalesce(areas, '') AS areas FR
 def f4_grade_sentence(spark, d):
     line = F.col("line")
     given = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("  "), F.regexp_replace(line, ",", ""))).otherwise(F.concat(line, F.lit(" x")))
-    return A.doc_lines(spark, d).select("doc_id", "pos", R.grade_sentence(given, line).alias("sentence"), R.grade_detective(given, line).alias("detective"))
+    return A.doc_lines(spark, d).select("doc_id", "pos", R.grade_sentence(given, line).alias("sentence"), R.grade_detective(F.when(F.col("pos") % 3 != 1, line).otherwise(given), line).alias("detective"))
 
 
-SQL["f4_grade_sentence"] = f"SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN 10 ELSE 0 END AS sentence, 0 AS detective FROM (WITH {A.DOC_LINES} SELECT * FROM doc_lines)"
+SQL["f4_grade_sentence"] = f"SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN 10 ELSE 0 END AS sentence, CASE WHEN pos % 3 <> 1 THEN 10 ELSE 0 END AS detective FROM (WITH {A.DOC_LINES} SELECT * FROM doc_lines)"
 
 
 @query
 def f5_replay_match(spark, d):
-    e = A.table(spark, d, "events").join(A.activity(spark, d).select("event_id", "k", "date_key"), "event_id")
-    moves = e.select(F.concat_ws("|", "user_id", F.substring("date_key", 1, 7)).alias("session_id"), F.struct("ts", "event_id").alias("seq"), A._mapped(A.MOVES).alias("kind"), F.when(F.col("user_id") % 2 == 0, "hard").alias("difficulty"), (F.col("k") % 150).alias("seconds"), F.lit(6).alias("n_pairs"))
-    return R.replay_match(moves)
+    e = A.mapped_events(spark, d, A.MOVES)
+    moves = e.select(F.concat_ws("|", "user_id", F.substring("date_key", 1, 7)).alias("session_id"), "ts", "event_id", "kind", F.when(F.col("user_id") % 2 == 0, "hard").alias("difficulty"), (F.col("k") % 150).alias("seconds"), F.lit(6).alias("n_pairs"))
+    return R.replay_match(moves, ["ts", "event_id"])
+
+
+def _f5() -> str:
+    over = "acc.done >= 6"
+    right, wrong, hint, skip = f"(x.kind = 'correct' AND NOT {over})", f"(x.kind = 'wrong' AND NOT {over})", f"(x.kind = 'hint' AND NOT {over} AND acc.hinted = 0)", f"(x.kind = 'skip' AND acc.done < 5)"
+    streak = f"(CASE WHEN {right} THEN acc.streak + 1 WHEN {wrong} OR {skip} THEN 0 ELSE acc.streak END)"
+    gain = f"(CASE WHEN {right} THEN x.base + least(10 * {streak}, 50) - 15 * acc.hinted WHEN {wrong} THEN -10 WHEN {hint} OR {skip} THEN -5 ELSE 0 END)"
+    one = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
+    new = {
+        "score": f"greatest(acc.score + {gain}, 0) + CASE WHEN {right} AND acc.done = 5 THEN greatest(120 - x.seconds, 0) ELSE 0 END", "streak": streak, "best": f"greatest(acc.best, {streak})", "moves": f"acc.moves + {one(f'({right} OR {wrong})')}",
+        "mistakes": f"acc.mistakes + {one(wrong)}", "hints": f"acc.hints + {one(hint)}", "skips": f"acc.skips + {one(skip)}", "done": f"acc.done + {one(right)}", "hinted": f"CASE WHEN {right} OR {skip} THEN 0 WHEN {hint} THEN 1 ELSE acc.hinted END",
+    }
+    names = [n for n in new if n != "hinted"]
+    return f"""WITH m AS (SELECT user_id || '|' || strftime(ts + INTERVAL 6 HOUR, '%Y-%m') AS session_id, ts, event_id, {A._case(A.MOVES)} AS kind, CASE WHEN user_id % 2 = 0 THEN 130 ELSE 100 END AS base, CAST(json_extract(props, '$.k') AS INTEGER) % 150 AS seconds FROM events),
+l AS (SELECT session_id, list({{'kind': kind, 'base': base, 'seconds': seconds}} ORDER BY ts, event_id) AS m FROM m GROUP BY 1),
+g AS (SELECT session_id, list_reduce(m, lambda acc, x: {{{', '.join(f"'{n}': CAST({e} AS BIGINT)" for n, e in new.items())}}}, {{{', '.join(f"'{n}': 0::BIGINT" for n in new)}}}) AS g FROM l)
+SELECT session_id, {', '.join(f'g.{n}' for n in names)}, {S.percent('g.done', '6')} AS progress FROM g"""
+
+
+SQL["f5_replay_match"] = _f5()

@@ -23,11 +23,17 @@ def _mapped(values: dict[str, str]):
     return out
 
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapped_events(spark: SparkSession, sf_dir: str, values: dict[str, str]) -> DataFrame:
+    """events with what its kind stands for, its student and the number in its properties."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("student-"), F.col("user_id")).alias("student_key"), _mapped(KINDS).alias("activity_type"), "ts", "event_id", k.alias("k"),
-        (k % 33 + 1).alias("lesson_no"), (k % 11).alias("score"), F.lit(10).alias("total"), (F.floor("value") % 60).cast("long").alias("minutes"), T.day_key(F.col("ts")).alias("date_key"),
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", F.concat(F.lit("student-"), F.col("user_id")).alias("student_key"), _mapped(values).alias("kind"), k.alias("k"), T.day_key(F.col("ts")).alias("date_key"))
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    return mapped_events(spark, sf_dir, KINDS).select(
+        "student_key", F.col("kind").alias("activity_type"), "ts", "event_id", "k",
+        (k % 33 + 1).alias("lesson_no"), (k % 11).alias("score"), F.lit(10).alias("total"), (F.floor("value") % 60).cast("long").alias("minutes"), "date_key",
     )
 
 
@@ -41,9 +47,12 @@ ACTIVITY = f"""activity AS (SELECT 'student-' || user_id AS student_key, {_case(
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = activity(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", _mapped(INTENTS).alias("kind")), "event_id")
-    amount = F.when(F.col("kind") == "award", F.col("k") % 20).when(F.col("kind") == "redeem", F.col("k") % 3).when(F.col("kind") == "admin", F.col("k") % 5).otherwise(0)
-    return a.select("student_key", "event_id", "ts", "kind", amount.cast("double").alias("amount"))
+    amount = F.when(F.col("kind") == "award", F.col("k") % 20).when(F.col("kind") == "redeem", F.col("k") % 3).when(F.col("kind") == "admin", F.col("k") % 5)
+    return mapped_events(spark, sf_dir, INTENTS).select("student_key", "event_id", "ts", "kind", amount.cast("double").alias("amount"))
+
+
+INTENT_ROWS = f"""intents AS (SELECT 'student-' || user_id AS student_key, event_id, ts, {_case(INTENTS)} AS kind,
+  CASE {_case(INTENTS)} WHEN 'award' THEN k % 20 WHEN 'redeem' THEN k % 3 WHEN 'admin' THEN k % 5 END AS amount FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"""
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def query(f):
 
 
 def _native(spark, d):
-    return O.lines_from_native(A.words(spark, d).where("page_no % 3 <> 1"), W, H)
+    return O.lines_from_native(A.words(spark, d), W, H)
 
 
 def _tokens(spark, d):
@@ -49,7 +49,7 @@ def _built(source: str, group: str, conf: str, scale: int) -> str:
   WHERE {S.should_keep('text', 'n_words', 'confidence', 'width', 'height', W, H)}"""
 
 
-NATIVE = f"native AS ({_built('(SELECT *, count(*) OVER (PARTITION BY page_no) AS n FROM words WHERE page_no % 3 <> 1) WHERE n >= 8'.replace(') WHERE', ') q WHERE'), 'block_no, line_no', '99.0', 2)})".replace("FROM (SELECT *, count", "FROM (SELECT *, count")
+NATIVE = f"native AS ({_built('(SELECT *, count(*) OVER (PARTITION BY page_no) AS n FROM words) WHERE n >= 8'.replace(') WHERE', ') q WHERE'), 'block_no, line_no', '99.0', 2)})".replace("FROM (SELECT *, count", "FROM (SELECT *, count")
 TOKENS = f"tokens AS ({_built('words WHERE confidence >= 35', 'block_no, par_no, line_no', 'avg(confidence)', 1)})"
 NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY y, x, pos) AS line_number FROM tokens)"
 
@@ -64,10 +64,10 @@ SQL["c1_lines_from_native"] = f"WITH {A.WORDS}, {NATIVE} SELECT page_no, pos, te
 
 @query
 def c2_lines_from_tokens(spark, d):
-    return _tokens(spark, d).select("page_no", "pos", "text", F.round("confidence", 1).alias("confidence"))
+    return _tokens(spark, d).select("page_no", "pos", "text", "confidence")
 
 
-SQL["c2_lines_from_tokens"] = f"WITH {A.WORDS}, {TOKENS} SELECT page_no, pos, text, round(round_even(confidence, 2), 1) AS confidence FROM tokens"
+SQL["c2_lines_from_tokens"] = f"WITH {A.WORDS}, {TOKENS} SELECT page_no, pos, text, round_even(confidence, 2) AS confidence FROM tokens"
 
 
 @query
@@ -75,6 +75,14 @@ def c3_cluster_lines_by_y(spark, d):
     return O.cluster_lines_by_y(A.words(spark, d))
 
 
+SQL["c3_cluster_lines_by_y"] = f"""WITH {A.WORDS}, l AS (SELECT page_no, list({{'pos': pos, 'y': y}} ORDER BY pos) AS l FROM words GROUP BY 1),
+n AS (SELECT page_no, list_reduce(l, lambda acc, x: CASE WHEN acc.anchor IS NOT NULL AND abs(x.y - acc.anchor) < 20 THEN {{'anchor': acc.anchor, 'no': acc.no, 'nos': list_append(acc.nos, {{'pos': x.pos, 'no': acc.no}})}}
+  ELSE {{'anchor': x.y, 'no': acc.no + 1, 'nos': list_append(acc.nos, {{'pos': x.pos, 'no': acc.no + 1}})}} END, {{'anchor': NULL::BIGINT, 'no': 0::BIGINT, 'nos': []::STRUCT(pos BIGINT, no BIGINT)[]}}).nos AS nos FROM l),
+p AS (SELECT page_no, unnest(nos) AS p FROM n), w AS (SELECT words.*, p.no AS line_number FROM p JOIN words ON words.page_no = p.page_no AND words.pos = p.pos),
+g AS (SELECT page_no, line_number, {S.collapse("string_agg(text, ' ' ORDER BY x, pos)")} AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM w GROUP BY 1, 2)
+SELECT * FROM g WHERE NOT ({S.collapse('text')} = '' OR {S.rm(S.collapse('text'), S.BAD_LINE)})"""
+
+
 @query
 def c4_build_line(spark, d):
     return _tokens(spark, d).select("page_no", "pos", "clean_text", "x", "y", "width", "height", "ai_ready")
@@ -89,6 +97,13 @@ def c5_drop_overlaps(spark, d):
     return O.drop_overlaps(shifted).select("page_no", "pos", "x", "y", "text")
 
 
+_CLASH = "((lower(k.text) = lower(x.text) OR (contains(lower(x.text), lower(k.text)) AND length(k.text) > 12) OR (contains(lower(k.text), lower(x.text)) AND length(x.text) > 12)) AND abs(k.y - x.y) < greatest(k.height, x.height))"
+_LINE = "STRUCT(pos BIGINT, x BIGINT, y BIGINT, height BIGINT, text VARCHAR)"
+SQL["c5_drop_overlaps"] = f"""WITH {A.WORDS}, {TOKENS}, s AS (SELECT page_no, list({{'pos': pos::BIGINT, 'x': x::BIGINT, 'y': (y // 3)::BIGINT, 'height': height::BIGINT, 'text': text}} ORDER BY y // 3, x, pos) AS l FROM tokens GROUP BY 1),
+k AS (SELECT page_no, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_CLASH})) > 0 THEN acc ELSE list_append(acc, x) END, []::{_LINE}[]) AS k FROM s),
+u AS (SELECT page_no, unnest(k) AS u FROM k) SELECT page_no, u.pos, u.x, u.y, u.text FROM u"""
+
+
 @query
 def c6_choose_source(spark, d):
     return O.choose_source(_native(spark, d), _tokens(spark, d)).select("page_no", "pos", "text", "source")
@@ -119,12 +134,13 @@ SELECT doc_id AS page_no, coalesce(n, 0) AS n_lines, coalesce(r, '') AS raw_text
 @query
 def c9_book_index(spark, d):
     failed = _pages(spark, d).where("page_no % 50 = 7").select((-F.col("page_no")).alias("page_no"), F.lit("unreadable").alias("error"))
-    return O.book_index(_documents(spark, d), failed)
+    index = O.book_index(_documents(spark, d).withColumn("source", F.when(F.col("page_no") % 2 == 0, "tesseract")), "b1", failed)
+    return index.join(F.broadcast(O.book_header(index, "b1", "A book", 0, 0, 500).select("end_page", "n_pages", "n_failed")))  # the header is one row
 
 
-SQL["c9_book_index"] = f"""WITH {A.WORDS}, {TOKENS}, docs AS (SELECT page_no, count(*) AS n, count(*) FILTER (WHERE {S.is_ai_ready('clean_text')}) AS a FROM tokens GROUP BY page_no)
-SELECT doc_id AS page_no, coalesce(n, 0) AS n_lines, coalesce(a, 0) AS n_ready, NULL AS error FROM documents LEFT JOIN docs ON page_no = doc_id
-UNION ALL SELECT -doc_id, 0, 0, 'unreadable' FROM documents WHERE doc_id % 50 = 7"""
+SQL["c9_book_index"] = f"""WITH {A.WORDS}, {TOKENS}, docs AS (SELECT page_no, count(*) AS n, count(*) FILTER (WHERE {S.is_ai_ready('clean_text')}) AS a FROM tokens GROUP BY page_no),
+i AS (SELECT doc_id AS page_no, format('/ocr/books/b1/pages/page-{{:03d}}.json', doc_id) AS json, format('/ocr/books/b1/page-images/page-{{:03d}}.png', doc_id) AS image, coalesce(n, 0) AS n_lines, coalesce(a, 0) AS n_ready, CASE WHEN doc_id % 2 = 0 THEN 'tesseract' ELSE 'unknown' END AS source, NULL AS error FROM documents LEFT JOIN docs ON page_no = doc_id
+UNION ALL SELECT -doc_id, NULL, NULL, NULL, NULL, NULL, 'unreadable' FROM documents WHERE doc_id % 50 = 7) SELECT *, 500 AS end_page, count(*) OVER () AS n_pages, count(error) OVER () AS n_failed FROM i"""
 
 
 @query
@@ -135,13 +151,13 @@ def c10_normalize_import_lines(spark, d):
         F.when(F.col("pos") % 7 == 0, False).when(F.col("pos") % 7 == 1, True).alias("ai_ready"), (F.col("x") + 0.5).alias("x"), F.col("y").cast("double").alias("y"), (F.col("width") - 16.0).alias("width"), F.col("height").cast("double").alias("height"),
         F.when(F.col("pos") % 2 == 0, F.struct(F.lit(1.4).alias("x"), F.lit(2.5).alias("y"), F.lit(3.0).alias("width"), F.lit(4.0).alias("height"))).alias("bbox"), F.when(F.col("pos") % 3 == 0, F.col("pos") + 100).alias("line_number"),
     )
-    return O.normalize_import_lines(flat)
+    return O.normalize_import_lines(flat.withColumn("clean_text", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("**"), "text"))))
 
 
 SQL["c10_normalize_import_lines"] = f"""WITH {A.WORDS}, flat AS (SELECT page_no, pos, {S.clean_ocr_text("'• ' || text")} AS text, CASE WHEN pos % 5 = 0 THEN 0.0 ELSE CAST(confidence AS DOUBLE) END AS confidence, pos % 7 <> 0 AS flag,
   CASE WHEN pos % 2 = 0 THEN 1 ELSE CAST(floor(x + 1.0) AS INTEGER) END AS x, CASE WHEN pos % 2 = 0 THEN 3 ELSE y END AS y, CASE WHEN pos % 2 = 0 THEN 3 ELSE width - 16 END AS width, CASE WHEN pos % 2 = 0 THEN 4 ELSE height END AS height,
   CASE WHEN pos % 3 = 0 THEN pos + 100 ELSE pos + 1 END AS line_number FROM words)
-SELECT page_no, line_number, text, x, y, width, height, confidence, flag AND {S.is_import_ai_ready('text')} AS ai_ready FROM flat WHERE text <> '' AND width >= 0 AND height >= 0"""
+SELECT page_no, pos, line_number, text, x, y, width, height, confidence, flag AND {S.is_import_ai_ready('text')} AS ai_ready FROM flat WHERE text <> '' AND width >= 0 AND height >= 0"""
 
 
 @query
@@ -180,22 +196,30 @@ SQL["a5_lesson_ranges"] = f"WITH {_RANGES} SELECT r.lesson_no, title, a AS pdf_s
 
 @query
 def a9_import_ocr(spark, d):
-    lines = A.doc_lines(spark, d).select(F.col("doc_id").alias("page_no"), "pos", "line")
-    new = lines.where("page_no % 4 = 0 AND pos < 2").withColumn("line", F.concat(F.lit("new: "), "line"))
-    return O.import_ocr(lines, new).groupBy("page_no").agg(F.count("*").alias("n_lines"), F.max("line").alias("last_line"))
+    lines = A.doc_lines(spark, d).select((F.col("doc_id") % 2).alias("b"), F.col("doc_id").alias("page_no"), "pos", F.col("line").alias("text"))
+    book = F.concat(F.lit("book-"), F.col("b")).alias("book_id")
+    old_lines = lines.where("page_no % 3 <> 0").select(book, "page_no", F.col("pos").alias("line_number"), "text")
+    box = F.struct(*[F.lit(1.0).alias(c) for c in ("x", "y", "width", "height")]).alias("bbox")
+    new = O.normalize_import_lines(lines.where("b = 0 AND page_no % 4 = 0").select("page_no", "pos", F.concat(F.lit("new: "), "text").alias("text"), F.lit("9").alias("confidence"), F.lit(None).cast("boolean").alias("ai_ready"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "width", "height")], box, F.lit(None).cast("int").alias("line_number")))
+    pages, kept, counts = O.import_ocr(old_lines.select("book_id", "page_no").distinct(), old_lines, new, "book-0")
+    lines_now = kept.groupBy("book_id", "page_no").agg(F.count("*").alias("n_lines"), F.max("text").alias("last_line"))
+    return pages.select("book_id", "page_no", F.length("raw_text").alias("n_raw")).join(lines_now, ["book_id", "page_no"], "left").join(counts.select("book_id", "page_no", F.col("n_lines").alias("n_new"), "updated"), ["book_id", "page_no"], "left")
 
 
-SQL["a9_import_ocr"] = f"""WITH {A.DOC_LINES}, every AS (SELECT * FROM doc_lines WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, 'new: ' || line, pos FROM doc_lines WHERE doc_id % 4 = 0 AND pos < 2)
-SELECT doc_id AS page_no, count(*) AS n_lines, max(line) AS last_line FROM every GROUP BY doc_id"""
+SQL["a9_import_ocr"] = f"""WITH {A.DOC_LINES}, old AS (SELECT 'book-' || (doc_id % 2) AS book_id, doc_id AS page_no, line AS text FROM doc_lines WHERE doc_id % 3 <> 0), new AS (SELECT 'book-0' AS book_id, doc_id AS page_no, pos, {S.clean_ocr_text("'new: ' || line")} AS text FROM doc_lines WHERE doc_id % 4 = 0),
+n AS (SELECT book_id, page_no, count(*) AS n_new, length(string_agg(text, chr(10) ORDER BY pos)) AS n_raw, page_no % 3 <> 0 AS updated FROM new GROUP BY 1, 2), every AS (SELECT * FROM old WHERE book_id = 'book-1' OR page_no NOT IN (SELECT page_no FROM n) UNION ALL SELECT book_id, page_no, text FROM new)
+SELECT book_id, page_no, n_raw, n_lines, last_line, n_new, updated FROM (SELECT book_id, page_no, count(*) AS n_lines, max(text) AS last_line FROM every GROUP BY 1, 2) LEFT JOIN n USING (book_id, page_no)"""
 
 
 @query
 def a10_skip_processed(spark, d):
-    done = _pages(spark, d).select("page_no", (F.col("page_no") % 2 == 0).alias("has_image"), (F.col("page_no") % 3 == 0).alias("has_json"))
-    return O.skip_processed(_pages(spark, d), done)
+    todo = _pages(spark, d)
+    done = todo.select("page_no", (F.col("page_no") % 2 == 0).alias("has_image"), (F.col("page_no") % 3 == 0).alias("has_json"))
+    old = A.table(spark, d, "documents").select(F.col("doc_id").alias("page_no"), F.col("n_chars").alias("n_lines"))
+    return O.index_of_run(todo, done, old, O.skip_processed(todo, done).withColumn("n_lines", F.lit(-1).cast("long")))
 
 
-SQL["a10_skip_processed"] = "SELECT doc_id AS page_no FROM documents WHERE doc_id % 6 <> 0"
+SQL["a10_skip_processed"] = "SELECT doc_id AS page_no, CASE WHEN doc_id % 6 = 0 THEN n_chars ELSE -1 END AS n_lines FROM documents"
 
 
 @query

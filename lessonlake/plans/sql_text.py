@@ -17,6 +17,9 @@ def rm(e: str, pattern: str) -> str:
     return f"regexp_matches({e}, {q(pattern)})"
 
 
+BAD_LINE = r"^(?:\d+\z|[A-D]\.\z|[a-d]\)\z|[•●▪]|\.\z)"
+
+
 def trim(e: str) -> str:
     return rr(e, r"^\s+|\s+\z")
 

@@ -97,6 +97,12 @@ _of_lines(
         label=T.is_import_ai_ready(F.format_string('A. (%d)', F.col('pos'))),
     ),
 )
+
+
+_KEEP = ("line", "(pos % 3 + 1)", "(pos * 17 % 100)", "(length(line) * 8)", "(pos % 40)")
+QUERIES["b5_should_keep_line"] = lambda spark, d: A.doc_lines(spark, d).select(
+    "doc_id", "pos", T.should_keep_line(F.col("line"), F.col("pos") % 3 + 1, F.col("pos") * 17 % 100, F.length("line") * 8, F.col("pos") % 40, F.lit(A.PAGE_WIDTH), F.lit(500)).alias("kept"))
+SQL["b5_should_keep_line"] = f"WITH {A.DOC_LINES} SELECT doc_id, pos, {S.should_keep(*_KEEP, A.PAGE_WIDTH, 500)} AS kept FROM doc_lines"
 _of_table(
     "b10_remove_markdown", "pages", "page_id",
     {"value": S.remove_markdown("html")},
@@ -151,7 +157,7 @@ _of_table(
         value=T.clean_book_text(F.col('text')),
     ),
 )
-_BAD = r"^(?:\d+\z|[A-D]\.\z|[a-d]\)\z|[•●▪]|\.\z)"
+_BAD = S.BAD_LINE
 _of_lines(
     "b16_drop_bad_line",
     {"plain": f"({S.collapse('line')} = '' OR {S.rm(S.collapse('line'), _BAD)})", "number": S.rm("CAST(pos AS VARCHAR)", _BAD)},
@@ -167,20 +173,43 @@ _of_table(
         value=F.array_join(T.lesson_quiz_lines(F.col('text')), '|'),
     ),
 )
+_SOLID = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {S.trim('x')}), lambda y: y <> '')"
 _of_table(
     "b18_text_lines", "documents", "doc_id",
-    {n: f"array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {S.trim('x')}), lambda y: length(y) > {k}), '|')" for n, k in (("any_line", 0), ("long_line", 15))},
+    {n: f"array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {S.trim('x')}), lambda y: length(y) > {k}), '|')" for n, k in (("any_line", 0), ("long_line", 15))}
+    | {"given": f"CASE WHEN len({_SOLID}) = 0 THEN 0 ELSE len({_SOLID}) END", "last_text": f"coalesce({_SOLID}[-1], '')"},
     lambda: dict(
         any_line=F.array_join(T.text_lines(F.col('text'), 0), '|'),
         long_line=F.array_join(T.text_lines(F.col('text'), 15), '|'),
+        # lines as objects, as texts, or in one text, by document
+        given=F.size(_lesson()).cast("long"),
+        last_text=F.coalesce(F.get(_lesson(), F.size(_lesson()) - 1)["text"], F.lit("")),
     ),
 )
+
+
+def _lesson() -> Column:
+    lines, k = T.text_lines(F.col("text")), F.col("doc_id") % 3
+    objects = F.to_json(F.struct(F.struct(F.transform(lines, lambda x: F.struct(x.alias("lineText"))).alias("lines")).alias("lesson")))
+    return T.lesson_lines(F.when(k == 0, objects).when(k == 1, F.to_json(F.struct(lines.alias("lines")))).otherwise(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))))
+
+
+def _widest(x: str, first: str, last: str) -> tuple[str, str]:
+    a, b = f"instr({x}, '{first}')", f"(length({x}) - instr(reverse({x}), '{last}') + 1)"
+    return f"{a} > 0 AND instr({x}, '{last}') > 0 AND {b} > {a}", f"substr({x}, {a}, {b} - {a} + 1)"
+
+
+def _extract(e: str, prefer: str = "array") -> str:
+    (ok1, v1), (ok2, v2) = (_widest("v0", *p) for p in ([("[", "]"), ("{", "}")] if prefer == "array" else [("{", "}"), ("[", "]")]))
+    return S.let(S.trim(S.rr(S.nn(e), r"(?i)```(?:json)?")), lambda x: f"CASE WHEN {ok1} THEN {v1} WHEN {ok2} THEN {v2} ELSE {x} END")
+
+
 _of_table(
     "b19_extract_json", "documents", "doc_id",
-    None,
+    {"quiz": _extract("'```json' || chr(10) || '[{\"q\": ' || coalesce(text, '') || '}]' || chr(10) || '```'"), "game": _extract("'Here: {\"pairs\": [' || coalesce(text, '') || ']} end'", "object"), "plain": _extract("text")},
     lambda: dict(
-        quiz=T.extract_json(F.concat(F.lit('```json\n[{"q": '), F.to_json(F.array('text')), F.lit('}]\n```'))),
-        game=T.extract_json(F.concat(F.lit('Here: {"pairs": '), F.to_json(F.array('text')), F.lit('} end')), 'object'),
+        quiz=T.extract_json(F.concat(F.lit('```json\n[{"q": '), F.coalesce("text", F.lit("")), F.lit('}]\n```'))),
+        game=T.extract_json(F.concat(F.lit('Here: {"pairs": ['), F.coalesce("text", F.lit("")), F.lit(']} end')), 'object'),
         plain=T.extract_json(F.col('text')),
     ),
 )
@@ -208,11 +237,12 @@ _of_lines(
 )
 _of_table(
     "b23_slugify", "customer", "c_custkey",
-    {n: f"coalesce(nullif({S.rr(S.rr(f'lower({e})', '[^a-z0-9]+', '-'), '^-|-' + chr(92) + 'z')}, ''), 'student')" for n, e in (("name", "c_name"), ("segment", "'  ' || c_mktsegment || '!!'"), ("blank", "'--'"))},
+    {n: f"coalesce(nullif({S.rr(S.rr(f'lower({e})', '[^a-z0-9]+', '-'), '^-|-' + chr(92) + 'z')}, ''), 'student')" for n, e in (("name", "c_name"), ("segment", "'  ' || c_mktsegment || '!!'"), ("blank", "'--'"))} | {"suffixed": f"coalesce(nullif({S.rr(S.rr('lower(c_name)', '[^a-z0-9]+', '-'), '^-|-' + chr(92) + 'z')}, ''), 'student') || '-' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 6)"},
     lambda: dict(
         name=T.slugify(F.col('c_name')),
         segment=T.slugify(F.concat(F.lit('  '), F.col('c_mktsegment'), F.lit('!!'))),
         blank=T.slugify(F.lit('--')),
+        suffixed=T.slugify(F.col('c_name'), F.col('c_custkey')),
     ),
 )
 _of_table(
@@ -249,11 +279,12 @@ QUERIES["b27_bbox_percent"] = b27_bbox_percent
 SQL["b27_bbox_percent"] = f"WITH {A.WORDS} SELECT page_no, pos, round(x / 1200.0 * 100, 6) AS left_pct, round(y / 1600.0 * 100, 6) AS top_pct, round(width / 1200.0 * 100, 6) AS width_pct, round(height / 1600.0 * 100, 6) AS height_pct FROM words"
 _of_table(
     "b28_json_array", "events", "event_id",
-    None,
+    {"object": "'[]'", "array": "'[\"' || event_type || '\",\"' || CAST(event_id AS VARCHAR) || '\"]'", "bad": "'[]'", "none": "'[]'"},
     lambda: dict(
         object=F.to_json(T.json_array(F.col('props'))),
-        array=F.to_json(T.json_array(F.concat(F.lit('['), F.col('value').cast('string'), F.lit(',"a"]')))),
+        array=F.to_json(T.json_array(F.concat(F.lit(' ["'), F.col('event_type'), F.lit('", '), F.col('event_id').cast('string'), F.lit(']')))),
         bad=F.to_json(T.json_array(F.lit('[1,'))),
+        none=F.to_json(T.json_array(F.lit(None).cast('string'))),
     ),
 )
 _of_lines(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonlake.functions import text as T
+from lessonlake.operators.activity import student_key
 
 BOX = "bbox:struct<x:int,y:int,width:int,height:int>"
 PAGE = f"bookId string, pageNumber int, image string, width int, height int, source string, lines array<struct<id:string,lineNumber:int,text:string,cleanText:string,{BOX},confidence:double,source:string,aiReady:boolean>>, aiReadyLines array<struct<id:string,lineNumber:int,text:string,{BOX},confidence:double,source:string>>, rawText string, cleanText string, aiReadyText string"
@@ -46,19 +47,27 @@ def read_lessons(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(empty | {c: F.coalesce(c, F.lit("")) for c in ("rawText", "cleanText", "aiReadyText")}).withColumn("lessonTitle", F.coalesce("title", "lessonTitle"))
 
 
+ACTIVITY = "studentKey string, studentId string, activityType string, minutesStudied string, lessonNo string, score string, total string, gameType string, ts timestamp, event_id long"
+
+
 def read_activity(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Request rows of JSON lines. Numbers may be strings; a missing key is the demo student's."""
-    from lessonlake.operators.activity import student_key
+    """Request rows of JSON lines, as activity_rows gives them."""
+    return activity_rows((spark.readStream if stream else spark.read).schema(ACTIVITY).json(path))
+
 
-    schema = "studentKey string, studentId string, activityType string, minutesStudied string, lessonNo string, score string, total string, gameType string, ts timestamp, event_id long"
-    raw = (spark.readStream if stream else spark.read).schema(schema).json(path)
-    number = lambda c, default: F.coalesce(F.col(c).try_cast("double"), F.lit(default)).cast("long")
+def activity_rows(raw: DataFrame) -> DataFrame:
+    """Raw requests, all strings, as typed rows. Numbers may be strings and default to 0; a missing or blank key is the demo student's; a
+    missing or blank lesson stays null for games and is 1 otherwise."""
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0)).cast("long")
     lesson = F.col("lessonNo").try_cast("int")
     return raw.select(
         student_key(F.col("studentKey"), F.col("studentId")).alias("student_key"), F.col("activityType").alias("activity_type"), "ts", "event_id", T.day_key(F.col("ts")).alias("date_key"),
-        F.when(F.col("activityType") == "game_finished", lesson).otherwise(F.coalesce(lesson, F.lit(1))).alias("lesson_no"), number("score", 0).alias("score"), number("total", 0).alias("total"), number("minutesStudied", 0).alias("minutes"),
+        F.when(F.col("activityType") == "game_finished", lesson).otherwise(F.coalesce(lesson, F.lit(1))).alias("lesson_no"), number("score").alias("score"), number("total").alias("total"), number("minutesStudied").alias("minutes"),
+        F.col("gameType").alias("game_type"),
     )
 
 
 def write_ocr_pages(pages: DataFrame, path: str) -> None:
-    pages.write.mode("overwrite").partitionBy("bookId").json(path)
+    """One JSON document a page, non-ASCII kept, in a folder a book; of rows for one page of a book, the one of most lines stays."""
+    best = F.row_number().over(Window.partitionBy("bookId", "pageNumber").orderBy(F.coalesce(F.size("lines"), F.lit(0)).desc(), F.to_json(F.struct("*"))))
+    pages.withColumn("n_of_page", best).where("n_of_page = 1").drop("n_of_page").write.mode("overwrite").partitionBy("bookId").json(path)

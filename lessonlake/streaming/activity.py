@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lessonlake.operators.activity import COUNTERS, activity_counters
+from lessonlake.operators.ledger import wallet_step
 
 
 def daily_study_stream(activity: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -25,28 +26,33 @@ def latest_daily(rows: DataFrame) -> DataFrame:
 
 
 def wallet_stream(intents: DataFrame) -> DataFrame:
-    """intents(student_key, ts, event_id, kind, amount) -> an update of a student's balances for each batch that has any."""
-    import pandas as pd
+    """intents(student_key, ts, event_id, kind, amount) -> an update of a student's balances for each batch that has any, as run_wallets
+    over all of them gives, if batches come in time order. State is six values a student, so its size doesn't grow with a ledger.
 
-    def fold(key, batches, state):
-        credits, points, lifetime, used, opened = state.get if state.exists else (0, 0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind, amount in zip(rows["kind"], rows["amount"]):
-            if not opened:
-                credits += 0 if kind == "admin" else 5
-                opened = 1
-            whole = int(amount // 1)
-            if kind == "award":
-                points, lifetime = points + max(0, whole), lifetime + max(0, whole)
-            elif kind == "redeem" and points >= 10 * max(1, whole):
-                points, credits = points - 10 * max(1, whole), credits + max(1, whole)
-            elif kind == "use" and credits > 0:
-                credits, used = credits - 1, used + 1
-            elif kind == "admin":
-                credits += whole
-        state.update((credits, points, lifetime, used, opened))
-        yield pd.DataFrame([(key[0], credits, points, lifetime, used)], columns=["student_key", "credits", "points", "lifetime", "used"])
-
-    return intents.groupBy("student_key").applyInPandasWithState(
-        fold, "student_key string, credits long, points long, lifetime long, used long", "credits long, points long, lifetime long, used long, opened long", "update", "NoTimeout"
-    )
+    Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    fields = ("credits", "points", "opened", "lifetime", "used", "rejected")
+
+    class Wallet(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.state = handle.getValueState("wallet", ", ".join(f"{f} {'boolean' if f == 'opened' else 'long'}" for f in fields))
+
+        def handleInputRows(self, key, rows, timerValues):
+            *wallet, lifetime, used, rejected = self.state.get() if self.state.exists() else (0, 0, False, 0, 0, 0)
+            batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+            for kind, amount in zip(batch["kind"], batch["amount"]):
+                reason, _, points, _ = wallet_step(wallet, kind, None if pd.isna(amount) else amount)
+                rejected += reason is not None
+                if reason is None:
+                    lifetime, used = lifetime + points * (kind == "award"), used + (kind == "use")
+            self.state.update((*wallet, lifetime, used, rejected))
+            yield pd.DataFrame([(key[0], wallet[0], wallet[1], lifetime, used, rejected)], columns=["student_key", "credits", "points", "lifetime", "used", "rejected"])
+
+        def close(self) -> None:
+            pass
+
+    schema = "student_key string, credits long, points long, lifetime long, used long, rejected long"
+    return intents.select("student_key", "ts", "event_id", "kind", "amount").groupBy("student_key").transformWithStateInPandas(Wallet(), schema, "Update", "None")
