@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import FEW_KEYS, Tables, WordHashes, fresh, groups, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import FEW_KEYS, Tables, WordHashes, fresh, groups, joined_texts, materialise, mixed, only_keys, split_by_keys
 from lessonlake.llm.url_filter import bloom, may_hold
 
 #: Bits of the number of cells: at least, at most.
@@ -52,11 +52,6 @@ def tokens(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
-def joined_texts(column: pa.Array) -> bytes:
-    """The texts as bytes, each with the end mark behind it."""
-    return WordHashes.END.join([x or b"" for x in column.cast(pa.binary()).to_pylist()]) + WordHashes.END
-
-
 def token_counts(documents: DataFrame) -> np.ndarray:
     """How many words fall in each cell, over all documents. At most 2^22 cells, whatever the input."""
     low, high = CELL_BITS

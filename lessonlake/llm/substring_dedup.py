@@ -19,6 +19,7 @@ rows that share a doc_id are read as one document given twice; an empty table gi
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import Hashes, Tables, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import Tables, WordHashes, joined_texts, materialise, mixed, only_keys, split_by_keys
 
 WINDOW = 20
 GRAM = 5
 RUN = 1024
-BUCKET_WINDOWS = 20_000
+#: Windows that a task holds of one bucket: some 150 MB of Python objects.
+BUCKET_WINDOWS = 500_000
 SKETCH = "doc_id long, t1 long, t2 long, n_words long, minis array<long>, twice array<boolean>"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -40,18 +42,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def super_kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From the words' hashes: (minimiser, first window, whether the string holds its minimiser twice) of each super-k-mer.
+def super_kmers(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h: the words' hashes of texts that end before the words of ends -> (text, minimiser, first window, number of windows, whether
+    the string holds its minimiser twice) of each super-k-mer, the windows numbered within their text.
 
     A run of windows goes on as long as the minimiser's value is the same. Two equal windows of one run have their leftmost
     minimiser at different places, so such a string is told by a change of place.
     """
+    begins = np.concatenate([[0], ends[:-1]])
     n, most = len(h) - WINDOW + 1, 1 << 23
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.int64, np.int64, bool))
     if n > most:  # places have 24 bits; a cut between two windows changes no window
-        a, b = super_kmers(h[: most + WINDOW - 1]), super_kmers(h[most:])
-        return np.append(a[0], b[0]), np.append(a[1], b[1] + most), np.append(a[2], b[2])
+        left = super_kmers(h[: most + WINDOW - 1], np.minimum(ends, most + WINDOW - 1))
+        right = super_kmers(h[most:], np.maximum(ends - most, 0))
+        moved = np.maximum(most - begins[right[0]], 0)
+        return tuple(np.append(x, y) for x, y in zip(left, (right[0], right[1], right[2] + moved, *right[3:])))
     g = h[: len(h) - GRAM + 1].copy()
     for i in range(1, GRAM):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : len(g) + i]
@@ -62,34 +68,36 @@ def super_kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     place = (np.minimum(low[:n], low[span - width : span - width + n]) & mask).astype(np.int64)
+    text = np.repeat(np.arange(len(ends)), ends - begins)
+    whole = np.flatnonzero(text[:n] == text[WINDOW - 1 :])  # windows of one text
+    if not len(whole):
+        return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.int64, np.int64, bool))
+    place, text = place[whole], text[whole]
     value = g[place]
-    new = np.concatenate([[True], value[1:] != value[:-1]])
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
     start = np.flatnonzero(new)
-    pieces = -(-np.diff(np.append(start, n)) // RUN)
+    pieces = -(-np.diff(np.append(start, len(whole))) // RUN)
     start = np.repeat(start, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     moved = np.concatenate([[False], place[1:] != place[:-1]]) & ~new
-    return value[start], start, np.logical_or.reduceat(moved, start)
+    return text[start], value[start], whole[start] - begins[text[start]], np.diff(np.append(start, len(whole))), np.logical_or.reduceat(moved, start)
 
 
 def sketches(documents: DataFrame) -> DataFrame:
     """SKETCH: a row a document, with a hash of its words and the minimisers of its super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = WordHashes(fold=False)
         for b in batches:
-            t, n, minis, twice = [], [], [], []
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                low, _, again = super_kmers(h)
-                minis.append(low.view(np.int64))
-                twice.append(again)
-                t.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                n.append(len(words))
-            pair = np.frombuffer(b"".join(t), np.int64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in minis])])
-            flat, again = (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(x) if x else [], kind)) for x, kind in ((minis, pa.int64()), (twice, pa.bool_())))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(n, pa.int64()), flat, again], ["doc_id", "t1", "t2", "n_words", "minis", "twice"])
+            data = joined_texts(b.column("text"))
+            h, at = hashes(data)
+            ends = np.searchsorted(at, np.flatnonzero(np.frombuffer(data, np.uint8) == 255))
+            begins = np.concatenate([[0], ends[:-1]])
+            whole = [hashlib.blake2b(h[i:j], digest_size=16).digest() for i, j in zip(begins.tolist(), ends.tolist())]
+            pair = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+            text, low, _, _, again = super_kmers(h, ends)
+            offsets = np.searchsorted(text, np.arange(b.num_rows + 1))
+            minis, twice = (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (low.view(np.int64), again))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(ends - begins, pa.int64()), minis, twice], ["doc_id", "t1", "t2", "n_words", "minis", "twice"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, SKETCH)
 
@@ -98,27 +106,27 @@ def travelling(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen(doc_id, ks) -> the packed strings of these super-k-mers: mini, p1, p2 (a hash of the string), doc_id, start, n (windows), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = WordHashes(fold=False)
         for b in batches:
-            mini, p, docs, starts, sizes, packed = [], [], [], [], [], []
-            for doc, text, ks in zip(*(c.to_pylist() for c in b.columns)):
-                words = words_of(text)
-                low, at, _ = super_kmers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-                ends = np.append(at[1:], len(words) - WINDOW + 1).tolist()
-                low, at = low.view(np.int64).tolist(), at.tolist()
-                for k in ks:
-                    if k >= len(at):
-                        continue
-                    s = b" ".join(words[at[k] : ends[k] + WINDOW - 1])
-                    mini.append(low[k])
-                    p.append(hashlib.blake2b(s, digest_size=16).digest())
-                    docs.append(doc)
-                    starts.append(at[k])
-                    sizes.append(ends[k] - at[k])
-                    packed.append(s)
-            pair = np.frombuffer(b"".join(p), np.int64).reshape(-1, 2)
+            data = joined_texts(b.column("text"))
+            h, at = hashes(data)
+            marks = np.flatnonzero(np.frombuffer(data, np.uint8) == 255)
+            ends = np.searchsorted(at, marks)
+            begins = np.concatenate([[0], ends[:-1]])
+            text, low, start, size, _ = super_kmers(h, ends)
+            first, last = np.searchsorted(text, np.arange(b.num_rows)), np.searchsorted(text, np.arange(b.num_rows), side="right")
+            ks = b.column("ks")
+            row = np.repeat(np.arange(b.num_rows), np.diff(ks.offsets.to_numpy()))
+            k = ks.flatten().to_numpy()
+            known = first[row] + k < last[row]  # of documents given twice, another may have more
+            row, k = row[known], (first[row] + k)[known]
+            word = begins[row] + start[k]
+            stop = word + size[k] + WINDOW - 1
+            to = np.where(stop < ends[row], at[np.minimum(stop, len(at) - 1)] if len(at) else 0, marks[row])
+            packed = [b" ".join(data[i:j].split()) for i, j in zip(at[word].tolist(), to.tolist())]
+            pair = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in packed]), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mini, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
+                [pa.array(low[k].view(np.int64)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(b.column("doc_id").to_numpy()[row]), pa.array(start[k], pa.int32()), pa.array(size[k], pa.int32()), pa.array(packed, pa.binary())],
                 ["mini", "p1", "p2", "doc_id", "start", "n", "packed"],
             )
 
@@ -126,33 +134,36 @@ def travelling(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.join(chosen, "doc_id").select("doc_id", "text", "ks").mapInArrow(run, "mini long, p1 long, p2 long, doc_id long, start int, n int, packed binary")
 
 
+def windows_of(packed: bytes) -> list[bytes]:
+    """The windows of words that one space joins."""
+    cut = [0, *(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32) + 1).tolist(), len(packed) + 1]
+    return [packed[i : j - 1] for i, j in zip(cut, cut[WINDOW:])]
+
+
 def bucket_firsts(strings: DataFrame) -> DataFrame:
     """strings(mini, p1, p2, off, doc_id, start, packed), sorted within partitions by mini -> for each string, the first
     start of each of its windows: p1, p2, off, docs, starts."""
 
     def firsts(rows: list[tuple]) -> Iterator[tuple]:
         if len(rows) == 1:
-            words = rows[0][5].split(b" ")
-            windows = range(len(words) - WINDOW + 1)
-            if len({tuple(words[i : i + WINDOW]) for i in windows}) == len(windows):
-                yield *rows[0][:3], [rows[0][3]] * len(windows), [rows[0][4] + i for i in windows]
+            *key, doc, start, packed = rows[0]
+            windows = windows_of(packed)
+            if len(set(windows)) == len(windows):
+                yield *key, [doc] * len(windows), list(range(start, start + len(windows)))
                 return
-        all_windows = []
+        every = []
         for r, (*_, doc, start, packed) in enumerate(rows):
-            words = packed.split(b" ")
-            all_windows += [(tuple(words[i : i + WINDOW]), doc, start + i, r, i) for i in range(len(words) - WINDOW + 1)]
-        all_windows.sort()
-        out = [([], []) for _ in rows]
-        places: list[list] = [[] for _ in rows]
+            every += [(w, doc, start + i, r, i) for i, w in enumerate(windows_of(packed))]
+        sizes = Counter(x[3] for x in every)
+        every.sort()
+        out = [([0] * sizes[r], [0] * sizes[r]) for r in range(len(rows))]
         last = None
-        for w, doc, at, r, i in all_windows:
+        for w, doc, at, r, i in every:
             if w != last:
-                last, first = w, (doc, at)
-            places[r].append((i, *first))
-        for r, found in enumerate(places):
-            found.sort()
-            out[r] = [x[1] for x in found], [x[2] for x in found]
-            yield *rows[r][:3], *out[r]
+                last, first_doc, first_at = w, doc, at
+            out[r][0][i], out[r][1][i] = first_doc, first_at
+        for row, found in zip(rows, out):
+            yield *row[:3], *found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, done = None, [], []
@@ -190,8 +201,7 @@ def single_windows(strings: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for b in batches:
             for p1, p2, doc, start, packed in zip(*(b.column(c).to_pylist() for c in ("p1", "p2", "doc_id", "start", "packed"))):
-                words = packed.split(b" ")
-                out += [(b" ".join(words[i : i + WINDOW]), p1, p2, i, doc, start + i) for i in range(len(words) - WINDOW + 1)]
+                out += [(w, p1, p2, i, doc, start + i) for i, w in enumerate(windows_of(packed))]
                 if len(out) >= 5000:
                     yield batch(out)
                     out = []
