@@ -5,16 +5,19 @@ found by one pattern and replaced by keyed surrogates of the same type:
 
 * format: separators, lengths, letter case and kind of each character stay; a card keeps its first digit and whether its Luhn sum is
   right, an address has valid octets of as many digits, an email keeps its top-level domain, hex stays hex;
-* gender and script: given names are built for the title's gender in Latin, Cyrillic or Greek; other letters move within their script;
+* gender and script: given names are built for the title's gender (of either where the title has none) in Latin, Cyrillic or Greek; other
+  letters move within their script;
 * coreference: a surrogate depends on the key and the entity alone (emails without case, numbers without separators, names by
-  part), so all mentions in all documents agree, and a mail domain or a surname stays shared by those who share it;
+  part), so all mentions in all documents agree, and a mail domain or a surname stays shared by those who share it. A mail domain is
+  an entity of its own, so two domains never become one, nor one a real one of the table;
 * distinctness: the distinct entities of the whole table are checked. Where two get one surrogate, or one gets the
   text of a real entity, all but the first in order are drawn again until none is left. From draw WIDER on the format widens, as a
   table may hold more entities of a format than half of its texts: an address has octets of any length, any other surrogate but a
   card's and a hex string's (over 10^12 forms) gets one more character a draw, and letters of other scripts become Latin ones.
 
 Defined results: a null text stays null with 0 entities; an empty text, or one without entities, is unchanged; repeated rows get
-equal results; an empty table gives an empty result. Other columns may have any name: all of them are kept by replace_pii().
+equal results; an empty table gives an empty result. Other columns may have any name: all of them are kept by replace_pii(), and where
+one is called n_entities, the new one has a longer name.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import materialise
+from lessonlake.llm.common import Tables, fresh, materialise
 
 #: Exceptions that may be carried as a literal map; more go through a join.
 LITERAL_EXCEPTIONS = 500
@@ -32,7 +35,10 @@ WIDER = 8
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "Господин", "Κύριος", "Κύριε"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία"),
+    "x": ("Dr", "Prof", "Professor", "Doctor", "Доктор", "Профессор"),
 }
+#: Words before a secret, in any case (fixed values).
+SECRET_WORDS = "(?i:password|passwd|pwd|secret|token|api_key|apikey)"
 NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
 TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
 PATTERNS = {
@@ -44,13 +50,13 @@ PATTERNS = {
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)|(?<!\d)3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
-    r"|(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9+/_-]{6,}",
+    rf"|(?<={SECRET_WORDS}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']{{0,1}})[A-Za-z0-9+/_-]{{6,}}",
     "person": rf"(?<!\p{{L}})(?:{TITLE})\.? {NAME}(?: {NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every match of ANY holds one of these, which are found faster: the patterns without their look-arounds, or a part of each match.
 #: A secret's key word stands before the match.
-SIGN = r"[@\d]|(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:]|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20}|[a-f]{32}|[A-F]{32}|" + rf"(?:{TITLE})\.? \p{{Lu}}"
+SIGN = rf"[@\d]|{SECRET_WORDS}[ ]{{0,2}}[=:]|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20}}|[a-f]{{32}}|[A-F]{{32}}|(?:{TITLE})\.? \p{{Lu}}"
 #: Scripts: (first code point, letters) of ranges within which a letter moves (fixed values).
 RANGES = (
     (0x30, 10), (0x61, 26), (0x41, 26), (0xE0, 23), (0xC0, 23), (0xF8, 7), (0xD8, 7), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x3C3, 7),
@@ -142,18 +148,19 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column
         body = F.concat(F.substring(canon, 1, 1), plain(F.substring(canon, F.lit(2), F.length(canon) - 2), d))
         return _let(body, lambda b: F.concat(b, F.pmod(luhn(canon) - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    def domain(x: Column) -> Column:
-        top = F.regexp_extract(x, r"\.[^.]*$", 0)
-        return F.concat(_let(digest_of(key, F.lit("domain"), x, F.lit(0)), lambda m: plain(F.substring(x, F.lit(1), F.length(x) - F.length(top)), m)), top)
+    def domain() -> Column:
+        return _let(F.regexp_extract(canon, r"\.[^.]*$", 0), lambda top: _let(F.substring(canon, F.lit(1), F.length(canon) - F.length(top)), lambda body: F.concat(plain(body, d), tail(body), top)))
 
     def email() -> Column:
-        return _let(F.split(canon, "@"), lambda x: F.concat(plain(F.get(x, F.lit(0)), d), tail(F.get(x, F.lit(0))), F.lit("@"), _let(F.get(x, F.lit(1)), domain)))
+        # the domain is another entity: here it stands for itself, so that addresses of one domain are told apart
+        return _let(F.split(canon, "@"), lambda x: F.concat(plain(F.get(x, F.lit(0)), d), tail(F.get(x, F.lit(0))), F.lit("@"), F.get(x, F.lit(1))))
 
     def given() -> Column:
         def built(script: str) -> Column:
             parts, ends = SYLLABLES[script]
             words = F.array(*map(F.lit, parts))
-            last = F.when(kind == "given m", F.array(*map(F.lit, ends["m"]))).otherwise(F.array(*map(F.lit, ends["f"])))
+            male = (kind == "given m") | (kind == "given x") & (byte_at(d, F.lit(61)) < 128)
+            last = F.when(male, F.array(*map(F.lit, ends["m"]))).otherwise(F.array(*map(F.lit, ends["f"])))
             # later draws are longer, so there are always enough names
             stem = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2) + attempt), lambda i: F.element_at(words, F.pmod(byte_at(d, i), F.lit(len(parts))) + 1)), "")
             return F.concat(stem, F.element_at(last, F.pmod(byte_at(d, F.lit(60)), F.lit(8)) + 1))
@@ -165,23 +172,27 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column
     fixed = F.when(kind.isin("phone", "iban"), 2).when((kind == "secret") & canon.startswith("AKIA"), 4).otherwise(0)
     other = _let(fixed, lambda n: F.concat(F.substring(canon, F.lit(1), n), plain(F.substring(canon, n + 1, F.length(canon)), d), tail(canon)))
     return (
-        F.when(kind == "email", email()).when(kind == "ip", F.array_join(F.transform(F.split(canon, r"\."), octet), ".")).when(kind == "card", card())
+        F.when(kind == "email", email()).when(kind == "domain", domain()).when(kind == "ip", F.array_join(F.transform(F.split(canon, r"\."), octet), ".")).when(kind == "card", card())
         .when(kind == "hex", hexed).when(kind.startswith("given"), given()).otherwise(other)
     )
 
 
 def parts_of(mention: Column, kind: Column) -> Column:
-    """The entities of a mention: array<struct<kind, canon>>; a name has one a part, any other mention one."""
-    male = mention.rlike(rf"^(?:{'|'.join(TITLES['m'])})\.? ")
+    """The entities of a mention: array<struct<kind, canon>>; a name has one a part, an email one and its domain, any other mention one."""
+    of = lambda g: mention.rlike(rf"^(?:{'|'.join(TITLES[g])})\.? ")
+    gender = F.when(of("m"), "given m").when(of("f"), "given f").otherwise("given x")
 
     def names(words: Column) -> Column:
-        return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").when(male, "given m").otherwise("given f").alias("kind"), F.lower(w).alias("canon")))
+        return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise(gender).alias("kind"), F.lower(w).alias("canon")))
 
     canon = (
         F.when(kind.isin("phone", "ssn", "card"), F.concat(F.when(mention.startswith("+"), "+").otherwise(F.when(kind == "phone", "(").otherwise("")), F.regexp_replace(mention, r"\D", "")))
         .when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind.isin("email", "hex"), F.lower(mention)).otherwise(mention)
     )
-    return F.when(kind == "person", _let(F.split(F.regexp_replace(mention, rf"^(?:{TITLE})\.? ", ""), " "), names)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
+    entity = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
+    mail = F.array(entity(kind, F.lower(mention)), entity(F.lit("domain"), F.lower(F.substring_index(mention, "@", -1))))
+    person = _let(F.split(F.regexp_replace(mention, rf"^(?:{TITLE})\.? ", ""), " "), names)
+    return F.when(kind == "person", person).when(kind == "email", mail).otherwise(F.array(entity(kind, canon)))
 
 
 def entities_of(mention: Column) -> Column:
@@ -213,15 +224,15 @@ def replaced(key: str, mention: Column, attempts) -> Column:
     def joined(k: Column) -> Column:
         new = F.transform(parts_of(mention, k), lambda p: surrogate(key, F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), attempts(p["kind"], p["canon"]).alias("attempt"))))
         title = F.regexp_extract(mention, rf"^(?:{TITLE})\.? ", 0)
-        return _let(new, lambda n: F.when(k == "person", F.concat(title, F.array_join(F.transform(n, F.initcap), " "))).otherwise(_let(F.get(n, F.lit(0)), lambda x: F.when(k == "ip", x).otherwise(written_like(mention, x)))))
+        return _let(new, lambda n: F.when(k == "person", F.concat(title, F.array_join(F.transform(n, F.initcap), " "))).otherwise(_let(F.when(k == "email", F.concat(F.substring_index(F.get(n, F.lit(0)), "@", 1), F.lit("@"), F.get(n, F.lit(1)))).otherwise(F.get(n, F.lit(0))), lambda x: F.when(k == "ip", x).otherwise(written_like(mention, x)))))
 
     return _let(kind_of(mention), joined)
 
 
-def redrawn(entities: DataFrame, key: str) -> DataFrame:
+def redrawn(entities: DataFrame, key: str, tables: Tables) -> DataFrame:
     """entities(kind, canon), distinct -> those whose first surrogate collides: kind, canon, attempt (1 or more)."""
     group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
-    now = materialise(entities.select("kind", "canon", F.lit(0).alias("attempt"), surrogate(key, F.struct("kind", "canon", F.lit(0).alias("attempt"))).alias("new")))
+    now = tables.write(entities.select("kind", "canon", F.lit(0).alias("attempt"), surrogate(key, F.struct("kind", "canon", F.lit(0).alias("attempt"))).alias("new")))
     real = now.select(group.alias("g"), F.col("canon").alias("new"), F.lit(True).alias("real")).distinct()
     while True:
         # a draw is lost to an entity that was not redrawn, then to one earlier in order
@@ -232,33 +243,36 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
             held.join(best.where("k > 1").drop("k"), ["g", "new"], "left").join(real, ["g", "new"], "left")
             .where((F.col("best").isNotNull() & (F.col("best") != rank)) | F.col("real")).select("kind", "canon", F.lit(1).alias("lost"))
         )
-        lost = materialise(lost)
+        lost = tables.write(lost)
         if lost.isEmpty():
             return now.where("attempt > 0").select("kind", "canon", "attempt")
         next_ = F.col("attempt") + F.coalesce("lost", F.lit(0))
         again = now.join(lost, ["kind", "canon"], "left").select("kind", "canon", next_.alias("attempt"), F.col("new").alias("old"), "lost")
-        now = materialise(again.select("kind", "canon", "attempt", F.when(F.col("lost").isNull(), F.col("old")).otherwise(surrogate(key, F.struct("kind", "canon", "attempt"))).alias("new")))
+        now = tables.write(again.select("kind", "canon", "attempt", F.when(F.col("lost").isNull(), F.col("old")).otherwise(surrogate(key, F.struct("kind", "canon", "attempt"))).alias("new")))
 
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
     """The documents, all columns, with replaced text, and the column n_entities (mentions replaced)."""
+    mentions_, hash_, late_, count_ = (fresh(documents, n) for n in ("mentions", "text_hash", "late", "n_entities"))
     found = F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    marked = documents.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    mentions = marked.select(F.explode("_found").alias("m")).groupBy("m").count().select("m")
+    marked = documents.withColumn(mentions_, F.coalesce(found, F.array().cast("array<string>")))
+    mentions = marked.select(F.explode(mentions_).alias("m")).groupBy("m").count().select("m")
     entities = mentions.select(F.explode(entities_of(F.col("m"))).alias("p")).select("p.kind", "p.canon").distinct()
-    late = materialise(redrawn(entities, key))
+    with Tables(documents.sparkSession) as tables:
+        late = materialise(redrawn(entities, key, tables))
     rows = late.limit(LITERAL_EXCEPTIONS + 1).collect()
     if len(rows) <= LITERAL_EXCEPTIONS:
         known = {(r["kind"], r["canon"]): r["attempt"] for r in rows}
         table = F.create_map(*[x for (k, c), a in known.items() for x in (F.lit(f"{k}\u001f{c}"), F.lit(a))]) if known else None
         attempts = lambda k, c: F.coalesce(F.try_element_at(table, F.concat(k, F.lit("\u001f"), c)), F.lit(0)) if known else F.lit(0)
     else:
-        pairs = marked.select("text", F.explode("_found").alias("m")).distinct().select("text", F.explode(entities_of(F.col("m"))).alias("p")).select(F.xxhash64("text").alias("_t"), "p.kind", "p.canon").distinct()
-        per_text = pairs.join(late, ["kind", "canon"]).groupBy("_t").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\u001f"), "canon"), "attempt"))).alias("_late"))
-        marked = marked.withColumn("_t", F.xxhash64("text")).join(per_text, "_t", "left")
-        attempts = lambda k, c: F.coalesce(F.try_element_at(F.col("_late"), F.concat(k, F.lit("\u001f"), c)), F.lit(0))
-    new = F.transform("_found", lambda m: replaced(key, m, attempts))
+        text_hash = F.xxhash64("text").alias(hash_)  # a text that shares another's hash gets more entries than it needs
+        pairs = marked.select(text_hash, F.explode(mentions_).alias("m")).distinct().select(hash_, F.explode(entities_of(F.col("m"))).alias("p")).select(hash_, "p.kind", "p.canon").distinct()
+        per_text = pairs.join(late, ["kind", "canon"]).groupBy(hash_).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\u001f"), "canon"), "attempt"))).alias(late_))
+        marked = marked.withColumn(hash_, text_hash).join(per_text, hash_, "left")
+        attempts = lambda k, c: F.coalesce(F.try_element_at(F.col(late_), F.concat(k, F.lit("\u001f"), c)), F.lit(0))
+    new = F.transform(mentions_, lambda m: replaced(key, m, attempts))
     # the gaps between mentions, one more than there are mentions
     gaps = F.split("text", ANY, -1)
-    text = F.when(F.size("_found") == 0, F.col("text")).otherwise(F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""))
-    return marked.withColumns({"text": text, "n_entities": F.size("_found").cast("long")}).select(*documents.columns, "n_entities")
+    text = F.when(F.size(mentions_) == 0, F.col("text")).otherwise(F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""))
+    return marked.withColumns({"text": text, count_: F.size(mentions_).cast("long")}).select(*documents.columns, count_)

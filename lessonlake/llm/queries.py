@@ -11,8 +11,8 @@ from lessonlake.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-#: In production a secret of the operator's owner.
-PII_KEY = "a fixed key for repeatable results"
+#: The session's setting that holds the owner's key for surrogates; without it the results of tests are repeatable, and no secret.
+PII_KEY = "spark.lessonlake.pii.key"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, "not a secret"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
