@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import ascii_lower
+from lessonlake.llm.common import FEW_KEYS, ascii_lower, materialise
 
 BITS_PER_KEY = 16
 MAX_FILTER_BYTES = 16 << 20
@@ -102,7 +102,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("key_host", "key_path").alias("rule"), F.col("found")), F.struct(F.length("key_host") + F.length("key_path"), F.length("key_host"))).alias("hit"))
     )
-    return (
-        judged.join(hits, ["host", "path"], "left")
-        .select(F.col("page_id").cast("long"), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.found", F.lit(default)).alias("verdict"))
-    )
+    hits = materialise(hits)
+    if hits.count() <= FEW_KEYS:
+        out = judged.join(F.broadcast(hits), ["host", "path"], "left")
+    else:  # pages without a host can't be hit, and don't meet at one key
+        out = judged.where("host <> ''").join(hits, ["host", "path"], "left").unionByName(judged.where("host = ''"), allowMissingColumns=True)
+    return out.select(F.col("page_id").cast("long"), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.found", F.lit(default)).alias("verdict"))

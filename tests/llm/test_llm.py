@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lessonlake.llm import bpe, components, decontaminate, html_extract, line_dedup, minhash, pii, quality_gam, quality_rules, substring_dedup, url_filter
+from lessonlake.llm import bpe, common, components, decontaminate, html_extract, line_dedup, minhash, pii, quality_gam, quality_rules, substring_dedup, url_filter
 from lessonlake.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -294,6 +294,50 @@ def test_surrogates(spark):
     assert len(set(out)) == 300 and not set(out) & {r.text for r in many.collect()}
 
 
+def test_surrogates_keep_entities_apart_and_together(spark):
+    """By brute force over all mentions: one surrogate an entity, one entity a surrogate, none that is a real one; parts that are shared stay so."""
+    rng = random.Random(8)
+    names, domains = [f"{a}{b}" for a in "abc" for b in "xyz"], [f"{a}{t}" for a in ("m", "n", "mail.a", "mail.b", "q1") for t in (".com", ".net", ".org")]
+    mails = sorted({f"{rng.choice(names)}@{rng.choice(domains)}" for _ in range(80)})
+    people = [f"{t} {g} {s}" for t in ("Dr", "Herr", "Mrs.") for g in ("Anna", "Bo", "Олег") for s in ("Smith", "Ito", "Petrov")]
+    phones = [f"+1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}" for _ in range(40)]
+    mentions = [*mails, *people, *sorted(set(phones))]
+    rows = [(i, f"so {m} there") for i, m in enumerate(mentions)] + [(1000 + i, f"and {m.upper()} again") for i, m in enumerate(mails)]
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mentions", F.lit(1)).withColumn("n_entities", F.lit(2)), "k").collect()}
+    new = {m: out[i][3:-6] for i, m in enumerate(mentions)}
+    assert all(out[1000 + i][4:-6].lower() == new[m].lower() for i, m in enumerate(mails))
+    assert len(set(new.values())) == len(mentions) and not set(new.values()) & set(mentions)
+    domain = {}
+    for m in mails:
+        assert domain.setdefault(m.split("@")[1], new[m].split("@")[1]) == new[m].split("@")[1]
+    assert len(set(domain.values())) == len(domain) and not set(domain.values()) & set(domain) and all(a[-4:] == b[-4:] for a, b in domain.items())
+    surname = {}
+    for m in people:
+        assert new[m].split()[0] == m.split()[0] and surname.setdefault(m.split()[-1], new[m].split()[-1]) == new[m].split()[-1]
+        assert bool(re.match("[А-Я]", new[m].split()[1])) == ("Олег" in m)
+    assert all(re.fullmatch(r"\+1 \d{3} \d{3} \d{4}", new[p]) for p in phones)
+    said = "Password: correcthorse1 and API_KEY = abcdefgh2, Dr. Anna Smith"
+    row = pii.replace_pii(spark.createDataFrame([(1, said)], "doc_id long, text string"), "k").first()
+    assert row.n_entities == 3 and row.text.startswith("Password: ") and not [x for x in ("correcthorse1", "abcdefgh2", "Anna", "Smith") if x in row.text]
+
+
+def test_keys_in_all_three_ways(spark, monkeypatch):
+    """A broadcast, a filter and a plain join give the same rows."""
+    rows = spark.range(500).select((F.col("id") % 90).alias("k"), "id").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, -1L AS id"))
+    keys = spark.range(60, 120).select(F.col("id").alias("k"))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.com/en/1", None, "x", "https://b.com/", "http://a.com/en/1"] * 3)], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    found = []
+    for few, size in ((20_000, 1 << 24), (0, 1 << 24), (0, 0)):
+        monkeypatch.setattr(common, "FEW_KEYS", few)
+        monkeypatch.setattr(url_filter, "FEW_KEYS", few)
+        monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", size)
+        may, rest = common.split_by_keys(rows, "k", keys)
+        assert may.count() + (rest.count() if rest is not None else 0) == 501 and (rest is None) == (size == 0)
+        found.append((sorted(r.id for r in may.join(keys, "k").collect()), sorted(url_filter.url_filter(pages, rules).collect(), key=str)))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == sum(i % 90 >= 60 for i in range(500)) and [r.verdict for r in found[0][1]].count("block") == 6
+
+
 def test_secrets_without_digits(spark):
     """Each alone in its text, with no digit, @ or title beside it."""
     secrets = ["correcthorse", "abcDEFgh", "AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqr" * 2, "sk-" + "abcdefghijklmnopqrstu", "abcdef" * 6, "ABCDEF" * 6]
