@@ -228,8 +228,9 @@ def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame
     hashed = keys.select(F.xxhash64(F.col(keys.columns[0]).cast("long")).alias("h")).distinct()
     n = hashed.count()
     if n <= FEW_KEYS:
-        few, h = F.broadcast(hashed.withColumnRenamed("h", "_h")), F.xxhash64(F.col(key).cast("long"))
-        return rows.join(few, h == F.col("_h"), "left_semi"), rows.join(few, h == F.col("_h"), "left_anti")
+        name = fresh(rows, "h")
+        few, same = F.broadcast(hashed.withColumnRenamed("h", name)), F.xxhash64(F.col(key).cast("long")) == F.col(name)
+        return rows.join(few, same, "left_semi"), rows.join(few, same, "left_anti")
     words = bloom(hashed, n)
     if words is None:
         return rows, None

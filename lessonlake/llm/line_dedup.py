@@ -341,7 +341,7 @@ def dedup_report(documents: DataFrame) -> DataFrame:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents, all columns, without repeated lines. A document that loses its last line with a word goes."""
     doc, removed = fresh(documents, "doc"), fresh(documents, "removed")
-    gone = repeated_lines(documents).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line").alias(removed))
+    gone = materialise(repeated_lines(documents).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line").alias(removed)))
     names = documents.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,5 +358,6 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
-    return joined.mapInArrow(cut, documents.schema)
+    may, rest = split_by_keys(documents, "doc_id", gone.select(doc))
+    cleaned = may.join(gone, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).mapInArrow(cut, documents.schema)
+    return cleaned if rest is None else cleaned.union(rest)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import FEW_KEYS, Hashes, Tables, fresh, groups, materialise, mixed, only_keys
+from lessonlake.llm.common import FEW_KEYS, Hashes, Tables, fresh, groups, materialise, mixed, only_keys, split_by_keys
 from lessonlake.llm.components import components
 
 PLACES = 1 << 20
@@ -223,5 +223,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
 def dedup_documents(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, all columns, of which one stays for each group of near copies: the one of smallest doc_id."""
     gone = fresh(documents, "gone")
-    lost = near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
-    return documents.join(lost, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    lost = materialise(near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct())
+    may, rest = split_by_keys(documents, "doc_id", lost)
+    kept = may.join(lost, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    return kept if rest is None else kept.union(rest)
