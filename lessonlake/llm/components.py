@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import materialise
+from lessonlake.llm.common import Tables, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,28 +15,31 @@ def components(edges: DataFrame) -> DataFrame:
     jumping and contracts the edges; at least half of the roots that have an edge go in a round. Every step is a join or
     an aggregation with a row a node or edge; lineage is cut by written tables.
     """
-    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    labels = None
-    while not edges.isEmpty():
-        hook = materialise(edges.groupBy("a").agg(F.min("b").alias("b")))
-        while True:
-            up = hook.select(F.col("a").alias("b"), F.col("b").alias("c"))
-            jumped = materialise(hook.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
-            hook = jumped.select("a", "b")
-            if jumped.where("moved").isEmpty():
-                break
-        new = hook.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    with Tables(edges.sparkSession) as tables:
+        write, drop = tables.write, tables.drop
+        edges = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        labels = None
+        while not edges.isEmpty():
+            hook = write(edges.groupBy("a").agg(F.min("b").alias("b")))
+            while True:
+                up = hook.select(F.col("a").alias("b"), F.col("b").alias("c"))
+                jumped = write(hook.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
+                hook = jumped.select("a", "b")
+                if jumped.where("moved").isEmpty():
+                    break
+            new = hook.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            if labels is None:
+                labels = new
+            else:
+                onward = hook.select(F.col("a").alias("root"), F.col("b").alias("next"))
+                labels = labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")).union(new)
+            labels = write(labels)
+            a = hook.select("a", F.col("b").alias("ra"))
+            b = hook.select(F.col("a").alias("b"), F.col("b").alias("rb"))
+            moved = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+            before, edges = edges, write(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            drop(before)
         if labels is None:
-            labels = new
-        else:
-            onward = hook.select(F.col("a").alias("root"), F.col("b").alias("next"))
-            labels = labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")).union(new)
-        labels = materialise(labels)
-        a = hook.select("a", F.col("b").alias("ra"))
-        b = hook.select(F.col("a").alias("b"), F.col("b").alias("rb"))
-        moved = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
-        edges = materialise(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = labels.select(F.col("root").alias("node"), "root").distinct()
-    return labels.union(roots).groupBy("node").agg(F.min("root").alias("root"))
+            return materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
+        roots = labels.select(F.col("root").alias("node"), "root").distinct()
+        return materialise(labels.union(roots).groupBy("node").agg(F.min("root").alias("root")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lessonlake.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality_gam, quality_rules, substring_dedup, url_filter
 from lessonlake.llm.common import table
@@ -21,7 +22,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents")).withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL: dict[str, str] = {}
 
+SQL["op2_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT * FROM (SELECT doc_id, pos, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l) WHERE len(w) > 0),
+c AS (SELECT w, len(w) AS n, first, row_number() OVER (ORDER BY first) AS id FROM (SELECT w, min((doc_id, pos)) AS first FROM k GROUP BY w)),
+t AS (SELECT id, n, unnest(w) AS t FROM c),
+ordered AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY f, t) AS r FROM t JOIN (SELECT t, count(*) AS f FROM t GROUP BY t) USING (t)),
+prefix AS (SELECT * FROM ordered WHERE r <= n - (4 * n + 4) // 5 + 1),
+candidates AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+near AS (SELECT DISTINCT b FROM candidates JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE 100 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+gone AS (SELECT k.doc_id, pos FROM k JOIN c USING (w) WHERE (k.doc_id, pos) <> first OR id IN (SELECT b FROM near)),
+lost AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(lines) END AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN lost USING (doc_id)
+"""
+
 SQL["op5_url_filter"] = """
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -1,6 +1,7 @@
 """The training-data operators on small tables: against SQL, against brute force, and on odd rows."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -270,6 +271,90 @@ def test_models(spark):
     assert sum(not r.kept for r in rows if r.quality == 0) >= 0.9 * sum(r.quality == 0 for r in rows)
 
 
+def base_counts(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    inside = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
+    failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), again, len(inside), failed
+
+
+def test_base_columns_against_brute_force(spark):
+    rng = random.Random(6)
+    texts_ = [None, "", " \n", "a\n\n \na\na", *[" ".join(rng.choices(["a", "b", "é#", "<|>", "\n", "x\ty\x0b"], k=rng.randrange(60))) for _ in range(60)], "one two three four five six seven eight " * 5]
+    rows = quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), None).orderBy("doc_id").collect()
+    assert [tuple(r)[1:7] for r in rows] == [base_counts(t) for t in texts_]
+    assert all(r.kept == (not r.base_failed) for r in rows if r.n_words)
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = random.Random(2)
+    for _ in range(200):
+        emit, start = [rng.gauss(0, 2) for _ in range(rng.randrange(1, 8))], rng.gauss(0, 1)
+        trans = [[rng.gauss(0, 1) for _ in range(2)] for _ in range(2)]
+        worth = lambda p: sum(e for e, s in zip(emit, p) if s) + start * p[0] + sum(trans[a][b] for a, b in zip(p, p[1:]))
+        best = max(itertools.product((0, 1), repeat=len(emit)), key=worth)
+        assert abs(worth(quality_rules.viterbi(emit, start, trans)) - worth(best)) < 1e-9
+
+
+def test_chain_marginals_against_all_paths():
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 4, (n, 2)) for n in (3, 1, 5)]
+    lattice = quality_rules.Lattice(sequences)
+    w, trans = rng.normal(size=8), rng.normal(size=(2, 2))
+    p, joint = lattice.marginals(w[lattice.feats].sum(1), trans)
+    for i, sequence in enumerate(lattice.order):
+        e, at = w[sequences[sequence]].sum(1), np.flatnonzero(lattice.sequence == i)
+        paths = list(itertools.product((0, 1), repeat=len(e)))
+        score = np.exp([sum(e[t] for t, s in enumerate(q) if s) + sum(trans[a, b] for a, b in zip(q, q[1:])) for q in paths])
+        for t in range(len(e)):
+            assert abs(p[at[t]] - sum(x for x, q in zip(score, paths) if q[t]) / score.sum()) < 1e-9
+    assert abs(joint.sum(axis=(1, 2)) - 1).max() < 1e-9
+
+
+def test_lines_of_one_document_differ(spark):
+    """Documents that mix prose and junk have lines of both kinds, and the words of the content lines decide."""
+    rng = random.Random(5)
+    prose = lambda: " ".join(rng.choice(["the", "river", "runs", "quietly", "under", "old", "bridges"]) for _ in range(12)) + "."
+    junk = lambda: " ".join(rng.choice(["$$$", "BUY!!", "###", "WIN|", "&&&"]) for _ in range(12))
+    docs, labels, want = [], [], {}
+    for i in range(300):
+        good = i % 2
+        lines = [prose() if rng.random() < (0.85 if good else 0.2) else junk() for _ in range(10)]
+        if (sum(x[0].islower() for x in lines) > 5) != bool(good):
+            continue
+        docs.append((i, "\n".join(lines)))
+        labels.append((i, good))
+        want[i] = sum(x[0].islower() for x in lines) / 10
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    crf = quality_rules.train(table, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rows = quality_rules.quality_rules(table, crf).collect()
+    mixed = [r for r in rows if 0 < r.content_share < 1]
+    assert len(mixed) >= 0.9 * sum(0 < x < 1 for x in want.values()) and all(abs(r.content_share - want[r.doc_id]) < 0.11 for r in rows)
+    assert all(r.kept == (want[r.doc_id] >= 0.5) for r in rows if not r.base_failed)
+    assert quality_rules.train(table, spark.createDataFrame([(0, 1)], "doc_id long, quality int")) is None and quality_rules.train(empty(spark), spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
+def test_models_of_odd_rows(spark):
+    """Null and empty texts get a score; without rows, or labels of both kinds, the share of label 1."""
+    o, e = odd(spark), empty(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    crf = {"w": np.zeros(len(quality_rules.EDGES) * quality_rules.BINS), "start": 1.0, "trans": [[0.0, 0.0], [0.0, 0.0]]}
+    assert quality_gam.score(e, quality_gam.train(e, none)).collect() == [] == quality_rules.quality_rules(e, crf).collect()
+    assert {r.score for r in quality_gam.score(o, quality_gam.train(o, none)).collect()} == {0.5}
+    assert len(quality_rules.quality_rules(o, crf).collect()) == 9 and quality_rules.keep_documents(o, crf).columns == o.columns
+    assert {r.doc_id for r in quality_rules.keep_documents(o, None).collect()} == {5, 6, None}  # 7 repeats itself
+    pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://a.com/en/", "y"), (2, "", "z"), (3, "http://", "z")], "page_id long, url string, host string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), (None, "/", "block"), ("com", "/en/", "block")], "host string, path string, verdict string")
+    assert sorted((str(r.page_id), r.host, r.verdict) for r in url_filter.url_filter(pages, rules).collect()) == [("1", "", "allow"), ("1", "", "allow"), ("2", "", "allow"), ("3", "", "allow"), ("None", "a.com", "block")]
+    assert url_filter.url_filter(pages.limit(0), rules).collect() == [] and url_filter.url_filter(pages, rules.limit(0)).count() == 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000, 1002), (1001, 1002)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -378,6 +463,39 @@ def test_odd_rows(spark):
     assert line_dedup.dedup_lines(o).columns == o.columns and minhash.dedup_documents(o).columns == o.columns
 
 
+def test_pipeline_against_brute_force(spark):
+    """Line dedup, near-dedup and decontamination of the pipeline, each on all that the one before kept; odd rows go through."""
+    import corpus_pipeline as C
+
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n)]
+    shared, item = words(30), words(16)
+    base = [words(60) for _ in range(3)]
+    texts_ = ["\n".join([" ".join(words(25)), " ".join(shared), " ".join(words(25))]) for _ in range(8)]
+    texts_ += [" ".join(b[:i] + ["zz"] + b[i + 1 :]) for b in base for i in (0, 59)] + [" ".join(words(20) + item + words(20)), " ".join(item[:12] + words(40)), None, "", "one\n\none"]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts_)] + [(None, "null id", "en", "s", 7)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.materialise(C.lines(spark, table, None))
+    seen, want = [], {None: "null id"}
+    for i, t in enumerate(texts_):
+        kept, lost = [], False
+        for line in (t or "").split("\n"):
+            s = set(line.split())
+            gone = bool(s) and any(100 * len(s & o) >= 80 * len(s | o) for o in seen)
+            kept, lost = kept + ([] if gone else [line]), lost or gone
+            seen += [s] * bool(s)
+        if not lost or any(x.split() for x in kept):
+            want[i] = None if t is None else "\n".join(kept)
+    assert {r.doc_id: r.text for r in out.collect()} == want and out.columns == table.columns
+    assert all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None)
+    near = C.near_duplicates(spark, table, None)
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in enumerate(texts_) if (w := (t or "").split())}
+    first = {j: min([i for i in grams if i < j and 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])], default=j) for j in grams}
+    assert {r.doc_id for r in near.collect()} == {None} | {i for i in range(len(texts_)) if first.get(i, i) == i} and any(first[j] != j for j in grams)
+    benchmark = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    assert {r.doc_id for r in decontaminate.remove_contaminated(table, benchmark).collect()} == {None, *range(len(texts_))} - {14}
+
+
 @needs_tables
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
