@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages over the documents table. Each stage works on all that its predecessor kept.
 
-run() writes each stage's result as Parquet to the shared folder and reads it back.
+run() writes each stage's result as Parquet to the shared folder, reads it back, and deletes what no later stage reads.
+
+Defined results: null and empty texts fail the base rule of the first stage, so they go there; given to a later stage, they pass it
+unchanged and have no tokens. Rows with a null doc_id pass the dedup stages; rows that share a doc_id are one document given twice. An empty
+table passes all stages. Other columns may have any name and stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -9,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonlake.llm import bpe, decontaminate, line_dedup, minhash, quality_rules
-from lessonlake.llm.common import materialise, table
+from lessonlake.llm.common import Tables, materialise, table  # noqa: F401  (materialise: for tests of single stages)
 
-#: Near copies share 0.8 of their five-word shingles.
+#: Words of a shingle, as for all near-duplicate stages without a contract of their own. After line dedup few near copies of 0.8 in
+#: five-word shingles are left: most of their lines went with it.
 SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. The line model is trained on the labelled ones among docs."""
-    table(spark, sf_dir, "documents")  # sets the batch size
     return quality_rules.keep_documents(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -43,12 +47,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("minhash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("bpe encoding", tokens)]
-#: The line model and the tokeniser have no SQL form; tests hold the stages against brute-force versions.
+#: The line model and the tokeniser have no SQL form. tests/llm holds each stage's operator, and stages two to four as they are chained
+#: here, against brute-force versions, and the tokeniser against the tokenizers library.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        read, docs = docs, tables.write(stage(spark, docs, sf_dir))
+        tables.drop(read)
     return STAGES[-1][1](spark, docs, sf_dir)

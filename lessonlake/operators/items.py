@@ -20,6 +20,7 @@ PREPOSITIONS = ("in", "on", "at", "from", "to", "with", "for", "of", "by")
 CONJUNCTIONS = ("and", "but", "or", "because")
 #: Texts of items (fixed values).
 EXPLANATION = "The answer is supported by the textbook context."
+LEAD, COMPLETES = "Choose the correct word to complete the sentence: ", '" correctly completes the sentence from the textbook.'
 UNTITLED = "Choose the best answer."
 _STRINGS = "question string, prompt string, questionText string, options array<string>, choices array<string>, answers array<string>, correctAnswerIndex string, answerIndex string, correctIndex string, correctAnswer string, answer string, explanation string, reason string"
 _PAIR = "left string, prompt string, term string, first string, right string, match string, meaning string, second string, explanation string"
@@ -70,11 +71,11 @@ def fallback_quiz(contexts: DataFrame, n: int = 5) -> DataFrame:
         d = F.slice(near, F.size(acc) + 1, 3)
         # the first whole-word hit, in ASCII terms, whatever its case
         blank = F.regexp_replace(x["s"], F.concat(F.lit(r"(?is)^(.*?)(?<![A-Za-z0-9_])"), x["a"], F.lit(r"(?![A-Za-z0-9_])")), F.lit("$1_____"))
-        item = F.struct(F.concat(F.lit("Choose the correct word to complete the sentence: "), blank).alias("question"), F.array(F.initcap(F.get(d, F.lit(0))), x["a"], F.initcap(F.get(d, F.lit(1))), F.initcap(F.get(d, F.lit(2)))).alias("options"), x["a"].alias("answer"))
+        item = F.struct(F.concat(F.lit(LEAD), blank).alias("question"), F.array(F.initcap(F.get(d, F.lit(0))), x["a"], F.initcap(F.get(d, F.lit(1))), F.initcap(F.get(d, F.lit(2)))).alias("options"), x["a"].alias("answer"))
         return F.when((F.size(acc) >= n) | x["a"].isNull(), acc).when(F.size(d) < 3, acc).otherwise(F.concat(acc, F.array(item))).cast(kind)
 
     made = rows.select("request_id", F.posexplode(F.aggregate("s", F.array().cast(kind), add)).alias("at", "q"))
-    return made.select("request_id", (F.col("at") + 1).alias("position"), "q.question", "q.options", F.lit(1).alias("correct_index"), F.concat(F.lit('"'), "q.answer", F.lit('" correctly completes the sentence from the textbook.')).alias("explanation"))
+    return made.select("request_id", (F.col("at") + 1).alias("position"), "q.question", "q.options", F.lit(1).alias("correct_index"), F.concat(F.lit('"'), "q.answer", F.lit(COMPLETES)).alias("explanation"))
 
 
 def top_up(valid: DataFrame, fallback: DataFrame, key: str, least: int, n: int, need: int = 1, distinct: bool = False) -> DataFrame:
