@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +22,13 @@ JUNK_GAME = (".", ",", ":", ";", "-", "_", "•", "●", "▪", "◦", "a", "b",
 JUNK_QUIZ = (*JUNK_GAME, "a)", "b)", "c)", "d)")
 #: Unicode's white space, as a class of its own: (?U) makes every class of a pattern slow.
 WS = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Classes that hold what a step would change, and seldom anything else: all white space but the space (with what Java searches
-#: as fast as this), and the marks of markdown.
+#: Characters that hold all white space but the space, and bullets and dashes beside it.
 SPECIAL = r"[\x00-\x1f\x7f-\u00a0\u1680-\uffff]"
-MARKS = r"[`*_<#]"
-MARKS_OR_SPECIAL = r"[`*_<#\x00-\x1f\x7f-\u00a0\u1680-\uffff]"
+#: The same as bytes of UTF-8: those that are white space, or begin characters among which it is. A search for a byte reads the text as it is stored.
+SPECIAL_BYTES = (b"\t", b"\n", b"\v", b"\f", b"\r", b"\xc2", b"\xe1", b"\xe2", b"\xe3")
+#: The marks of markdown, and punctuation after a space.
+MARKS = ("`", "*", "_", "<", "#")
+AFTER_SPACE = (" ,", " .", " !", " ?", " ;", " :")
 LINE_LABEL = rf"^{WS}*(?:[{BULLETS}*–—-]+|\(?\d+\)?[.)]|[A-Da-d][.)]){WS}*"
 LABEL = r"(?i)^(?:\d+[.)]?|[a-z][.)]?|[ivxlcdm]+[.)]?|[.,:;!?()\-]+)\z"
 
@@ -38,20 +43,21 @@ def replace(c: Column, pattern: str, by: str = "") -> Column:
 
 
 def changed(c: Column, sign, f) -> Column:
-    """f(c) where c has the sign of something to change, else c itself: most texts are clean, and a search is cheaper than a chain.
-
-    sign: a pattern, or a test of the text.
-    """
-    return let(c, lambda x: F.when(x.rlike(sign) if isinstance(sign, str) else sign(x), f(x)).otherwise(x))
+    """f(c) where sign(c), a test for something to change, holds, else c itself: most texts are clean, and a search is cheaper than a chain."""
+    return let(c, lambda x: F.when(sign(x), f(x)).otherwise(x))
 
 
 def _open(x: Column) -> Column:
     return x.startswith(" ") | x.endswith(" ")
 
 
+def _any_of(x: Column, parts: tuple) -> Column:
+    return reduce(or_, [F.contains(x, F.lit(p)) for p in parts])
+
+
 def _loose(x: Column) -> Column:
-    """Whether collapse() changes x."""
-    return x.contains("  ") | _open(x) | x.rlike(SPECIAL)
+    """Whether collapse() may change x."""
+    return x.contains("  ") | _open(x) | _any_of(x.cast("binary"), SPECIAL_BYTES)
 
 
 def trim(c: Column) -> Column:
@@ -66,13 +72,21 @@ def collapse(c: Column) -> Column:
     return changed(c, _loose, _collapse)
 
 
+def _bulleted(x: Column) -> Column:
+    return x.contains("**") | _loose(x)  # bullets are among the characters that the special bytes begin
+
+
 def normalize_text(c: Column) -> Column:
-    # bullets are among the special characters
-    return changed(F.coalesce(c, F.lit("")), lambda x: x.contains("**") | _loose(x), lambda x: _collapse(replace(replace(x, r"\*\*"), f"[{BULLETS}]", " ")))
+    return changed(F.coalesce(c, F.lit("")), _bulleted, lambda x: _collapse(replace(replace(x, r"\*\*"), f"[{BULLETS}]", " ")))
+
+
+def normalize_word(c: Column) -> Column:
+    """normalize_text of a bare column, of short texts that seldom need it: the test stands outside of any lambda, in generated code."""
+    return F.when(c.isNotNull() & ~_bulleted(c), c).otherwise(normalize_text(c))
 
 
 def alphabet_ratio(c: Column) -> Column:
-    solid = F.length(F.when(c.rlike(SPECIAL), replace(c, rf"{WS}+")).otherwise(F.replace(c, F.lit(" "), F.lit(""))))
+    solid = F.length(F.when(_any_of(c.cast("binary"), SPECIAL_BYTES), replace(c, rf"{WS}+")).otherwise(F.replace(c, F.lit(" "), F.lit(""))))
     return let(solid, lambda n: F.when(n == 0, 0.0).otherwise(F.length(replace(c, "[^A-Za-z]+")) / n))
 
 
@@ -115,7 +129,7 @@ def _remove_markdown(c: Column) -> Column:
         x = replace(replace(x, r"(?i)```(?:json)?"), r"\*\*|__")
         return replace(replace(x, rf"(?m)^#{{1,6}}{WS}*"), "<[^>]+>", " ")
 
-    return trim(changed(c, MARKS, marks))
+    return trim(changed(c, lambda x: _any_of(x, MARKS), marks))
 
 
 def remove_markdown(c: Column) -> Column:
@@ -127,7 +141,7 @@ def clean_line(c: Column) -> Column:
         x = changed(replace(_remove_markdown(x), LINE_LABEL), _loose, lambda y: replace(y, rf"{WS}+", " "))
         return F.trim(replace(x, r" +([,.!?;:])", "$1"))
 
-    unclean = lambda x: x.contains("  ") | _open(x) | x.rlike(MARKS_OR_SPECIAL) | x.rlike(LINE_LABEL) | x.rlike(" [,.!?;:]")
+    unclean = lambda x: _loose(x) | _any_of(x, (*MARKS, *AFTER_SPACE)) | x.rlike(LINE_LABEL)
     return changed(F.coalesce(c, F.lit("")), unclean, chain)
 
 

@@ -38,14 +38,14 @@ def build_lines(lines: DataFrame, page_width: int, page_height: int) -> DataFram
 def lines_from_native(words: DataFrame, page_width: int, page_height: int, zoom: float = 2.0) -> DataFrame:
     """Lines of a page's own text layer; pages of fewer than 8 words give none."""
     n = F.count("*").over(Window.partitionBy("page_no"))
-    clean = words.withColumn("n", n).where(F.col("n") >= MIN_NATIVE_WORDS).withColumn("text", T.normalize_text(F.col("text"))).where("text <> ''").withColumn("confidence", F.lit(99.0))
+    clean = words.withColumn("n", n).where(F.col("n") >= MIN_NATIVE_WORDS).withColumn("text", T.normalize_word(F.col("text"))).where("text <> ''").withColumn("confidence", F.lit(99.0))
     return build_lines(_joined(clean, ["block_no", "line_no"], zoom), page_width, page_height)
 
 
 def lines_from_tokens(words: DataFrame, page_width: int, page_height: int) -> DataFrame:
     """Lines of OCR tokens of confidence 35 or more; a confidence that is no number counts as -1."""
     confidence = F.coalesce(F.col("confidence").cast("string").try_cast("double"), F.lit(-1.0))
-    good = words.withColumn("confidence", confidence).where(F.col("confidence") >= MIN_CONFIDENCE).withColumn("text", T.normalize_text(F.col("text"))).where("text <> ''")
+    good = words.withColumn("confidence", confidence).where(F.col("confidence") >= MIN_CONFIDENCE).withColumn("text", T.normalize_word(F.col("text"))).where("text <> ''")
     return build_lines(_joined(good, ["block_no", "par_no", "line_no"]), page_width, page_height)
 
 
