@@ -359,5 +359,6 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
     may, rest = split_by_keys(documents, "doc_id", gone.select(doc))
-    cleaned = may.join(gone, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).mapInArrow(cut, documents.schema)
+    # a merge at any size: else small inputs broadcast this side, and what is moved grows by more than the input
+    cleaned = may.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).mapInArrow(cut, documents.schema)
     return cleaned if rest is None else cleaned.union(rest)
