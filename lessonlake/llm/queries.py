@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonlake.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality_gam, quality_rules, substring_dedup, url_filter
+from lessonlake.llm import align, bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality_gam, quality_rules, spelling, substring_dedup, url_filter
 from lessonlake.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -59,8 +59,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, "not a secret"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), *align.load_tokenizers())
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_bpe, op4_html_extract, op5_url_filter, op6_decontaminate, op7_quality_gam, op8_substring_dedup, op9_minhash, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_bpe, op4_html_extract, op5_url_filter, op6_decontaminate, op7_quality_gam, op8_substring_dedup, op9_minhash, op10_pii, op11_align, op13_spelling)}
 
 
 SQL: dict[str, str] = {}
@@ -129,3 +137,21 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, edge.b FR
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
+
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE table_ AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) AS c FROM range(256) r(k))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+keyed AS (SELECT doc_id, run, count(*) AS k, hex(encode(doc_id || ':' || run)) AS b FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+summed AS (SELECT run, k, xor(list_reduce(list_transform(range(length(b) // 2), lambda i: CAST('0x' || substr(b, 2 * i + 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM keyed, table_),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM summed),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM less),
+near AS (SELECT DISTINCT a.word AS a, b.word AS b, b.n AS k FROM d a JOIN d b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.v = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.v = w.word),
+best AS (SELECT a, count(*) AS n_near, min((-k, b)) AS f FROM near GROUP BY a),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -f[1] >= 5 * n THEN f[2] END AS form, CASE WHEN -f[1] >= 5 * n THEN -f[1] END AS form_n FROM w LEFT JOIN best ON a = word),
+chain AS (SELECT word, word AS cur, 0 AS depth FROM w UNION ALL SELECT chain.word, form, depth + 1 FROM chain JOIN named ON named.word = chain.cur WHERE form IS NOT NULL),
+last AS (SELECT word, arg_max(cur, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM named JOIN last USING (word)
+"""
