@@ -23,7 +23,7 @@ lose the same lines; an empty table gives an empty result. Other columns may hav
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +52,22 @@ def tokens(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
-def token_counts(documents: DataFrame) -> np.ndarray:
-    """How many words fall in each cell, over all documents. At most 2^22 cells, whatever the input."""
+def words_of_texts() -> Callable[[pa.Array], np.ndarray]:
+    hashes = WordHashes(fold=True)
+    return lambda texts: hashes(joined_texts(texts))[0]
+
+
+def token_counts(documents: DataFrame, counter: Callable[[], Callable[[pa.Array], np.ndarray]] = words_of_texts) -> np.ndarray:
+    """How many tokens fall in each cell, over all documents. At most 2^22 cells, whatever the input. counter() gives what hashes a batch of
+    texts in a task."""
     low, high = CELL_BITS
     cells = 1 << min(high, max(low, documents.count().bit_length()))
     size = min(cells, CELL_BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hashes = np.zeros(cells, np.int64), WordHashes(fold=True)
+        total, hashed = np.zeros(cells, np.int64), counter()
         for b in batches:
-            h, _ = hashes(joined_texts(b.column(0)))
+            h = hashed(b.column(0))
             total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         if total.any():
             blocks = total.reshape(-1, size)
