@@ -154,15 +154,18 @@ class WordHashes:
     """64-bit hashes of all words of a byte string, by array operations: the sum of a random number a byte times a power of an
     odd number, which is taken from running sums, and then mixed. fold: A-Z count as a-z.
 
+    Modulo 2^64 such sums are equal by construction for some long strings of a pattern, so words over LONG bytes are hashed one by one.
     The byte END, which no UTF-8 text has, ends a text. Long strings are taken in pieces, so memory is bounded but for one word.
     """
 
     END = b"\xff"
     PIECE = 1 << 21
+    LONG = 24
 
     def __init__(self, fold: bool):
         import numpy as np
 
+        self.fold = fold
         self.value = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64)
         if fold:
             self.value[65:91] = self.value[97:123]
@@ -207,7 +210,14 @@ class WordHashes:
         start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.value[b] * self.power[: len(b)], out=total[1:])
-        return mixed((total[end] - total[start]) * self.inverse[start]), start + at
+        h = mixed((total[end] - total[start]) * self.inverse[start])
+        long = np.flatnonzero(end - start > self.LONG)
+        if len(long):
+            import xxhash
+
+            words = [b[i:j].tobytes() for i, j in zip(start[long].tolist(), end[long].tolist())]
+            h[long] = [xxhash.xxh3_64_intdigest(w.lower() if self.fold else w) for w in words]
+        return h, start + at
 
 
 def joined_texts(column: pa.Array) -> bytes:

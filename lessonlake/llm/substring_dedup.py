@@ -8,7 +8,7 @@ same one form a super-k-mer. Equal windows have equal minimisers, so
    first start (doc_id, position) of each distinct one is found on the words themselves;
 3. the firsts go back to all occurrences: a window that isn't its first start covers its words, which are removed.
 
-Documents of equal words are found first by a 128-bit hash; all but the smallest doc_id are copies from end to end.
+Documents of equal words are found first by a 128-bit cryptographic hash of them; all but the smallest doc_id are copies from end to end.
 A super-k-mer of more than RUN windows is cut between two of them. A bucket with more than BUCKET_WINDOWS windows in its distinct
 strings is split: its strings are cut to single windows, whose first starts are aggregated before they travel and joined back.
 
@@ -90,9 +90,10 @@ def sketches(documents: DataFrame) -> DataFrame:
         for b in batches:
             data = joined_texts(b.column("text"))
             h, at = hashes(data)
-            ends = np.searchsorted(at, np.flatnonzero(np.frombuffer(data, np.uint8) == 255))
+            marks = np.flatnonzero(np.frombuffer(data, np.uint8) == 255).tolist()
+            ends = np.searchsorted(at, marks)
             begins = np.concatenate([[0], ends[:-1]])
-            whole = [hashlib.blake2b(h[i:j], digest_size=16).digest() for i, j in zip(begins.tolist(), ends.tolist())]
+            whole = [hashlib.blake2b(b" ".join(data[i:j].split()), digest_size=16).digest() for i, j in zip([0, *(k + 1 for k in marks)], marks)]
             pair = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
             text, low, _, _, again = super_kmers(h, ends)
             offsets = np.searchsorted(text, np.arange(b.num_rows + 1))

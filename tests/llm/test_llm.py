@@ -508,3 +508,18 @@ def test_pipeline_stages(spark):
         assert 0 < out.count() <= docs.count()
         docs = out
     assert C.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_of_a_pattern_are_not_taken_for_each_other(spark):
+    left, right = thue_morse(1024), thue_morse(1024, True)
+    lines = spark.createDataFrame([(1, left), (2, right), (3, left + " x"), (4, "short " * 3)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_report(lines).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    texts = [" ".join(f"{w}{i}" if i % 2 else w for i in range(25)) for w in (thue_morse(2048), thue_morse(2048, True))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0}
+    folded = common.WordHashes(fold=True)(b"AB" * 40 + b" " + b"ab" * 40)[0]
+    assert folded[0] == folded[1]
