@@ -291,3 +291,15 @@ def clamp(value: Column, low: int, high: int, default: int) -> Column:
 
 def known_difficulty(c: Column) -> Column:
     return F.when(c.isin("easy", "medium", "hard"), c).otherwise("medium")
+
+
+def js_number(c: Column) -> Column:
+    """The number that a text stands for, 0 for a blank one, null for any other."""
+    return F.when(trim(c) == "", 0.0).otherwise(trim(c).try_cast("double"))
+
+
+def js_number_of(v: Column) -> Column:
+    """The number of a JSON value: a text's as js_number, 1 and 0 for true and false; null for null, arrays and objects."""
+    kind = F.schema_of_variant(v)
+    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+    return F.when(kind == "STRING", js_number(text)).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(~kind.rlike("^(ARRAY|OBJECT|VOID)"), number)

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lessonlake.functions import text as T
 
@@ -87,6 +88,22 @@ def upsert_students(events: DataFrame) -> DataFrame:
     return events.groupBy("student_key").agg(F.min("ts").alias("created_at"), F.coalesce(latest_name, F.first("student_key")).alias("name"))
 
 
+def merge_students(events: DataFrame, students: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """events as upsert_students takes them, the stored students and memories -> both after them.
+
+    A stored student keeps all but the name, which the latest given one replaces; a new one is made with its first event. A student of
+    events without a memory gets an empty one, once.
+    """
+    new = upsert_students(events).select("student_key", F.col("created_at").alias("_made"), F.col("name").alias("_name"))
+    given = events.where("name IS NOT NULL").groupBy("student_key").agg(F.max_by("name", F.struct("ts", "event_id")).alias("_given"))
+    both = students.withColumn("_known", F.lit(True)).join(new, "student_key", "full").join(given, "student_key", "left")
+    name = F.when(F.col("_known"), F.coalesce("_given", "name")).otherwise(F.col("_name"))
+    made = F.coalesce("created_at", F.col("_made").cast(students.schema["created_at"].dataType))
+    merged = both.withColumn("name", name).withColumn("created_at", made).select(*students.columns)
+    lacking = new.join(memories.select("student_key"), "student_key", "left_anti").select("student_key", F.col("_made").cast(memories.schema["created_at"].dataType).alias("created_at"))
+    return merged, memories.unionByName(lacking, allowMissingColumns=True)
+
+
 def memory_entries(activity: DataFrame) -> DataFrame:
     """What is remembered of each student, a row an entry: student_key, list, position, value. list: lessons (opened ones, once each in
     first-seen order), lines and tools (in order, repeats kept). A list of any length is rows, never one array."""
@@ -103,17 +120,27 @@ def opened_lessons(activity: DataFrame) -> DataFrame:
     return first.groupBy("student_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "lesson_no"))), lambda s: s["lesson_no"]).alias("lessons"))
 
 
-def agent_memory(activity: DataFrame) -> DataFrame:
-    """What a tutor prompt sees: lessons, number of lines, last 5 lines, last 10 tools (oldest first), latest 5 quizzes (newest first)."""
+def with_weak_areas(rows: DataFrame, attempts: DataFrame | None) -> DataFrame:
+    """rows with weak_areas, those of weak_areas(attempts), empty for a student without any."""
+    if attempts is None:
+        return rows.withColumn("weak_areas", F.array().cast("array<string>"))
+    areas = weak_areas(attempts).select("student_key", F.col("areas").alias("weak_areas"))
+    return rows.join(areas, "student_key", "left").withColumn("weak_areas", F.coalesce("weak_areas", F.array().cast("array<string>")))
+
+
+def agent_memory(activity: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """What a tutor prompt sees: lessons, number of lines, last 5 lines, last 10 tools (oldest first), weak areas of attempts (as weak_areas takes
+    them), latest 5 quizzes (newest first)."""
     lists = recent(activity, {"last_lines": ("line_selected", "k", 5), "last_tools": ("ai_interaction", "k", 10), "quizzes": ("quiz_submitted", "event_id", 5)})
     counts = activity.groupBy("student_key").agg(F.count_if(F.col("activity_type") == "line_selected").alias("n_lines"))
-    out = counts.join(lists, "student_key", "left").join(opened_lessons(activity), "student_key", "left")
+    out = with_weak_areas(counts.join(lists, "student_key", "left").join(opened_lessons(activity), "student_key", "left"), attempts)
     listed = lambda c: F.coalesce(c, F.array()).alias(c)
-    return out.select("student_key", listed("lessons"), "n_lines", *[F.reverse(F.coalesce(c, F.array())).alias(c) for c in ("last_lines", "last_tools")], listed("quizzes"))
+    return out.select("student_key", listed("lessons"), "n_lines", *[F.reverse(F.coalesce(c, F.array())).alias(c) for c in ("last_lines", "last_tools")], "weak_areas", listed("quizzes"))
 
 
-def research_summary(activity: DataFrame) -> DataFrame:
-    """Lessons, number of lines, last 10 tools, and the latest 20 events, 10 chats and 10 quizzes of each student, newest first.
+def research_summary(activity: DataFrame, attempts: DataFrame | None = None, students: DataFrame | None = None) -> DataFrame:
+    """Name (of students(student_key, name)), lessons, number of lines, last 10 tools, weak areas of attempts, and the latest 20 events, 10
+    chats and 10 quizzes of each student, newest first.
 
     The full lists of lines and tools are memory_entries' rows.
     """
@@ -121,21 +148,34 @@ def research_summary(activity: DataFrame) -> DataFrame:
     events = latest(activity, 20, F.col("ts"), F.col("event_id")).groupBy("student_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "event_id"))), lambda s: s["event_id"]).alias("events"))
     counts = activity.groupBy("student_key").agg(F.count_if(F.col("activity_type") == "line_selected").alias("n_lines"))
-    out = counts.join(events, "student_key").join(lists, "student_key", "left").join(opened_lessons(activity), "student_key", "left")
-    return out.select("student_key", "n_lines", "events", *[F.coalesce(c, F.array()).alias(c) for c in ("lessons", "tools", "chats", "quizzes")])
+    out = with_weak_areas(counts.join(events, "student_key").join(lists, "student_key", "left").join(opened_lessons(activity), "student_key", "left"), attempts)
+    out = out.withColumn("name", F.lit(None).cast("string")) if students is None else out.join(students.select("student_key", "name"), "student_key", "left")
+    return out.select("student_key", "name", "n_lines", "events", "weak_areas", *[F.coalesce(c, F.array()).alias(c) for c in ("lessons", "tools", "chats", "quizzes")])
+
+
+def _said(rows: DataFrame, name: str, default: str, as_json: bool = False) -> Column:
+    """A column of the attempt, the default where it is null or missing; arrays and structs as JSON."""
+    if name not in rows.columns:
+        return F.lit(default)
+    nested = as_json and not isinstance(rows.schema[name].dataType, StringType)
+    return F.coalesce(F.to_json(name) if nested else F.col(name).cast("string"), F.lit(default))
 
 
 def record_quiz(activity: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(attempt rows, their counters for daily_study): an attempt a submission, lesson 1 where none is given."""
+    """(attempt rows, their counters for daily_study): an attempt a submission, lesson 1 where none is given. activity may have lesson_title,
+    wrong_answers, weak_areas and submitted_answers, the latter three as arrays or as JSON text."""
     rows = activity.where(F.col("activity_type") == "quiz_submitted")
-    attempts = rows.select("student_key", "event_id", "ts", F.coalesce("lesson_no", F.lit(1)).alias("lesson_no"), "score", "total", T.percent(F.col("score"), F.col("total")).alias("pct"))
+    lists = [_said(rows, c, "[]", True).alias(f"{c}_json") for c in ("wrong_answers", "weak_areas", "submitted_answers")]
+    attempts = rows.select("student_key", "event_id", "ts", F.coalesce("lesson_no", F.lit(1)).alias("lesson_no"), _said(rows, "lesson_title", "").alias("lesson_title"), "score", "total", T.percent(F.col("score"), F.col("total")).alias("pct"), *lists)
     return attempts, activity_counters(rows.withColumn("minutes", F.lit(0)))
 
 
 def record_game(activity: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(attempt rows, their counters for daily_study): the type defaults to grammar_game, the lesson stays null."""
+    """(attempt rows, their counters for daily_study): the type defaults to grammar_game, the lesson stays null. activity may have result,
+    sentence and details, the last as a struct or as JSON text."""
     rows = activity.where(F.col("activity_type") == "game_finished")
-    attempts = rows.select("student_key", "event_id", "ts", "lesson_no", F.coalesce("game_type", F.lit("grammar_game")).alias("game_type"), "score")
+    more = [_said(rows, "result", "").alias("result"), _said(rows, "sentence", "").alias("sentence"), _said(rows, "details", "{}", True).alias("details_json")]
+    attempts = rows.select("student_key", "event_id", "ts", "lesson_no", F.coalesce("game_type", F.lit("grammar_game")).alias("game_type"), "score", F.coalesce("total", F.lit(0)).alias("total"), *more)
     return attempts, activity_counters(rows.withColumn("minutes", F.lit(0)))
 
 
@@ -203,8 +243,17 @@ def check_keys(table: DataFrame, name: str, unique: list[str], parent: DataFrame
     return out
 
 
+#: Fields of a signup that may be blank.
+SIGNUP_TEXTS = ("section", "roll_number", "school_name", "guardian_name", "guardian_phone")
+
+
 def register_students(signups: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """signups(signup_id, name, email, password_length, class_level, ts): each with its key or the reason of its rejection."""
+    """signups(signup_id, name, email, password_length, class_level, ts[, SIGNUP_TEXTS]): each as the student that is made, or with the reason of
+    its rejection and without a key.
+
+    A key is the name's slug and twelve digits of a hash of the email, which is unique, so students of one name have keys of their own.
+    """
+    text = lambda c: (T.trim(F.coalesce(F.col(c), F.lit(""))) if c in signups.columns else F.lit("")).alias(c)
     clean = signups.withColumn("email", F.lower(T.trim(F.coalesce("email", F.lit(""))))).withColumn("name", T.trim(F.coalesce("name", F.lit(""))))
     missing = (F.col("name") == "") | (F.col("email") == "") | F.col("password_length").isNull() | (F.col("password_length") == 0)
     reason = F.when(missing, "missing").when(F.col("password_length") < 6, "short password")
@@ -215,9 +264,9 @@ def register_students(signups: DataFrame, existing: DataFrame | None = None) ->
         ranked = ranked.join(existing.select("email").distinct().withColumn("known", F.lit(True)), "email", "left")
     else:
         ranked = ranked.withColumn("known", F.lit(None).cast("boolean"))
-    return ranked.select(
-        "signup_id", "email", F.coalesce("class_level", F.lit(6)).alias("class_level"), F.coalesce("reason", F.when((F.col("n") > 1) | F.col("known"), "email taken")).alias("reason"), T.slugify(F.col("name")).alias("slug"),
-    )
+    reason = F.coalesce("reason", F.when((F.col("n") > 1) | F.col("known"), "email taken"))
+    key = F.concat(T.slugify(F.col("name")), F.lit("-"), F.substring(F.sha2("email", 256), 1, 12))
+    return ranked.select("signup_id", "email", "name", F.coalesce("class_level", F.lit(6)).alias("class_level"), *map(text, SIGNUP_TEXTS), reason.alias("reason"), F.when(reason.isNull(), key).alias("student_key"), F.col("ts").alias("created_at"))
 
 
 def lesson_catalogue(lessons: DataFrame, book: dict[str, str] | None = None) -> DataFrame:

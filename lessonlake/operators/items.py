@@ -36,17 +36,31 @@ def _rows(body: Column, fields: str, name: str) -> Column:
     return F.coalesce(j, F.array())
 
 
+def _values(body: Column, name: str) -> Column:
+    """The same items as JSON values, whose kinds can be told."""
+    j = F.try_parse_json(T.extract_json(body, "array" if name == "questions" else "object"))
+    return F.coalesce(F.try_variant_get(j, "$", "array<variant>"), F.try_variant_get(j, f"$.{name}", "array<variant>"))
+
+
+def _index(item: Column) -> Column:
+    """The first index field of an item that isn't null or missing, as a number."""
+    found = [F.try_variant_get(item, f"$.{c}", "variant") for c in ("correctAnswerIndex", "answerIndex", "correctIndex")]
+    real = [F.when(F.schema_of_variant(v) != "VOID", v) for v in found]
+    return T.js_number_of(F.coalesce(*real))
+
+
 def validate_quiz(responses: DataFrame, n: int = 5) -> DataFrame:
     """responses(request_id, body) -> request_id, position, question, options, correct_index, explanation.
 
     Options that are equal but for case count once: at the first one's place, in the last one's spelling.
     """
-    q = responses.select("request_id", F.posexplode(_rows(F.col("body"), _STRINGS, "questions")).alias("at", "q")).where("q IS NOT NULL")
+    said = responses.select("request_id", _rows(F.col("body"), _STRINGS, "questions").alias("rows"), _values(F.col("body"), "questions").alias("values"))
+    q = said.select("request_id", "values", F.posexplode("rows").alias("at", "q")).where("q IS NOT NULL")
     option = lambda o: T.clean_line(F.when(o.startswith("{"), F.coalesce(F.get_json_object(o, "$.text"), F.get_json_object(o, "$.value"), F.get_json_object(o, "$.label"))).otherwise(o))
     options = F.filter(F.transform(F.coalesce("q.options", "q.choices", "q.answers"), option), lambda o: ~T.is_junk(o))
     clean = q.select(
         "request_id", "at", T.clean_line(F.coalesce("q.question", "q.prompt", "q.questionText")).alias("question"), options.alias("o"),
-        F.coalesce("q.correctAnswerIndex", "q.answerIndex", "q.correctIndex").try_cast("double").alias("i"), T.clean_line(F.coalesce("q.correctAnswer", "q.answer")).alias("answer"),
+        _index(F.get("values", F.col("at"))).alias("i"), T.clean_line(F.coalesce("q.correctAnswer", "q.answer")).alias("answer"),
         F.coalesce("q.explanation", "q.reason", F.lit(EXPLANATION)).alias("explanation"),
     )
     folded = F.array_distinct(F.transform("o", F.lower))

@@ -7,27 +7,38 @@ from pyspark.sql import functions as F
 
 from lessonlake.operators.ordered import fold
 
-#: Opening credits, points a credit costs, and the points of each event.
-OPENING, POINTS_PER_CREDIT = 5, 10
+#: Opening credits, points a credit costs, credits that an admin adds where none are named, and the points of each event.
+OPENING, POINTS_PER_CREDIT, ADMIN_DEFAULT = 5, 10, 50
 POINT_RULES = {"points_per_credit": POINTS_PER_CREDIT, "right_answer": 2, "perfect_bonus": 5, "game": 10, "practice": 1}
-TYPES = {"award": "EARN_POINTS", "redeem": "REDEEM_CREDIT", "use": "USE_AI_CREDIT", "admin": "ADMIN_CREDIT"}
-STEP = "student_key string, at_micros long, event_id long, kind string, reason string, opened int, points_change long, credits_change long, credits long, points long"
+#: The type of a ledger row.
+TYPES = {"award": "EARN_POINTS", "redeem": "REDEEM_POINTS", "use": "USE_AI_CREDIT", "admin": "ADMIN_ADD_CREDITS"}
+#: What an intent may say beside its amount.
+DETAILS = {"request_id": "string", "note": "string", "lesson_no": "int", "selected_line": "string", "question": "string", "tool_used": "string"}
+BALANCES = ("credits", "points", "lifetime", "used")
+CHANGES = "reason string, opened int, points_change long, credits_change long, credits long, points long, lifetime long, used long"
+STEP = f"student_key string, at_micros long, event_id long, kind string, {CHANGES}, " + ", ".join(f"{c} {t}" for c, t in DETAILS.items())
+
+
+def new_wallet() -> list:
+    """credits, points, lifetime points, credits used, and whether the wallet is open."""
+    return [0, 0, 0, 0, False]
 
 
 def wallet_step(state: list, kind: str | None, amount: float | None, known: bool = True) -> tuple[str | None, int, int, int]:
-    """Changes state [credits, points, opened] by one intent -> (reason of a rejection, credits it opened with, points and credits changed)."""
+    """Changes a wallet's state by one intent -> (reason of a rejection, credits it opened with, points and credits changed)."""
     whole = int((amount or 0) // 1)
     if kind not in TYPES:
         return "unknown kind", 0, 0, 0
     if kind == "admin" and not known:
         return "unknown student", 0, 0, 0
-    opened = 0 if state[2] or kind == "admin" else OPENING
+    opened = 0 if state[4] or kind == "admin" else OPENING
     state[0] += opened
-    state[2] = True
+    state[4] = True
     points = credits = 0
     reason = None
     if kind == "award":
         points = max(whole, 0)
+        state[2] += points
     elif kind == "redeem":
         n = max(whole, 1)
         if state[1] >= n * POINTS_PER_CREDIT:
@@ -37,52 +48,80 @@ def wallet_step(state: list, kind: str | None, amount: float | None, known: bool
     elif kind == "use":
         if state[0] > 0:
             credits = -1
+            state[3] += 1
         else:
             reason = "no credits"
     else:
-        credits = whole
+        credits = ADMIN_DEFAULT if amount is None else whole
     state[0] += credits
     state[1] += points
     return reason, opened, points, credits
 
 
-def wallet_steps(intents: DataFrame, students: DataFrame | None = None) -> DataFrame:
-    """intents(student_key, ts, event_id, kind, amount) -> a row an intent, in time order: what it changed, the balances after
+def detailed(intents: DataFrame) -> DataFrame:
+    """intents with all DETAILS, null where they say nothing."""
+    have = {c.lower() for c in intents.columns}
+    return intents.withColumns({c: F.lit(None).cast(t) for c, t in DETAILS.items() if c not in have})
+
+
+def known_students(intents: DataFrame, students: DataFrame | None) -> DataFrame:
+    """intents with known: whether their student is in students(student_key), true without such a table."""
+    if students is None:
+        return intents.withColumn("known", F.lit(True))
+    return intents.join(students.select("student_key").distinct().withColumn("known", F.lit(True)), "student_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def wallet_steps(intents: DataFrame, students: DataFrame | None = None, wallets: DataFrame | None = None) -> DataFrame:
+    """intents(student_key, ts, event_id, kind, amount[, DETAILS]) -> a row an intent, in time order: what it changed, the balances after
     it, and the reason where it was rejected.
 
-    A null amount counts as 0. With students(student_key) given, credits are not added for others. A rejected intent of an
-    unknown student or kind opens no wallet.
+    A null amount counts as 0, or as ADMIN_DEFAULT credits of an admin. With students(student_key) given, credits are not added for others. A
+    rejected intent of an unknown student or kind opens no wallet. wallets(student_key, *BALANCES): what students have before.
     """
-    rows = intents.withColumn("at_micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    if students is None:
-        rows = rows.withColumn("known", F.lit(True))
+    rows = known_students(detailed(intents).withColumn("at_micros", F.unix_micros(F.col("ts").cast("timestamp"))), students)
+    stored = [f"stored_{c}" for c in BALANCES]
+    if wallets is None:
+        rows = rows.withColumns({c: F.lit(None).cast("long") for c in stored})
     else:
-        rows = rows.join(students.select("student_key").distinct().withColumn("known", F.lit(True)), "student_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        rows = rows.join(wallets.select("student_key", *[F.col(c).cast("long").alias(f"stored_{c}") for c in BALANCES]), "student_key", "left")
 
     def step(state: list, row: tuple) -> list[tuple]:
-        key, at, event, kind, amount, known = row
-        reason, opened, points, credits = wallet_step(state, kind, amount, known)
-        return [(key, at, event, kind, reason, opened, points, credits, state[0], state[1])]
-
-    done = fold(rows, "student_key", ["at_micros", "event_id"], ["at_micros", "event_id", "kind", "amount", "known"], lambda: [0, 0, False], step, STEP)
+        key, at, event, kind, amount, known, *more = row
+        details, had = more[: len(DETAILS)], more[len(DETAILS) :]
+        if not state:
+            state += new_wallet() if had[0] is None else [*had, True]
+        change = wallet_step(state, kind, amount, known)
+        return [(key, at, event, kind, *change, *state[:4], *details)]
+
+    done = fold(rows, "student_key", ["at_micros", "event_id"], ["at_micros", "event_id", "kind", "amount", "known", *DETAILS, *stored], list, step, STEP)
     return done.withColumn("ts", F.timestamp_micros("at_micros").cast(intents.schema["ts"].dataType)).drop("at_micros")
 
 
 def run_wallets(steps: DataFrame) -> DataFrame:
     """wallet_steps -> each student's balances after the last intent; students without an accepted or opening one have none."""
-    latest = F.max_by(F.struct("credits", "points"), F.struct("ts", "event_id"))
-    kind, ok = F.col("kind"), F.col("reason").isNull()
-    out = steps.groupBy("student_key").agg(
-        latest.alias("w"), F.sum(F.when(ok & (kind == "award"), F.col("points_change")).otherwise(0)).alias("lifetime"), F.count_if(ok & (kind == "use")).alias("used"),
-        F.sum("opened").alias("opened_with"), F.count_if(~ok).alias("rejected"), F.count_if(ok).alias("n_rows"),
-    )
-    return out.select("student_key", "w.credits", "w.points", "lifetime", "used", "opened_with", "rejected", "n_rows")
+    latest = F.max_by(F.struct(*BALANCES), F.struct("ts", "event_id"))
+    ok = F.col("reason").isNull()
+    out = steps.groupBy("student_key").agg(latest.alias("w"), F.sum("opened").alias("opened_with"), F.count_if(~ok).alias("rejected"), F.count_if(ok).alias("n_rows"))
+    return out.select("student_key", "w.*", "opened_with", "rejected", "n_rows")
 
 
 def ledger_rows(steps: DataFrame) -> DataFrame:
-    """The accepted intents as ledger rows."""
+    """The accepted intents as ledger rows, each with its reason; a use of a credit also says what it was for."""
     kind = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    return steps.where("reason IS NULL").select("student_key", "ts", "event_id", kind[F.col("kind")].alias("type"), "points_change", "credits_change")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    reason = (
+        F.when(F.col("kind") == "award", F.col("note")).when(F.col("kind") == "redeem", text("Redeemed ", -F.col("points_change"), " learning points for ", F.col("credits_change"), " AI credit(s)."))
+        .when(F.col("kind") == "use", text("Used 1 AI Teacher credit for ", F.coalesce("tool_used", F.lit("AI Teacher")), ".")).otherwise(text("Added ", F.col("credits_change"), " AI Teacher credits manually for demo."))
+    )
+    about = F.to_json(F.struct(F.col("lesson_no").alias("lessonNo"), F.col("selected_line").alias("selectedLine"), "question", F.col("tool_used").alias("toolUsed")))
+    return steps.where("reason IS NULL").select(
+        "student_key", "ts", "event_id", kind[F.col("kind")].alias("type"), "points_change", "credits_change", reason.alias("reason"), F.when(F.col("kind") == "use", about).alias("metadata_json"),
+    )
+
+
+def usage_rows(steps: DataFrame) -> DataFrame:
+    """A usage row for each credit that was used."""
+    return steps.where("reason IS NULL AND kind = 'use'").select("student_key", "ts", "event_id", "lesson_no", "selected_line", "question", "tool_used", F.lit(1).alias("credits_used"))
 
 
 def wallet_from_ledger(ledger: DataFrame, openings: DataFrame) -> DataFrame:

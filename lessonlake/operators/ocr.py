@@ -136,24 +136,25 @@ def book_header(index: DataFrame, book_id: str, title: str, start: int, end: int
 
 
 def normalize_import_lines(lines: DataFrame) -> DataFrame:
-    """lines(page_no, pos, text, confidence, ai_ready, x, y, width, height, bbox, line_number[, clean_text]): the clean text comes before
-    the text; nested or flat boxes, half-up rounding, a missing number is 0."""
+    """lines([title, ]page_no, pos, text, confidence, ai_ready, x, y, width, height, bbox, line_number[, clean_text]): the clean text comes
+    before the text; nested or flat boxes, half-up rounding, a missing number is 0."""
     box = lambda c: F.floor(F.coalesce(F.col(f"bbox.{c}"), F.col(c), F.lit(0)).cast("double") + 0.5).cast("int").alias(c)
     text = F.coalesce("clean_text", "text") if "clean_text" in lines.columns else F.col("text")
     out = lines.select(
-        "page_no", "pos", F.coalesce("line_number", F.col("pos") + 1).alias("line_number"), T.clean_ocr_text(text).alias("text"), *[box(c) for c in ("x", "y", "width", "height")],
+        *[c for c in ("title",) if c in lines.columns], "page_no", "pos", F.coalesce("line_number", F.col("pos") + 1).alias("line_number"), T.clean_ocr_text(text).alias("text"), *[box(c) for c in ("x", "y", "width", "height")],
         F.coalesce(F.col("confidence").cast("string").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce("ai_ready", F.lit(True)).alias("flag"),
     )
     good = out.where((F.col("text") != "") & (F.col("width") >= 0) & (F.col("height") >= 0))
     return good.withColumn("ai_ready", F.col("flag") & T.is_import_ai_ready(F.col("text"))).drop("flag")
 
 
-def import_texts(lines: DataFrame) -> DataFrame:
-    """normalize_import_lines -> a row a page: number of lines and the raw, clean (the same) and ready texts, in the file's order."""
+def import_texts(lines: DataFrame, *page: str) -> DataFrame:
+    """normalize_import_lines -> a row a page (page_no, or the columns of page): number of lines and the raw, clean (the same) and ready texts, in the file's order."""
     said = F.array_sort(F.collect_list(F.struct("pos", "text", "ai_ready")))
     text = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), "\n")
-    pages = lines.groupBy("page_no").agg(said.alias("l"))
-    return pages.select("page_no", F.size("l").alias("n_lines"), text("l").alias("raw_text"), text("l").alias("clean_text"), text(F.filter("l", lambda s: s["ai_ready"])).alias("ai_ready_text"))
+    page = page or ("page_no",)
+    pages = lines.groupBy(*page).agg(said.alias("l"))
+    return pages.select(*page, F.size("l").alias("n_lines"), text("l").alias("raw_text"), text("l").alias("clean_text"), text(F.filter("l", lambda s: s["ai_ready"])).alias("ai_ready_text"))
 
 
 def make_lessons(lines: DataFrame) -> DataFrame:
@@ -204,10 +205,16 @@ def index_of_run(todo: DataFrame, done: DataFrame, old: DataFrame, new: DataFram
     return new.unionByName(old.join(skipped.select("page_no"), "page_no", "left_semi"), allowMissingColumns=True)
 
 
+def missing_books(books: DataFrame, titles: DataFrame) -> DataFrame:
+    """titles(title) -> (book_id, title) of the books that books lacks, with an id that is of the title alone."""
+    new = titles.select("title").distinct().join(books.select("title"), "title", "left_anti")
+    return new.select(F.concat(F.lit("book-"), F.substring(F.sha2("title", 256), 1, 16)).alias("book_id"), "title")
+
+
 def find_or_create_book(books: DataFrame, title: str) -> DataFrame:
-    """books(book_id, title) with a row for title: the one it has, else a new one, whose id is of the title alone."""
-    new = books.sparkSession.createDataFrame([(title,)], "title string").select(F.concat(F.lit("book-"), F.substring(F.sha2("title", 256), 1, 16)).alias("book_id"), "title")
-    return books.unionByName(new.join(books, "title", "left_anti"), allowMissingColumns=True)
+    """books(book_id, title) with a row for title: the one it has, else a new one."""
+    titles = books.sparkSession.createDataFrame([(title,)], "title string")
+    return books.unionByName(missing_books(books, titles), allowMissingColumns=True)
 
 
 def import_ocr(old_pages: DataFrame, old_lines: DataFrame, new: DataFrame, book_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -220,3 +227,31 @@ def import_ocr(old_pages: DataFrame, old_lines: DataFrame, new: DataFrame, book_
     lines = old_lines.join(touched, key, "left_anti").unionByName(new.select(book, "*"), allowMissingColumns=True)
     counts = texts.join(old_pages.select(*key).distinct().withColumn("existed", F.lit(True)), key, "left").select(*key, "n_lines", F.coalesce("existed", F.lit(False)).alias("updated"))
     return pages, lines, counts
+
+
+def import_rows(books: DataFrame, new: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """books(book_id, title); new: normalize_import_lines with the title of their book; files(title, page_no, file_name): every page that is
+    imported, also those without a line -> (pages, lines, counts, totals): the rows to store, the lines of each page and of each book.
+
+    Of books with one title the first id counts; of several files for one page the last name.
+    """
+    ids = books.groupBy("title").agg(F.min("book_id").alias("book_id"))
+    done = files.groupBy("title", "page_no").agg(F.max("file_name").alias("file_name")).join(ids, "title")
+    page_id = F.concat("book_id", F.lit("-page-"), F.col("page_no").cast("string")).alias("page_id")
+    texts = import_texts(new, "title", "page_no")
+    none = [F.coalesce(c, F.lit("")).alias(c) for c in ("raw_text", "clean_text", "ai_ready_text")]
+    every = done.join(texts, ["title", "page_no"], "left").select("title", "book_id", "page_no", page_id, "file_name", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), *none)
+    image = F.concat(F.lit("/ocr/books/test/page-"), F.col("page_no").cast("string"), F.lit(".png")).alias("image_path")
+    pages = every.select("page_id", "book_id", "page_no", image, "raw_text", "clean_text", "ai_ready_text")
+    lines = new.join(ids, "title").join(done.select("title", "page_no"), ["title", "page_no"], "left_semi").select("book_id", "page_no", page_id, *[c for c in new.columns if c not in ("title", "page_no")])
+    counts = every.select("book_id", "page_no", F.col("n_lines").alias("line_count"), "file_name")
+    totals = every.groupBy("book_id", F.col("title").alias("book_title")).agg(F.count("*").alias("imported_pages"), F.sum("n_lines").alias("imported_lines"))
+    return pages, lines, counts, totals
+
+
+def replace_pages(old_pages: DataFrame, old_lines: DataFrame, pages: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages and lines after an import: those of import_rows, and the old ones of pages that weren't imported."""
+    key = ["book_id", "page_no"]
+    touched = pages.select(*key)
+    kept = lambda old, new: old.join(touched, key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return kept(old_pages, pages), kept(old_lines, lines)

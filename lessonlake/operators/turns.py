@@ -18,18 +18,19 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~missing), rows.where(missing).select("request_id", F.lit("missing field").alias("error"))
 
 
-def learning_turns(requests: DataFrame, intents: DataFrame, lessons: DataFrame, quizzes: DataFrame, responses: DataFrame) -> DataFrame:
+def learning_turns(requests: DataFrame, intents: DataFrame, lessons: DataFrame, quizzes: DataFrame, responses: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """requests(request_id, event_id, student_key, student_id, lesson_no, line, tool, question, ts), intents as wallet_steps takes them (what
     students earned and spent elsewhere), lessons as lesson_context takes them, quizzes(student_key, event_id, ts), responses(request_id,
-    body, ok) -> a row a request, with error where it was rejected.
+    body, ok), attempts(student_key, event_id, ts, area) as weak_areas takes them -> a row a request, with error where it was rejected.
 
     A credit is used first; without one there is no further effect. The memory that the answer sees has this request in it, and
     counts accepted requests alone. A failed or missing response still costs the credit, and falls back.
     """
     good, bad = split_requests(requests)
-    uses = good.select("student_key", "ts", "event_id", F.lit("use").alias("kind"), F.lit(0.0).alias("amount"))
-    steps = L.wallet_steps(intents.select("student_key", "ts", "event_id", "kind", "amount").unionByName(uses))
-    paid = good.join(steps.where("kind = 'use'").select("student_key", "event_id", "reason", F.col("credits").alias("credits_left")), ["student_key", "event_id"])
+    uses = good.select("student_key", "ts", "event_id", F.lit("use").alias("kind"), F.lit(0.0).alias("amount"), F.col("request_id").cast("string").alias("request_id"))
+    steps = L.wallet_steps(intents.select("student_key", "ts", "event_id", "kind", "amount").unionByName(uses, allowMissingColumns=True))
+    # by the request: other uses may have its event_id
+    paid = good.join(steps.where("request_id IS NOT NULL").select(F.col("request_id").alias("_request"), "reason", F.col("credits").alias("credits_left")), F.col("request_id").cast("string") == F.col("_request")).drop("_request")
     unpaid = paid.where("reason IS NOT NULL").select("request_id", F.col("reason").alias("error"), "credits_left")
     turns = paid.where("reason IS NULL").drop("reason")
 
@@ -46,13 +47,20 @@ def learning_turns(requests: DataFrame, intents: DataFrame, lessons: DataFrame,
     before = both.withColumn("k", F.sum("quiz").over(so_far)).where("quiz = 0").select("student_key", "request_id", F.explode(F.sequence(F.col("k") - 4, F.col("k"))).alias("n"))
     recent = before.join(numbered.select("student_key", "n", F.col("event_id").alias("quiz_id")), ["student_key", "n"]).groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "quiz_id")), False), lambda s: s["quiz_id"]).alias("quizzes"))
 
+    if attempts is None:
+        seen = seen.withColumn("weak_areas", F.array().cast("array<string>"))
+    else:  # the areas named before the request, as many as there are areas at most
+        first = attempts.where("area IS NOT NULL").groupBy("student_key", "area").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+        areas = first.groupBy("student_key").agg(F.array_sort(F.collect_list(F.struct("at", "area"))).alias("areas"))
+        before = F.filter("areas", lambda a: (a["at"]["ts"] < F.col("ts")) | ((a["at"]["ts"] == F.col("ts")) & (a["at"]["event_id"] < F.col("event_id"))))
+        seen = seen.join(areas, "student_key", "left").withColumn("weak_areas", F.coalesce(F.transform(before, lambda a: a["area"]), F.array().cast("array<string>"))).drop("areas")
     around = C.lesson_context(seen.select("request_id", "lesson_no", "line"), lessons)
     said = responses.select("request_id", C.assemble_answer(F.col("body"), F.coalesce("ok", F.lit(False))).alias("a")).select("request_id", "a.*")
     none = F.struct(F.lit(C.NO_TUTOR).alias("answer"), F.lit("fallback").alias("source"))
     out = seen.join(around, "request_id", "left").join(recent, "request_id", "left").join(said, "request_id", "left")
     done = out.select(
         "request_id", "student_key", "lesson_no", "line", "tool", "question", "ts", "event_id", F.lit(None).cast("string").alias("error"), "credits_left", "title", "context",
-        F.struct("lessons", "n_lines", "last_lines", "last_tools", F.coalesce("quizzes", F.array().cast("array<bigint>")).alias("quizzes")).alias("memory"),
+        F.struct("lessons", "n_lines", "last_lines", "last_tools", "weak_areas", F.coalesce("quizzes", F.array().cast("array<bigint>")).alias("quizzes")).alias("memory"),
         F.coalesce("answer", none["answer"]).alias("answer"), F.coalesce("source", none["source"]).alias("source"),
     )
     return done.unionByName(unpaid, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
@@ -66,3 +74,19 @@ def turn_events(turns: DataFrame) -> DataFrame:
 
 def turn_chats(turns: DataFrame) -> DataFrame:
     return turns.where("error IS NULL").select("student_key", "lesson_no", F.col("line").alias("selected_line"), F.col("tool").alias("tool_used"), "question", "answer", "source", "ts")
+
+
+def _uses(turns: DataFrame) -> DataFrame:
+    """The turns that were answered, as wallet_steps has the credit that each used."""
+    said = {"kind": F.lit("use"), "reason": F.lit(None).cast("string"), "points_change": F.lit(0).cast("long"), "credits_change": F.lit(-1).cast("long"), "selected_line": F.col("line"), "tool_used": F.col("tool"), "note": F.lit(None).cast("string")}
+    return turns.where("error IS NULL").withColumns(said)
+
+
+def turn_usage(turns: DataFrame) -> DataFrame:
+    """A usage row for each answered turn."""
+    return L.usage_rows(_uses(turns))
+
+
+def turn_ledger(turns: DataFrame) -> DataFrame:
+    """The ledger row of each answered turn."""
+    return L.ledger_rows(_uses(turns))

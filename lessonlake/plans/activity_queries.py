@@ -84,11 +84,19 @@ SQL["a7_load_table"] = f"""WITH {A.ACTIVITY} SELECT student_key, lesson_no, acti
 
 @query
 def g1_upsert_students(spark, d):
+    """The customers are the stored students, every second one with a memory; the events name or make students."""
+    c, key = A.table(spark, d, "customer"), F.col("c_custkey")
     named = A.activity(spark, d).withColumn("name", F.when(F.col("k") % 4 == 0, F.concat(F.lit("Name "), F.col("k").cast("string"))))
-    return G.upsert_students(named)
+    stored = c.select(F.concat(F.lit("student-"), key * 2).alias("student_key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("guardian_phone"), F.lit("2020-01-01").cast("timestamp_ntz").alias("created_at"))
+    memories = c.where(key % 2 == 0).select(F.concat(F.lit("student-"), key * 2).alias("student_key"), F.lit("[1]").alias("opened_lessons_json"), F.lit("2020-01-02").cast("timestamp_ntz").alias("created_at"))
+    students, memories = G.merge_students(named, stored, memories)
+    return students.join(memories.select("student_key", "opened_lessons_json", F.col("created_at").alias("memory_at")), "student_key", "left")
 
 
-SQL["g1_upsert_students"] = f"""WITH {A.ACTIVITY} SELECT student_key, min(ts) AS created_at, coalesce(arg_max('Name ' || k, (ts, event_id)) FILTER (WHERE k % 4 = 0), student_key) AS name FROM activity GROUP BY student_key"""
+SQL["g1_upsert_students"] = f"""WITH {A.ACTIVITY}, e AS (SELECT student_key, min(ts) AS made, arg_max('Name ' || k, (ts, event_id)) FILTER (WHERE k % 4 = 0) AS given FROM activity GROUP BY student_key),
+s AS (SELECT 'student-' || (c_custkey * 2) AS student_key, c_name, c_mktsegment, c_custkey FROM customer)
+SELECT student_key, CASE WHEN c_custkey IS NULL THEN coalesce(given, student_key) ELSE coalesce(given, c_name) END AS name, c_mktsegment AS guardian_phone, CASE WHEN c_custkey IS NULL THEN CAST(made AS TIMESTAMP) ELSE TIMESTAMP '2020-01-01' END AS created_at,
+CASE WHEN c_custkey % 2 = 0 THEN '[1]' END AS opened_lessons_json, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2020-01-02' ELSE CAST(made AS TIMESTAMP) END AS memory_at FROM s FULL JOIN e USING (student_key)"""
 
 
 @query
@@ -110,24 +118,33 @@ SQL["g3_activity_counters"] = f"WITH {COUNTED} SELECT * FROM counted"
 
 @query
 def g4_record_quiz(spark, d):
-    attempts, counters = G.record_quiz(A.activity(spark, d))
+    k, text = F.col("k"), lambda *xs: F.array(*map(F.lit, xs))
+    a = A.activity(spark, d).withColumns({
+        "lesson_title": F.when(k % 3 != 0, F.concat(F.lit("Lesson "), F.col("lesson_no").cast("string"))), "wrong_answers": F.when(k % 4 != 0, F.array(F.concat(F.lit("q"), k.cast("string")), F.lit('"said"'))),
+        "weak_areas": F.when(k % 2 == 0, text("Grammar")), "submitted_answers": F.when(k % 5 != 0, F.concat(F.lit("[{\"id\":"), k.cast("string"), F.lit("}]"))),
+    })
+    attempts, counters = G.record_quiz(a)
     daily = G.daily_study(counters).select("student_key", "date_key", "quiz_attempts", "quiz_score", "quiz_total")
     return attempts.withColumn("date_key", T.day_key(F.col("ts"))).join(daily, ["student_key", "date_key"]).drop("ts")
 
 
 SQL["g4_record_quiz"] = f"""WITH {A.ACTIVITY}, q AS (SELECT * FROM activity WHERE activity_type = 'quiz_submitted'), t AS (SELECT student_key, date_key, count(*) AS quiz_attempts, CAST(sum(score) AS BIGINT) AS quiz_score, CAST(sum(total) AS BIGINT) AS quiz_total FROM q GROUP BY ALL)
-SELECT student_key, date_key, event_id, lesson_no, score, total, {S.percent('score', 'total')} AS pct, quiz_attempts, quiz_score, quiz_total FROM q JOIN t USING (student_key, date_key)"""
+SELECT student_key, date_key, event_id, lesson_no, CASE WHEN k % 3 <> 0 THEN 'Lesson ' || lesson_no ELSE '' END AS lesson_title, CASE WHEN k % 4 <> 0 THEN '["q' || k || '","\\"said\\""]' ELSE '[]' END AS wrong_answers_json, CASE WHEN k % 2 = 0 THEN '["Grammar"]' ELSE '[]' END AS weak_areas_json,
+CASE WHEN k % 5 <> 0 THEN '[{{"id":' || k || '}}]' ELSE '[]' END AS submitted_answers_json, score, total, {S.percent('score', 'total')} AS pct, quiz_attempts, quiz_score, quiz_total FROM q JOIN t USING (student_key, date_key)"""
 
 
 @query
 def g5_record_game(spark, d):
-    attempts, counters = G.record_game(A.activity(spark, d).withColumn("game_type", F.when(F.col("k") % 2 == 0, "match")))
+    k = F.col("k")
+    a = A.activity(spark, d).withColumns({"game_type": F.when(k % 2 == 0, "match"), "result": F.when(k % 3 == 0, "won"), "sentence": F.when(k % 3 == 1, "A sentence."), "details": F.when(k % 4 != 0, F.struct("k", F.lit("x").alias("kind")))})
+    attempts, counters = G.record_game(a)
     daily = G.daily_study(counters).select("student_key", "date_key", "games_played", "game_score")
     return attempts.withColumn("date_key", T.day_key(F.col("ts"))).join(daily, ["student_key", "date_key"]).drop("ts")
 
 
 SQL["g5_record_game"] = f"""WITH {A.ACTIVITY}, q AS (SELECT * FROM activity WHERE activity_type = 'game_finished'), t AS (SELECT student_key, date_key, count(*) AS games_played, CAST(sum(score) AS BIGINT) AS game_score FROM q GROUP BY ALL)
-SELECT student_key, date_key, event_id, lesson_no, CASE WHEN k % 2 = 0 THEN 'match' ELSE 'grammar_game' END AS game_type, score, games_played, game_score FROM q JOIN t USING (student_key, date_key)"""
+SELECT student_key, date_key, event_id, lesson_no, CASE WHEN k % 2 = 0 THEN 'match' ELSE 'grammar_game' END AS game_type, score, total, CASE WHEN k % 3 = 0 THEN 'won' ELSE '' END AS result, CASE WHEN k % 3 = 1 THEN 'A sentence.' ELSE '' END AS sentence,
+CASE WHEN k % 4 <> 0 THEN '{{"k":' || k || ',"kind":"x"}}' ELSE '{{}}' END AS details_json, games_played, game_score FROM q JOIN t USING (student_key, date_key)"""
 
 
 @query
@@ -164,13 +181,25 @@ def _last(kind: str, value: str, n: int, name: str, newest_first: bool = True) -
     return f"{name} AS (SELECT student_key, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY n {'' if newest_first else 'DESC'}) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY student_key ORDER BY ts DESC, event_id DESC) AS n FROM activity WHERE {f"activity_type = '{kind}'" if kind else 'true'}) WHERE n <= {n} GROUP BY 1)"
 
 
+def _areas(spark, d):
+    """A weak area of each attempt at a quiz; one in five names none."""
+    area = F.when(F.col("k") % 5 == 0, None).when(F.col("score") < 4, "Grammar").when(F.col("score") < 7, "Vocabulary").otherwise("General")
+    return A.activity(spark, d).where("activity_type = 'quiz_submitted'").select("student_key", "event_id", "ts", area.alias("area"))
+
+
+AREAS = """areas AS (SELECT student_key, string_agg(area, ',' ORDER BY t) AS weak_areas FROM (SELECT student_key, CASE WHEN score < 4 THEN 'Grammar' WHEN score < 7 THEN 'Vocabulary' ELSE 'General' END AS area, min((ts, event_id)) AS t FROM activity
+WHERE activity_type = 'quiz_submitted' AND k % 5 <> 0 GROUP BY ALL) GROUP BY student_key)"""
+
+
 @query
 def g9_research_summary(spark, d):
-    return G.research_summary(A.activity(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("events", "lessons", "tools", "chats", "quizzes")})
+    names = A.table(spark, d, "customer").select(F.concat(F.lit("student-"), "c_custkey").alias("student_key"), F.col("c_name").alias("name"))
+    return G.research_summary(A.activity(spark, d), _areas(spark, d), names).withColumns({c: F.array_join(c, ",") for c in ("events", "lessons", "tools", "chats", "quizzes", "weak_areas")})
 
 
-SQL["g9_research_summary"] = f"""WITH {A.ACTIVITY}, {FIRSTS}, {COUNTS}, {_last('', 'event_id', 20, 'events')}, {_last('ai_interaction', 'k', 10, 'tools')}, {_last('ai_interaction', 'event_id', 10, 'chats')}, {_last('quiz_submitted', 'event_id', 10, 'quizzes')}
-SELECT student_key, n_lines, events, coalesce(lessons, '') AS lessons, coalesce(tools, '') AS tools, coalesce(chats, '') AS chats, coalesce(quizzes, '') AS quizzes FROM counts LEFT JOIN events USING (student_key) LEFT JOIN firsts USING (student_key) LEFT JOIN tools USING (student_key) LEFT JOIN chats USING (student_key) LEFT JOIN quizzes USING (student_key)"""
+SQL["g9_research_summary"] = f"""WITH {A.ACTIVITY}, {AREAS}, {FIRSTS}, {COUNTS}, {_last('', 'event_id', 20, 'events')}, {_last('ai_interaction', 'k', 10, 'tools')}, {_last('ai_interaction', 'event_id', 10, 'chats')}, {_last('quiz_submitted', 'event_id', 10, 'quizzes')}
+SELECT student_key, c_name AS name, n_lines, events, coalesce(weak_areas, '') AS weak_areas, coalesce(lessons, '') AS lessons, coalesce(tools, '') AS tools, coalesce(chats, '') AS chats, coalesce(quizzes, '') AS quizzes
+FROM counts LEFT JOIN events USING (student_key) LEFT JOIN firsts USING (student_key) LEFT JOIN tools USING (student_key) LEFT JOIN chats USING (student_key) LEFT JOIN quizzes USING (student_key) LEFT JOIN areas USING (student_key) LEFT JOIN customer ON student_key = 'student-' || c_custkey"""
 
 
 @query
@@ -185,12 +214,12 @@ SELECT student_key, list, row_number() OVER (PARTITION BY student_key, list ORDE
 
 @query
 def d4_agent_memory(spark, d):
-    return G.agent_memory(A.activity(spark, d)).select("student_key", "n_lines", *[F.array_join(c, ",").alias(c) for c in ("lessons", "last_lines", "last_tools", "quizzes")])
+    return G.agent_memory(A.activity(spark, d), _areas(spark, d)).select("student_key", "n_lines", *[F.array_join(c, ",").alias(c) for c in ("lessons", "last_lines", "last_tools", "weak_areas", "quizzes")])
 
 
-SQL["d4_agent_memory"] = f"""WITH {A.ACTIVITY}, {FIRSTS}, {COUNTS}, {_last('line_selected', 'k', 5, 'last_lines', False)}, {_last('ai_interaction', 'k', 10, 'last_tools', False)}, {_last('quiz_submitted', 'event_id', 5, 'quizzes')}
-SELECT student_key, n_lines, coalesce(lessons, '') AS lessons, coalesce(last_lines, '') AS last_lines, coalesce(last_tools, '') AS last_tools, coalesce(quizzes, '') AS quizzes
-FROM counts LEFT JOIN firsts USING (student_key) LEFT JOIN last_lines USING (student_key) LEFT JOIN last_tools USING (student_key) LEFT JOIN quizzes USING (student_key)"""
+SQL["d4_agent_memory"] = f"""WITH {A.ACTIVITY}, {AREAS}, {FIRSTS}, {COUNTS}, {_last('line_selected', 'k', 5, 'last_lines', False)}, {_last('ai_interaction', 'k', 10, 'last_tools', False)}, {_last('quiz_submitted', 'event_id', 5, 'quizzes')}
+SELECT student_key, n_lines, coalesce(lessons, '') AS lessons, coalesce(last_lines, '') AS last_lines, coalesce(last_tools, '') AS last_tools, coalesce(weak_areas, '') AS weak_areas, coalesce(quizzes, '') AS quizzes
+FROM counts LEFT JOIN areas USING (student_key) LEFT JOIN firsts USING (student_key) LEFT JOIN last_lines USING (student_key) LEFT JOIN last_tools USING (student_key) LEFT JOIN quizzes USING (student_key)"""
 
 
 @query
@@ -209,10 +238,10 @@ def g12_run_wallets(spark, d):
     return L.run_wallets(L.wallet_steps(A.intents(spark, d)))
 
 
-_CREDITS = f"(acc.credits + CASE WHEN acc.open OR x.kind = 'admin' THEN 0 ELSE {L.OPENING} END)"
+_CREDITS = "(acc.credits + CASE WHEN acc.open OR x.kind = 'admin' THEN 0 ELSE 5 END)"
 _WHOLE, _N = "CAST(floor(coalesce(x.amount, 0)) AS BIGINT)", "greatest(CAST(floor(coalesce(x.amount, 0)) AS BIGINT), 1)"
 _REDEEM, _USE = f"(x.kind = 'redeem' AND acc.points >= 10 * {_N})", f"(x.kind = 'use' AND {_CREDITS} > 0)"
-_DC = f"(CASE WHEN {_REDEEM} THEN {_N} WHEN {_USE} THEN -1 WHEN x.kind = 'admin' THEN {_WHOLE} ELSE 0 END)"
+_DC = f"(CASE WHEN {_REDEEM} THEN {_N} WHEN {_USE} THEN -1 WHEN x.kind = 'admin' THEN CAST(floor(coalesce(x.amount, 50)) AS BIGINT) ELSE 0 END)"
 _DP = f"(CASE WHEN x.kind = 'award' THEN greatest({_WHOLE}, 0) WHEN {_REDEEM} THEN -10 * {_N} ELSE 0 END)"
 _OK = f"({_REDEEM} OR {_USE} OR x.kind IN ('award', 'admin'))"
 _ROW = "STRUCT(ts TIMESTAMP, event_id BIGINT, kind VARCHAR, dp BIGINT, dc BIGINT)"
@@ -232,14 +261,39 @@ def g13_wallet_from_ledger(spark, d):
 SQL["g13_wallet_from_ledger"] = f"WITH {WALLETS} SELECT student_key, w.credits, w.points, w.lifetime, w.used, true AS equal FROM folded"
 
 
+@query
+def g12_usage_rows(spark, d):
+    return L.usage_rows(L.wallet_steps(A.intents(spark, d)))
+
+
+SQL["g12_usage_rows"] = f"""WITH {WALLETS}, r AS (SELECT unnest(w.rows) AS r FROM folded)
+SELECT student_key, i.ts, event_id, lesson_no, selected_line, question, tool_used, 1 AS credits_used FROM r JOIN intents i ON event_id = r.event_id WHERE r.kind = 'use'"""
+
+
+@query
+def g14_ledger_rows(spark, d):
+    """Whole ledger rows, of a ledger that goes on from stored wallets; credits are added for students that are known."""
+    known = A.table(spark, d, "customer").select(F.concat(F.lit("student-"), "c_custkey").alias("student_key"))
+    c = F.col("c_custkey")
+    had = A.table(spark, d, "customer").where(c % 2 == 0).select(F.concat(F.lit("student-"), c).alias("student_key"), (c % 7).alias("credits"), (c % 50).alias("points"), (c % 90).alias("lifetime"), (c % 4).alias("used"))
+    return L.ledger_rows(L.wallet_steps(A.intents(spark, d), known, had))
+
+
+_ABOUT = """'{{' || '"lessonNo":' || lesson_no || CASE WHEN selected_line IS NULL THEN '' ELSE ',"selectedLine":"' || selected_line || '"' END || CASE WHEN question IS NULL THEN '' ELSE ',"question":"' || question || '"' END || CASE WHEN tool_used IS NULL THEN '' ELSE ',"toolUsed":"' || tool_used || '"' END || '}}'""".replace("{{", "{").replace("}}", "}")
+_KINDS = "CASE r.kind WHEN 'award' THEN 'EARN_POINTS' WHEN 'redeem' THEN 'REDEEM_POINTS' WHEN 'use' THEN 'USE_AI_CREDIT' WHEN 'admin' THEN 'ADMIN_ADD_CREDITS' END"
+_REASON = """CASE r.kind WHEN 'award' THEN note WHEN 'redeem' THEN 'Redeemed ' || (-r.dp) || ' learning points for ' || r.dc || ' AI credit(s).' WHEN 'use' THEN 'Used 1 AI Teacher credit for ' || coalesce(tool_used, 'AI Teacher') || '.' ELSE 'Added ' || r.dc || ' AI Teacher credits manually for demo.' END"""
+SQL["g14_ledger_rows"] = f"""WITH {WALLETS.replace("FROM intents GROUP BY 1)", "FROM (FROM intents WHERE kind <> 'admin' OR student_key IN (SELECT 'student-' || c_custkey FROM customer)) GROUP BY 1)").replace("{'credits': 0::BIGINT, 'points': 0::BIGINT, 'lifetime': 0::BIGINT, 'used': 0::BIGINT, 'open': false,",
+    "CASE WHEN c_custkey IS NOT NULL THEN {'credits': CAST(c_custkey % 7 AS BIGINT), 'points': CAST(c_custkey % 50 AS BIGINT), 'lifetime': 0::BIGINT, 'used': 0::BIGINT, 'open': true, 'opened_with': 0::BIGINT, 'rejected': 0::BIGINT, 'rows': []::" + _ROW + "[]} ELSE {'credits': 0::BIGINT, 'points': 0::BIGINT, 'lifetime': 0::BIGINT, 'used': 0::BIGINT, 'open': false,").replace("[]}) AS w FROM lists)", "[]} END) AS w FROM lists LEFT JOIN (FROM customer WHERE c_custkey % 2 = 0) ON student_key = 'student-' || c_custkey)")}, r AS (SELECT unnest(w.rows) AS r FROM folded)
+SELECT student_key, i.ts, event_id, {_KINDS} AS type, r.dp AS points_change, r.dc AS credits_change, {_REASON} AS reason, CASE WHEN r.kind = 'use' THEN {_ABOUT} END AS metadata_json FROM r JOIN intents i ON event_id = r.event_id"""
+
+
 @query
 def g14_wallet_view(spark, d):
-    return L.wallet_view(L.ledger_rows(L.wallet_steps(A.intents(spark, d)))).select("*", "point_rules.*").drop("point_rules")
+    return L.wallet_view(L.ledger_rows(L.wallet_steps(A.intents(spark, d)))).select("*", "point_rules.*").drop("point_rules", "metadata_json")
 
 
-_TYPE = "CASE r.kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.TYPES.items()) + " END"
-SQL["g14_wallet_view"] = f"""WITH {WALLETS}, r AS (SELECT student_key, unnest(w.rows) AS r FROM folded), k AS (SELECT student_key, r.ts AS ts, r.event_id AS event_id, {_TYPE} AS type, r.dp AS points_change, r.dc AS credits_change,
-row_number() OVER (PARTITION BY student_key ORDER BY r.ts DESC, r.event_id DESC) AS rank FROM r) SELECT *, {', '.join(f'{v} AS {n}' for n, v in L.POINT_RULES.items())} FROM k WHERE rank <= 10"""
+SQL["g14_wallet_view"] = f"""WITH {WALLETS}, r AS (SELECT unnest(w.rows) AS r FROM folded), k AS (SELECT student_key, i.ts AS ts, event_id, {_KINDS} AS type, r.dp AS points_change, r.dc AS credits_change, {_REASON} AS reason,
+row_number() OVER (PARTITION BY student_key ORDER BY i.ts DESC, event_id DESC) AS rank FROM r JOIN intents i ON event_id = r.event_id) SELECT *, 10 AS points_per_credit, 2 AS right_answer, 5 AS perfect_bonus, 10 AS game, 1 AS practice FROM k WHERE rank <= 10"""
 
 
 def _shelf(spark, d):
@@ -288,14 +342,18 @@ UNION ALL SELECT 'book_lines', 'unique', page_id || '|' || line_number, count(*)
 
 @query
 def g17_register_students(spark, d):
-    c = A.table(spark, d, "customer")
-    email = F.concat(F.lit("  "), F.upper("c_mktsegment"), F.lit("-"), (F.col("c_custkey") % 100).cast("string"), F.lit("@x "))
-    return G.register_students(c.select(F.col("c_custkey").alias("signup_id"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_name")).alias("name"), email.alias("email"), (F.col("c_custkey") % 9 + 3).alias("password_length"), F.when(F.col("c_custkey") % 2 == 0, 7).alias("class_level"), F.col("c_custkey").alias("ts")))
+    c, k = A.table(spark, d, "customer"), F.col("c_custkey")
+    email = F.concat(F.lit("  "), F.upper("c_mktsegment"), F.lit("-"), (k % 100).cast("string"), F.lit("@x "))
+    # customers of one nation have one name
+    name = F.when(k % 13 != 0, F.concat(F.lit(" Ann  Lee "), F.col("c_nationkey").cast("string")))
+    return G.register_students(c.select(k.alias("signup_id"), name.alias("name"), email.alias("email"), (k % 9 + 3).alias("password_length"), F.when(k % 2 == 0, 7).alias("class_level"), F.when(k % 3 == 0, " B ").alias("section"), F.col("c_mktsegment").alias("guardian_phone"), k.alias("ts"))).drop("created_at")
 
 
-SQL["g17_register_students"] = f"""WITH s AS (SELECT c_custkey AS signup_id, CASE WHEN c_custkey % 13 <> 0 THEN c_name ELSE '' END AS name, lower(c_mktsegment) || '-' || (c_custkey % 100) || '@x' AS email, c_custkey % 9 + 3 AS p, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 6 END AS class_level FROM customer),
+SQL["g17_register_students"] = """WITH s AS (SELECT c_custkey AS signup_id, CASE WHEN c_custkey % 13 <> 0 THEN 'Ann  Lee ' || c_nationkey ELSE '' END AS name, lower(c_mktsegment) || '-' || (c_custkey % 100) || '@x' AS email, c_custkey % 9 + 3 AS p, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 6 END AS class_level,
+CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE '' END AS section, c_mktsegment AS guardian_phone, c_nationkey FROM customer),
 j AS (SELECT *, CASE WHEN name = '' THEN 'missing' WHEN p < 6 THEN 'short password' END AS r FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY email, r IS NULL ORDER BY signup_id) AS k FROM j)
-SELECT signup_id, email, class_level, CASE WHEN r IS NOT NULL THEN r WHEN k > 1 THEN 'email taken' END AS reason, coalesce(nullif({S.rr(S.rr("lower(name)", "[^a-z0-9]+", "-"), "^-|-" + chr(92) + "z")}, ''), 'student') AS slug FROM n"""
+SELECT signup_id, email, name, class_level, section, '' AS roll_number, '' AS school_name, '' AS guardian_name, guardian_phone, CASE WHEN r IS NOT NULL THEN r WHEN k > 1 THEN 'email taken' END AS reason,
+CASE WHEN r IS NULL AND k = 1 THEN 'ann-lee-' || c_nationkey || '-' || substr(sha256(email), 1, 12) END AS student_key FROM n"""
 
 
 @query
@@ -314,15 +372,16 @@ def g19_learning_turns(spark, d):
     turn, conv, line = F.col("turn"), F.col("conv_id"), F.split(F.col("text"), "\n")[0]
     requests = turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), (-(conv * 1000 + turn) - 1).alias("event_id"), F.when(conv % 11 != 0, F.concat(F.lit(" student-"), conv % 40)).alias("student_key"), F.lit(None).cast("string").alias("student_id"),
-        (turn % 4).cast("int").alias("lesson_no"), line.alias("line"), F.element_at(F.array(*map(F.lit, ("explain", "translate", "grammar"))), (turn % 3 + 1).cast("int")).alias("tool"), F.when(turn % 2 == 0, F.col("text")).alias("question"),
+        (F.pmod(conv * 7 + turn, F.lit(200))).cast("int").alias("lesson_no"), line.alias("line"), F.element_at(F.array(*map(F.lit, ("explain", "translate", "grammar"))), (turn % 3 + 1).cast("int")).alias("tool"), F.when(turn % 2 == 0, F.col("text")).alias("question"),
         F.timestamp_seconds(F.lit(1_704_067_200) + conv * 600 + turn).alias("ts"),
     )
     part = F.struct(F.concat(F.lit("About: "), F.col("text")).alias("text"))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part).alias("parts")).alias("content"))).alias("candidates")))
     responses = turns.where("turn % 7 <> 3").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), body.alias("body"), (turn % 5 != 4).alias("ok"))
-    lessons = turns.where("turn < 3").groupBy((conv % 3 + 1).cast("int").alias("lesson_no")).agg(F.slice(F.array_sort(F.collect_set(line)), 1, 200).alias("lines")).withColumn("title", F.concat(F.lit("Lesson "), "lesson_no"))
+    doc = A.table(spark, d, "documents")  # a lesson each
+    lessons = doc.select((F.col("doc_id") + 1).cast("int").alias("lesson_no"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.concat(F.lit("Lesson "), F.col("doc_id") + 1).alias("title"))
     quizzes = A.activity(spark, d).where("activity_type = 'quiz_submitted'").select("student_key", "event_id", "ts")
-    out = U.learning_turns(requests, A.intents(spark, d), lessons, quizzes, responses)
+    out = U.learning_turns(requests, A.intents(spark, d), lessons, quizzes, responses, _areas(spark, d))
     return out.withColumn("memory", F.to_json("memory"))
 
 

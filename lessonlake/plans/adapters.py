@@ -47,12 +47,19 @@ ACTIVITY = f"""activity AS (SELECT 'student-' || user_id AS student_key, {_case(
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amount = F.when(F.col("kind") == "award", F.col("k") % 20).when(F.col("kind") == "redeem", F.col("k") % 3).when(F.col("kind") == "admin", F.col("k") % 5)
-    return mapped_events(spark, sf_dir, INTENTS).select("student_key", "event_id", "ts", "kind", amount.cast("double").alias("amount"))
+    """An admin's amount is missing now and then; uses say what they are for."""
+    kind, k = F.col("kind"), F.col("k")
+    amount = F.when(kind == "award", k % 20).when(kind == "redeem", k % 3).when((kind == "admin") & (k % 7 != 0), k % 5)
+    text = lambda x: F.concat(F.lit(x), k.cast("string"))
+    return mapped_events(spark, sf_dir, INTENTS).select(
+        "student_key", "event_id", "ts", "kind", amount.cast("double").alias("amount"), F.when(kind == "award", text("Quiz ")).alias("note"), (k % 33 + 1).cast("int").alias("lesson_no"),
+        F.when((kind == "use") & (k % 3 != 0), text("Line ")).alias("selected_line"), F.when((kind == "use") & (k % 2 == 0), text("Why ")).alias("question"), F.when((kind == "use") & (k % 5 != 0), "explain").alias("tool_used"),
+    )
 
 
-INTENT_ROWS = f"""intents AS (SELECT 'student-' || user_id AS student_key, event_id, ts, {_case(INTENTS)} AS kind,
-  CASE {_case(INTENTS)} WHEN 'award' THEN k % 20 WHEN 'redeem' THEN k % 3 WHEN 'admin' THEN k % 5 END AS amount FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"""
+INTENT_ROWS = f"""intents AS (SELECT 'student-' || user_id AS student_key, event_id, ts, kind, CASE kind WHEN 'award' THEN k % 20 WHEN 'redeem' THEN k % 3 WHEN 'admin' THEN CASE WHEN k % 7 <> 0 THEN k % 5 END END AS amount, CASE WHEN kind = 'award' THEN 'Quiz ' || k END AS note, k % 33 + 1 AS lesson_no,
+  CASE WHEN kind = 'use' AND k % 3 <> 0 THEN 'Line ' || k END AS selected_line, CASE WHEN kind = 'use' AND k % 2 = 0 THEN 'Why ' || k END AS question, CASE WHEN kind = 'use' AND k % 5 <> 0 THEN 'explain' END AS tool_used
+  FROM (SELECT *, {_case(INTENTS)} AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))"""
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,8 @@ def _responses(spark, d, kind: str):
     docs = A.table(spark, d, "documents").select("doc_id", w.alias("w"))
     items = docs.select("doc_id", F.when(F.size("w") >= size, F.transform(groups, item)).alias("i"))
     body = F.to_json(F.struct(F.coalesce("i", F.array()).alias("questions" if kind == "quiz" else "pairs")))
+    for text, value in (("0", '""'), ("1", "true"), ("2", "2.0"), ("5", "null")):  # indexes of all kinds
+        body = F.replace(body, F.lit(f'"answerIndex":"{text}"'), F.lit(f'"answerIndex":{value}'))
     fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 7 == 1, F.substring(body, 1, 40)).otherwise(body)
     return items.select(F.col("doc_id").alias("request_id"), fenced.alias("body"))
 

@@ -196,19 +196,32 @@ SQL["a5_lesson_ranges"] = f"WITH {_RANGES} SELECT r.lesson_no, title, a AS pdf_s
 
 @query
 def a9_import_ocr(spark, d):
-    lines = A.doc_lines(spark, d).select((F.col("doc_id") % 2).alias("b"), F.col("doc_id").alias("page_no"), "pos", F.col("line").alias("text"))
-    book = F.concat(F.lit("book-"), F.col("b")).alias("book_id")
-    old_lines = lines.where("page_no % 3 <> 0").select(book, "page_no", F.col("pos").alias("line_number"), "text")
+    """Three stored books have a page for each document; the conversations are imported as pages of four, one of them new."""
+    title = lambda n: F.concat(F.lit("Book "), n.cast("string"))
+    old_lines = A.doc_lines(spark, d).select(F.concat(F.lit("id-"), F.col("doc_id") % 3).alias("book_id"), F.col("doc_id").alias("page_no"), (F.col("pos") + 1).alias("line_number"), F.col("line").alias("text"))
+    books = old_lines.select("book_id", title(F.substring("book_id", 4, 9)).alias("title")).distinct()
+    said = A.table(spark, d, "conversations").select(title(F.col("conv_id") % 4).alias("title"), F.col("conv_id").alias("page_no"), F.col("turn").cast("int").alias("pos"), F.when(F.col("conv_id") % 5 != 0, F.col("text")).alias("text"))
     box = F.struct(*[F.lit(1.0).alias(c) for c in ("x", "y", "width", "height")]).alias("bbox")
-    new = O.normalize_import_lines(lines.where("b = 0 AND page_no % 4 = 0").select("page_no", "pos", F.concat(F.lit("new: "), "text").alias("text"), F.lit("9").alias("confidence"), F.lit(None).cast("boolean").alias("ai_ready"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "width", "height")], box, F.lit(None).cast("int").alias("line_number")))
-    pages, kept, counts = O.import_ocr(old_lines.select("book_id", "page_no").distinct(), old_lines, new, "book-0")
+    new = O.normalize_import_lines(said.select("title", "page_no", "pos", "text", F.lit("9").alias("confidence"), F.lit(None).cast("boolean").alias("ai_ready"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "width", "height")], box, F.lit(None).cast("int").alias("line_number")))
+    files = said.select("title", "page_no", F.concat(F.lit("page-"), "page_no", F.lit("-lines.json")).alias("file_name")).distinct()
+    ids = books.unionByName(O.missing_books(books, files))
+    pages, lines, counts, totals = O.import_rows(ids, new, files)
+    pages, kept = O.replace_pages(old_lines.select("book_id", "page_no").distinct(), old_lines, pages, lines)
     lines_now = kept.groupBy("book_id", "page_no").agg(F.count("*").alias("n_lines"), F.max("text").alias("last_line"))
-    return pages.select("book_id", "page_no", F.length("raw_text").alias("n_raw")).join(lines_now, ["book_id", "page_no"], "left").join(counts.select("book_id", "page_no", F.col("n_lines").alias("n_new"), "updated"), ["book_id", "page_no"], "left")
-
-
-SQL["a9_import_ocr"] = f"""WITH {A.DOC_LINES}, old AS (SELECT 'book-' || (doc_id % 2) AS book_id, doc_id AS page_no, line AS text FROM doc_lines WHERE doc_id % 3 <> 0), new AS (SELECT 'book-0' AS book_id, doc_id AS page_no, pos, {S.clean_ocr_text("'new: ' || line")} AS text FROM doc_lines WHERE doc_id % 4 = 0),
-n AS (SELECT book_id, page_no, count(*) AS n_new, length(string_agg(text, chr(10) ORDER BY pos)) AS n_raw, page_no % 3 <> 0 AS updated FROM new GROUP BY 1, 2), every AS (SELECT * FROM old WHERE book_id = 'book-1' OR page_no NOT IN (SELECT page_no FROM n) UNION ALL SELECT book_id, page_no, text FROM new)
-SELECT book_id, page_no, n_raw, n_lines, last_line, n_new, updated FROM (SELECT book_id, page_no, count(*) AS n_lines, max(text) AS last_line FROM every GROUP BY 1, 2) LEFT JOIN n USING (book_id, page_no)"""
+    out = pages.select("book_id", "page_no", "page_id", F.length("raw_text").alias("n_raw")).join(lines_now, ["book_id", "page_no"], "left").join(counts, ["book_id", "page_no"], "left").join(totals, "book_id", "left")
+    return out.join(ids.withColumnRenamed("title", "book"), "book_id")
+
+
+SQL["a9_import_ocr"] = f"""WITH {A.DOC_LINES}, old AS (SELECT 'id-' || (doc_id % 3) AS book_id, doc_id AS page_no, line AS text FROM doc_lines),
+said AS (SELECT CASE WHEN conv_id % 4 < 3 THEN 'id-' || (conv_id % 4) ELSE 'book-' || substr(sha256('Book 3'), 1, 16) END AS book_id, conv_id AS page_no, turn AS pos, {S.clean_ocr_text("CASE WHEN conv_id % 5 <> 0 THEN text END")} AS text FROM conversations),
+new AS (SELECT * FROM said WHERE text <> ''),
+n AS (SELECT book_id, page_no, count(new.text) AS line_count, coalesce(length(string_agg(new.text, chr(10) ORDER BY pos)), 0) AS n_raw FROM (SELECT DISTINCT book_id, page_no FROM said) LEFT JOIN new USING (book_id, page_no) GROUP BY 1, 2),
+pages_now AS (SELECT DISTINCT book_id, page_no FROM old UNION SELECT book_id, page_no FROM n),
+every AS (SELECT old.* FROM old ANTI JOIN n USING (book_id, page_no) UNION ALL SELECT book_id, page_no, text FROM new),
+t AS (SELECT book_id, count(*) AS imported_pages, CAST(sum(line_count) AS BIGINT) AS imported_lines FROM n GROUP BY 1)
+SELECT book_id, page_no, CASE WHEN n_raw IS NOT NULL THEN book_id || '-page-' || page_no END AS page_id, n_raw, n_lines, last_line, line_count, CASE WHEN line_count IS NOT NULL THEN 'page-' || page_no || '-lines.json' END AS file_name,
+'Book ' || CASE WHEN book_id LIKE 'id-%' THEN substr(book_id, 4) ELSE '3' END AS book, CASE WHEN imported_pages IS NOT NULL THEN book END AS book_title, imported_pages, imported_lines
+FROM pages_now LEFT JOIN (SELECT book_id, page_no, count(*) AS n_lines, max(text) AS last_line FROM every GROUP BY 1, 2) USING (book_id, page_no) LEFT JOIN n USING (book_id, page_no) LEFT JOIN t USING (book_id)"""
 
 
 @query

@@ -16,20 +16,49 @@ LESSON = "lessonNo int, title string, lessonTitle string, textbookPageStart int,
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """A row a file: name and whole text, without a leading byte order mark."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.regexp_replace("value", "^﻿", "").alias("body"))
+    """A row a file: name and whole text, without a leading byte order mark. A text that isn't UTF-8 is null. Spark's scans skip files of no bytes."""
+    files = spark.read.format("binaryFile").load(path).withColumn("value", F.try_validate_utf8(F.col("content").cast("string")))
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_replace("value", "^\ufeff", "").alias("body"))
+
+
+def _parsed(files: DataFrame, schema: str, start: str) -> DataFrame:
+    """files(file_name, body) with doc, and error where the body is no JSON value of that kind. start: how its text begins."""
+    kept = F.from_json("body", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}) if start == "{" else F.from_json("body", schema)
+    out = files.withColumn("doc", F.when(T.trim(F.col("body")).startswith(start), kept))
+    whole = F.col("doc").isNotNull() & F.try_parse_json("body").isNotNull()
+    if start == "{":
+        whole = whole & F.col("doc._broken").isNull()
+    return out.withColumn("error", F.when(~whole, F.concat(F.lit("not a JSON "), F.lit("object" if start == "{" else "array"))))
+
+
+def _rejects(rows: DataFrame) -> DataFrame:
+    """(page_no, file_name, error); the number is that of the file's name."""
+    return rows.where("error IS NOT NULL").select(F.regexp_extract("file_name", r"(\d+)", 1).try_cast("int").alias("page_no"), "file_name", "error")
+
+
+def _page_files(spark: SparkSession, path: str) -> DataFrame:
+    files = _parsed(_documents(spark, path).where(F.col("file_name").rlike(r"^page-\d+\.json\z")), PAGE, "{")
+    return files.withColumn("error", F.coalesce("error", F.when(~F.coalesce(F.col("doc.pageNumber") >= 1, F.lit(False)), "no page number from 1 on")))
 
 
 def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page documents of files page-NNN.json."""
-    files = _documents(spark, path).where(F.col("file_name").rlike(r"^page-\d+\.json\z"))
-    return files.select(F.from_json("body", PAGE).alias("p")).select("p.*").where("pageNumber >= 1")
+    """Page documents of files page-NNN.json; unreadable_pages has those that aren't any."""
+    return _page_files(spark, path).where("error IS NULL").select("doc.*").drop("_broken")
+
+
+def unreadable_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(page_no, file_name, error) of the files that read_ocr_pages leaves out, for the error rows of ocr.book_index."""
+    return _rejects(_page_files(spark, path))
 
 
 def read_word_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """A row a word, with its place in the file as pos."""
-    files = _documents(spark, path)
-    return files.select("file_name", F.posexplode(F.from_json("body", WORD)).alias("pos", "w")).select("file_name", "pos", "w.*")
+    """A row a word, with its place in the file as pos; unreadable_word_boxes has the files without an array."""
+    files = _parsed(_documents(spark, path), WORD, "[")
+    return files.where("error IS NULL").select("file_name", F.posexplode("doc").alias("pos", "w")).select("file_name", "pos", "w.*")
+
+
+def unreadable_word_boxes(spark: SparkSession, path: str) -> DataFrame:
+    return _rejects(_parsed(_documents(spark, path), WORD, "["))
 
 
 def read_line_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -39,15 +68,31 @@ def read_line_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return parsed.where("rows IS NOT NULL").select("page_no", F.posexplode("rows").alias("pos", "l")).select("page_no", "pos", "l.*"), parsed.where("rows IS NULL").select("file_name", F.lit("not a JSON array").alias("error"))
 
 
+def read_line_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(page_no, file_name) of each file that read_line_files reads, also of those with an empty array."""
+    files = _documents(spark, path).withColumn("page_no", F.regexp_extract("file_name", r"(?i)^page-(\d+)-lines\.json\z", 1)).where("page_no <> ''")
+    return _parsed(files, LINE, "[").where("error IS NULL").select(F.col("page_no").cast("int").alias("page_no"), "file_name")
+
+
+def _lesson_files(spark: SparkSession, path: str) -> DataFrame:
+    files = _parsed(_documents(spark, path).where(F.col("file_name").rlike(r"^lesson-\d+\.json\z")), LESSON, "{")
+    return files.withColumn("error", F.coalesce("error", F.when(~F.coalesce(F.col("doc.lessonNo").between(1, 33), F.lit(False)), "no lesson number from 1 to 33")))
+
+
 def read_lessons(spark: SparkSession, path: str) -> DataFrame:
-    """Lesson documents of either variant; missing arrays are empty, missing texts ''."""
-    files = _documents(spark, path).where(F.col("file_name").rlike(r"^lesson-\d+\.json\z"))
-    rows = files.select(F.from_json("body", LESSON).alias("l")).select("l.*").where("lessonNo BETWEEN 1 AND 33")
+    """Lesson documents of either variant; missing arrays are empty, missing texts ''. unreadable_lessons has the other files."""
+    rows = _lesson_files(spark, path).where("error IS NULL").select("doc.*").drop("_broken")
     empty = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("pages", "lines", "aiReadyLines")}
     return rows.withColumns(empty | {c: F.coalesce(c, F.lit("")) for c in ("rawText", "cleanText", "aiReadyText")}).withColumn("lessonTitle", F.coalesce("title", "lessonTitle"))
 
 
-ACTIVITY = "studentKey string, studentId string, activityType string, minutesStudied string, lessonNo string, score string, total string, gameType string, ts timestamp, event_id long"
+def unreadable_lessons(spark: SparkSession, path: str) -> DataFrame:
+    return _rejects(_lesson_files(spark, path)).withColumnRenamed("page_no", "lesson_no")
+
+
+#: Fields of an attempt beside its numbers; a nested value is read as its JSON text.
+ATTEMPT = {"lessonTitle": "lesson_title", "wrongAnswers": "wrong_answers", "weakAreas": "weak_areas", "submittedAnswers": "submitted_answers", "result": "result", "sentence": "sentence", "details": "details"}
+ACTIVITY = "studentKey string, studentId string, activityType string, minutesStudied string, lessonNo string, score string, total string, gameType string, ts timestamp, event_id long, " + ", ".join(f"{c} string" for c in ATTEMPT)
 
 
 def read_activity(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -57,13 +102,13 @@ def read_activity(spark: SparkSession, path: str, stream: bool = False) -> DataF
 
 def activity_rows(raw: DataFrame) -> DataFrame:
     """Raw requests, all strings, as typed rows. Numbers may be strings and default to 0; a missing or blank key is the demo student's; a
-    missing or blank lesson stays null for games and is 1 otherwise."""
+    missing or blank lesson stays null for games and is 1 otherwise. Of the fields of ATTEMPT those that raw has stay."""
     number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0)).cast("long")
     lesson = F.col("lessonNo").try_cast("int")
     return raw.select(
         student_key(F.col("studentKey"), F.col("studentId")).alias("student_key"), F.col("activityType").alias("activity_type"), "ts", "event_id", T.day_key(F.col("ts")).alias("date_key"),
         F.when(F.col("activityType") == "game_finished", lesson).otherwise(F.coalesce(lesson, F.lit(1))).alias("lesson_no"), number("score").alias("score"), number("total").alias("total"), number("minutesStudied").alias("minutes"),
-        F.col("gameType").alias("game_type"),
+        F.col("gameType").alias("game_type"), *[F.col(c).alias(n) for c, n in ATTEMPT.items() if c in raw.columns],
     )
 
 

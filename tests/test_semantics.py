@@ -70,7 +70,7 @@ def test_wallets(spark):
     assert (w.credits, w.used, w.rejected) == (0, 5, 1)
     w = wallet(("award", 2.9), ("award", -3), ("award", 25), ("redeem", 2), ("redeem", 0))
     assert (w.credits, w.points, w.lifetime, w.rejected) == (7, 7, 27, 1)
-    assert wallet(("admin", 50)).credits == 50 and wallet(("admin", None), ("use", None), ("award", None)).credits == 0
+    assert wallet(("admin", 50)).credits == 50 and wallet(("admin", None), ("use", None), ("award", None)).credits == 49
     steps = L.wallet_steps(intents(spark, ("use", 0), ("award", 40), ("redeem", 3), ("admin", 2), ("use", 0), ("odd", 1)))
     w = L.run_wallets(steps)
     sums = L.wallet_from_ledger(L.ledger_rows(steps), w.select("student_key", "opened_with")).first()
@@ -79,7 +79,7 @@ def test_wallets(spark):
     nobody = spark.createDataFrame([("t",)], "student_key string")
     assert wallet(("admin", 9), ("use", 0), students=nobody).rejected == 1 and wallet(("admin", 9), students=nobody.union(spark.sql("SELECT 's'"))).credits == 9
     view = L.wallet_view(L.ledger_rows(steps)).orderBy("rank").collect()
-    assert [r.type for r in view][:2] == ["USE_AI_CREDIT", "ADMIN_CREDIT"] and view[0].point_rules.points_per_credit == 10
+    assert [r.type for r in view][:2] == ["USE_AI_CREDIT", "ADMIN_ADD_CREDITS"] and [r.reason for r in view][1:3] == ["Added 2 AI Teacher credits manually for demo.", "Redeemed 30 learning points for 3 AI credit(s)."] and view[0].point_rules.points_per_credit == 10
 
 
 def test_wallets_as_a_stream(spark, tmp_path):
@@ -90,12 +90,12 @@ def test_wallets_as_a_stream(spark, tmp_path):
         for half in ("event_id < 4", "event_id >= 4"):
             every.where(half).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
             found = []
-            S.wallet_stream(spark.readStream.schema(every.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: found.extend(b.collect())).trigger(availableNow=True).start().awaitTermination()
+            S.wallet_stream(spark.readStream.schema(every.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: found.extend(L.run_wallets(b).collect())).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = L.run_wallets(L.wallet_steps(every)).collect()
     got = {r.student_key: r for r in found}
-    assert {r.student_key: tuple(r[c] for c in ("credits", "points", "lifetime", "used", "rejected")) for r in want} == {k: tuple(r[c] for c in ("credits", "points", "lifetime", "used", "rejected")) for k, r in got.items()} and len(got) == 2
+    assert {r.student_key: tuple(r[c] for c in L.BALANCES) for r in want} == {k: tuple(r[c] for c in L.BALANCES) for k, r in got.items()} and len(got) == 2
 
 
 def test_match_replay(spark):
@@ -126,7 +126,7 @@ def test_readers_and_streams(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text('{"activityType":"quiz_submitted","score":"7","total":10,"ts":"2024-01-01T00:00:00Z","event_id":%d}\n{"studentId":" x ","activityType":"odd","ts":"2024-01-01T20:00:00Z","event_id":9}\n' % i)
     stream = readers.read_activity(spark, str(tmp_path / "in"), stream=True)
     S.daily_study_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = S.latest_daily(spark.read.parquet(str(tmp_path / "out"))).orderBy("student_key").collect()
+    got = S.daily_sink(str(tmp_path / "out")).read(spark).select("student_key", "date_key", *G.COUNTERS).orderBy("student_key").collect()
     want = G.daily_study(G.activity_counters(readers.read_activity(spark, str(tmp_path / "in")))).orderBy("student_key").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want] and got[0].student_key == "demo-student" and got[0].quiz_score == 14
 
@@ -232,6 +232,11 @@ def test_tutor_turns(spark):
     assert (m.lessons, m.n_lines, m.last_lines, len(m.last_tools), m.quizzes) == ([1, 2], 6, [f"line {i}" for i in range(1, 6)], 6, [206, 205, 204, 203, 202])
     assert got["q0"].memory.quizzes == [204, 203, 202, 201, 200] and got["t"].memory.quizzes == []
     assert U.turn_chats(out).count() == U.turn_events(out).count() == 7
+    assert U.turn_usage(out).count() == 7 and {r.type for r in U.turn_ledger(out).collect()} == {"USE_AI_CREDIT"} and got["q5"].memory.weak_areas == []
+    areas = spark.createDataFrame([("s", 1, at(3), "Grammar"), ("s", 2, at(15), "Vocabulary"), ("s", 3, at(15), "Grammar"), ("s", 4, at(15), None)], "student_key string, event_id long, ts timestamp, area string")
+    twice = intents.union(spark.createDataFrame([("s", at(50), 0, "use", 0.0)], intents.schema))  # an event_id of a request
+    again = {r.request_id: r for r in U.learning_turns(requests, twice, lessons, quizzes, spark.createDataFrame([], "request_id string, body string, ok boolean"), areas).collect()}
+    assert len(again) == 10 and again["q4"].memory.weak_areas == ["Grammar"] and again["q5"].memory.weak_areas == ["Grammar", "Vocabulary"] and again["t"].memory.weak_areas == []
     assert json.loads(U.turn_events(out).where("student_key = 'u'").first().metadata_json) == {"studentQuestion": "Why?", "aiCreditUsed": True}
 
 
@@ -246,3 +251,44 @@ def test_import_of_pages(spark):
     assert sorted((r.page_no, r.n_lines, r.updated) for r in counts.collect()) == [(1, 1, True), (3, 1, False)]
     books = spark.createDataFrame([("x", "Known")], "book_id string, title string")
     assert O.find_or_create_book(books, "Known").count() == 1 and O.find_or_create_book(O.find_or_create_book(books, "New"), "New").count() == 2
+
+
+def test_broken_files_are_error_rows(spark, tmp_path):
+    page = {"bookId": "b", "pageNumber": 6, "lines": [], "aiReadyLines": []}
+    for name, body in (("page-006.json", json.dumps(page)), ("page-007.json", '{"pageNumber": 7, '), ("page-008.json", "[1]"), ("page-009.json", json.dumps({**page, "pageNumber": 0})), ("page-010.json", " "), ("note.json", "x")):
+        (tmp_path / name).write_text(body)
+    path = str(tmp_path)
+    assert [r.pageNumber for r in readers.read_ocr_pages(spark, path).collect()] == [6]
+    failed = readers.unreadable_pages(spark, path)
+    assert sorted((r.page_no, r.error) for r in failed.collect()) == [(7, "not a JSON object"), (8, "not a JSON object"), (9, "no page number from 1 on"), (10, "not a JSON object")]
+    docs = readers.read_ocr_pages(spark, path).select(F.col("pageNumber").alias("page_no"), "lines", F.col("aiReadyLines").alias("ai_ready_lines"), "source")
+    index = O.book_index(docs, "b", failed)
+    assert sorted((r.page_no, r.n_lines, r.error is None) for r in index.collect()) == [(6, 0, True), (7, None, False), (8, None, False), (9, None, False), (10, None, False)]
+    assert O.book_header(index, "b", "B", 1, 0, 10).first().n_failed == 4
+    words = tmp_path / "words"
+    words.mkdir()
+    for name, body in (("page-1.json", '[{"text": "a"}]'), ("page-2.json", '{"text": "a"}'), ("page-3.json", '[{"text": '), ("page-4.json", "[]")):
+        (words / name).write_text(body)
+    assert [r.text for r in readers.read_word_boxes(spark, str(words)).collect()] == ["a"]
+    assert sorted(r.page_no for r in readers.unreadable_word_boxes(spark, str(words)).collect()) == [2, 3]
+    lessons = tmp_path / "lessons"
+    lessons.mkdir()
+    for name, body in (("lesson-01.json", '{"lessonNo": 1}'), ("lesson-02.json", '{"lessonNo": 34}'), ("lesson-03.json", '{"lessonNo"')):
+        (lessons / name).write_text(body)
+    assert [r.lessonNo for r in readers.read_lessons(spark, str(lessons)).collect()] == [1]
+    assert sorted((r.lesson_no, r.error) for r in readers.unreadable_lessons(spark, str(lessons)).collect()) == [(2, "no lesson number from 1 to 33"), (3, "not a JSON object")]
+
+
+def test_indexes_of_all_kinds(spark):
+    options = ["alpha one", "beta two", "gamma three", "delta four"]
+    kinds = [{"correctAnswerIndex": ""}, {"correctAnswerIndex": True}, {"correctAnswerIndex": 1.0}, {"correctAnswerIndex": "2"}, {"correctAnswerIndex": None, "answerIndex": 3}, {"correctAnswerIndex": "true", "answer": "gamma three"}, {"correctIndex": 1.5, "answer": "BETA two"}, {"correctIndex": {}}, {}]
+    body = json.dumps([{"question": "Which one is the right answer?", "options": options, **k} for k in kinds])
+    got = I.validate_quiz(spark.createDataFrame([("r", body), ("n", None), ("x", "no")], "request_id string, body string"), 20).orderBy("position").collect()
+    assert [r.correct_index for r in got] == [0, 1, 1, 2, 3, 2, 1]
+
+
+def test_keys_of_students_with_one_name(spark):
+    rows = [(1, "Ann Lee", "a@x", 6), (2, "ann  lee!", "b@x", 6), (3, "Ann Lee", " A@X ", 6), (4, "", "c@x", 6)]
+    got = G.register_students(spark.createDataFrame([(*r, None, r[0]) for r in rows], "signup_id int, name string, email string, password_length int, class_level int, ts int")).orderBy("signup_id").collect()
+    assert got[0].student_key.startswith("ann-lee-") and got[1].student_key.startswith("ann-lee-") and got[0].student_key != got[1].student_key
+    assert [r.reason for r in got] == [None, None, "email taken", "missing"] and got[2].student_key is None and got[0].section == ""
