@@ -12,16 +12,16 @@ TOOLS = {"explain": "Explain the line in easy words.", "translate": "Say the lin
 DIFFICULTY = {"easy": "Ask about direct meaning.", "medium": "Ask about context and actions.", "hard": "Ask for inference with close answers."}
 
 
-def lesson_context(requests: DataFrame, lessons: DataFrame) -> DataFrame:
+def lesson_context(requests: DataFrame, lessons: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """requests(request_id, lesson_no, line), lessons(lesson_no, title, lines array): 2 lines on each side of the first match,
-    else the first 5; an unknown lesson gives the line itself."""
+    else the first 5; an unknown lesson gives the line itself. keep: other columns of requests that stay."""
     joined = requests.join(lessons, "lesson_no", "left")
     at = F.array_position(F.transform("lines", lambda x: F.lower(T.trim(x))), F.lower(T.trim(F.col("line"))))
     low = F.greatest(at - 2, F.lit(1))
     near = F.when(at > 0, F.slice("lines", low.cast("int"), (at + 2 - low + 1).cast("int"))).otherwise(F.slice("lines", 1, 5))
     unknown = F.col("lines").isNull()
     return joined.select(
-        "request_id", F.when(unknown, "Unknown lesson").otherwise(F.col("title")).alias("title"), F.when(unknown, F.col("line")).otherwise(F.array_join(near, "\n")).alias("context"),
+        "request_id", *(keep or []), F.when(unknown, "Unknown lesson").otherwise(F.col("title")).alias("title"), F.when(unknown, F.col("line")).otherwise(F.array_join(near, "\n")).alias("context"),
         F.when(unknown, "").otherwise(F.array_join(F.slice("lines", 1, 25), "\n")).alias("preview"),
     )
 

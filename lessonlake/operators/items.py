@@ -55,12 +55,13 @@ def validate_quiz(responses: DataFrame, n: int = 5) -> DataFrame:
     Options that are equal but for case count once: at the first one's place, in the last one's spelling.
     """
     said = responses.select("request_id", _rows(F.col("body"), _STRINGS, "questions").alias("rows"), _values(F.col("body"), "questions").alias("values"))
-    q = said.select("request_id", "values", F.posexplode("rows").alias("at", "q")).where("q IS NOT NULL")
+    items = said.select("request_id", F.posexplode(F.arrays_zip("rows", "values")).alias("at", "x"))
+    q = items.select("request_id", "at", F.col("x.rows").alias("q"), F.col("x.values").alias("value")).where("q IS NOT NULL")
     option = lambda o: T.clean_line(F.when(o.startswith("{"), F.coalesce(F.get_json_object(o, "$.text"), F.get_json_object(o, "$.value"), F.get_json_object(o, "$.label"))).otherwise(o))
     options = F.filter(F.transform(F.coalesce("q.options", "q.choices", "q.answers"), option), lambda o: ~T.is_junk(o))
     clean = q.select(
         "request_id", "at", T.clean_line(F.coalesce("q.question", "q.prompt", "q.questionText")).alias("question"), options.alias("o"),
-        _index(F.get("values", F.col("at"))).alias("i"), T.clean_line(F.coalesce("q.correctAnswer", "q.answer")).alias("answer"),
+        _index(F.col("value")).alias("i"), T.clean_line(F.coalesce("q.correctAnswer", "q.answer")).alias("answer"),
         F.coalesce("q.explanation", "q.reason", F.lit(EXPLANATION)).alias("explanation"),
     )
     folded = F.array_distinct(F.transform("o", F.lower))

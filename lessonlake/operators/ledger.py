@@ -13,7 +13,7 @@ POINT_RULES = {"points_per_credit": POINTS_PER_CREDIT, "right_answer": 2, "perfe
 #: The type of a ledger row.
 TYPES = {"award": "EARN_POINTS", "redeem": "REDEEM_POINTS", "use": "USE_AI_CREDIT", "admin": "ADMIN_ADD_CREDITS"}
 #: What an intent may say beside its amount.
-DETAILS = {"request_id": "string", "note": "string", "lesson_no": "int", "selected_line": "string", "question": "string", "tool_used": "string"}
+DETAILS = {"note": "string", "lesson_no": "int", "selected_line": "string", "question": "string", "tool_used": "string"}
 BALANCES = ("credits", "points", "lifetime", "used")
 CHANGES = "reason string, opened int, points_change long, credits_change long, credits long, points long, lifetime long, used long"
 STEP = f"student_key string, at_micros long, event_id long, kind string, {CHANGES}, " + ", ".join(f"{c} {t}" for c, t in DETAILS.items())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonlake.functions import text as T
 from lessonlake.operators import context as C
 from lessonlake.operators import ledger as L
+from lessonlake.operators.ordered import fold
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,6 +19,30 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~missing), rows.where(missing).select("request_id", F.lit("missing field").alias("error"))
 
 
+#: What lies at one place of a student's order, and in which order at one time.
+INTENT, QUIZ, AREA, REQUEST = range(4)
+MEMORY = "lessons array<int>, n_lines int, last_lines array<string>, last_tools array<string>, weak_areas array<string>, quizzes array<long>"
+
+
+class Learner:
+    """A student's state: wallet and memory. Its lists hold as many values as there are lessons or areas, or as a prompt shows."""
+
+    def __init__(self) -> None:
+        self.wallet = L.new_wallet()
+        self.lessons, self.areas, self.lines, self.tools, self.quizzes, self.n_lines = [], [], [], [], [], 0
+
+    def ask(self, lesson: int, line: str, tool: str) -> tuple[str | None, int, dict | None]:
+        """A request: (reason of its rejection, credits left, the memory that its answer sees)."""
+        reason, *_ = L.wallet_step(self.wallet, "use", None)
+        if reason:
+            return reason, self.wallet[0], None
+        if lesson not in self.lessons:
+            self.lessons = [*self.lessons, lesson]
+        self.n_lines += 1
+        self.lines, self.tools = [*self.lines, line][-5:], [*self.tools, tool][-10:]
+        return None, self.wallet[0], {"lessons": self.lessons, "n_lines": self.n_lines, "last_lines": self.lines, "last_tools": self.tools, "weak_areas": self.areas, "quizzes": self.quizzes}
+
+
 def learning_turns(requests: DataFrame, intents: DataFrame, lessons: DataFrame, quizzes: DataFrame, responses: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """requests(request_id, event_id, student_key, student_id, lesson_no, line, tool, question, ts), intents as wallet_steps takes them (what
     students earned and spent elsewhere), lessons as lesson_context takes them, quizzes(student_key, event_id, ts), responses(request_id,
@@ -25,45 +50,47 @@ def learning_turns(requests: DataFrame, intents: DataFrame, lessons: DataFrame,
 
     A credit is used first; without one there is no further effect. The memory that the answer sees has this request in it, and
     counts accepted requests alone. A failed or missing response still costs the credit, and falls back.
+
+    A student's intents, quizzes, attempts and requests pass once, in order, after one shuffle by student; at one time quizzes and attempts
+    come before requests.
     """
     good, bad = split_requests(requests)
-    uses = good.select("student_key", "ts", "event_id", F.lit("use").alias("kind"), F.lit(0.0).alias("amount"), F.col("request_id").cast("string").alias("request_id"))
-    steps = L.wallet_steps(intents.select("student_key", "ts", "event_id", "kind", "amount").unionByName(uses, allowMissingColumns=True))
-    # by the request: other uses may have its event_id
-    paid = good.join(steps.where("request_id IS NOT NULL").select(F.col("request_id").alias("_request"), "reason", F.col("credits").alias("credits_left")), F.col("request_id").cast("string") == F.col("_request")).drop("_request")
-    unpaid = paid.where("reason IS NOT NULL").select("request_id", F.col("reason").alias("error"), "credits_left")
-    turns = paid.where("reason IS NULL").drop("reason")
-
-    so_far = Window.partitionBy("student_key").orderBy("ts", "event_id")
-    first = F.row_number().over(Window.partitionBy("student_key", "lesson_no").orderBy("ts", "event_id")) == 1
-    back = lambda n: so_far.rowsBetween(1 - n, 0)
-    seen = turns.withColumn("first_of_lesson", first).select(
-        "*", F.collect_list(F.when(F.col("first_of_lesson"), F.col("lesson_no"))).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("lessons"),
-        F.row_number().over(so_far).alias("n_lines"), F.collect_list("line").over(back(5)).alias("last_lines"), F.collect_list("tool").over(back(10)).alias("last_tools"),
-    ).drop("first_of_lesson")
-    # the five quizzes before a request, by their number
-    numbered = quizzes.select("student_key", "ts", "event_id", F.row_number().over(so_far).alias("n"))
-    both = seen.select("student_key", "ts", "event_id", "request_id", F.lit(0).alias("quiz")).unionByName(numbered.select("student_key", "ts", "event_id", F.lit(None).cast(dict(seen.dtypes)["request_id"]).alias("request_id"), F.lit(1).alias("quiz")))
-    before = both.withColumn("k", F.sum("quiz").over(so_far)).where("quiz = 0").select("student_key", "request_id", F.explode(F.sequence(F.col("k") - 4, F.col("k"))).alias("n"))
-    recent = before.join(numbered.select("student_key", "n", F.col("event_id").alias("quiz_id")), ["student_key", "n"]).groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "quiz_id")), False), lambda s: s["quiz_id"]).alias("quizzes"))
-
-    if attempts is None:
-        seen = seen.withColumn("weak_areas", F.array().cast("array<string>"))
-    else:  # the areas named before the request, as many as there are areas at most
-        first = attempts.where("area IS NOT NULL").groupBy("student_key", "area").agg(F.min(F.struct("ts", "event_id")).alias("at"))
-        areas = first.groupBy("student_key").agg(F.array_sort(F.collect_list(F.struct("at", "area"))).alias("areas"))
-        before = F.filter("areas", lambda a: (a["at"]["ts"] < F.col("ts")) | ((a["at"]["ts"] == F.col("ts")) & (a["at"]["event_id"] < F.col("event_id"))))
-        seen = seen.join(areas, "student_key", "left").withColumn("weak_areas", F.coalesce(F.transform(before, lambda a: a["area"]), F.array().cast("array<string>"))).drop("areas")
-    around = C.lesson_context(seen.select("request_id", "lesson_no", "line"), lessons)
+    kinds = dict(good.dtypes)
+    own = ("request_id", "lesson_no", "line", "tool", "question")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros")
+
+    def placed(rows: DataFrame, what: int, **said: str) -> DataFrame:
+        more = {"kind": "string", "amount": "double", "area": "string"} | {c: kinds[c] for c in own}
+        return rows.select("student_key", micros, F.col("event_id").cast("long").alias("event_id"), F.lit(what).alias("what"), *[(F.col(said[c]) if c in said else F.lit(None)).cast(t).alias(c) for c, t in more.items()])
+
+    every = placed(intents, INTENT, kind="kind", amount="amount").unionByName(placed(quizzes, QUIZ)).unionByName(placed(good, REQUEST, **{c: c for c in own}))
+    if attempts is not None:
+        every = every.unionByName(placed(attempts.where("area IS NOT NULL"), AREA, area="area"))
+
+    def step(state: Learner, row: tuple) -> list[tuple]:
+        key, at, event, what, kind, amount, area, *asked = row
+        if what == INTENT:
+            L.wallet_step(state.wallet, kind, amount)
+        elif what == QUIZ:
+            state.quizzes = [event, *state.quizzes][:5]
+        elif what == AREA:
+            if area not in state.areas:
+                state.areas = [*state.areas, area]
+        else:
+            request, lesson, line, tool, question = asked
+            return [(key, at, event, *asked, *state.ask(lesson, line, tool))]
+        return []
+
+    columns = ["at_micros", "event_id", "what", "kind", "amount", "area", *own]
+    schema = "student_key string, at_micros long, event_id long, " + ", ".join(f"{c} {kinds[c]}" for c in own) + f", error string, credits_left long, memory struct<{', '.join(x.replace(' ', ':', 1) for x in MEMORY.split(', '))}>"
+    done = fold(every, "student_key", ["at_micros", "event_id", "what"], columns, Learner, step, schema)
+    done = done.withColumn("ts", F.timestamp_micros("at_micros").cast(good.schema["ts"].dataType)).drop("at_micros")
+    paid = done.where("error IS NULL")
+    around = C.lesson_context(paid, lessons, [c for c in paid.columns if c != "request_id"]).drop("preview")
     said = responses.select("request_id", C.assemble_answer(F.col("body"), F.coalesce("ok", F.lit(False))).alias("a")).select("request_id", "a.*")
-    none = F.struct(F.lit(C.NO_TUTOR).alias("answer"), F.lit("fallback").alias("source"))
-    out = seen.join(around, "request_id", "left").join(recent, "request_id", "left").join(said, "request_id", "left")
-    done = out.select(
-        "request_id", "student_key", "lesson_no", "line", "tool", "question", "ts", "event_id", F.lit(None).cast("string").alias("error"), "credits_left", "title", "context",
-        F.struct("lessons", "n_lines", "last_lines", "last_tools", "weak_areas", F.coalesce("quizzes", F.array().cast("array<bigint>")).alias("quizzes")).alias("memory"),
-        F.coalesce("answer", none["answer"]).alias("answer"), F.coalesce("source", none["source"]).alias("source"),
-    )
-    return done.unionByName(unpaid, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
+    out = around.join(said, "request_id", "left").withColumn("answer", F.coalesce("answer", F.lit(C.NO_TUTOR))).withColumn("source", F.coalesce("source", F.lit("fallback")))
+    unpaid = done.where("error IS NOT NULL").select("request_id", "error", "credits_left")
+    return out.unionByName(unpaid, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
 
 
 def turn_events(turns: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lessonlake.functions import text as T
 from lessonlake.operators.activity import student_key
+from lessonlake.sources import store
 
 BOX = "bbox:struct<x:int,y:int,width:int,height:int>"
 PAGE = f"bookId string, pageNumber int, image string, width int, height int, source string, lines array<struct<id:string,lineNumber:int,text:string,cleanText:string,{BOX},confidence:double,source:string,aiReady:boolean>>, aiReadyLines array<struct<id:string,lineNumber:int,text:string,{BOX},confidence:double,source:string>>, rawText string, cleanText string, aiReadyText string"
@@ -61,17 +62,41 @@ def unreadable_word_boxes(spark: SparkSession, path: str) -> DataFrame:
     return _rejects(_parsed(_documents(spark, path), WORD, "["))
 
 
+def page_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The files below path as a stream, a row each as the readers here read them: a run takes only files that its checkpoint hasn't seen."""
+    files = spark.readStream.option("wholetext", True).text(path)
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_replace(F.try_validate_utf8("value"), "^\ufeff", "").alias("body"))
+
+
+def line_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files(file_name, body) -> (lines, rejects, pages) of those named page-N-lines.json: a file that holds no JSON array is rejected; pages
+    (page_no, file_name) are the others, also those of an empty array."""
+    numbered = files.withColumn("page_no", F.regexp_extract("file_name", r"(?i)^page-(\d+)-lines\.json\z", 1)).where("page_no <> ''").withColumn("page_no", F.col("page_no").cast("int"))
+    parsed = _parsed(numbered, LINE, "[")
+    good = parsed.where("error IS NULL")
+    return good.select("page_no", F.posexplode("doc").alias("pos", "l")).select("page_no", "pos", "l.*"), parsed.where("error IS NOT NULL").select("page_no", "file_name", "error"), good.select("page_no", "file_name")
+
+
 def read_line_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, rejects) of files page-N-lines.json: a file that holds no JSON array is rejected."""
-    files = _documents(spark, path).withColumn("page_no", F.regexp_extract("file_name", r"(?i)^page-(\d+)-lines\.json\z", 1)).where("page_no <> ''").withColumn("page_no", F.col("page_no").cast("int"))
-    parsed = files.withColumn("rows", F.when(T.trim(F.col("body")).startswith("["), F.from_json("body", LINE)))
-    return parsed.where("rows IS NOT NULL").select("page_no", F.posexplode("rows").alias("pos", "l")).select("page_no", "pos", "l.*"), parsed.where("rows IS NULL").select("file_name", F.lit("not a JSON array").alias("error"))
+    """(lines, rejects) of files page-N-lines.json."""
+    return line_files(_documents(spark, path))[:2]
 
 
 def read_line_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_no, file_name) of each file that read_line_files reads, also of those with an empty array."""
-    files = _documents(spark, path).withColumn("page_no", F.regexp_extract("file_name", r"(?i)^page-(\d+)-lines\.json\z", 1)).where("page_no <> ''")
-    return _parsed(files, LINE, "[").where("error IS NULL").select(F.col("page_no").cast("int").alias("page_no"), "file_name")
+    """(page_no, file_name) of each file that read_line_files reads."""
+    return line_files(_documents(spark, path))[2]
+
+
+def word_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(file_name, body) -> (words, rejects) of all files, with the page of the file's name."""
+    parsed = _parsed(files, WORD, "[").withColumn("page_no", F.regexp_extract("file_name", r"(\d+)", 1).try_cast("long"))
+    words = parsed.where("error IS NULL").select("page_no", "file_name", F.posexplode("doc").alias("pos", "w"))
+    return words.select("page_no", "file_name", "pos", "w.*"), _rejects(parsed)
+
+
+def import_columns(lines: DataFrame) -> DataFrame:
+    """The lines of line_files in the columns that ocr.normalize_import_lines takes."""
+    return lines.withColumnsRenamed({"lineNumber": "line_number", "cleanText": "clean_text", "aiReady": "ai_ready"})
 
 
 def _lesson_files(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +138,7 @@ def activity_rows(raw: DataFrame) -> DataFrame:
 
 
 def write_ocr_pages(pages: DataFrame, path: str) -> None:
-    """One JSON document a page, non-ASCII kept, in a folder a book; of rows for one page of a book, the one of most lines stays."""
+    """One JSON document a page, non-ASCII kept, in a folder a book; of rows for one page of a book, the one of most lines stays. Stored pages of
+    these numbers are replaced, other pages stay, and other books keep their files."""
     best = F.row_number().over(Window.partitionBy("bookId", "pageNumber").orderBy(F.coalesce(F.size("lines"), F.lit(0)).desc(), F.to_json(F.struct("*"))))
-    pages.withColumn("n_of_page", best).where("n_of_page = 1").drop("n_of_page").write.mode("overwrite").partitionBy("bookId").json(path)
+    store.upsert(pages.withColumn("n_of_page", best).where("n_of_page = 1").drop("n_of_page"), path, ["pageNumber"], ["bookId"], form="json")

@@ -40,7 +40,7 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
 
 
-def upsert(rows: DataFrame, path: str, keys: list[str], by: list[str], replaced: DataFrame | None = None) -> None:
+def upsert(rows: DataFrame, path: str, keys: list[str], by: list[str], replaced: DataFrame | None = None, form: str = "parquet") -> None:
     """Puts rows in the table at path, which is partitioned by the columns by. Stored rows whose keys are in replaced (by default those of
     rows) go. rows must not repeat a key, unless replaced is given: then a key's rows are replaced as a whole."""
     spark, rows = rows.sparkSession, rows.persist()
@@ -50,14 +50,14 @@ def upsert(rows: DataFrame, path: str, keys: list[str], by: list[str], replaced:
         touched = gone.select(*by).distinct()
         there = exists(spark, path)
         if there:
-            old = spark.read.schema(rows.schema).parquet(path)
+            old = spark.read.schema(rows.schema).format(form).load(path)
             first = [r[0] for r in touched.select(by[0]).distinct().limit(FEW_PARTITIONS + 1).collect()]
             if len(first) <= FEW_PARTITIONS:
                 old = old.where(F.col(by[0]).isin(first))
             out = old.join(touched, by, "left_semi").join(gone, list(gone.columns), "left_anti").unionByName(rows)
-        out.repartition(*by).sortWithinPartitions(*by, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        out.repartition(*by).sortWithinPartitions(*by, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(form).save(path)
         if there and replaced is not None:  # partitions that have lost their last row
-            left = spark.read.schema(rows.schema).parquet(path)
+            left = spark.read.schema(rows.schema).format(form).load(path)
             stale = left.join(touched, by, "left_semi").join(gone, list(gone.columns), "left_semi").select(*by).distinct().join(rows.select(*by).distinct(), by, "left_anti")
             for r in stale.collect():  # names of folders
                 delete(spark, "/".join([path, *[f"{c}={r[c]}" for c in by]]))

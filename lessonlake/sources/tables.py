@@ -39,3 +39,9 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def save_table(rows: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     """Writes the entity's table below path; mode append adds to it."""
     conform(rows, name).write.mode(mode).parquet(f"{path}/{name}")
+
+
+def save_clustered(rows: DataFrame, table: str, key: str, buckets: int = 200) -> None:
+    """Writes rows to a table of the catalogue, dealt to buckets by the key, a file a bucket, each sorted by it. Groups, windows and joins by the
+    key then need no shuffle, if the joined tables have as many buckets."""
+    rows.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from lessonlake.operators import activity as G
 from lessonlake.operators import ledger as L
 from lessonlake.operators import ocr as O
-from lessonlake.sources import store
+from lessonlake.sources import readers, store, tables
 from lessonlake.streaming import activity as S
+from lessonlake.streaming import pages as P
 from lessonlake.streaming.sink import UpsertSink
 
 
@@ -150,3 +151,62 @@ print("CREDITS", L.run_wallets(L.wallet_steps(rows)).first().credits)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "CREDITS 4" in done.stdout, done.stderr[-1500:]
+
+
+def test_page_files_are_read_once(spark, tmp_path):
+    for folder in ("lines", "words"):
+        (tmp_path / folder).mkdir()
+    put = lambda name, body: (tmp_path / name).write_text(body)
+    put("lines/page-1-lines.json", '[{"text": "First line", "lineNumber": 1, "bbox": {"x": 1, "y": 1, "width": 5, "height": 5}}]')
+    put("lines/page-2-lines.json", "{}")
+    put("words/page-1.json", '[{"text": "Two", "x": 9, "y": 1, "width": 5, "height": 5}, {"text": "One", "x": 1, "y": 3, "width": 5, "height": 5}]')
+    out = str(tmp_path / "out")
+
+    def run():
+        seen = []
+        for s in (P.import_stream(spark, str(tmp_path / "lines"), out, "A book", str(tmp_path / "c1")), P.word_stream(spark, str(tmp_path / "words"), f"{out}/words", str(tmp_path / "c2"))):
+            q = s.trigger(availableNow=True).start()
+            q.awaitTermination()
+            seen.append(sum(p.numInputRows for p in q.recentProgress))
+        return seen
+
+    assert run() == [2, 1]
+    assert stored(spark, out, "book_lines", "page_no", "text") == [(1, "First line")]
+    assert stored(spark, out, "rejects", "page_no", "error") == [(2, "not a JSON array")]
+    assert stored(spark, out, "words/page_lines", "page_no", "text") == [(1, "One Two")]
+    put("lines/page-3-lines.json", '[{"text": "Third page"}]')
+    assert run() == [1, 0]
+    assert stored(spark, out, "book_lines", "page_no", "text") == [(1, "First line"), (3, "Third page")]
+    assert len(stored(spark, out, "books", "book_id")) == 1
+
+
+def test_page_documents_replace_their_pages(spark, tmp_path):
+    page = lambda *r: spark.createDataFrame([(b, n, [{"id": x}] if x else []) for b, n, x in r], "bookId string, pageNumber int, lines array<struct<id:string>>")
+    path = str(tmp_path / "pages")
+    readers.write_ocr_pages(page(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")), path)
+    readers.write_ocr_pages(page(("a", 2, "new"), ("a", 2, ""), ("a", 3, "w")), path)
+    rows = spark.read.json(path).select("bookId", "pageNumber", F.col("lines")[0]["id"]).collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, "x"), ("a", 2, "new"), ("a", 3, "w"), ("b", 1, "z")]
+
+
+def test_clustered_tables_need_no_shuffle_by_student(spark, tmp_path):
+    kinds = ("lesson_opened", "line_selected", "ai_interaction", "quiz_submitted", "game_finished")
+    rows = spark.range(4000).select(
+        F.concat(F.lit("s"), F.col("id") % 37).alias("student_key"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % 5 + 1).cast("int")).alias("activity_type"), F.timestamp_seconds(F.col("id") * 5000).alias("ts"),
+        F.col("id").alias("event_id"), F.col("id").cast("int").alias("k"), (F.col("id") % 33 + 1).cast("int").alias("lesson_no"), (F.col("id") % 11).alias("score"), F.lit(10).alias("total"), F.lit(2).alias("minutes"),
+    ).withColumn("date_key", F.date_format("ts", "yyyy-MM-dd"))
+    areas = rows.where("activity_type = 'quiz_submitted'").select("student_key", "event_id", "ts", F.when(F.col("k") % 2 == 0, "Grammar").otherwise("General").alias("area"))
+    tables.save_clustered(rows, "clustered_activity", "student_key", 4)
+    tables.save_clustered(areas, "clustered_areas", "student_key", 4)
+    try:
+        def both(a, r):
+            daily = G.daily_study(G.activity_counters(a))
+            return G.student_summary(a.select("student_key").distinct(), daily, a), G.research_summary(a, r)
+
+        for plain, near in zip(both(rows, areas), both(spark.table("clustered_activity"), spark.table("clustered_areas"))):
+            plan = near._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+            assert sorted(map(str, near.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        for t in ("clustered_activity", "clustered_areas"):
+            spark.sql(f"DROP TABLE {t}")
