@@ -145,27 +145,44 @@ def clean_line(c: Column) -> Column:
     return changed(F.coalesce(c, F.lit("")), unclean, chain)
 
 
-def is_junk(c: Column, min_length: int = 2) -> Column:
-    """min_length: 2 for quizzes, 3 for games. The text is cleaned once more, whatever was done to it before."""
+def _again(x: Column) -> Column:
+    """clean_line of a text that it has cleaned before: only marks that stood apart, or a second label, are left to it."""
+    return F.when(_any_of(x, MARKS) | x.rlike(LINE_LABEL), clean_line(x)).otherwise(x)
+
+
+def _junk(cleaned: Column, min_length: int) -> Column:
     junk = JUNK_QUIZ if min_length < 3 else JUNK_GAME
     longest = max(map(len, junk))
-    return let(clean_line(c), lambda x: (F.length(x) < max(min_length, 1)) | ((F.length(x) <= longest) & F.lower(x).isin(*junk)) | ~x.rlike("[A-Za-z]") | x.rlike(r"^(?:[A-Da-d][.)]?|\d+[.)]?|[^\p{L}\p{N}]+)\z"))
+    short = (F.length(cleaned) <= longest) & (F.lower(cleaned).isin(*junk) | cleaned.rlike(r"^[A-Da-d][.)]?\z"))
+    return (F.length(cleaned) < max(min_length, 1)) | short | ~cleaned.rlike("[A-Za-z]")  # without letters are also numbers and signs alone
+
+
+def is_junk(c: Column, min_length: int = 2) -> Column:
+    """min_length: 2 for quizzes, 3 for games. The text is cleaned once more, whatever was done to it before."""
+    return let(clean_line(c), lambda x: _junk(x, min_length))
+
+
+def is_clean_junk(c: Column, min_length: int = 2) -> Column:
+    """is_junk of a result of clean_line, which seldom has to be cleaned once more."""
+    return let(_again(c), lambda x: _junk(x, min_length))
+
 
+def clean_context(c: Column, min_length: int = 2, max_chars: int = 7000, before: bool = False) -> Column:
+    """7000 characters for quizzes, 8000 for games. before: c is made of results of this function, each cut at max_chars, so a line is cleaned
+    again only where it has a second label or an end that was cut, or where the whole has marks, which may reach over lines."""
 
-def clean_context(c: Column, min_length: int = 2, max_chars: int = 7000) -> Column:
-    """7000 characters for quizzes, 8000 for games."""
-    lines = F.transform(F.split(remove_markdown(c), r"\r?\n", -1), clean_line)
-    return F.substring(F.array_join(F.filter(lines, lambda x: (F.length(x) >= 8) & ~is_junk(x, min_length)), "\n"), 1, max_chars)
+    def lines(text: Column, marked: Column | None) -> Column:
+        clean = clean_line if marked is None else lambda x: F.when(marked | x.endswith(" ") | x.rlike(LINE_LABEL), clean_line(x)).otherwise(x)
+        return F.array_join(F.filter(F.transform(F.split(text, r"\r?\n", -1), clean), lambda x: (F.length(x) >= 8) & ~is_clean_junk(x, min_length)), "\n")
+
+    kept = let(c, lambda x: let(_any_of(x, MARKS), lambda marked: lines(remove_markdown(x), marked))) if before else lines(remove_markdown(c), None)
+    return F.substring(kept, 1, max_chars)
 
 
 def split_sentences(c: Column, min_length: int = 20, junk_length: int = 2) -> Column:
     """20 characters for quizzes, 22 for games."""
     parts = F.transform(F.split(replace(c, r"\n+", " "), rf"(?<=[.!?]){WS}+", -1), clean_line)
-    return F.filter(parts, lambda x: (F.length(x) >= min_length) & x.rlike("[A-Za-z]{3,}") & ~is_junk(x, junk_length))
-
-
-def plain_sentences(c: Column) -> Column:
-    return F.filter(F.split(c, rf"(?<=[.!?]){WS}+", -1), lambda x: F.length(trim(x)) > 15)
+    return F.filter(parts, lambda x: (F.length(x) >= min_length) & x.rlike("[A-Za-z]{3,}") & ~is_clean_junk(x, junk_length))
 
 
 def clean_book_text(c: Column) -> Column:

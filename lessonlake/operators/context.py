@@ -34,7 +34,7 @@ def page_context(ready_text: Column, ready_lines: Column, lines: Column, min_len
 def combined_context(selected: Column, page: Column, min_length: int = 2, max_chars: int = 7000) -> Column:
     """Null where the result is under 20 characters."""
     parts = F.filter(F.array(T.clean_context(selected, min_length, max_chars), T.clean_context(page, min_length, max_chars)), lambda x: x != "")
-    return T.let(T.clean_context(F.array_join(parts, "\n"), min_length, max_chars), lambda x: F.when(F.length(x) >= 20, x))
+    return T.let(T.clean_context(F.array_join(parts, "\n"), min_length, max_chars, before=True), lambda x: F.when(F.length(x) >= 20, x))
 
 
 def line_help(requests: DataFrame, helpers: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def validate_quiz(responses: DataFrame, n: int = 5) -> DataFrame:
     items = said.select("request_id", F.posexplode(F.arrays_zip("rows", "values")).alias("at", "x"))
     q = items.select("request_id", "at", F.col("x.rows").alias("q"), F.col("x.values").alias("value")).where("q IS NOT NULL")
     option = lambda o: T.clean_line(F.when(o.startswith("{"), F.coalesce(F.get_json_object(o, "$.text"), F.get_json_object(o, "$.value"), F.get_json_object(o, "$.label"))).otherwise(o))
-    options = F.filter(F.transform(F.coalesce("q.options", "q.choices", "q.answers"), option), lambda o: ~T.is_junk(o))
+    options = F.filter(F.transform(F.coalesce("q.options", "q.choices", "q.answers"), option), lambda o: ~T.is_clean_junk(o))
     clean = q.select(
         "request_id", "at", T.clean_line(F.coalesce("q.question", "q.prompt", "q.questionText")).alias("question"), options.alias("o"),
         _index(F.col("value")).alias("i"), T.clean_line(F.coalesce("q.correctAnswer", "q.answer")).alias("answer"),
@@ -67,7 +67,7 @@ def validate_quiz(responses: DataFrame, n: int = 5) -> DataFrame:
     folded = F.array_distinct(F.transform("o", F.lower))
     unique = F.transform(folded, lambda k: F.element_at(F.filter("o", lambda o: F.lower(o) == k), -1))
     index = F.when((F.col("i") == F.floor("i")) & F.col("i").between(0, 3), F.col("i").cast("int")).otherwise(F.array_position(F.transform("u", F.lower), F.lower("answer")).cast("int") - 1)
-    good = clean.withColumn("u", unique).withColumn("correct_index", index).where((F.size("u") == 4) & ~T.is_junk(F.col("question")) & (F.length("question") >= 10) & F.col("correct_index").between(0, 3))
+    good = clean.withColumn("u", unique).withColumn("correct_index", index).where((F.size("u") == 4) & ~T.is_clean_junk(F.col("question")) & (F.length("question") >= 10) & F.col("correct_index").between(0, 3))
     position = F.row_number().over(Window.partitionBy("request_id").orderBy("at"))
     said = T.clean_line(F.col("explanation"))
     return good.withColumn("position", position).where(F.col("position") <= n).select("request_id", "position", "question", F.col("u").alias("options"), "correct_index", F.when(said == "", EXPLANATION).otherwise(said).alias("explanation"))
@@ -112,7 +112,7 @@ def top_up(valid: DataFrame, fallback: DataFrame, key: str, least: int, n: int,
 def validate_pairs(responses: DataFrame, n: int = 6) -> DataFrame:
     """responses(request_id, body) -> request_id, position, left, right. Greedy: a side used by a kept pair isn't used again."""
     raw = F.transform(_rows(F.col("body"), _PAIR, "pairs"), lambda p: F.struct(T.clean_line(F.coalesce(p["left"], p["prompt"], p["term"], p["first"])).alias("left"), T.clean_line(F.coalesce(p["right"], p["match"], p["meaning"], p["second"])).alias("right")))
-    good = F.filter(raw, lambda p: ~T.is_junk(p["left"], 3) & ~T.is_junk(p["right"], 3) & (F.length(p["left"]) >= 4) & (F.length(p["right"]) >= 4) & (F.lower(p["left"]) != F.lower(p["right"])))
+    good = F.filter(raw, lambda p: ~T.is_clean_junk(p["left"], 3) & ~T.is_clean_junk(p["right"], 3) & (F.length(p["left"]) >= 4) & (F.length(p["right"]) >= 4) & (F.lower(p["left"]) != F.lower(p["right"])))
 
     def add(acc: Column, p: Column) -> Column:
         used = F.exists(acc, lambda k: (F.lower(k["left"]) == F.lower(p["left"])) | (F.lower(k["right"]) == F.lower(p["right"])))
@@ -133,8 +133,12 @@ def fallback_pairs(contexts: DataFrame, n: int = 6) -> DataFrame:
 
         return T.let(F.split(s, rf"{T.WS}+"), cut)
 
-    made = F.transform(T.split_sentences(F.col("context"), 22, 3), pair)
-    good = F.slice(F.filter(made, lambda p: p.isNotNull() & ~T.is_junk(p["left"], 3) & ~T.is_junk(p["right"], 3)), 1, n)
+    def add(acc: Column, s: Column) -> Column:  # sentences beyond the first n pairs aren't cut
+        ok = lambda p: p.isNotNull() & ~T.is_clean_junk(p["left"], 3) & ~T.is_clean_junk(p["right"], 3)
+        return F.when(F.size(acc) >= n, acc).otherwise(T.let(pair(s), lambda p: F.when(ok(p), F.concat(acc, F.array(p))).otherwise(acc))).cast(kind)
+
+    kind = "array<struct<left:string,right:string,explanation:string>>"
+    good = F.aggregate(T.split_sentences(F.col("context"), 22, 3), F.array().cast(kind), add)
     return contexts.select("request_id", F.posexplode(good).alias("at", "p")).select("request_id", "p.*", (F.col("at") + 1).alias("position"))
 
 

@@ -23,9 +23,9 @@ def query(f):
 
 
 def _contexts(spark, d, *variant):
-    """The combined context of each document's first line and the rest, as the reader's page gives it."""
+    """The combined context of each document's first line and the rest, as the reader's page gives it; a null one has no items. A filter here would compute it twice."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    return A.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), C.combined_context(lines[0], F.array_join(F.slice(lines, 2, F.size(lines)), "\n"), *variant).alias("context")).where("context IS NOT NULL")
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), C.combined_context(lines[0], F.array_join(F.slice(lines, 2, F.size(lines)), "\n"), *variant).alias("context"))
 
 
 def _context_sql(least: int = 2, most: int = 7000) -> str:
