@@ -523,3 +523,38 @@ def test_words_of_a_pattern_are_not_taken_for_each_other(spark):
     assert got == {0: 0, 1: 0}
     folded = common.WordHashes(fold=True)(b"AB" * 40 + b" " + b"ab" * 40)[0]
     assert folded[0] == folded[1]
+
+
+PROSE = "<p>This is the first paragraph of the article, with some words, and commas.</p><p>And a second one that goes on for a while, so that it scores.</p>"
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "content-with-sidebar", "post hentry comments-open", "site has-sidebar", "page-with-ads", "legal", "layout sidebar-right"])
+def test_a_wrapper_does_not_empty_a_page(name):
+    want = "This is the first paragraph of the article, with some words, and commas.\nAnd a second one that goes on for a while, so that it scores."
+    assert html_extract.main_text(f'<html><body><div class="{name}">{PROSE}</div></body></html>') == want
+    assert html_extract.main_text(f'<div class="{name}"><article>{PROSE}</article><div class="sidebar">More to read here, all of it good.</div></div>') == want
+
+
+def test_furniture_goes_beside_an_article():
+    main = "<p>Main text of this page, which stays as it is, and is long enough.</p>"
+    for name in ("sidebar", "comments", "post-comments", "widget area", "ads", "legal"):
+        assert html_extract.main_text(f'<body><div>{main}</div><div class="{name}">{PROSE}</div></body>').startswith("Main text") and "second" not in html_extract.main_text(f'<body><div>{main}</div><div class="{name}">{PROSE}</div></body>')
+    assert html_extract.main_text(f'<body><div class="comments">{PROSE}</div></body>') == ""
+
+
+def test_siblings_and_boxes_of_an_article():
+    html = f"<body><div><div>{PROSE}</div><div><p>Short end.</p></div><ul><li>one</li><li>two</li></ul><ul><li><a>more</a></li></ul><div>Copyright 2020 Inc.</div></div></body>"
+    assert html_extract.main_text(html).split("\n")[2:] == ["Short end.", "one", "two"]
+    assert html_extract.main_text(f"<article>{PROSE}<fieldset><p>Inside a fieldset.</p></fieldset><form><fieldset>Name</fieldset></form><dialog>Log in</dialog></article>").split("\n")[2:] == ["Inside a fieldset."]
+    long = "".join(f"<p>Paragraph {i} of the lower part, which is much longer than the part above it, and goes on.</p>" for i in range(30))
+    assert html_extract.main_text(f'<body><div class="story"><div>{PROSE}</div><div>{long}</div></div></body>').startswith("This is the first paragraph")
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    n = 60_000
+    for page in ("<b>" * n + "<p>x" * n, "<b>" * n + "</i>" * n, "<i><p>" + "<b>" * n + "</i>" * n, "<ul><li><ul>" + "<div>" * n + "<li>x</li>" * n, "<div>" * n + "</p>" * n, "<table>" + "<tr><td>x" * n, "<select>" * n + "<p>x" * n):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 15
