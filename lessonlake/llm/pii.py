@@ -33,14 +33,19 @@ LITERAL_EXCEPTIONS = 500
 WIDER = 8
 #: Titles by gender (fixed values).
 TITLES = {
-    "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "Господин", "Κύριος", "Κύριε"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία"),
+    "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος", "Κύριε"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Signora", "Госпожа", "Κυρία"),
     "x": ("Dr", "Prof", "Professor", "Doctor", "Доктор", "Профессор"),
 }
 #: Words before a secret, in any case (fixed values).
 SECRET_WORDS = "(?i:password|passwd|pwd|secret|token|api_key|apikey)"
-NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
+#: What may stand behind a title, and before a surname (fixed values).
+DEGREES = "med|phil|jur|rer|nat|habil|dent"
+PARTICLES = "de la|de los|de|del|della|di|da|dos|van der|van den|van|von der|von|zu|le|la|bin|al"
+NAME = r"(?:\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*|\p{Lu}{2,}(?:[-'’]\p{Lu}{2,})*)"
 TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
+#: One title or several: Frau Prof. Dr. med.
+TITLED = rf"(?:{TITLE})\.? (?:(?:{TITLE}|{DEGREES})\.? )*"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -51,12 +56,12 @@ PATTERNS = {
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
     rf"|(?<={SECRET_WORDS}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']{{0,1}})[A-Za-z0-9+/_-]{{6,}}",
-    "person": rf"(?<!\p{{L}})(?:{TITLE})\.? {NAME}(?: {NAME}){{0,2}}",
+    "person": rf"(?<!\p{{L}}){TITLED}(?:(?:{PARTICLES}) )?{NAME}(?: (?:(?:{PARTICLES}) )?{NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every match of ANY holds one of these, which are found faster: the patterns without their look-arounds, or a part of each match.
 #: A secret's key word stands before the match.
-SIGN = rf"[@\d]|{SECRET_WORDS}[ ]{{0,2}}[=:]|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20}}|[a-f]{{32}}|[A-F]{{32}}|(?:{TITLE})\.? \p{{Lu}}"
+SIGN = rf"[@\d]|{SECRET_WORDS}[ ]{{0,2}}[=:]|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20}}|[a-f]{{32}}|[A-F]{{32}}|(?:{TITLE})\.? \p{{L}}"
 #: Scripts: (first code point, letters) of ranges within which a letter moves (fixed values).
 RANGES = (
     (0x30, 10), (0x61, 26), (0x41, 26), (0xE0, 23), (0xC0, 23), (0xF8, 7), (0xD8, 7), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x3C3, 7),
@@ -75,7 +80,7 @@ def kind_of(mention: Column) -> Column:
     for kind in ("ip", "phone", "ssn", "card", "iban", "hex"):
         # the pattern found the mention among others already, so its look-arounds hold
         out = out.when(mention.rlike(rf"^(?:{PATTERNS[kind]})$"), kind)
-    return out.when(mention.rlike(rf"^(?:{TITLE})\.? "), "person").otherwise("secret")
+    return out.when(mention.rlike(rf"^{TITLED}"), "person").otherwise("secret")
 
 
 def byte_at(digest: Column, i: Column) -> Column:
@@ -177,9 +182,19 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column
     )
 
 
+def words_of(mention: Column) -> Column:
+    """The words of a person's mention behind its titles."""
+    return F.split(F.regexp_replace(mention, rf"^{TITLED}", ""), " ")
+
+
+def is_particle(word: Column) -> Column:
+    return word.rlike(r"^\p{Ll}")
+
+
 def parts_of(mention: Column, kind: Column) -> Column:
-    """The entities of a mention: array<struct<kind, canon>>; a name has one a part, an email one and its domain, any other mention one."""
-    of = lambda g: mention.rlike(rf"^(?:{'|'.join(TITLES[g])})\.? ")
+    """The entities of a mention: array<struct<kind, canon>>; a name has one a part but for its particles, an email one and its domain, any other
+    mention one. Of several titles one with a gender counts."""
+    of = lambda g: mention.rlike(rf"^(?:(?:{TITLE}|{DEGREES})\.? )*?(?:{'|'.join(TITLES[g])})\.? ")
     gender = F.when(of("m"), "given m").when(of("f"), "given f").otherwise("given x")
 
     def names(words: Column) -> Column:
@@ -191,7 +206,7 @@ def parts_of(mention: Column, kind: Column) -> Column:
     )
     entity = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
     mail = F.array(entity(kind, F.lower(mention)), entity(F.lit("domain"), F.lower(F.substring_index(mention, "@", -1))))
-    person = _let(F.split(F.regexp_replace(mention, rf"^(?:{TITLE})\.? ", ""), " "), names)
+    person = _let(F.filter(words_of(mention), lambda w: ~is_particle(w)), names)
     return F.when(kind == "person", person).when(kind == "email", mail).otherwise(F.array(entity(kind, canon)))
 
 
@@ -223,8 +238,21 @@ def replaced(key: str, mention: Column, attempts) -> Column:
 
     def joined(k: Column) -> Column:
         new = F.transform(parts_of(mention, k), lambda p: surrogate(key, F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), attempts(p["kind"], p["canon"]).alias("attempt"))))
-        title = F.regexp_extract(mention, rf"^(?:{TITLE})\.? ", 0)
-        return _let(new, lambda n: F.when(k == "person", F.concat(title, F.array_join(F.transform(n, F.initcap), " "))).otherwise(_let(F.when(k == "email", F.concat(F.substring_index(F.get(n, F.lit(0)), "@", 1), F.lit("@"), F.get(n, F.lit(1)))).otherwise(F.get(n, F.lit(0))), lambda x: F.when(k == "ip", x).otherwise(written_like(mention, x)))))
+        title = F.regexp_extract(mention, rf"^{TITLED}", 0)
+
+        def named(new: Column) -> Column:
+            """The words with their surrogates, and particles as they are. A surname keeps its format; a given name is of another length."""
+            def add(acc: Column, w: Column) -> Column:
+                x = F.get(new, acc["n"])
+                case = F.when(w.rlike(r"^\p{Lu}{2}"), F.upper(x)).otherwise(F.initcap(x))
+                put = F.when(acc["n"] == F.size(new) - 1, written_like(w, x)).otherwise(case)
+                at = acc["n"] + F.when(is_particle(w), 0).otherwise(1)
+                return F.struct(at.alias("n"), F.concat(acc["out"], F.array(F.when(is_particle(w), w).otherwise(put))).alias("out"))
+
+            words = F.aggregate(words_of(mention), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")), add)["out"]
+            return F.concat(title, F.array_join(words, " "))
+
+        return _let(new, lambda n: F.when(k == "person", named(n)).otherwise(_let(F.when(k == "email", F.concat(F.substring_index(F.get(n, F.lit(0)), "@", 1), F.lit("@"), F.get(n, F.lit(1)))).otherwise(F.get(n, F.lit(0))), lambda x: F.when(k == "ip", x).otherwise(written_like(mention, x)))))
 
     return _let(kind_of(mention), joined)
 

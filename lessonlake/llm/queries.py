@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,19 @@ from lessonlake.llm.common import table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-#: The session's setting that holds the owner's key for surrogates; without it the results of tests are repeatable, and no secret.
+#: The session's setting that holds the owner's key for surrogates.
 PII_KEY = "spark.lessonlake.pii.key"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The owner's key; a session without one gets a random one, so no surrogate is made with a key that others know."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(PII_KEY, key)
+    return key
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.quality_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -56,7 +66,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, "not a secret"))
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:

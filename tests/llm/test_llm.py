@@ -558,3 +558,22 @@ def test_long_pages_take_time_in_proportion():
         began = time.process_time()
         html_extract.main_text(page)
         assert time.process_time() - began < 15
+
+
+def test_names_of_many_forms(spark):
+    said = ["Frau Prof. Müller", "Dr. med. Anna Weber", "Sr. García", "Mr SMITH", "Señora Ana María de la Cruz", "Mrs Jones-Lee", "Herr Dr. von der Heide", "Frau Müller", "Mr Van", "Herr Müller came"]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame([*enumerate(said)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for word in ("Müller", "Weber", "Anna", "García", "SMITH", "Ana", "María", "Cruz", "Jones", "Lee", "Heide"):
+        assert not any(re.search(rf"\\b{word}\\b", x) for x in out), (word, out)
+    assert [re.match(r"(Frau Prof\. |Dr\. med\. |Sr\. |Mr |Señora |Mrs |Herr Dr\. |Frau |Herr )", x)[0] for x in out] == ["Frau Prof. ", "Dr. med. ", "Sr. ", "Mr ", "Señora ", "Mrs ", "Herr Dr. ", "Frau ", "Mr ", "Herr "]
+    assert re.fullmatch(r"Mr [A-Z]{5}", out[3]) and re.fullmatch(r"Señora \S+ \S+ de la \S+", out[4]) and re.fullmatch(r"Mrs [A-Z][a-z]{4}-[A-Z][a-z]{2}", out[5]) and " von der " in out[6]
+    assert out[0].split()[-1] == out[7].split()[-1] == out[9].split()[1]  # one surname
+
+
+def test_a_session_without_a_key_gets_a_random_one(spark):
+    spark.conf.unset(Q.PII_KEY)
+    first = Q.pii_key(spark)
+    assert len(first) == 64 and Q.pii_key(spark) == first
+    spark.conf.unset(Q.PII_KEY)
+    assert Q.pii_key(spark) != first
+    spark.conf.unset(Q.PII_KEY)
