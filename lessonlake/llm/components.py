@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from lessonlake.llm.common import Tables, materialise
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) of longs -> (node, root): for each node of an edge, the smallest node that it reaches.
+def components(edges: DataFrame, kept: Tables | None = None) -> DataFrame:
+    """edges(a, b) of longs -> (node, root): for each node of an edge, the smallest node that it reaches. The result is a table of kept, which
+    deletes it with its own.
 
     Each round hooks every root to its smallest neighbour where that is smaller, shortens the paths by pointer
     jumping and contracts the edges; at least half of the roots that have an edge go in a round. Every step is a join or
     an aggregation with a row a node or edge; lineage is cut by written tables.
     """
     with Tables(edges.sparkSession) as tables:
-        write, drop = tables.write, tables.drop
+        write, drop, last = tables.write, tables.drop, kept.write if kept else materialise
         edges = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         labels = None
         while not edges.isEmpty():
@@ -40,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
             before, edges = edges, write(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
             drop(before)
         if labels is None:
-            return materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
+            return last(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
         roots = labels.select(F.col("root").alias("node"), "root").distinct()
-        return materialise(labels.union(roots).groupBy("node").agg(F.min("root").alias("root")))
+        return last(labels.union(roots).groupBy("node").agg(F.min("root").alias("root")))

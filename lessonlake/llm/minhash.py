@@ -184,8 +184,8 @@ def verified(documents: DataFrame, pairs: DataFrame, shingle: int, tables: Table
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """documents(doc_id, text) -> RESULT: a row for each row of documents."""
+def near_duplicates(documents: DataFrame, shingle: int = 5, kept: Tables | None = None) -> DataFrame:
+    """documents(doc_id, text) -> RESULT: a row for each row of documents. The result is a table of kept, if that is given."""
     with Tables(documents.sparkSession) as tables:
         write, drop = tables.write, tables.drop
         sets = write(document_sets(documents, shingle))
@@ -195,7 +195,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
         found = write(bucket_pairs(buckets.repartition("key").sortWithinPartitions("key", "doc_id")))
         met = write(found.where("a <> b").select("a", "b").distinct())
         links = write(verified(documents, met, shingle, tables))
-        roots = components(links)
+        roots = components(links, tables)
         wide = write(found.where("more").select("key").distinct())
         drop(found)
         if not wide.isEmpty():
@@ -207,13 +207,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
             more = write(across(only_keys(named, "key", several), tables).join(met, ["a", "b"], "left_anti"))
             drop(named)
             if not more.isEmpty():
-                roots = components(links.union(verified(documents, more, shingle, tables)))
+                roots = components(links.union(verified(documents, more, shingle, tables)), tables)
         members = used.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
         named = (
             used.select("doc_id", "s1", "s2").distinct().join(members, ["s1", "s2"])
             .join(roots.withColumnRenamed("node", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("component_id"))
         )
-        return materialise(
+        last = kept.write if kept else materialise
+        return last(
             sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -223,7 +224,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5) -> DataFrame:
 def dedup_documents(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents, all columns, of which one stays for each group of near copies: the one of smallest doc_id."""
     gone = fresh(documents, "gone")
-    lost = materialise(near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct())
+    with Tables(documents.sparkSession) as tables:
+        lost = materialise(near_duplicates(documents, shingle, tables).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct())
     may, rest = split_by_keys(documents, "doc_id", lost)
     kept = may.join(lost, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     return kept if rest is None else kept.union(rest)

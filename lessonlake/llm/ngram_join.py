@@ -221,7 +221,7 @@ def ngram_join(documents: DataFrame, shingle: int = 4) -> DataFrame:
         found = write(bucket_pairs(at_tokens.select(*ROWS).union(in_groups.select(*ROWS))))
         met = write(found.where("NOT more AND a <> b").select("a", "b").distinct())
         links = write(verified(documents, write(allowed(met, units)), shingle, tables))
-        roots = components(links)
+        roots = components(links, tables)
 
         # buckets that may have other pairs: of three or more, or of a group that has other members
         wide = found.where("more").select("key")
@@ -240,7 +240,7 @@ def ngram_join(documents: DataFrame, shingle: int = 4) -> DataFrame:
                 open_rows = only_keys(named, "key", mixed_keys).join(units.select("doc_id", "parity"), "doc_id").select(*ROWS, "root", "parity")
                 more = write(across(write(open_rows), tables).join(met, ["a", "b"], "left_anti"))
                 if not more.isEmpty():
-                    roots = components(links.union(verified(documents, more, shingle, tables)))
+                    roots = components(links.union(verified(documents, more, shingle, tables)), tables)
         copies = only_keys(used, "t1", classes.select("t1")).join(classes, ["t1", "t2"]).where("doc_id <> first").select("doc_id", "first")
         last = roots.withColumnRenamed("node", "first")
         by_copy = copies.join(last, "first", "left").select("doc_id", F.coalesce("root", "first").alias("root"))

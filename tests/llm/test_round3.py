@@ -4,13 +4,14 @@ import hashlib
 import os
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from lessonlake.llm import align, ngram_join, spelling
+from lessonlake.llm import align, common, minhash, ngram_join, spelling
 from lessonlake.llm import queries as Q
 from tests.llm.test_llm import SF, empty, needs_tables, odd
 
@@ -211,3 +212,25 @@ def test_odd_rows_of_the_new_operators(spark):
 @needs_tables
 def test_new_operators_are_registered():
     assert {"op11_align", "op12_ngram_join", "op13_spelling"} <= set(Q.queries())
+
+
+@pytest.mark.parametrize("shingle", [2, 5])
+def test_near_copies_are_found(spark, shingle):
+    """Near-dedup of the pipeline and of op9: every link between families of copies, by brute force."""
+    docs = families(11)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle).collect()
+    want = {d: root for d, _, root in linked_by_hand(docs, shingle, 80)}
+    merged = [d for d, root in want.items() if d != root]
+    assert len(merged) > 60 and sum(not r.kept for r in got if r.doc_id in merged) >= 0.9 * len(merged)
+    assert {r.doc_id: r.component_id for r in got} == want
+    kept = minhash.dedup_documents(spark.createDataFrame(docs, "doc_id long, text string"), shingle)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, root in want.items() if d == root)
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    docs = spark.createDataFrame(families(2)[:60], "doc_id long, text string")
+    for f in (ngram_join.ngram_join, minhash.near_duplicates, spelling.spelling_variants, minhash.dedup_documents):
+        before = len(os.listdir(tmp_path))
+        f(docs).count()
+        assert len(os.listdir(tmp_path)) == before + 1, f  # the result itself
