@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lessonlake.llm import align, common, minhash, ngram_join, spelling
+from lessonlake.llm import align, common, minhash, ngram_join, quality_gam, spelling
 from lessonlake.llm import queries as Q
 from tests.llm.test_llm import SF, empty, needs_tables, odd
 
@@ -234,3 +234,26 @@ def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
         before = len(os.listdir(tmp_path))
         f(docs).count()
         assert len(os.listdir(tmp_path)) == before + 1, f  # the result itself
+
+
+@needs_tables
+def test_scores_against_a_plain_additive_scorer(spark):
+    """Row by row: bins by counting the edges below, entries added one by one."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_gam.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(-1, None), (-2, ""), (None, "a b c")]
+    got = quality_gam.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == len(rows)
+    want = []
+    for doc, text in rows:
+        x = quality_gam.text_features(text)
+        bins = [sum(edge < value for edge in edges) for value, edges in zip(x, model.edges)]
+        total = model.bias + sum(table[b] for b, table in zip(bins, model.main))
+        for i, j, table in model.pairs:
+            cell = [bins[k] * quality_gam.PAIR_BINS // len(model.main[k]) for k in (i, j)]
+            total += table[cell[0] * quality_gam.PAIR_BINS + cell[1]]
+        want.append((doc, doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1, 1 / (1 + np.exp(-min(max(total, -30), 30)))))
+    key = lambda r: (str(r[0]), r[2])
+    for a, b in zip(sorted(((r.doc_id, r.held_out, r.score) for r in got), key=key), sorted(want, key=key)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
+    assert all(r.predicted == (r.score >= 0.5) for r in got) and model.pairs and any(t.any() for t in model.main)
