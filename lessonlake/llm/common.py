@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 2 << 20
 #: Keys that are broadcast themselves; for more, a Bloom filter is.
 FEW_KEYS = 20_000
+#: Rows that a join's key may have before they are dealt to parts.
+HOT_ROWS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,9 +37,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, or a longer one that none of df's columns has (in any case)."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """name, or a longer one that none of the columns of df and others has (in any case)."""
+    taken = {c.lower() for t in (df, *others) for c in t.columns}
     while name.lower() in taken:
         name += "_"
     return name
@@ -258,3 +260,25 @@ def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame
 
 def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return split_by_keys(rows, key, keys)[0]
+
+
+def dealt_join(rows: DataFrame, others: DataFrame, on: list[str], sizes: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows.join(others, on, how), how being inner or left, where one key may hold a third of rows. sizes(*on, k), a written table: at least
+    how many rows a key has; keys that it leaves out have few.
+
+    Keys with more than a share of all rows are dealt to parts by the columns by: a row goes to one part, those of others to each of them.
+    No more than FEW_KEYS keys can have so many, so the table of these is broadcast, and they have at most 2 * FEW_KEYS parts together.
+    """
+    total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, -(-total // FEW_KEYS))
+    at, parts, part = (fresh(rows, c, others) for c in ("hot_key", "parts", "part"))
+    hot = sizes.where(F.col("k") > limit).groupBy(F.xxhash64(*on).alias(at)).agg(F.max(F.ceil(F.col("k") / limit)).cast("int").alias(parts))
+    if hot.isEmpty():
+        return rows.join(others, on, how)
+
+    def placed(side: DataFrame, place: Column) -> DataFrame:
+        return side.withColumn(at, F.xxhash64(*on)).join(F.broadcast(hot), at, "left").withColumn(part, place).drop(at, parts)
+
+    one = placed(rows, F.coalesce(F.pmod(F.xxhash64(*by), F.col(parts)), F.lit(0)).cast("int"))
+    every = placed(others, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1)))
+    return one.join(every, [*on, part], how).drop(part)

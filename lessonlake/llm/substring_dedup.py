@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import Tables, WordHashes, joined_texts, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import Tables, WordHashes, dealt_join, joined_texts, materialise, mixed, only_keys, split_by_keys
 
 WINDOW = 20
 GRAM = 5
@@ -211,11 +211,12 @@ def single_windows(strings: DataFrame) -> DataFrame:
     return strings.mapInArrow(run, "w binary, p1 long, p2 long, off int, doc_id long, start int")
 
 
-def window_firsts(strings: DataFrame) -> DataFrame:
+def window_firsts(strings: DataFrame, tables: Tables) -> DataFrame:
     """What bucket_firsts gives, a row a window, for strings of any number that share a window: no task holds a window's rows."""
     cut = single_windows(strings)
-    firsts = cut.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    return cut.select("w", "p1", "p2", "off").join(firsts, "w").select("p1", "p2", "off", F.array("first.doc_id").alias("docs"), F.array("first.start").alias("starts"))
+    firsts = tables.write(cut.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("k")).where("k > 1"))
+    named = dealt_join(cut, firsts.drop("k"), ["w"], firsts, ["p1", "p2", "off"], "left")
+    return named.select("p1", "p2", "off", F.array(F.coalesce("first.doc_id", "doc_id")).alias("docs"), F.array(F.coalesce("first.start", "start")).alias("starts"))
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -241,23 +242,25 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         write, drop = tables.write, tables.drop
         sketch = write(sketches(documents))
         texts = sketch.where(f"n_words >= {WINDOW}")
-        firsts = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
-        copies = write(texts.select("doc_id", "t1", "t2").join(firsts, ["t1", "t2"]).where("doc_id <> first").select("doc_id").distinct())
+        firsts = write(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1"))
+        copies = write(dealt_join(texts.select("doc_id", "t1", "t2"), firsts.drop("k"), ["t1", "t2"], firsts, ["doc_id"]).where("doc_id <> first").select("doc_id").distinct())
+        drop(firsts)
         own = (
             texts.select("doc_id", F.arrays_zip("minis", "twice").alias("x")).join(copies, "doc_id", "left_anti")
             .select("doc_id", F.posexplode("x").alias("k", "x")).select("doc_id", "k", F.col("x.minis").alias("mini"), F.col("x.twice").alias("twice"))
         )
-        again = write(own.groupBy("mini").agg((F.count("*") + F.count_if("twice")).alias("n")).where("n > 1").select("mini"))
-        chosen = only_keys(own, "mini", again).join(again, "mini").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+        again = write(own.groupBy("mini").agg((F.count("*") + F.count_if("twice")).alias("k")).where("k > 1"))
+        chosen = dealt_join(only_keys(own.drop("twice"), "mini", again.select("mini")), again.select("mini"), ["mini"], again, ["doc_id", "k"]).groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
         moved = write(travelling(documents, chosen))
         drop(sketch, again)
         first = F.struct("doc_id", "start")
-        strings = write(moved.groupBy("mini", "p1", "p2", "n", "packed").agg(F.min(first).alias("first")).select("mini", "p1", "p2", "n", F.lit(0).alias("off"), "first.doc_id", "first.start", "packed"))
+        strings = write(moved.groupBy("mini", "p1", "p2", "n", "packed").agg(F.min(first).alias("first"), F.count("*").alias("k")).select("mini", "p1", "p2", "n", "k", F.lit(0).alias("off"), "first.doc_id", "first.start", "packed"))
         wide = write(strings.groupBy("mini").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_WINDOWS).select("mini"))
         known = bucket_firsts(strings.join(wide, "mini", "left_anti").repartition("mini").sortWithinPartitions("mini"))
         if not wide.isEmpty():
-            known = known.unionByName(window_firsts(strings.join(wide, "mini", "left_semi")))
-        spans = moved.select("p1", "p2", "doc_id", "start").join(known, ["p1", "p2"]).select("doc_id", "start", "off", "docs", "starts").mapInArrow(ranges, "doc_id long, a int, b int")
+            known = known.unionByName(window_firsts(strings.join(wide, "mini", "left_semi"), tables))
+        places = moved.select("p1", "p2", "doc_id", "start")
+        spans = dealt_join(places, known, ["p1", "p2"], strings.select("p1", "p2", "k"), ["doc_id", "start"]).select("doc_id", "start", "off", "docs", "starts").mapInArrow(ranges, "doc_id long, a int, b int")
         whole = copies.select("doc_id", F.lit(0).alias("a"), F.lit(-1).alias("b"))
         return materialise(spans.union(whole).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
