@@ -6,7 +6,7 @@ windows are marked. Documents or just the marked spans can be removed.
 
 The set is broadcast once, while the benchmark's texts take at most BLOCK_BYTES; each Python worker builds it once. Beyond
 that, windows meet by hash: documents give those that a bounded Bloom filter of the benchmark's may hold, with their words, to a
-join that is exact. Both ways give the same rows.
+join that is exact; a window or a text that many documents have is dealt to parts. Both ways give the same rows.
 
 Defined results: null or empty texts have no words and are never contaminated; an item without words has no
 window; repeated items count once in n_items; repeated documents are scanned one by one; an empty
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lessonlake.llm.common import fresh, materialise, mixed
+from lessonlake.llm.common import Tables, dealt_join, fresh, materialise, mixed, split_by_keys
 from lessonlake.llm.url_filter import bloom, may_hold
 
 WINDOW = 13
@@ -138,6 +138,11 @@ def _window_hashes(words: list[bytes], n: int, mix: np.ndarray) -> np.ndarray:
 
 def _joined_hits(documents: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """scan() for a benchmark of any size. Equal texts have equal hits, so a text is known by its SHA-256."""
+    with Tables(documents.sparkSession) as tables:
+        return _hits_by_join(documents, items, window, tables)
+
+
+def _hits_by_join(documents: DataFrame, items: DataFrame, window: int, tables: Tables) -> DataFrame:
     mix = np.random.default_rng(13).integers(0, 1 << 63, window, dtype=np.uint64) | np.uint64(1)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def _joined_hits(documents: DataFrame, items: DataFrame, window: int) -> DataFra
                     out += [(h, n, b" ".join(words[i : i + n]), item) for i, h in enumerate(_window_hashes(words, n, mix).view(np.int64).tolist())]
             yield _batch(out, ("h", "n", "w", "item"), (pa.int64(), pa.int32(), pa.binary(), pa.string()))
 
-    wanted = materialise(items.mapInArrow(windows, "h long, n int, w binary, item string").distinct())
+    wanted = tables.write(items.mapInArrow(windows, "h long, n int, w binary, item string").distinct())
     sizes = [r.n for r in wanted.select("n").distinct().collect()]  # at most window numbers
     bits = bloom(wanted.select("h").distinct(), wanted.count())
     shared = documents.sparkSession.sparkContext.broadcast(bits)
@@ -167,13 +172,22 @@ def _joined_hits(documents: DataFrame, items: DataFrame, window: int) -> DataFra
                         out += [(key, h[i], n, i, b" ".join(words[i : i + n])) for i in maybe.tolist()]
             yield _batch(out, ("key", "h", "n", "at", "w"), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
 
-    at, who, key = fresh(documents, "hits"), fresh(documents, "hit_items"), fresh(documents, "text_key")
+    at, who, key, short = (fresh(documents, c) for c in ("hits", "hit_items", "text_key", "text_hash"))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     found = documents.select(sha.alias("key"), "text").mapInArrow(probe, "key string, h long, n int, at int, w binary")
-    hits = found.join(wanted, ["h", "n", "w"]).groupBy("key").agg(F.sort_array(F.collect_set(F.expr("CAST(at AS BIGINT) * 64 + n"))).alias(at), F.sort_array(F.collect_set("item")).alias(who))
-    hits = materialise(hits.withColumnRenamed("key", key))
+    found = tables.write(found.distinct())
+    sizes = tables.write(found.groupBy("h", "n", "w").agg(F.count("*").alias("k")).where("k > 1"))
+    hits = dealt_join(found, wanted, ["h", "n", "w"], sizes, ["key", "at"])
+    hits = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.expr("CAST(at AS BIGINT) * 64 + n"))).alias(at), F.sort_array(F.collect_set("item")).alias(who))
+    hits = materialise(hits.withColumnRenamed("key", key).withColumn(short, F.xxhash64(key)))
+    # texts without hits, empty ones among them, don't travel
+    may, rest = split_by_keys(documents.withColumns({key: sha, short: F.xxhash64(sha)}), short, hits.select(short))
+    sizes = materialise(may.groupBy(key).agg(F.count("*").alias("k")).where("k > 1"))
+    out = dealt_join(may.drop(short), hits.drop(short), [key], sizes, ["doc_id"], "left")
+    if rest is not None:
+        out = out.unionByName(rest.drop(short).withColumns({at: F.lit(None).cast("array<long>"), who: F.lit(None).cast("array<string>")}))
     none = {at: F.coalesce(at, F.array().cast("array<long>")), who: F.coalesce(who, F.array().cast("array<string>"))}
-    return documents.join(hits, sha == F.col(key), "left").drop(key).withColumns(none).select(*documents.columns, at, who)
+    return out.withColumns(none).select(*documents.columns, at, who)
 
 
 def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
