@@ -5,7 +5,7 @@ A document's set are the distinct shingles of its words (A-Z lower-cased). One p
 signature is the least pi[(sigma + k) mod 2^20], so two permutations give all coordinates, each a circular shift of the other.
 40 bands of 6 coordinates are candidates' keys: a pair at 0.8 is missed with a chance of 5e-6, a better one with less.
 
-Equal sets form a class, stood for by its smallest doc_id. In each bucket a class is first paired with its NEAREST earlier ones of
+Documents of equal words, by a 128-bit cryptographic hash of them, form a class, stood for by its smallest doc_id. In each bucket a class is first paired with its NEAREST earlier ones of
 fitting size (at most LOOK_BACK rows before it); pairs are verified on the words of both texts, and verified links joined to components. Buckets that then still
 hold several components have all pairs across components verified, but for those that a 1024-bit parity map of the shingles
 rules out: the maps of two sets differ in no more bits than the sets differ in shingles. So no link between different components
@@ -18,6 +18,7 @@ Other columns may have any name.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import FEW_KEYS, Hashes, Tables, fresh, groups, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import FEW_KEYS, Hashes, Tables, dealt_join, fresh, groups, materialise, mixed, only_keys, split_by_keys
 from lessonlake.llm.components import components
 
 PLACES = 1 << 20
@@ -41,7 +42,7 @@ CHUNK_ROWS = 100_000
 PART_ROWS = 2000
 SEED = 5
 PARITY_BITS = 1024
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, parity array<long>"
+SETS = "doc_id long, n_shingles long, t1 long, t2 long, bands array<long>, parity array<long>"
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 
 
@@ -80,24 +81,24 @@ class Circulant:
 
 
 def document_sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """SETS. s1, s2: 128 bits that stand for the set."""
+    """SETS. t1, t2 stand for the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, lsh = Hashes(), Circulant()
         for b in batches:
-            n, s1, s2, bands, parity = [], [], [], [], []
+            n, same, bands, parity = [], [], [], []
             for text in b.column("text").to_pylist():
                 words = (text or "").encode("utf-8", "replace").lower().split()
                 x = shingle_hashes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), shingle)
                 n.append(len(x))
-                s1.append(int(x.sum(dtype=np.uint64).view(np.int64)))
-                s2.append(int(mixed(x + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
+                same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 bands.append(lsh.keys(x) if len(x) else np.zeros(0, np.int64))
                 odd = np.bincount((x & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
                 parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            pairs = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), keys, pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "bands", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), keys, pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "t1", "t2", "bands", "parity"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
@@ -190,7 +191,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, kept: Tables | None
         write, drop = tables.write, tables.drop
         sets = write(document_sets(documents, shingle))
         used = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = used.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "parity"), "doc_id").alias("c")).select("c.*")
+        classes = used.groupBy("t1", "t2").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "parity"), "doc_id").alias("c")).select("c.*")
         buckets = classes.select("doc_id", "n", F.explode("bands").alias("key"))
         found = write(bucket_pairs(buckets.repartition("key").sortWithinPartitions("key", "doc_id")))
         met = write(found.where("a <> b").select("a", "b").distinct())
@@ -208,11 +209,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, kept: Tables | None
             drop(named)
             if not more.isEmpty():
                 roots = components(links.union(verified(documents, more, shingle, tables)), tables)
-        members = used.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
-        named = (
-            used.select("doc_id", "s1", "s2").distinct().join(members, ["s1", "s2"])
-            .join(roots.withColumnRenamed("node", "first"), "first", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("component_id"))
+        members = write(
+            used.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k"))
+            .join(roots.withColumnRenamed("node", "first"), "first", "left").select("t1", "t2", "k", F.coalesce("root", "first").alias("root"))
         )
+        named = dealt_join(used.select("doc_id", "t1", "t2").distinct(), members.drop("k"), ["t1", "t2"], members, ["doc_id"]).groupBy("doc_id").agg(F.min("root").alias("component_id"))
         last = kept.write if kept else materialise
         return last(
             sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
