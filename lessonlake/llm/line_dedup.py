@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm.common import FEW_KEYS, Tables, WordHashes, fresh, groups, joined_texts, materialise, mixed, only_keys, split_by_keys
+from lessonlake.llm.common import FEW_KEYS, Tables, WordHashes, dealt_join, fresh, groups, joined_texts, materialise, mixed, only_keys, split_by_keys
 from lessonlake.llm.url_filter import bloom, may_hold
 
 #: Bits of the number of cells: at least, at most.
@@ -301,9 +301,9 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         write, drop = tables.write, tables.drop
         lines = write(line_sets(documents, token_counts(documents)))
         apart = lines.where("NOT again").drop("again")
-        firsts = write(apart.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
+        firsts = write(apart.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1"))
         may, rest = split_by_keys(apart, "s1", firsts.select("s1"))
-        named = may.join(firsts, ["s1", "s2"], "left")
+        named = dealt_join(may, firsts.drop("k"), ["s1", "s2"], firsts, ["doc_id", "line"], "left")
         classes = named.where("first IS NULL OR doc_id = first").select(*CLASS)
         classes = write(classes if rest is None else classes.union(rest.select(*CLASS)))
         copies = write(lines.where("again").select("doc_id", "line").union(named.where("doc_id <> first").select("doc_id", "line")))
