@@ -142,6 +142,7 @@ def test_wide_buckets_of_substrings(spark, monkeypatch):
     """A passage in many documents with other neighbours: no bucket that a task holds is wider than the bound, and results stay."""
     monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 60)
     monkeypatch.setattr(substring_dedup, "RUN", 16)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     held, inner = [], substring_dedup.bucket_firsts
     monkeypatch.setattr(substring_dedup, "bucket_firsts", lambda strings: held.append(strings.groupBy("mini").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]) or inner(strings))
     rng = random.Random(3)
@@ -161,7 +162,7 @@ def test_wide_buckets_of_substrings(spark, monkeypatch):
     assert held and (held[0] or 0) <= 60
 
 
-def test_benchmark_windows_by_broadcast_and_by_join(spark):
+def test_benchmark_windows_by_broadcast_and_by_join(spark, monkeypatch):
     rng = random.Random(2)
     words = lambda n: [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)]
     items = [words(n) for n in (0, 1, 5, 13, 20, 40)]
@@ -179,7 +180,8 @@ def test_benchmark_windows_by_broadcast_and_by_join(spark):
                         hit |= set(range(at, at + n))
                         who.add(f"i{i}")
         want += [(d, len(x), len(hit), sorted(who), bool(hit) and 20 * len(hit) >= len(x))] * 2
-    for bound in (decontaminate.BLOCK_BYTES, 10):
+    for bound, hot in ((decontaminate.BLOCK_BYTES, 10), (10, 10_000), (10, 1)):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         found = decontaminate.scan(table, benchmark, block_bytes=bound)
         assert found.columns[:4] == table.columns
         got = sorted((r.doc_id, len(docs[r.doc_id]), int(decontaminate.covered(len(docs[r.doc_id]), r[4]).sum()), r[5]) for r in found.collect())

@@ -10,8 +10,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lessonlake.llm import align, common, minhash, ngram_join, quality_gam, spelling
+from lessonlake.llm import align, common, line_dedup, minhash, ngram_join, quality_gam, spelling
 from lessonlake.llm import queries as Q
 from tests.llm.test_llm import SF, empty, needs_tables, odd
 
@@ -257,3 +258,39 @@ def test_scores_against_a_plain_additive_scorer(spark):
     for a, b in zip(sorted(((r.doc_id, r.held_out, r.score) for r in got), key=key), sorted(want, key=key)):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
     assert all(r.predicted == (r.score >= 0.5) for r in got) and model.pairs and any(t.any() for t in model.main)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_dealt(spark, monkeypatch, how):
+    """The rows of a plain join; a key with most rows is in several parts, each with few."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}", i % 5) for i in range(300)] + [(300, None, 1), (301, "alone", 1)], "doc_id long, key string, part int")
+    others = spark.createDataFrame([("hot", 1.0), ("hot", 2.0), ("k1", 3.0), ("none", 4.0)], "key string, hot_key double")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    got, want = common.dealt_join(rows, others, ["key"], sizes, ["doc_id"], how), rows.join(others, "key", how)
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert "ceil" in got._jdf.queryExecution().optimizedPlan().toString().lower()  # parts, not the plain join
+    assert common.dealt_join(rows, others, ["key"], sizes.where("false"), ["doc_id"], how).count() == want.count()
+
+
+def test_copies_and_sets_of_many_documents(spark, monkeypatch):
+    """Copies of one text are named in parts; texts of other words with the same set are linked by the comparison of their words."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    text = "a b c a d e f g h i j k l m n o p q r s t"
+    same = "c a b c a d e f g h i j k l m n o p q r s t"  # c a stands twice
+    sets = [set(zip(x.split(), x.split()[1:])) for x in (text, same)]
+    assert sets[0] == sets[1]
+    rows = [(i, text.upper() if i % 2 else text) for i in range(5, 40)] + [(3, same), (50, same), (1, "alone in the world")] + [(i, None) for i in range(60, 70)]
+    for shuffled in (rows, rows[::-1]):
+        got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(shuffled, "doc_id long, text string"), 2).collect()}
+        assert got == {d: (3, d == 3) if t and d != 1 else (d, True) for d, t in rows}
+
+
+def test_lines_that_many_documents_repeat(spark, monkeypatch):
+    """The first of them stays, whatever the number of parts that the others are in."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    line = "one two three four five six"
+    docs = spark.createDataFrame([(i, f"w{i} x{i}\n{line.upper() if i % 2 else line}") for i in range(60)], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_report(docs).collect()}
+    assert got == {i: [1] if i else [] for i in range(60)}
