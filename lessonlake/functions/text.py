@@ -229,16 +229,13 @@ def lesson_lines(body: Column) -> Column:
 def extract_json(c: Column, prefer: str = "array") -> Column:
     """The widest array, else the widest object (the other way round for prefer='object'), else the whole text."""
 
-    def widest(x: Column, first: str, last: str) -> tuple[Column, Column]:
-        a, b = F.instr(x, first), F.length(x) - F.instr(F.reverse(x), last) + 1
-        return (a > 0) & (F.instr(x, last) > 0) & (b > a), F.substring(x, a, b - a + 1)
+    def widest(x: Column, first: str, last: str) -> Column:
+        ends = F.struct(F.instr(x, first).alias("a"), (F.length(x) - F.length(F.substring_index(x, last, -1))).alias("b"))  # b is 0 without last
+        return let(ends, lambda p: F.when((p["a"] > 0) & (p["b"] > p["a"]), F.substring(x, p["a"], p["b"] - p["a"] + 1)))
 
-    def pick(x: Column) -> Column:
-        pairs = [("[", "]"), ("{", "}")]
-        (ok1, v1), (ok2, v2) = (widest(x, *p) for p in (pairs if prefer == "array" else pairs[::-1]))
-        return F.when(ok1, v1).when(ok2, v2).otherwise(x)
-
-    return let(trim(replace(F.coalesce(c, F.lit("")), r"(?i)```(?:json)?")), pick)
+    pairs = [("[", "]"), ("{", "}")]
+    pick = lambda x: F.coalesce(*[widest(x, *p) for p in (pairs if prefer == "array" else pairs[::-1])], x)
+    return let(trim(changed(F.coalesce(c, F.lit("")), lambda x: x.contains("```"), lambda x: replace(x, r"(?i)```(?:json)?"))), pick)
 
 
 def strip_fence(c: Column) -> Column:

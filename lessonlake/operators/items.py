@@ -39,7 +39,7 @@ def _rows(body: Column, fields: str, name: str) -> Column:
 def _values(body: Column, name: str) -> Column:
     """The same items as JSON values, whose kinds can be told."""
     j = F.try_parse_json(T.extract_json(body, "array" if name == "questions" else "object"))
-    return F.coalesce(F.try_variant_get(j, "$", "array<variant>"), F.try_variant_get(j, f"$.{name}", "array<variant>"))
+    return T.let(j, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, f"$.{name}", "array<variant>")))
 
 
 def _index(item: Column) -> Column:
@@ -54,23 +54,33 @@ def validate_quiz(responses: DataFrame, n: int = 5) -> DataFrame:
 
     Options that are equal but for case count once: at the first one's place, in the last one's spelling.
     """
-    said = responses.select("request_id", _rows(F.col("body"), _STRINGS, "questions").alias("rows"), _values(F.col("body"), "questions").alias("values"))
-    items = said.select("request_id", F.posexplode(F.arrays_zip("rows", "values")).alias("at", "x"))
-    q = items.select("request_id", "at", F.col("x.rows").alias("q"), F.col("x.values").alias("value")).where("q IS NOT NULL")
+    rows, values = _rows(F.col("body"), _STRINGS, "questions").alias("q"), _values(F.col("body"), "questions").alias("value")
+    said = responses.select("request_id", rows, values).select("request_id", F.transform(F.arrays_zip("q", "value"), lambda x, at: F.struct(at.alias("at"), x["q"].alias("q"), x["value"].alias("value"))).alias("items"))
     option = lambda o: T.clean_line(F.when(o.startswith("{"), F.coalesce(F.get_json_object(o, "$.text"), F.get_json_object(o, "$.value"), F.get_json_object(o, "$.label"))).otherwise(o))
-    options = F.filter(F.transform(F.coalesce("q.options", "q.choices", "q.answers"), option), lambda o: ~T.is_clean_junk(o))
-    clean = q.select(
-        "request_id", "at", T.clean_line(F.coalesce("q.question", "q.prompt", "q.questionText")).alias("question"), options.alias("o"),
-        _index(F.col("value")).alias("i"), T.clean_line(F.coalesce("q.correctAnswer", "q.answer")).alias("answer"),
-        F.coalesce("q.explanation", "q.reason", F.lit(EXPLANATION)).alias("explanation"),
-    )
-    folded = F.array_distinct(F.transform("o", F.lower))
-    unique = F.transform(folded, lambda k: F.element_at(F.filter("o", lambda o: F.lower(o) == k), -1))
-    index = F.when((F.col("i") == F.floor("i")) & F.col("i").between(0, 3), F.col("i").cast("int")).otherwise(F.array_position(F.transform("u", F.lower), F.lower("answer")).cast("int") - 1)
-    good = clean.withColumn("u", unique).withColumn("correct_index", index).where((F.size("u") == 4) & ~T.is_clean_junk(F.col("question")) & (F.length("question") >= 10) & F.col("correct_index").between(0, 3))
+    last = lambda o: F.transform(F.array_distinct(F.transform(o, F.lower)), lambda k: F.element_at(F.filter(o, lambda x: F.lower(x) == k), -1))
+    kind = "array<struct<at:int,question:string,options:array<string>,correct_index:int,explanation:string>>"
+
+    def add(acc: Column, x: Column) -> Column:
+        """acc with x, if x is valid; x is not looked at where acc is full. Inlined columns would be computed again at each use."""
+        q = x["q"]
+        options = F.filter(F.transform(F.coalesce(q["options"], q["choices"], q["answers"]), option), lambda o: ~T.is_clean_junk(o))
+
+        def indexed(u: Column) -> Column:
+            place = F.array_position(F.transform(u, F.lower), F.lower(T.clean_line(F.coalesce(q["correctAnswer"], q["answer"])))).cast("int") - 1
+            index = T.let(_index(x["value"]), lambda i: F.when((i == F.floor(i)) & i.between(0, 3), i.cast("int")).otherwise(place))
+            return T.let(F.struct(T.clean_line(F.coalesce(q["question"], q["prompt"], q["questionText"])).alias("question"), index.alias("index")), lambda c: judged(u, c["question"], c["index"]))
+
+        def judged(u: Column, question: Column, index: Column) -> Column:
+            item = F.struct(x["at"].alias("at"), question.alias("question"), u.alias("options"), index.alias("correct_index"), F.coalesce(q["explanation"], q["reason"], F.lit(EXPLANATION)).alias("explanation"))
+            return F.when((F.length(question) >= 10) & index.between(0, 3) & ~T.is_clean_junk(question), F.concat(acc, F.array(item)).cast(kind)).otherwise(acc)
+
+        tried = T.let(options, lambda o: T.let(last(o), lambda u: F.when(F.size(u) == 4, indexed(u)).otherwise(acc)))
+        return F.when((F.size(acc) >= n) | q.isNull(), acc).otherwise(tried).cast(kind)
+
+    good = said.select("request_id", F.inline(F.aggregate("items", F.array().cast(kind), add)))
     position = F.row_number().over(Window.partitionBy("request_id").orderBy("at"))
     said = T.clean_line(F.col("explanation"))
-    return good.withColumn("position", position).where(F.col("position") <= n).select("request_id", "position", "question", F.col("u").alias("options"), "correct_index", F.when(said == "", EXPLANATION).otherwise(said).alias("explanation"))
+    return good.withColumn("position", position).where(F.col("position") <= n).select("request_id", "position", "question", "options", "correct_index", F.when(said == "", EXPLANATION).otherwise(said).alias("explanation"))
 
 
 def fallback_quiz(contexts: DataFrame, n: int = 5) -> DataFrame:
