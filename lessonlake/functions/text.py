@@ -81,8 +81,8 @@ def normalize_text(c: Column) -> Column:
 
 
 def normalize_word(c: Column) -> Column:
-    """normalize_text of a bare column, of short texts that seldom need it: the test stands outside of any lambda, in generated code."""
-    return F.when(c.isNotNull() & ~_bulleted(c), c).otherwise(normalize_text(c))
+    """normalize_text of short texts that seldom need it: one search tells whether."""
+    return F.when(~c.rlike(r"\*\*|[\x00-\x20\x7f-\u00a0\u1680-\uffff]"), c).otherwise(normalize_text(c))
 
 
 def alphabet_ratio(c: Column) -> Column:

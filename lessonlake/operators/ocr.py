@@ -1,10 +1,18 @@
-"""From recognised words to clean, numbered lines and page documents. One shuffle by page serves all steps."""
+"""From recognised words to clean, numbered lines and page documents.
+
+Words are rows of a word, or rows of a page with an array of them: (page_no, words array<struct<pos, text, x, y, ..>>), as a page's file
+has them. A page's words are one row while its lines are made, so such pages need no shuffle until lines are numbered.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from lessonlake.functions import text as T
 from lessonlake.operators.ordered import fold
@@ -14,15 +22,43 @@ MIN_NATIVE_LINES = 5
 MIN_CONFIDENCE = 35
 
 
-def _joined(words: DataFrame, group: list[str], scale: float = 1.0) -> DataFrame:
-    """Lines of words ordered by x, then reading order; boxes scaled and cut to whole pixels."""
-    at = lambda c: F.col(c) if scale == 1.0 else (F.col(c) * scale).cast("int")
-    return words.groupBy("page_no", *group).agg(
-        T.normalize_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda s: s["text"]), " ")).alias("text"),
-        F.count("*").alias("n_words"), F.min("pos").alias("pos"), F.min(at("x")).alias("x"), F.min(at("y")).alias("y"),
-        (F.max(at("x") + at("width")) - F.min(at("x"))).alias("width"), (F.max(at("y") + at("height")) - F.min(at("y"))).alias("height"),
-        F.avg("confidence").alias("confidence"),
+def _pages(words: DataFrame) -> DataFrame:
+    """A row a page, with its words as an array."""
+    if "words" in words.columns:
+        return words
+    return words.groupBy("page_no").agg(F.collect_list(F.struct(*[c for c in words.columns if c != "page_no"])).alias("words"))
+
+
+def _cut(words: Column, starts: Callable[[Column], Column], line: Callable[[Column, Column], Column]) -> Column:
+    """line(words, place) of each run of words that begins at one of starts(words); null without words. Only lines leave the innermost
+    function: what a transform gives is copied."""
+    run = lambda w, s, a, i: F.slice(w, a + 1, F.coalesce(F.get(s, i + 1), F.size(w)) - a)
+    lines = lambda w, s: F.transform(s, lambda a, i: T.let(run(w, s, a, i), lambda l: line(l, i)))
+    return T.let(words, lambda w: F.when(F.size(w) > 0, T.let(starts(w), lambda s: lines(w, s))))
+
+
+def _box(line: Column, at: Callable[[Column], Column] = lambda c: c) -> list[Column]:
+    """Where a line of words lies; at gives a number of a word as a whole pixel."""
+    first = lambda c: F.array_min(F.transform(line, lambda w: at(w[c])))
+    extent = lambda c, size: F.array_max(F.transform(line, lambda w: at(w[c]) + at(w[size]))) - first(c)
+    return [first("x").alias("x"), first("y").alias("y"), extent("x", "width").alias("width"), extent("y", "height").alias("height")]
+
+
+def _joined(pages: DataFrame, words: Column, confidence: Callable[[Column], Column], group: list[str], scale: float = 1.0, least: int = 1) -> DataFrame:
+    """Lines of words ordered by x, then reading order, without empty ones; boxes scaled and cut to whole pixels; none of pages with
+    fewer than least words. All of a line is made in the array: columns that a filter could inline would be computed again at each use."""
+    order = [*group, "x", "pos"]
+    at = lambda c: c if scale == 1.0 else (c * scale).cast("int")
+    clean = lambda w: F.struct(*[w[c].alias(c) for c in order], T.normalize_word(w["text"]).alias("text"), *[w[c].alias(c) for c in ("y", "width", "height")], confidence(w).alias("confidence"))
+    cleaned = T.let(words, lambda ws: F.when(F.size(ws) >= least, F.transform(ws, clean))) if least > 1 else F.transform(words, clean)
+    ordered = F.array_sort(F.filter(cleaned, lambda w: w["text"] != ""))
+    moved = lambda a, b: reduce(or_, [~a[c].eqNullSafe(b[c]) for c in reversed(group)])
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | moved(F.get(w, i), F.get(w, i - 1)))
+    line = lambda l, _: F.struct(
+        T.normalize_text(F.array_join(l["text"], " ")).alias("text"), F.size(l).alias("n_words"), F.array_min(l["pos"]).alias("pos"), *_box(l, at),
+        (F.aggregate(l["confidence"], F.lit(0.0), lambda total, c: total + c) / F.size(l)).alias("confidence"),
     )
+    return pages.select("page_no", F.inline(_cut(ordered, starts, line)))
 
 
 def build_lines(lines: DataFrame, page_width: int, page_height: int) -> DataFrame:
@@ -37,33 +73,34 @@ def build_lines(lines: DataFrame, page_width: int, page_height: int) -> DataFram
 
 def lines_from_native(words: DataFrame, page_width: int, page_height: int, zoom: float = 2.0) -> DataFrame:
     """Lines of a page's own text layer; pages of fewer than 8 words give none."""
-    n = F.count("*").over(Window.partitionBy("page_no"))
-    clean = words.withColumn("n", n).where(F.col("n") >= MIN_NATIVE_WORDS).withColumn("text", T.normalize_word(F.col("text"))).where("text <> ''").withColumn("confidence", F.lit(99.0))
-    return build_lines(_joined(clean, ["block_no", "line_no"], zoom), page_width, page_height)
+    return build_lines(_joined(_pages(words), F.col("words"), lambda _: F.lit(99.0), ["block_no", "line_no"], zoom, MIN_NATIVE_WORDS), page_width, page_height)
 
 
 def lines_from_tokens(words: DataFrame, page_width: int, page_height: int) -> DataFrame:
     """Lines of OCR tokens of confidence 35 or more; a confidence that is no number counts as -1."""
-    confidence = F.coalesce(F.col("confidence").cast("string").try_cast("double"), F.lit(-1.0))
-    good = words.withColumn("confidence", confidence).where(F.col("confidence") >= MIN_CONFIDENCE).withColumn("text", T.normalize_word(F.col("text"))).where("text <> ''")
-    return build_lines(_joined(good, ["block_no", "par_no", "line_no"]), page_width, page_height)
+    pages = _pages(words)
+    numeric = isinstance(pages.schema["words"].dataType.elementType["confidence"].dataType, NumericType)
+    number = lambda w: F.coalesce(w["confidence"].cast("double") if numeric else w["confidence"].cast("string").try_cast("double"), F.lit(-1.0))
+    sure = F.filter("words", lambda w: number(w) >= MIN_CONFIDENCE)
+    return build_lines(_joined(pages, sure, number, ["block_no", "par_no", "line_no"]), page_width, page_height)
 
 
 def cluster_lines_by_y(words: DataFrame, tolerance: int = 20) -> DataFrame:
     """In reading order, a word joins the line while it is within the tolerance of the y of the line's first word, which never
     moves. Line numbers count dropped lines too."""
 
-    def step(state: list, row: tuple) -> list[tuple]:
-        page, pos, y, *rest = row
-        if state[0] is None or abs(y - state[0]) >= tolerance:
-            state[0], state[1] = y, state[1] + 1
-        return [(page, state[1], pos, y, *rest)]
+    fields = ("pos", "y", "x", "width", "height", "text")
+    ordered = F.array_sort(F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in fields])))
 
-    placed = fold(words, "page_no", ["pos"], ["pos", "y", "x", "width", "height", "text"], lambda: [None, 0], step, "page_no long, line_number int, pos int, y int, x int, width int, height int, text string")
-    lines = placed.groupBy("page_no", "line_number").agg(
-        T.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "text"))), lambda s: s["text"]), " ")).alias("text"),
-        F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"),
-    )
+    def starts(words: Column) -> Column:
+        state = lambda anchor, i, found: F.struct(anchor.cast("double").alias("anchor"), i.alias("i"), found.alias("found"))
+        far = lambda s, w: s["anchor"].isNull() | (F.abs(w["y"] - s["anchor"]) >= tolerance)
+        step = lambda s, w: F.when(far(s, w), state(w["y"], s["i"] + 1, F.concat(s["found"], F.array(s["i"])))).otherwise(state(s["anchor"], s["i"] + 1, s["found"]))
+        return F.aggregate(words, state(F.lit(None), F.lit(0), F.array().cast("array<int>")), step, lambda s: s["found"])
+
+    said = lambda l: F.array_sort(F.transform(l, lambda w: F.struct(w["x"], w["pos"], w["text"].alias("text"))))["text"]
+    line = lambda l, i: F.struct((i + 1).alias("line_number"), T.collapse(F.array_join(said(l), " ")).alias("text"), *_box(l))
+    lines = _pages(words).select("page_no", F.inline(_cut(ordered, starts, line)))
     return lines.where(~T.drop_bad_line(F.col("text")))
 
 
@@ -92,11 +129,9 @@ def drop_overlaps(lines: DataFrame) -> DataFrame:
 
 def choose_source(native: DataFrame, tokens: DataFrame) -> DataFrame:
     """Per page: native lines where there are at least 5, else OCR lines."""
-    enough = native.groupBy("page_no").count().where(F.col("count") >= MIN_NATIVE_LINES).select("page_no")
-    return (
-        native.join(enough, "page_no", "left_semi").withColumn("source", F.lit("native"))
-        .unionByName(tokens.join(enough, "page_no", "left_anti").withColumn("source", F.lit("tesseract")))
-    )
+    every = native.withColumn("source", F.lit("native")).unionByName(tokens.withColumn("source", F.lit("tesseract")))
+    found = every.withColumn("n", F.count_if(F.col("source") == "native").over(Window.partitionBy("page_no")))
+    return found.where((F.col("source") == "native") == (F.col("n") >= MIN_NATIVE_LINES)).drop("n")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonlake.functions import text as T
@@ -69,14 +69,28 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOC_LINES = """doc_lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)"""
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ").alias("words"))
+
+
+def _word(page: Column, i: Column, text: Column) -> list[Column]:
+    n = F.length(text)
+    return [
+        i.alias("pos"), text.alias("text"), (i % 12 * 90).alias("x"), (F.floor(i / 12) * 32 + (i * 7) % 9).cast("int").alias("y"), (n * 8).alias("width"), (n % 5 + 18).alias("height"),
+        (F.lit(30) + (i * 37 + page * 13) % 70).cast("int").alias("confidence"), F.floor(i / 120).cast("int").alias("block_no"), F.floor(i / 60).cast("int").alias("par_no"), F.floor(i / 12).cast("int").alias("line_no"),
+    ]
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of recognised words for each document."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")).alias("i", "text")).where("text <> ''")
-    i, n = F.col("i"), F.length("text")
-    return w.select(
-        F.col("doc_id").alias("page_no"), i.alias("pos"), "text", (i % 12 * 90).alias("x"), (F.floor(i / 12) * 32 + (i * 7) % 9).cast("int").alias("y"), (n * 8).alias("width"), (n % 5 + 18).alias("height"),
-        (F.lit(30) + (i * 37 + F.col("doc_id") * 13) % 70).cast("int").alias("confidence"), F.floor(i / 120).cast("int").alias("block_no"), F.floor(i / 60).cast("int").alias("par_no"), F.floor(i / 12).cast("int").alias("line_no"),
-    )
+    """A page of recognised words for each document, a row a word."""
+    w = _split(spark, sf_dir).select("doc_id", F.posexplode("words").alias("i", "text")).where("text <> ''")
+    return w.select(F.col("doc_id").alias("page_no"), *_word(F.col("doc_id"), F.col("i"), F.col("text")))
+
+
+def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words, a row a page."""
+    word = lambda text, i: F.struct(*_word(F.col("doc_id"), i, text))
+    return _split(spark, sf_dir).select(F.col("doc_id").alias("page_no"), F.transform(F.filter("words", lambda x: x != ""), word).alias("words"))
 
 
 WORDS = r"""split_docs AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS w FROM documents),

@@ -22,11 +22,11 @@ def query(f):
 
 
 def _native(spark, d):
-    return O.lines_from_native(A.words(spark, d), W, H)
+    return O.lines_from_native(A.word_pages(spark, d), W, H)
 
 
 def _tokens(spark, d):
-    return O.lines_from_tokens(A.words(spark, d), W, H)
+    return O.lines_from_tokens(A.word_pages(spark, d), W, H)
 
 
 def _numbered(spark, d):
@@ -72,7 +72,7 @@ SQL["c2_lines_from_tokens"] = f"WITH {A.WORDS}, {TOKENS} SELECT page_no, pos, te
 
 @query
 def c3_cluster_lines_by_y(spark, d):
-    return O.cluster_lines_by_y(A.words(spark, d))
+    return O.cluster_lines_by_y(A.word_pages(spark, d))
 
 
 SQL["c3_cluster_lines_by_y"] = f"""WITH {A.WORDS}, l AS (SELECT page_no, list({{'pos': pos, 'y': y}} ORDER BY pos) AS l FROM words GROUP BY 1),
@@ -93,7 +93,7 @@ SQL["c4_build_line"] = f"WITH {A.WORDS}, {TOKENS} SELECT page_no, pos, clean_tex
 
 @query
 def c5_drop_overlaps(spark, d):
-    shifted = _tokens(spark, d).withColumn("y", (F.col("y") / 3).cast("int"))
+    shifted = _tokens(spark, d).select("page_no", "pos", "x", (F.col("y") / 3).cast("int").alias("y"), "height", "text")
     return O.drop_overlaps(shifted).select("page_no", "pos", "x", "y", "text")
 
 

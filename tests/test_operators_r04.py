@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lessonlake.functions import text as T
 from lessonlake.operators import items as I
+from lessonlake.operators import ocr as O
 
 
 def plan_of(df) -> str:
@@ -26,3 +27,24 @@ def test_widest_json(spark):
     rows = [tuple(r) for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, c string").orderBy("i").select(T.extract_json(F.col("c")), T.extract_json(F.col("c"), "object")).collect()]
     assert [a for a, _ in rows] == ["[1] b [2]", "{x} ] [ {y}", "][", "no", "", "[1]", "}{", "[ü] é ]"]
     assert [b for _, b in rows] == ["[1] b [2]", "{x} ] [ {y}", "][", "no", "", "[1]", "}{", "[ü] é ]"]
+
+
+def test_lines_of_page_rows_need_no_shuffle_and_equal_those_of_word_rows(spark):
+    row = lambda p, i, text: (p, i, text, i % 4 * 50, i // 4 * 32, 40 + i, 20, 30 + i * 7 % 70, i // 8, 0, i // 4)
+    texts = ["Some", "**words**", "of the", " page ", "", None, "•", "and", "more", "of", "them", "here"]
+    rows = [row(p, i, x) for p in (1, 2) for i, x in enumerate(texts)] + [row(3, i, "seven") for i in range(7)]
+    words = spark.createDataFrame(rows, "page_no long, pos int, text string, x int, y int, width int, height int, confidence int, block_no int, par_no int, line_no int")
+    pages = words.groupBy("page_no").agg(F.collect_list(F.struct(*words.columns[1:])).alias("words")).unionByName(spark.createDataFrame([(4, [])], f"page_no long, words {dict(words.groupBy('page_no').agg(F.collect_list(F.struct(*words.columns[1:])).alias('w')).dtypes)['w']}")).localCheckpoint()
+    for make in (lambda w: O.lines_from_native(w, 1200, 1600), lambda w: O.lines_from_tokens(w, 1200, 1600), O.cluster_lines_by_y):
+        got = make(pages)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, make(words).collect()), key=str) != []
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert 3 not in {r.page_no for r in O.lines_from_native(pages, 1200, 1600).collect()}
+
+
+def test_source_is_chosen_in_one_pass(spark):
+    lines = lambda pages, n: spark.createDataFrame([(p, i) for p in pages for i in range(n)], "page_no long, pos int")
+    native = lines([1], 5).union(lines([2], 4))
+    got = O.choose_source(native, lines([1, 2, 3], 2))
+    assert {tuple(r) for r in got.groupBy("page_no", "source").count().collect()} == {(1, "native", 5), (2, "tesseract", 2), (3, "tesseract", 2)}
+    assert "Join" not in plan_of(got)
