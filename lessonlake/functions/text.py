@@ -22,6 +22,8 @@ JUNK_GAME = (".", ",", ":", ";", "-", "_", "•", "●", "▪", "◦", "a", "b",
 JUNK_QUIZ = (*JUNK_GAME, "a)", "b)", "c)", "d)")
 #: Unicode's white space, as a class of its own: (?U) makes every class of a pattern slow.
 WS = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same as a set of characters, for F.trim.
+SPACES = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that hold all white space but the space, and bullets and dashes beside it.
 SPECIAL = r"[\x00-\x1f\x7f-\u00a0\u1680-\uffff]"
 #: The same as bytes of UTF-8: those that are white space, or begin characters among which it is. A search for a byte reads the text as it is stored.

@@ -15,8 +15,10 @@ DIFFICULTY = {"easy": "Ask about direct meaning.", "medium": "Ask about context
 def lesson_context(requests: DataFrame, lessons: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """requests(request_id, lesson_no, line), lessons(lesson_no, title, lines array): 2 lines on each side of the first match,
     else the first 5; an unknown lesson gives the line itself. keep: other columns of requests that stay."""
-    joined = requests.join(lessons, "lesson_no", "left")
-    at = F.array_position(F.transform("lines", lambda x: F.lower(T.trim(x))), F.lower(T.trim(F.col("line"))))
+    key = lambda x: F.lower(F.trim(x, F.lit(T.SPACES)))  # noqa: E731  # compiled, so that the lines of a joined row aren't copied
+    known = lessons.withColumn("_keys", F.transform("lines", key))  # once a lesson, which may have many requests
+    joined = requests.join(known, "lesson_no", "left").withColumn("_at", F.array_position("_keys", key(F.col("line"))))
+    at = F.col("_at")
     low = F.greatest(at - 2, F.lit(1))
     near = F.when(at > 0, F.slice("lines", low.cast("int"), (at + 2 - low + 1).cast("int"))).otherwise(F.slice("lines", 1, 5))
     unknown = F.col("lines").isNull()

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lessonlake.functions import text as T
+from lessonlake.operators import context as C
 from lessonlake.operators import items as I
 from lessonlake.operators import ocr as O
 
@@ -48,3 +49,23 @@ def test_source_is_chosen_in_one_pass(spark):
     got = O.choose_source(native, lines([1, 2, 3], 2))
     assert {tuple(r) for r in got.groupBy("page_no", "source").count().collect()} == {(1, "native", 5), (2, "tesseract", 2), (3, "tesseract", 2)}
     assert "Join" not in plan_of(got)
+
+
+def test_lines_of_a_lesson_are_cleaned_once_and_not_for_each_request(spark):
+    """The plan trimmed and lower-cased all lines of the lesson three times in each joined row."""
+    lines = {1: ["\u2003One ", "two", None, "ONE\u00a0", "\u0085İstanbul\u200b", "", "six", "seven"], 2: [], 3: None, 4: [f"line {i}" for i in range(40)]}
+    asked = [(1, "one"), (1, "\tTWO\u3000"), (1, None), (1, "İSTANBUL\u200b\n"), (1, " "), (1, "seven"), (1, "no such line"), (2, "one"), (3, " one "), (4, "LINE 39"), (4, "line 4"), (5, " one "), (None, "one"), (5, None)]
+    requests = spark.createDataFrame([(i, *r, "k") for i, r in enumerate(asked)], "request_id int, lesson_no int, line string, more string")
+    lessons = spark.createDataFrame([(n, f"L{n}", x) for n, x in lines.items()], "lesson_no int, title string, lines array<string>")
+    df = C.lesson_context(requests, lessons, ["more"])
+    got = {r.request_id: (r.more, r.title, r.context, r.preview) for r in df.collect()}
+    joined = lambda x: "\n".join(y for y in x if y is not None)
+    key = lambda x: None if x is None else x.strip("\t\n \u0085\u00a0\u2003\u3000").lower()
+    for i, (n, line) in enumerate(asked):
+        if (of := lines.get(n)) is None:
+            assert got[i] == ("k", "Unknown lesson", line, "")
+            continue
+        at = next((j for j, x in enumerate(of) if line is not None and key(x) == key(line)), None)
+        assert got[i] == ("k", f"L{n}", joined(of[:5] if at is None else of[max(at - 2, 0) : at + 3]), joined(of[:25])), (n, line)
+    above = plan_of(df).split("Join LeftOuter")[0]
+    assert above.count("array_position(") == 1 and "transform(" not in above and "regexp_replace(" not in above
