@@ -117,13 +117,27 @@ def should_keep_line(text: Column, n_words: Column, confidence: Column, width: C
     )
 
 
+def _no_bullet(x: Column) -> Column:
+    return F.when(F.substring(x, 1, 1).isin(*BULLETS), F.ltrim(F.substr(x, F.lit(2)))).otherwise(x)
+
+
+def _no_label(x: Column) -> Column:
+    label = (x.endswith(".") | x.endswith(")")) & x.rlike(r"^(?:\p{Nd}+|[A-Da-d])[.)]\z")
+    return F.when(label, "").otherwise(x)
+
+
+#: The steps of clean_ocr_text: bold marks and one bullet go, white space is collapsed, a label alone is empty. A column for each step is
+#: compiled, which let() isn't.
+OCR_STEPS = (lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("**"), F.lit("")), _no_bullet, lambda x: F.when(_loose(x), _collapse(x)).otherwise(x), _no_label)
+
+
 def clean_ocr_text(c: Column) -> Column:
-    x = replace(replace(F.coalesce(c, F.lit("")), r"\*\*"), rf"(?U)^[{BULLETS}]\s*")
-    return collapse(replace(replace(x, r"(?U)^\s*\d+[.)]\s*\z"), r"(?U)^\s*[A-Da-d][.)]\s*\z"))
+    return reduce(let, OCR_STEPS, c)
 
 
 def is_import_ai_ready(c: Column) -> Column:
-    return (F.length(c) >= 4) & c.rlike("[A-Za-z]") & ~c.rlike(r"(?U)^[A-Da-d\d\s.()]+\z")
+    # a letter beyond D is both a letter and no part of a label: most texts have one
+    return (F.length(c) >= 4) & (c.rlike("[E-Ze-z]") | (c.rlike("[A-Za-z]") & c.rlike(rf"[^A-Da-d\p{{Nd}}{WS[1:-1]}.()]")))
 
 
 def _remove_markdown(c: Column) -> Column:

@@ -175,11 +175,13 @@ def normalize_import_lines(lines: DataFrame) -> DataFrame:
     before the text; nested or flat boxes, half-up rounding, a missing number is 0."""
     box = lambda c: F.floor(F.coalesce(F.col(f"bbox.{c}"), F.col(c), F.lit(0)).cast("double") + 0.5).cast("int").alias(c)
     text = F.coalesce("clean_text", "text") if "clean_text" in lines.columns else F.col("text")
+    lines = reduce(lambda df, step: df.withColumn("_text", step(F.col("_text"))), T.OCR_STEPS, lines.withColumn("_text", text))
+    said = F.explode(F.when(F.col("_text") != "", F.array("_text")))  # a filter on the text would clean it once more
     out = lines.select(
-        *[c for c in ("title",) if c in lines.columns], "page_no", "pos", F.coalesce("line_number", F.col("pos") + 1).alias("line_number"), T.clean_ocr_text(text).alias("text"), *[box(c) for c in ("x", "y", "width", "height")],
+        *[c for c in ("title",) if c in lines.columns], "page_no", "pos", F.coalesce("line_number", F.col("pos") + 1).alias("line_number"), said.alias("text"), *[box(c) for c in ("x", "y", "width", "height")],
         F.coalesce(F.col("confidence").cast("string").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce("ai_ready", F.lit(True)).alias("flag"),
     )
-    good = out.where((F.col("text") != "") & (F.col("width") >= 0) & (F.col("height") >= 0))
+    good = out.where((F.col("width") >= 0) & (F.col("height") >= 0))
     return good.withColumn("ai_ready", F.col("flag") & T.is_import_ai_ready(F.col("text"))).drop("flag")
 
 

@@ -69,8 +69,8 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOC_LINES = """doc_lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)"""
 
 
-def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ").alias("words"))
+def _split() -> Column:
+    return F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
 
 
 def _word(page: Column, i: Column, text: Column) -> list[Column]:
@@ -83,14 +83,14 @@ def _word(page: Column, i: Column, text: Column) -> list[Column]:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of recognised words for each document, a row a word."""
-    w = _split(spark, sf_dir).select("doc_id", F.posexplode("words").alias("i", "text")).where("text <> ''")
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(_split()).alias("i", "text")).where("text <> ''")  # a column of words would be split once more, for a filter on its size
     return w.select(F.col("doc_id").alias("page_no"), *_word(F.col("doc_id"), F.col("i"), F.col("text")))
 
 
 def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same words, a row a page."""
     word = lambda text, i: F.struct(*_word(F.col("doc_id"), i, text))
-    return _split(spark, sf_dir).select(F.col("doc_id").alias("page_no"), F.transform(F.filter("words", lambda x: x != ""), word).alias("words"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.transform(F.filter(_split(), lambda x: x != ""), word).alias("words"))
 
 
 WORDS = r"""split_docs AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS w FROM documents),

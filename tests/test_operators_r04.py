@@ -1,6 +1,8 @@
 """Page and item operators: steps that must not be computed again, or moved, for each row."""
 
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from lessonlake.functions import text as T
 from lessonlake.operators import context as C
 from lessonlake.operators import items as I
 from lessonlake.operators import ocr as O
+from lessonlake.plans import adapters as A
 
 
 def plan_of(df) -> str:
@@ -69,3 +72,42 @@ def test_lines_of_a_lesson_are_cleaned_once_and_not_for_each_request(spark):
         assert got[i] == ("k", f"L{n}", joined(of[:5] if at is None else of[max(at - 2, 0) : at + 3]), joined(of[:25])), (n, line)
     above = plan_of(df).split("Join LeftOuter")[0]
     assert above.count("array_position(") == 1 and "transform(" not in above and "regexp_replace(" not in above
+
+
+WHITE = "\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def ocr_text(x):
+    x = re.sub(f"^[•●▪◦][{WHITE}]*", "", (x or "").replace("**", ""))
+    x = re.sub(rf"^[{WHITE}]*(?:\d+|[A-Da-d])[.)][{WHITE}]*\Z", "", x)
+    return re.sub(f"[{WHITE}]+", " ", x).strip(" ")
+
+
+def import_ready(x):
+    return len(x) >= 4 and bool(re.search("[A-Za-z]", x)) and not re.search(rf"^[A-Da-d\d{WHITE}.()]+\Z", x)
+
+
+def test_imported_texts_are_cleaned_once(spark):
+    """The plan had the chain twice, for a filter on the text, each time with four patterns and an uncompiled function."""
+    deal = random.Random(3)
+    parts = ["•", "◦", "**", "*", " ", "  ", "\t", "\n", "\u00a0", "\u2003", "\u3000", "\x1f", "\u200b", "1", "12", "٣", "A", "d", "e", "E", "é", "😀", ".", ")", "(", "word"]
+    texts = ["", None, "• 1.", "•• 1.", "**1**.", " \u2003٣) \n", "*** a", "a.\n", "• •", "A. b", "abcd", "abce", "(a) 1.", "1234", *("".join(deal.choices(parts, k=deal.randint(1, 7))) for _ in range(3000))]
+    row = lambda i, x: (1, i, x, "9", None, 1.0, 2.0, -0.6 if i % 11 == 5 else 3.0, 4.0, None, None, "• c" if i % 5 == 4 else None)
+    schema = "page_no int, pos int, text string, confidence string, ai_ready boolean, x double, y double, width double, height double, bbox struct<x: double, y: double, width: double, height: double>, line_number int, clean_text string"
+    lines = spark.createDataFrame([row(i, x) for i, x in enumerate(texts)], schema)
+    alone = {r.pos: (r.t, r.ready) for r in lines.select("pos", T.clean_ocr_text(F.col("text")).alias("t")).select("pos", "t", T.is_import_ai_ready(F.col("t")).alias("ready")).collect()}
+    wanted = {i: (y, import_ready(y)) for i, y in enumerate(map(ocr_text, texts))}
+    assert alone == wanted
+    df = O.normalize_import_lines(lines)
+    cleaned = {i: ("c", False) if i % 5 == 4 else wanted[i] for i in wanted if i % 11 != 5}
+    assert {r.pos: (r.text, r.ai_ready) for r in df.collect()} == {i: y for i, y in cleaned.items() if y[0]}
+    plan = plan_of(df)
+    assert plan.count("replace(coalesce(") == 1 and plan.count("transform(") == 0
+
+
+def test_words_of_a_text_are_split_once(spark, tmp_path):
+    """A filter on the size of the list split the text a second time."""
+    spark.createDataFrame([(1, " a \t b\u00a0c\n"), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = A.words(spark, str(tmp_path))
+    assert [(r.page_no, r.pos, r.text) for r in words.orderBy("page_no", "pos").collect()] == [(1, 0, "a"), (1, 1, "b\u00a0c")]
+    assert plan_of(words).count("split(") == 1
