@@ -55,7 +55,7 @@ def test_source_is_chosen_in_one_pass(spark):
 
 
 def test_lines_of_a_lesson_are_cleaned_once_and_not_for_each_request(spark):
-    """The plan trimmed and lower-cased all lines of the lesson three times in each joined row."""
+    """The plan trimmed and lower-cased all lines of the lesson in four places for each joined row."""
     lines = {1: ["\u2003One ", "two", None, "ONE\u00a0", "\u0085İstanbul\u200b", "", "six", "seven"], 2: [], 3: None, 4: [f"line {i}" for i in range(40)]}
     asked = [(1, "one"), (1, "\tTWO\u3000"), (1, None), (1, "İSTANBUL\u200b\n"), (1, " "), (1, "seven"), (1, "no such line"), (2, "one"), (3, " one "), (4, "LINE 39"), (4, "line 4"), (5, " one "), (None, "one"), (5, None)]
     requests = spark.createDataFrame([(i, *r, "k") for i, r in enumerate(asked)], "request_id int, lesson_no int, line string, more string")
